@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from veldt.llm import line_dedup
+from veldt.llm import bpe_codec, line_dedup
 
 
 def queries() -> dict:
     return {
         "op5_line_dedup": line_dedup.query,
+        "op9_bpe_codec": bpe_codec.query,
     }
 
 
