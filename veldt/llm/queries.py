@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from veldt.llm import bpe_codec, line_dedup
+from veldt.llm import bpe_codec, line_dedup, packing
 
 
 def queries() -> dict:
     return {
         "op5_line_dedup": line_dedup.query,
+        "op6_packing": packing.query,
         "op9_bpe_codec": bpe_codec.query,
     }
 
