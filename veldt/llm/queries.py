@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from veldt.llm import bpe_codec, line_dedup, packing
+from veldt.llm import bpe_codec, line_dedup, packing, simhash_links
 
 
 def queries() -> dict:
     return {
         "op5_line_dedup": line_dedup.query,
         "op6_packing": packing.query,
+        "op7_simhash_links": simhash_links.query,
         "op9_bpe_codec": bpe_codec.query,
     }
 
