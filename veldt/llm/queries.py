@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veldt.llm import bpe_codec, line_dedup, packing, simhash_links
+from veldt.llm import bpe_codec, line_dedup, packing, repeat_spans, simhash_links
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op6_packing": packing.query,
         "op7_simhash_links": simhash_links.query,
         "op9_bpe_codec": bpe_codec.query,
+        "op10_repeat_spans": repeat_spans.query,
     }
 
 
