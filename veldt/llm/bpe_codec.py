@@ -60,32 +60,31 @@ def tokenizer(path: str):
     return _loaded[path]
 
 
-class WordTable(dict):
+class WordTable:
     """Word bytes to id bytes (little-endian unsigned 32-bit); words that lack are encoded and kept up to a bound."""
 
     def __init__(self, path: str, fixed: dict[bytes, bytes]):
-        super().__init__(fixed)
-        self.tok, self.fixed = tokenizer(path), fixed
+        # a plain dict: set.difference looks words up in it and would walk through a subclass
+        self.tok, self.fixed, self.ids = tokenizer(path), fixed, dict(fixed)
 
     def learn(self, words: Iterable[bytes]) -> bool:
         """Add words; True if the table was emptied to the fixed part before, to keep its bound."""
         words = list(words)
-        full = len(self) + len(words) > len(self.fixed) + KEPT_WORDS
+        full = len(self.ids) + len(words) > len(self.fixed) + KEPT_WORDS
         if full:
-            self.clear()
-            self.update(self.fixed)
+            self.ids = dict(self.fixed)
         done = self.tok.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        self.update(zip(words, (np.array(e.ids, dtype="<u4").tobytes() for e in done)))
+        self.ids.update(zip(words, (np.array(e.ids, dtype="<u4").tobytes() for e in done)))
         return full
 
     def encode(self, text: bytes) -> bytes:
         words = text.split()
         if len(words) > 1_000_000:  # a very long text goes in pieces of whole words, to bound the table
             return b"".join(self.encode(b" ".join(words[i : i + 1_000_000])) for i in range(0, len(words), 1_000_000))
-        lacking = set(words).difference(self)
+        lacking = set(words).difference(self.ids)
         if lacking and self.learn(lacking):
-            self.learn(set(words).difference(self))
-        return b"".join(map(self.__getitem__, words))
+            self.learn(set(words).difference(self.ids))
+        return b"".join(map(self.ids.__getitem__, words))
 
 
 def word_table(path: str, key: str, fixed: dict[bytes, bytes]) -> WordTable:
