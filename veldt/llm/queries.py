@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from veldt.llm import bpe_codec, line_dedup, packing, repeat_spans, simhash_links
+from veldt.llm import bpe_codec, embedding_links, line_dedup, packing, repeat_spans, simhash_links
 
 
 def queries() -> dict:
     return {
+        "op1_embedding_links": embedding_links.query,
         "op5_line_dedup": line_dedup.query,
         "op6_packing": packing.query,
         "op7_simhash_links": simhash_links.query,
@@ -16,4 +17,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": line_dedup.ORACLE}
+    return {"op1_embedding_links": embedding_links.ORACLE, "op5_line_dedup": line_dedup.ORACLE}
