@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from veldt.llm import bpe_codec, embedding_links, line_dedup, packing, repeat_spans, simhash_links
+from veldt.llm import bpe_codec, embedding_links, language_id, line_dedup, packing, repeat_spans, simhash_links
 
 
 def queries() -> dict:
     return {
         "op1_embedding_links": embedding_links.query,
+        "op2_language_id": language_id.query,
         "op5_line_dedup": line_dedup.query,
         "op6_packing": packing.query,
         "op7_simhash_links": simhash_links.query,
