@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veldt.llm import bpe_codec, embedding_links, language_id, line_dedup, packing, repeat_spans, simhash_links
+from veldt.llm import bpe_codec, embedding_links, language_id, line_dedup, packing, repeat_spans, secret_scan, simhash_links
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op5_line_dedup": line_dedup.query,
         "op6_packing": packing.query,
         "op7_simhash_links": simhash_links.query,
+        "op8_secret_scan": secret_scan.query,
         "op9_bpe_codec": bpe_codec.query,
         "op10_repeat_spans": repeat_spans.query,
     }
