@@ -32,8 +32,8 @@ from veldt.llm.common import stored
 
 HOT_WORDS = 1_000_000
 HOT_BYTES = 64
-KEPT_WORDS = 600_000
-COUNTED_WORDS = 300_000
+KEPT_WORDS = 300_000
+COUNTED_WORDS = 200_000
 RARE = 8
 
 
@@ -146,6 +146,12 @@ def hot_table(docs: DataFrame, path: str, text: str = "text", hot_words: int = H
     return {bytes(r[0]): bytes(r[1]) for r in hot.mapInArrow(encode, "word binary, ids binary").toLocalIterator()}
 
 
+def shared_table(docs: DataFrame, path: str, text: str, hot: bool):
+    """(broadcast of the hot words' ids, a name for it)."""
+    fixed = docs.sparkSession.sparkContext.broadcast(hot_table(docs, path, text) if hot else {})
+    return fixed, f"{path}-{fixed._jbroadcast.id()}"
+
+
 def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids", hot: bool = True) -> DataFrame:
     """``docs`` with the token ids (array of int) of ``text`` added as ``ids``.
 
@@ -154,31 +160,37 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: st
     ``ids`` is replaced.
     """
     path = path or default_tokenizer()
-    spark = docs.sparkSession
-    fixed = spark.sparkContext.broadcast(hot_table(docs, path, text) if hot else {})
-    key = f"{path}-{fixed._jbroadcast.id() if fixed._jbroadcast else id(fixed)}"
+    fixed, name = shared_table(docs, path, text, hot)
     keep = [c for c in docs.columns if c != ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = word_table(path, key, fixed.value)
-        for batch in batches:
-            for part in range(0, batch.num_rows, 1024):
-                rows = batch.slice(part, 1024)
-                found = [table.encode(t) for t in texts_of(rows.column(rows.num_columns - 1))]
-                ends = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
-                flat = pa.array(np.frombuffer(b"".join(found), dtype="<i4"))
-                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), flat)], [*keep, ids])
+        table = word_table(path, name, fixed.value)
+        for rows in slices(batches):
+            found = [table.encode(t) for t in texts_of(rows.column(rows.num_columns - 1))]
+            ends = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
+            flat = pa.array(np.frombuffer(b"".join(found), dtype="<i4"))
+            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), flat)], [*keep, ids])
 
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(ids, T.ArrayType(T.IntegerType()))])
     return docs.select(*[f"`{c}`" for c in keep], F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def pieces(path: str | None = None) -> list[str]:
     """The piece of every id: a table of the vocabulary's size, 49,408 rows."""
     tok = tokenizer(path or default_tokenizer())
     return [tok.id_to_token(i) or "" for i in range(tok.get_vocab_size(with_added_tokens=True))]
 
 
+def join_pieces(table: list[str], ids: np.ndarray) -> str:
+    return " ".join(map(table.__getitem__, ids[(ids >= 0) & (ids < len(table))].tolist()))
+
+
 def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``encoded`` with the decoded text of ``ids`` added: each id joined with the id-to-piece table by position.
 
@@ -191,33 +203,39 @@ def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids", out: s
     at = keep.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.array(pieces(path), dtype=object)
-        for batch in batches:
-            column = batch.column(at)
-            texts = []
-            for row in range(batch.num_rows):
-                x = column[row].values
-                x = np.asarray(x) if x is not None else np.zeros(0, int)
-                found = table[x[(x >= 0) & (x < len(table))]]
-                texts.append(" ".join(found.tolist()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*keep, out])
+        table = pieces(path)
+        for rows in slices(batches):
+            found = [x.values for x in rows.column(at)]
+            texts = [join_pieces(table, np.asarray(x) if x is not None else np.zeros(0, np.int32)) for x in found]
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(texts, pa.string())], [*keep, out])
 
     schema = T.StructType([*(encoded.schema[c] for c in keep), T.StructField(out, T.StringType())])
     return encoded.select(*[f"`{c}`" for c in keep]).mapInArrow(run, schema)
 
 
-@F.pandas_udf(T.StringType())
-def ids_sha256(ids):
-    """Lowercase hex digest of ids as little-endian unsigned 32-bit integers."""
-    return ids.map(lambda x: hashlib.sha256(np.asarray(x, dtype="<u4").tobytes()).hexdigest())
+def round_trip(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows (key, n_tokens, ids_sha256, decoded_sha256): each text encoded and its ids decoded again, in one pass.
+
+    The same two steps as ``encode`` and ``decode``; only digests leave the task. ids_sha256 is over the ids as
+    little-endian unsigned 32-bit integers, decoded_sha256 over the decoded text in UTF-8.
+    """
+    path = path or default_tokenizer()
+    fixed, name = shared_table(docs, path, text, True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, by_id = word_table(path, name, fixed.value), pieces(path)
+        for rows in slices(batches):
+            n, shas, decoded = [], [], []
+            for t in texts_of(rows.column(1)):
+                ids = table.encode(t)
+                n.append(len(ids) // 4)
+                shas.append(hashlib.sha256(ids).hexdigest())
+                decoded.append(hashlib.sha256(join_pieces(by_id, np.frombuffer(ids, dtype="<u4")).encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(shas), pa.array(decoded)], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    schema = T.StructType([docs.schema[key], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    return docs.select(key, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    done = decode(encode(docs).select("doc_id", "ids"))
-    return done.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        ids_sha256("ids").alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

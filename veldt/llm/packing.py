@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veldt.llm.bpe_codec import default_tokenizer, texts_of, word_table
+from veldt.llm.bpe_codec import default_tokenizer, slices, texts_of, word_table
 
 CAPACITY = 4096
 END_ID = 2
@@ -77,19 +77,17 @@ def cut(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str
         table = word_table(path, path, {})
         end = np.array([end_id], dtype="<u4").tobytes()
         step = 4 * capacity
-        for batch in batches:
-            for part in range(0, batch.num_rows, 1024):
-                rows = batch.slice(part, 1024)
-                at, found = [], []
-                for i, t in enumerate(texts_of(rows.column(2))):
-                    ids = table.encode(t) + end
-                    for start in range(0, len(ids), step):
-                        piece = ids[start : start + step]
-                        at.append(i)
-                        found.append((start // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4))
-                whole = rows.take(pa.array(at, pa.int64()))
-                columns = [pa.array(c, pa.int64()) for c in zip(*found)]
-                yield pa.RecordBatch.from_arrays([whole.column(0), *columns, whole.column(1)], ["key", "start", "length", "ids_crc32", "doc_tokens", "row_id"])
+        for rows in slices(batches):
+            at, found = [], []
+            for i, t in enumerate(texts_of(rows.column(2))):
+                ids = table.encode(t) + end
+                for start in range(0, len(ids), step):
+                    piece = ids[start : start + step]
+                    at.append(i)
+                    found.append((start // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4))
+            whole = rows.take(pa.array(at, pa.int64()))
+            columns = [pa.array(c, pa.int64()) for c in zip(*found)]
+            yield pa.RecordBatch.from_arrays([whole.column(0), *columns, whole.column(1)], ["key", "start", "length", "ids_crc32", "doc_tokens", "row_id"])
 
     schema = f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long, row_id long"
     body = F.col(text).cast("string")

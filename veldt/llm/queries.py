@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from veldt.llm import bpe_codec, embedding_links, language_id, line_dedup, packing, repeat_spans, secret_scan, simhash_links
+from veldt.llm import bpe_codec, embedding_links, language_id, line_dedup, packing, repeat_spans, secret_scan, simhash_links, stream_dedup
 
 
 def queries() -> dict:
     return {
         "op1_embedding_links": embedding_links.query,
         "op2_language_id": language_id.query,
+        "op4_stream_dedup": stream_dedup.query,
         "op5_line_dedup": line_dedup.query,
         "op6_packing": packing.query,
         "op7_simhash_links": simhash_links.query,
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_links": embedding_links.ORACLE, "op5_line_dedup": line_dedup.ORACLE}
+    return {"op1_embedding_links": embedding_links.ORACLE, "op4_stream_dedup": stream_dedup.ORACLE, "op5_line_dedup": line_dedup.ORACLE}
