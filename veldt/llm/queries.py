@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from veldt.llm import bpe_codec, embedding_links, language_id, line_dedup, packing, repeat_spans, secret_scan, simhash_links, stream_dedup
+from veldt.llm import bpe_codec, embedding_links, html_text, language_id, line_dedup, packing, repeat_spans, secret_scan, simhash_links, stream_dedup
 
 
 def queries() -> dict:
     return {
         "op1_embedding_links": embedding_links.query,
         "op2_language_id": language_id.query,
+        "op3_html_text": html_text.query,
         "op4_stream_dedup": stream_dedup.query,
         "op5_line_dedup": line_dedup.query,
         "op6_packing": packing.query,
