@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from veldt.plans import relational
+
+REGISTRIES = (relational.R,)
+
 
 def queries() -> dict:
-    return {}
+    return {name: run for r in REGISTRIES for name, run in r.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for r in REGISTRIES for name, sql in r.sql.items()}
