@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from veldt.plans import relational
+from veldt.plans import aggregates, relational
 
-REGISTRIES = (relational.R,)
+REGISTRIES = (relational.R, aggregates.R)
 
 
 def queries() -> dict:
