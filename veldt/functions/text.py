@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 #: White space of Unicode as Python's str.split() has it, and the four separators from U+001C on.
@@ -103,13 +104,13 @@ def word_list(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"))
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     """Unicode normal form C; null stays null."""
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def canonical_json(texts: pd.Series) -> pd.Series:
     """JSON with sorted keys and without blanks; numbers keep their digits; null if it isn't JSON."""
 
@@ -149,7 +150,7 @@ def common_length(a: list[str], b: list[str]) -> int:
     return row[-1]
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Twice the longest common subsequence of the words over all words; 1 for two texts without words, null with a null."""
 
@@ -194,7 +195,7 @@ def fuzzy_match(query: str):
         most = 2 if len(term) >= 8 else 1 if len(term) >= 4 else 0
         return most > 0 and any(typos(term, w, most) <= most or (len(w) > len(term) and typos(term, w[: len(term)], most) <= most) for w in words)
 
-    @pandas_udf("boolean")
+    @pandas_udf(T.BooleanType())
     def match(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known: dict[str, bool] = {}
         for part in texts:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from veldt.plans import aggregates, relational
+from veldt.plans import aggregates, relational, retrieval, texts
 
-REGISTRIES = (relational.R, aggregates.R)
+REGISTRIES = (relational.R, aggregates.R, retrieval.R, texts.R)
 
 
 def queries() -> dict:
