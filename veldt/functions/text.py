@@ -44,13 +44,20 @@ SCRUB = (
 
 
 def scrub(text: Column, rules=SCRUB) -> tuple[Column, Column]:
-    """(text without personal details, kinds removed in the order of the rules, each once)."""
-    kinds, now = [], text
+    """(text without personal details, kinds removed in the order of the rules, each once).
+
+    The text goes from rule to rule as the variable of a lambda, so that no replacement is computed twice.
+    """
+    def replaced(pattern: str, note: str):
+        return lambda s: F.struct(F.regexp_replace(s["t"], pattern, note).alias("a"), s["t"].alias("t"), s["k"].alias("k"))
+
+    def noted(kind: str):
+        return lambda s: F.struct(s["a"].alias("t"), F.when(s["a"] != s["t"], F.array_append(s["k"], F.lit(kind))).otherwise(s["k"]).alias("k"))
+
+    state = F.array(F.struct(text.alias("t"), F.array().cast("array<string>").alias("k")))
     for kind, note, pattern in rules:
-        after = F.regexp_replace(now, pattern, note)
-        kinds.append(F.when(after != now, F.lit(kind)))
-        now = after
-    return now, F.array_distinct(F.array_compact(F.array(*kinds)))
+        state = F.transform(F.transform(state, replaced(pattern, note)), noted(kind))
+    return state[0]["t"], F.array_distinct(state[0]["k"])
 
 
 def script_counts(text: Column) -> dict[str, Column]:

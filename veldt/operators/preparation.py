@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from veldt.operators.ordering import running_totals
 
 
+#: Rows of small groups that one call of Python gets together.
+SLOT_ROWS = 4096
+
+
 def scratch(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of this machine only where the session names none."""
     return (spark.conf.get("spark.checkpoint.dir", "") or "/tmp/checkpoints").rstrip("/")
@@ -84,24 +88,32 @@ def suppress(df: DataFrame, group: str, start: str, end: str, score: str, key: s
     reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     runs = df.withColumn("__new", F.when(reach.isNull() | (F.col(start) >= reach), 1).otherwise(0))
     runs = runs.withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+    slots = max(1, -(-df.count() // SLOT_ROWS))
+    runs = runs.withColumn("__slot", F.pmod(F.xxhash64(group, "__run"), F.lit(slots)))
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([score, key], ascending=[False, True])
         kept: list[int] = []
-        for i, (a, b) in enumerate(zip(pdf[start], pdf[end])):
-            if all(b <= pdf[start].iat[j] or a >= pdf[end].iat[j] for j in kept):
+        taken: dict[tuple, list[tuple]] = {}
+        for i, row in enumerate(zip(pdf[group], pdf["__run"], pdf[start], pdf[end])):
+            own = taken.setdefault(row[:2], [])
+            if all(row[3] <= a or row[2] >= b for a, b in own):
                 kept.append(i)
-        return pdf.iloc[kept].drop(columns="__run")
+                own.append(row[2:])
+        return pdf.iloc[kept].drop(columns=["__run", "__slot"])
 
-    return runs.groupBy(group, "__run").applyInPandas(greedy, df.schema)
+    return runs.groupBy("__slot").applyInPandas(greedy, df.schema)
 
 
 def shingles(df: DataFrame, key: str, text: str, words: int = 5) -> DataFrame:
     """Rows (key, tokens): the distinct hashed word runs of each text; texts with fewer words have one."""
-    w = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+", " ")), " ")
-    n = F.greatest(F.size(w) - F.lit(words - 1), F.lit(1))
-    runs = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.array_join(F.slice(w, i, words), " ")))
-    return df.select(F.col(key).alias("key"), F.array_distinct(runs).alias("tokens"))
+    split = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+", " ")), " ")
+    # as a variable of a lambda the words are split once and not for each run
+    runs = F.transform(
+        F.array(split),
+        lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - F.lit(words - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, words), " "))),
+    )
+    return df.select(F.col(key).alias("key"), F.array_distinct(runs[0]).alias("tokens"))
 
 
 def near_duplicates(df: DataFrame, key: str, text: str, least: float = 0.8, words: int = 5) -> DataFrame:
