@@ -1,0 +1,149 @@
+"""Encoding, decoding and packing against the tokenizers library; main texts of pages; the pipeline."""
+
+import hashlib
+import html
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tests.llm.common import DOCS, documents, prose
+from veldt.llm import bpe_codec, html_text, packing
+
+ODD = [None, "", " \n\t", "It's ONE test!!! I'LL we're", "İ% İ- ß ſ ÀÉ×÷ñ", "<|endoftext|> a<|startoftext|>b", "é a b　c 中文 ☃ 12½", "x" * 5000, "a_b|c{d}~"]
+
+
+@pytest.fixture(scope="module")
+def tok():
+    return bpe_codec.tokenizer(bpe_codec.default_tokenizer())
+
+
+def test_round_trip_is_the_library(spark, tok):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()
+    texts = [*ODD, *(r["text"] for r in rows), "the same words", "the same words"]
+    df = documents(spark, texts).withColumn("ids", F.lit("clash"))
+    for r in bpe_codec.round_trip(df).collect():
+        ids = tok.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids
+        assert r["n_tokens"] == len(ids)
+        assert r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    both = bpe_codec.decode(bpe_codec.encode(df)).select("doc_id", "ids", "decoded").collect()
+    assert all(list(r["ids"]) == tok.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids for r in both)
+    assert all(r["decoded"] == tok.decode(r["ids"], skip_special_tokens=False) for r in both)
+    assert bpe_codec.round_trip(df.limit(0)).count() == 0
+
+
+def test_small_word_table_gives_the_same(tok, monkeypatch):
+    for name, value in {"KEPT_WORDS": 30, "KEPT_PARTS": 20, "PARTS_AT_ONCE": 7, "LONG_WORDS": 25, "BYTES_AT_ONCE": 300}.items():
+        monkeypatch.setattr(bpe_codec, name, value)
+    texts = [x or "" for x in ODD] + [prose(k, 200) for k in range(10)]
+    table = bpe_codec.WordTable(bpe_codec.default_tokenizer(), {})
+    for t, ids in zip(texts, table.encode_all([t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
+def test_first_fit_decreasing_is_the_plain_one():
+    r = np.random.default_rng(3)
+    for n in (0, 1, 7, 200):
+        lengths = r.integers(1, 101, n)
+        bins, offsets = packing.first_fit_decreasing(lengths, 100)
+        room, used = [], {}
+        for i in sorted(range(n), key=lambda i: (-lengths[i], i)):
+            b = next((k for k, free in enumerate(room) if free >= lengths[i]), len(room))
+            if b == len(room):
+                room.append(100)
+            used[i] = (b, 100 - room[b])
+            room[b] -= lengths[i]
+        assert [(int(b), int(o)) for b, o in zip(bins, offsets)] == [used[i] for i in range(n)]
+
+
+def test_packing_covers_every_id_once(spark, tok):
+    texts = [*ODD, *(prose(k, 300 * (k % 9)) for k in range(60)), prose(99, 12000), "same", "same"]
+    rows = packing.pack(documents(spark, texts).withColumn("start", F.lit("clash")), group_docs=20).collect()
+    by_doc, by_seq = {}, {}
+    for r in rows:
+        by_doc.setdefault(r["doc_id"], []).append(r)
+        by_seq.setdefault(r["sequence_id"], []).append(r)
+    assert set(by_doc) == set(range(len(texts)))
+    for k, parts in by_doc.items():
+        ids = np.array([*tok.encode(texts[k] or "", add_special_tokens=False).ids, 2], "<u4")
+        at = 0
+        for p in sorted(parts, key=lambda p: p["start"]):
+            assert p["start"] == at and p["doc_tokens"] == len(ids)
+            assert p["ids_crc32"] == zlib.crc32(ids[at : at + p["length"]].tobytes())
+            at += p["length"]
+        assert at == len(ids)
+    for parts in by_seq.values():
+        at = 0
+        for p in sorted(parts, key=lambda p: p["offset"]):
+            assert p["offset"] == at
+            at += p["length"]
+        assert at <= packing.CAPACITY
+    assert packing.pack(documents(spark, []).limit(0)).count() == 0
+
+
+@pytest.fixture(scope="module")
+def net():
+    return html_text.train()
+
+
+def test_made_pages_that_training_has_not_seen(net):
+    made = html_text.made_pages(200, 12345)
+    scores = np.concatenate(net.scores([b for b, _ in made]))
+    truth = np.concatenate([y for _, y in made])
+    assert ((scores > 0) == (truth > 0)).mean() >= 0.98
+
+
+def test_main_text_of_pages(spark, net):
+    rows = html_text.extract(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"), net).collect()
+    good = 0
+    for r in rows:
+        m = re.search(r"<article>(.*?)(?:</article>|<footer>|\Z)", r["html"], re.S)
+        good += r["text"] == " ".join(html.unescape(re.sub("<[^>]+>", " ", re.sub("</?b>", "", m[1]))).split())
+    assert good >= 0.98 * len(rows)
+
+
+def test_other_layouts(spark, net):
+    page = """<html><body class="x"><div class="cookie-notice"><p>We use cookies</p></div><header><a href="/">Site</a></header><div class="menu"><ul><li><a href="/a">Home</a></li></ul></div>
+    <div class="content"><h1>A title</h1><p>First&nbsp;part of &lt;it&gt; is a text<br>with   more words here.</p><p>Second paragraph, which goes on for some time and then ends.</p></div>
+    <aside><p>Related</p></aside><form><label>Name</label></form><section class="comments"><div class="comment"><p>I liked this one a lot.</p></div></section><footer>(c) 2024</footer></body></html>"""
+    df = spark.createDataFrame([(1, "u", page), (2, None, None), (3, "u", ""), (3, "u", "")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    found = {r["page_id"]: r["text"] for r in html_text.extract(df, net).collect()}
+    assert found == {1: "A title First part of <it> is a text with more words here. Second paragraph, which goes on for some time and then ends.", 2: "", 3: ""}
+    assert html_text.extract(df.limit(0), net).count() == 0
+
+
+@pytest.mark.parametrize("page", ["<", "<a", "<p", "a < b", "<!--", "<script>x", "</p></p>", "<p class='x", "<div " * 200, "&#0;&bogus;", "<p>" * 3000])
+def test_broken_pages(net, page):
+    net.scores([html_text.blocks_of(page)])
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("lang = 'en'").limit(60).collect()]
+    rows = [(k, t, "en", "s", len(t)) for k, t in enumerate(texts)] + [(900, None, "en", "s", 0), (901, "12 34", "en", None, 5), (902, texts[3] + " password=abc123x", "en", "s", 9), (903, texts[7], "en", "s", 0)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["language_id", "line_dedup", "simhash_near_dedup", "secret_scan", "packing"]
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        if name != "packing":
+            assert out.dtypes == docs.dtypes
+        out.write.parquet(f"{tmp_path}/{k}")
+        now = spark.read.parquet(f"{tmp_path}/{k}")
+        if name == "language_id":
+            assert {r["doc_id"] for r in docs.select("doc_id").subtract(now.select("doc_id")).collect()} >= {900, 901}
+        if name in ("line_dedup", "secret_scan"):
+            assert now.count() == docs.count()
+        if name == "simhash_near_dedup":
+            assert 903 not in {r["doc_id"] for r in now.collect()} and 7 in {r["doc_id"] for r in now.collect()}
+        if name == "secret_scan":
+            assert now.where(F.col("text").contains("abc123x")).count() == 0
+        if name == "packing":
+            assert {r["doc_id"] for r in now.collect()} == {r["doc_id"] for r in docs.collect()}
+        docs = now
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
