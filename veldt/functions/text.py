@@ -268,3 +268,69 @@ def html_lines(page: Column) -> Column:
     level = lambda x: F.coalesce(F.try_to_number(F.regexp_extract(x, r"(?i)^<h([1-6])", 1), F.lit("9")), F.lit(0)).cast("int")
     lines = F.transform(parts, lambda x: F.struct(level(x).alias("level"), collapse(F.regexp_replace(x, r"^<[^>]*>", "")).alias("text")))
     return F.filter(lines, lambda x: x["text"] != "")
+
+
+def joined_lines(lines: Column) -> Column:
+    """One paragraph of an array of lines: a hyphen at a line's end joins two lower-case parts, otherwise a blank does."""
+    return F.aggregate(
+        lines,
+        F.lit(""),
+        lambda s, x: F.when(s == "", x)
+        .when(s.rlike(r"\p{Ll}-$") & x.rlike(r"^\p{Ll}"), F.concat(F.regexp_replace(s, "-$", ""), x))
+        .otherwise(F.concat(s, F.lit(" "), x)),
+    )
+
+
+def labelled_row(headers: Column, cells: Column) -> Column:
+    """``header: value | header: value`` of two parallel arrays; empty and null cells are left out."""
+    parts = F.zip_with(headers, cells, lambda h, c: F.when(F.coalesce(F.trim(c), F.lit("")) != "", F.concat(h, F.lit(": "), F.trim(c))))
+    return F.array_join(F.array_compact(parts), " | ")
+
+
+def references(text: Column, label: str) -> Column:
+    """Numbers of references such as ``Figure 3`` in a text, in order of their first place, each once."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(rf"(?i)\b{label}\s+(\d+)"), F.lit(1)), lambda x: x.cast("int")))
+
+
+def answer_problem(answer: Column, headings: list[str]) -> Column:
+    """The first problem of a structured answer, or null: each heading once and in order on a line of its own, other lines start with ``- ``."""
+    lines = F.filter(F.transform(F.split(answer, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    heads = F.filter(lines, lambda x: ~x.startswith("- "))
+    want = F.array(*[F.lit(h) for h in headings])
+    unknown = F.filter(heads, lambda x: ~F.array_contains(want, x))
+    return (
+        F.when(F.size(unknown) > 0, F.concat(F.lit("unexpected line: "), unknown[0]))
+        .when(F.size(F.array_distinct(heads)) != F.size(heads), "heading twice")
+        .when(heads != F.filter(want, lambda h: F.array_contains(heads, h)), "headings out of order")
+        .when(F.size(heads) != len(headings), "heading missing")
+    )
+
+
+@pandas_udf(T.StructType([T.StructField("only_a", T.ArrayType(T.StringType())), T.StructField("only_b", T.ArrayType(T.StringType()))]))
+def word_difference(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """Words of either text that are not in their longest common subsequence; null counts as empty."""
+
+    def one(x, y) -> tuple[list[str], list[str]]:
+        p, q = (re.findall(r"\w+", t.lower()) if isinstance(t, str) else [] for t in (x, y))
+        while p and q and p[0] == q[0]:  # common ends need no table
+            p, q = p[1:], q[1:]
+        while p and q and p[-1] == q[-1]:
+            p, q = p[:-1], q[:-1]
+        size = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
+        for i in range(len(p) - 1, -1, -1):
+            for j in range(len(q) - 1, -1, -1):
+                size[i][j] = size[i + 1][j + 1] + 1 if p[i] == q[j] else max(size[i + 1][j], size[i][j + 1])
+        i = j = 0
+        left, right = [], []
+        while i < len(p) or j < len(q):
+            if i < len(p) and j < len(q) and p[i] == q[j]:
+                i, j = i + 1, j + 1
+            elif j == len(q) or (i < len(p) and size[i + 1][j] >= size[i][j + 1]):
+                left.append(p[i])
+                i += 1
+            else:
+                right.append(q[j])
+                j += 1
+        return left, right
+
+    return pd.DataFrame([one(x, y) for x, y in zip(a, b)], columns=["only_a", "only_b"])

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from veldt.plans import aggregates, events, preparation, relational, retrieval, texts
+from veldt.plans import aggregates, events, identities, preparation, relational, retrieval, texts
 
-REGISTRIES = (relational.R, aggregates.R, retrieval.R, texts.R, events.R, preparation.R)
+REGISTRIES = (relational.R, aggregates.R, retrieval.R, texts.R, events.R, preparation.R, identities.R)
 
 
 def queries() -> dict:
