@@ -19,8 +19,11 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +36,12 @@ from veldt.llm.common import stored
 HOT_WORDS = 1_000_000
 HOT_BYTES = 64
 KEPT_WORDS = 300_000
+KEPT_PARTS = 400_000
+PARTS_AT_ONCE = 2000
+LONG_WORDS = 150_000
+BYTES_AT_ONCE = 1_000_000
+#: How the tokenizer marks a piece that ends a word.
+WORD_END = "</w>"
 COUNTED_WORDS = 200_000
 RARE = 8
 
@@ -60,31 +69,93 @@ def tokenizer(path: str):
     return _loaded[path]
 
 
+#: Latin letters up to U+024F (without U+0130, which lowers to a letter and a mark), then ASCII signs other than digits, apostrophe and less-than: the tokenizer always splits there,
+#: lowers the letters, and knows no special token with these signs alone.
+LETTERS_SIGNS = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:;=-@\[-`{-~]*)")
+
+
 class WordTable:
-    """Word bytes to id bytes (little-endian unsigned 32-bit); words that lack are encoded and kept up to a bound."""
+    """Word bytes to id bytes (little-endian unsigned 32-bit); words that lack are encoded and kept up to a bound.
+
+    A word of letters and then signs is put together from the ids of its lowered letters and of its signs, which
+    many words share; every other word goes to the tokenizer whole.
+    """
 
     def __init__(self, path: str, fixed: dict[bytes, bytes]):
         # a plain dict: set.difference looks words up in it and would walk through a subclass
         self.tok, self.fixed, self.ids = tokenizer(path), fixed, dict(fixed)
+        self.parts: dict[str, bytes] = {"": b""}
+        size = self.tok.get_vocab_size(with_added_tokens=True)
+        self.ends = np.array([(self.tok.id_to_token(i) or "").endswith(WORD_END) for i in range(size)])
 
-    def learn(self, words: Iterable[bytes]) -> bool:
-        """Add words; True if the table was emptied to the fixed part before, to keep its bound."""
+    def learn(self, words: Iterable[bytes]) -> None:
+        """Add words. The table is emptied to the fixed part before if it would pass its bound."""
         words = list(words)
-        full = len(self.ids) + len(words) > len(self.fixed) + KEPT_WORDS
-        if full:
+        if len(self.ids) + len(words) > len(self.fixed) + KEPT_WORDS:
             self.ids = dict(self.fixed)
-        done = self.tok.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        self.ids.update(zip(words, (np.array(e.ids, dtype="<u4").tobytes() for e in done)))
-        return full
+        if len(self.parts) + len(words) > KEPT_PARTS:
+            self.parts = {"": b""}
+        whole, pairs = [], []
+        texts = b" ".join(words).decode().split(" ") if words else []
+        for w, t, m in zip(words, texts, map(LETTERS_SIGNS.fullmatch, texts)):
+            if m:
+                pairs.append((w, m[1].lower(), m[2]))
+            else:
+                whole.append((w, t))
+        parts = self.parts
+        self._learn_parts(list({a for _, a, _ in pairs}.difference(parts) | {b for _, _, b in pairs}.difference(parts)))
+        self.ids.update([(w, parts[a] + parts[b]) for w, a, b in pairs])
+        self.ids.update(zip([w for w, _ in whole], self._each([t for _, t in whole])))
+
+    def _each(self, texts: list[str]) -> Iterator[bytes]:
+        done = self.tok.encode_batch_fast(texts, add_special_tokens=False)
+        return (array("I", e.ids).tobytes() for e in done)
+
+    def _learn_parts(self, lacking: list[str]) -> None:
+        """Parts are encoded as one text with blanks between: the last piece of each part has the sign of a word's end."""
+        for at in range(0, len(lacking), PARTS_AT_ONCE):
+            some = lacking[at : at + PARTS_AT_ONCE]
+            ids = np.array(self.tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(ends) != len(some):  # a part that is more than one word to the tokenizer
+                self.parts.update(zip(some, self._each(some)))
+                continue
+            flat = ids.tobytes()
+            self.parts.update(zip(some, [flat[a:b] for a, b in zip([0, *ends], ends)]))
+
+    def encode_all(self, texts: list[bytes]) -> Iterator[bytes]:
+        """The ids of each text; texts are split and their new words encoded together, about BYTES_AT_ONCE at a time."""
+        part, total = [], 0
+        for t in texts:
+            part.append(t)
+            total += len(t)
+            if total >= BYTES_AT_ONCE:
+                yield from self._encode(part)
+                part, total = [], 0
+        yield from self._encode(part)
 
     def encode(self, text: bytes) -> bytes:
-        words = text.split()
-        if len(words) > 1_000_000:  # a very long text goes in pieces of whole words, to bound the table
-            return b"".join(self.encode(b" ".join(words[i : i + 1_000_000])) for i in range(0, len(words), 1_000_000))
-        lacking = set(words).difference(self.ids)
-        if lacking and self.learn(lacking):
-            self.learn(set(words).difference(self.ids))
-        return b"".join(map(self.ids.__getitem__, words))
+        return next(self._encode([text]))
+
+    def _encode(self, texts: list[bytes]) -> Iterator[bytes]:
+        split = [t.split() for t in texts]
+        if max(map(len, split), default=0) <= LONG_WORDS:
+            yield from self._joined(split)
+            return
+        for words in split:  # a very long text goes in runs of whole words, to bound the table
+            yield b"".join(x for at in range(0, len(words), LONG_WORDS) for x in self._joined([words[at : at + LONG_WORDS]]))
+
+    def _joined(self, split: list[list[bytes]]) -> Iterator[bytes]:
+        lacking = set(filterfalse(self.ids.__contains__, chain.from_iterable(split)))
+        if lacking:
+            before = self.ids
+            self.learn(lacking)
+            if self.ids is not before:  # emptied: words that it had are to be learned again
+                lacking = set(filterfalse(self.ids.__contains__, chain.from_iterable(split)))
+                self.learn(lacking)
+        get = self.ids.__getitem__
+        for words in split:
+            yield b"".join(map(get, words))
 
 
 def word_table(path: str, key: str, fixed: dict[bytes, bytes]) -> WordTable:
@@ -166,7 +237,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = word_table(path, name, fixed.value)
         for rows in slices(batches):
-            found = [table.encode(t) for t in texts_of(rows.column(rows.num_columns - 1))]
+            found = list(table.encode_all(texts_of(rows.column(rows.num_columns - 1))))
             ends = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
             flat = pa.array(np.frombuffer(b"".join(found), dtype="<i4"))
             yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), flat)], [*keep, ids])
@@ -226,8 +297,7 @@ def round_trip(docs: DataFrame, path: str | None = None, key: str = "doc_id", te
         table, by_id = word_table(path, name, fixed.value), pieces(path)
         for rows in slices(batches):
             n, shas, decoded = [], [], []
-            for t in texts_of(rows.column(1)):
-                ids = table.encode(t)
+            for ids in table.encode_all(texts_of(rows.column(1))):
                 n.append(len(ids) // 4)
                 shas.append(hashlib.sha256(ids).hexdigest())
                 decoded.append(hashlib.sha256(join_pieces(by_id, np.frombuffer(ids, dtype="<u4")).encode()).hexdigest())

@@ -79,8 +79,8 @@ def cut(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str
         step = 4 * capacity
         for rows in slices(batches):
             at, found = [], []
-            for i, t in enumerate(texts_of(rows.column(2))):
-                ids = table.encode(t) + end
+            for i, ids in enumerate(table.encode_all(texts_of(rows.column(2)))):
+                ids += end
                 for start in range(0, len(ids), step):
                     piece = ids[start : start + step]
                     at.append(i)
