@@ -43,7 +43,8 @@ SELECT n AS n_values, l[greatest(1, least(n, round_even(0.5 * n + 0.5, 0)::BIGIN
 """)
 def _(t):
     first = lambda s: F.min(F.when(F.col("event_type") == s, F.unix_micros(F.col("ts").cast("timestamp"))))
-    per = t("events").groupBy("user_id").agg(F.floor((first("purchase") - first("view")) / 1000).alias("ms"))
+    # whole milliseconds, cut towards zero
+    per = t("events").groupBy("user_id").agg((first("purchase") - first("view")).alias("us")).select("user_id", F.expr("us div 1000").alias("ms"))
     return stats.percentiles(per, [], "ms", {"p50": 0.5, "p95": 0.95}).drop("p50_linear", "p95_linear")
 
 
