@@ -31,6 +31,9 @@ SCRIPT_SHARE = 0.005
 FOLDS = 5
 UNKNOWN = "und"
 KEPT_WORDS = 300_000
+WORDS_AT_ONCE = 20_000
+#: Texts are split and their new words scored together, up to so many letters.
+LETTERS_AT_ONCE = 2_000_000
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -123,18 +126,25 @@ def best_path(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     before = np.vstack([np.zeros((1, k)), gain[:-1]])
     if (gain - np.minimum.accumulate(before, axis=0)).max() <= switch:
         return np.full(n, base)
-    back = np.zeros((n, k), np.int64)
-    own, value = np.arange(k), scores[0].copy()
-    for t in range(1, n):
-        best = int(value.argmax())
-        stay = value >= value[best] - switch
-        back[t] = np.where(stay, own, best)
-        value = np.where(stay, value, value[best] - switch) + scores[t]
-    path = np.zeros(n, np.int64)
-    path[-1] = value.argmax()
-    for t in range(n - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
-    return path
+    # a few labels: plain lists are faster than arrays here
+    rows = scores.tolist()
+    value, back = rows[0], []
+    for row in rows[1:]:
+        top = max(value)
+        floor = top - switch
+        if min(value) >= floor:
+            back.append(None)
+            value = [v + x for v, x in zip(value, row)]
+        else:
+            back.append((value.index(top), [v < floor for v in value]))
+            value = [(v if v >= floor else floor) + x for v, x in zip(value, row)]
+    now = value.index(max(value))
+    path = [now]
+    for step in reversed(back):
+        if step is not None and step[1][now]:
+            now = step[0]
+        path.append(now)
+    return np.array(path[::-1], np.int64)
 
 
 def held_out(key: str):
@@ -201,38 +211,74 @@ class Labeller:
     """Labels texts; keeps the scores of words it has met, up to a bound."""
 
     def __init__(self, model: Model):
-        self.model, self.row, self.scores = model, {}, np.zeros((0, len(model.langs)))
+        self.model, self.row, self.scores = model, {}, np.zeros((1024, len(model.langs)))
 
     def spans(self, text: str | None) -> list[tuple[int, int, str]]:
         """(start, end, language) in code points: stretches of words with one label, from the first letter to the last."""
         found = list(WORD.finditer(text or ""))
         if not found or not self.model.langs:
             return []
-        path = best_path(self._of([m.group().lower() for m in found]))
+        words = [m.group().lower() for m in found]
+        self.learn([words])
+        path = best_path(self._of(words))
         edges = np.flatnonzero(np.concatenate(([True], path[1:] != path[:-1]))).tolist()
         return [(found[a].start(), found[b - 1].end(), self.model.langs[path[a]]) for a, b in zip(edges, [*edges[1:], len(found)])]
 
-    def label(self, text: str | None) -> tuple[str, float]:
-        """(language, score): the language with most letters and their share of all letters; ties go to the first name."""
-        words = WORD.findall((text or "").lower())
-        if not words or not self.model.langs:
+    def labels(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """(language, score) of each text: the language with most letters and their share of all letters; ties go to the first name."""
+        split = [WORD.findall((t or "").lower()) for t in texts]
+        self.learn(split)
+        return [self._label(words) for words in split]
+
+    def _label(self, words: list[str]) -> tuple[str, float]:
+        # \w also holds numbers such as one half, which are no letters
+        if not self.model.langs or not any(c.isalpha() for w in words for c in w):
             return UNKNOWN, 0.0
         path = best_path(self._of(words))
+        first = int(path[0])
+        if (path == first).all():
+            return self.model.langs[first], 1.0
         letters = np.bincount(path, weights=np.fromiter(map(len, words), float, len(words)), minlength=len(self.model.langs))
         best = int(letters.argmax())
         return self.model.langs[best], float(letters[best] / letters.sum())
 
+    def learn(self, split: list[list[str]]) -> None:
+        """Score the words that are not kept yet, together. The table starts anew where it would pass its bound."""
+        if not self.model.langs:
+            return
+        words = set().union(*split)
+        new = list(words.difference(self.row))
+        if not new:
+            return
+        if len(self.row) + len(new) > KEPT_WORDS:
+            self.row, new = {}, list(words)
+        n = len(self.row)
+        if n + len(new) > len(self.scores):
+            grown = np.zeros((2 * (n + len(new)), self.scores.shape[1]))
+            grown[:n] = self.scores[:n]
+            self.scores = grown
+        self.row.update(zip(new, range(n, n + len(new))))
+        for at in range(0, len(new), WORDS_AT_ONCE):
+            part = new[at : at + WORDS_AT_ONCE]
+            self.scores[n + at : n + at + len(part)] = self.model.score(part)
+
     def _of(self, words: list[str]) -> np.ndarray:
-        new = list(set(words).difference(self.row))
-        if new:
-            if len(self.row) + len(new) > KEPT_WORDS:
-                self.row, self.scores = {}, self.scores[:0]
-                new = list(set(words))
-            self.row.update(zip(new, range(len(self.scores), len(self.scores) + len(new))))
-            self.scores = np.vstack([self.scores, self.model.score(new)])
         return self.scores[np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))]
 
 
+def in_parts(texts: list[str | None], size: int) -> Iterator[list[str | None]]:
+    """``texts`` in order, in parts of about ``size`` letters; a longer text is a part of its own."""
+    part, total = [], 0
+    for t in texts:
+        part.append(t)
+        total += len(t or "")
+        if total >= size:
+            yield part
+            part, total = [], 0
+    if part:
+        yield part
+
+
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred (string) and score (double, 0 to 1) added; columns of these names are replaced.
 
@@ -245,7 +291,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(shared.value)
         for batch in batches:
-            found = [labeller.label(t.as_py()) for t in batch.column(batch.num_columns - 1)]
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            found = [x for part in in_parts(texts, LETTERS_AT_ONCE) for x in labeller.labels(part)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], [*keep, "lang_pred", "score"]
             )
