@@ -21,7 +21,11 @@ from pyspark.sql import functions as F
 from veldt.llm.common import scratch, stored
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: How the state is kept: in RocksDB, which is not to set 4 MB of disk aside for each of many small stores.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 FILES_PER_BATCH = 10_000
 #: Copies of one text are compared in so many parts first.
 SALTS = 16
@@ -69,13 +73,15 @@ def groups_of_stream(
     def emit(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{home}/rows/batch={number}")
 
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {name: spark.conf.get(name, None) for name in STATE_SETTINGS}
+    for name, value in STATE_SETTINGS.items():
+        spark.conf.set(name, value)
     try:
         query = state.writeStream.outputMode("update").option("checkpointLocation", f"{home}/state").foreachBatch(emit).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+        for name, value in before.items():
+            spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
     rows = spark.read.schema(state.schema).parquet(f"{home}/rows")
     # the state only grows: of a digest's emitted rows the one with the largest count is the last
     return rows.groupBy("digest").agg(F.max_by("kept", "seen").alias("kept"), F.max("seen").alias("seen"))
