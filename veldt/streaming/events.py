@@ -12,7 +12,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from veldt.operators.preparation import scratch
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State lives in RocksDB, which is not to set disk aside for each of many small stores.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def file_stream(spark: SparkSession, path: str, schema: str | None = None, files_per_batch: int = 1) -> DataFrame:
@@ -36,13 +40,14 @@ def run_to_end(stream: DataFrame, mode: str, emit: Callable[[DataFrame, int], No
             emit(batch, number)
         batch.write.mode("overwrite").parquet(f"{home}/rows/batch={number}")
 
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, ROCKSDB)
+    before = {name: spark.conf.get(name, None) for name in STATE_SETTINGS}
+    for name, value in STATE_SETTINGS.items():
+        spark.conf.set(name, value)
     try:
         stream.writeStream.outputMode(mode).option("checkpointLocation", f"{home}/state").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
     finally:
-        spark.conf.set(key, before) if before else spark.conf.unset(key)
+        for name, value in before.items():
+            spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
     return spark.read.option("basePath", f"{home}/rows").parquet(f"{home}/rows")
 
 
