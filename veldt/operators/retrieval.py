@@ -60,18 +60,25 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9]+)"))
 
 
-def lexical_topk(corpus: DataFrame, queries: DataFrame, key: str, query: str, text: str, query_text: str, k: int) -> DataFrame:
-    """Rows (query, key, hits, rank): the ``k`` documents with most positions that match any word of the query, ties by key.
+def lexical_hits(corpus: DataFrame, queries: DataFrame, key: str, query: str, text: str, query_text: str) -> DataFrame:
+    """Rows (query, key, hits): for each document that has a word of the query, the positions that match any of its words.
 
-    Documents are counted word by word once; only words that some query has go on. Each task adds up its own part and cuts
-    to the best before rows meet by query.
+    Documents are counted word by word once; only words that some query has go on, each once a query. Each task adds up its
+    own part before rows meet by query and document.
     """
     asked = queries.select(F.col(query).alias("q"), F.explode(F.array_distinct(terms(F.col(query_text)))).alias("term"))
     words = corpus.select(F.col(key).alias("c"), F.explode(terms(F.col(text))).alias("term")).groupBy("c", "term").agg(F.count(F.lit(1)).alias("n"))
-    hits = words.join(asked, "term").groupBy("q", "c").agg(F.sum("n").alias("hits"))
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.col("hits").desc(), F.col("c")))
-    out = hits.withColumn("rank", rank).where(F.col("rank") <= k)
-    return out.select(F.col("q").alias(query), F.col("c").alias(key), "hits", "rank")
+    return words.join(asked, "term").groupBy(F.col("q").alias(query), F.col("c").alias(key)).agg(F.sum("n").alias("hits"))
+
+
+def lexical_ranks(hits: DataFrame, key: str, query: str) -> DataFrame:
+    """``hits`` with ``rank``: by hits, ties by key, without a cut."""
+    return hits.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.col("hits").desc(), F.col(key))))
+
+
+def lexical_topk(corpus: DataFrame, queries: DataFrame, key: str, query: str, text: str, query_text: str, k: int) -> DataFrame:
+    """Rows (query, key, hits, rank): the ``k`` documents with most positions that match any word of the query, ties by key."""
+    return lexical_ranks(lexical_hits(corpus, queries, key, query, text, query_text), key, query).where(F.col("rank") <= k)
 
 
 def fuse(dense: DataFrame, lexical: DataFrame, query: str, key: str, k: int, constant: int = RRF) -> DataFrame:

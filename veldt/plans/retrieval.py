@@ -1,4 +1,7 @@
-"""Queries of hybrid retrieval. Queries are the rows whose id is divisible by 100; they run against all rows."""
+"""Queries of hybrid retrieval. Queries are the rows whose id is divisible by 100; they run against all rows.
+
+The lexical queries with a SQL twin search with the first line of each query document; those named ``_whole`` with every word of it.
+"""
 
 from __future__ import annotations
 
@@ -22,6 +25,10 @@ def asked_text(t):
     return t("documents").where(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("query_id"), F.substring_index("text", "\n", 1).alias("q"))
 
 
+def asked_whole(t):
+    return t("documents").where(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("query_id"), F.col("text").alias("q"))
+
+
 DENSE = f"""
 d AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS cosine FROM embeddings q, embeddings e WHERE q.vec_id % {EVERY} = 0),
 dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, doc_id) AS rank FROM d)
@@ -66,6 +73,11 @@ def _(t):
     return retrieval.lexical_topk(t("documents"), asked_text(t), "doc_id", "query_id", "text", "q", K).withColumn("rank", F.col("rank").cast("long"))
 
 
+@R.query("lexical_topk_whole")
+def _(t):
+    return retrieval.lexical_topk(t("documents"), asked_whole(t), "doc_id", "query_id", "text", "q", K).withColumn("rank", F.col("rank").cast("long"))
+
+
 @R.query("hybrid_fusion", f"WITH {DENSE}, {LEX}, {FUSED} SELECT query_id, doc_id, dense_rank, lexical_rank, rank FROM fr WHERE rank <= {K}")
 def _(t):
     return hybrid(t).select("query_id", "doc_id", *[F.col(c).cast("long").alias(c) for c in ("dense_rank", "lexical_rank", "rank")])
@@ -102,20 +114,38 @@ def _(t):
     return retrieval.next_best(retrieval.refusals(gated(t)))
 
 
-@R.query("gated_search", f"WITH {LEX}, {GATED}, r AS (SELECT x.*, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, x.doc_id) AS rn FROM x JOIN g ON g.doc_id = x.doc_id WHERE len(missing) = 0) SELECT query_id, doc_id, hits, rn AS rank FROM r WHERE rn <= 5")
-def _(t):
+def gated_search(t, queries):
     # the pool is gated first, then ranked
     pool = t("documents").join(gated(t).where("admissible").select("doc_id"), "doc_id", "left_semi")
-    return retrieval.lexical_topk(pool, asked_text(t), "doc_id", "query_id", "text", "q", 5).withColumn("rank", F.col("rank").cast("long"))
+    return retrieval.lexical_topk(pool, queries, "doc_id", "query_id", "text", "q", 5).withColumn("rank", F.col("rank").cast("long"))
 
 
-@R.query("withheld_matches", f"WITH {LEX}, {GATED} SELECT query_id, xr.doc_id, array_to_string(list_sort(missing), ',') AS missing FROM xr JOIN g ON g.doc_id = xr.doc_id WHERE rank <= 5 AND len(missing) > 0")
-def _(t):
+def withheld_matches(t, queries):
     # ranked over the whole pool first; what the gate then withholds is told
-    best = retrieval.lexical_topk(t("documents"), asked_text(t), "doc_id", "query_id", "text", "q", 5)
+    best = retrieval.lexical_topk(t("documents"), queries, "doc_id", "query_id", "text", "q", 5)
     return best.join(gated(t).where("NOT admissible"), "doc_id").select("query_id", "doc_id", F.array_join(F.array_sort("missing"), ",").alias("missing"))
 
 
+@R.query("gated_search", f"WITH {LEX}, {GATED}, r AS (SELECT x.*, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, x.doc_id) AS rn FROM x JOIN g ON g.doc_id = x.doc_id WHERE len(missing) = 0) SELECT query_id, doc_id, hits, rn AS rank FROM r WHERE rn <= 5")
+def _(t):
+    return gated_search(t, asked_text(t))
+
+
+@R.query("gated_search_whole")
+def _(t):
+    return gated_search(t, asked_whole(t))
+
+
+@R.query("withheld_matches", f"WITH {LEX}, {GATED} SELECT query_id, xr.doc_id, array_to_string(list_sort(missing), ',') AS missing FROM xr JOIN g ON g.doc_id = xr.doc_id WHERE rank <= 5 AND len(missing) > 0")
+def _(t):
+    return withheld_matches(t, asked_text(t))
+
+
+@R.query("withheld_matches_whole")
+def _(t):
+    return withheld_matches(t, asked_whole(t))
+
+
 def reranked(t):
     scores = t("labels").select("doc_id", (F.col("quality") - F.col("toxic") * 0.5).alias("score"))
     return retrieval.rerank(hybrid(t).where("rank <= 5").select("query_id", "doc_id", "rank"), scores, "query_id", "doc_id")
