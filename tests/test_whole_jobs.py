@@ -3,9 +3,11 @@
 import random
 import re
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 
+from veldt.operators import retrieval
 from veldt.plans import catalog
 
 
@@ -52,3 +54,43 @@ def test_lexical_search_uses_the_whole_query_text(spark, corpus):
     gated = {q: [x for x in found if not missing[x[0]]][:5] for q, found in order.items()}
     assert rows("gated_search_whole") == sorted((q, k, n, i + 1) for q, found in gated.items() for i, (k, n) in enumerate(found))
     assert rows("withheld_matches_whole") == sorted((q, k, ",".join(missing[k])) for q, found in order.items() for k, _ in found[:5] if missing[k])
+
+
+def fused_order(docs, vectors):
+    """{query: [(doc, dense rank, lexical rank), ...]}: the 20 best of the whole pool, both sides ranked without a cut."""
+    import numpy as np
+
+    v = np.array([x for _, x in vectors], np.float32).astype(float)
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    out = {}
+    for q, found in lexical_order(docs).items():
+        s = np.round(v @ v[q], 9)
+        dense = {int(k): i + 1 for i, k in enumerate(np.lexsort((np.arange(len(v)), -s)))}
+        lexical = {k: i + 1 for i, (k, _) in enumerate(found)}
+        one = lambda r: Fraction(1, 60 + r) if r else 0
+        best = sorted(dense.keys() | lexical.keys(), key=lambda k: (-(one(dense.get(k)) + one(lexical.get(k))), k))
+        out[q] = [(k, dense.get(k), lexical.get(k)) for k in best[:20]]
+    return out
+
+
+def test_fusion_knows_ranks_beyond_the_candidates(spark, corpus):
+    home, docs, vectors, labels = corpus
+    order = fused_order(docs, vectors)
+    rows = lambda name: sorted(map(tuple, catalog.queries()[name](spark, home).collect()))
+    assert any(max(d, x or 0) > 100 for found in order.values() for _, d, x in found)
+    assert rows("hybrid_fusion_whole") == sorted((q, k, d, x, i + 1) for q, found in order.items() for i, (k, d, x) in enumerate(found))
+    scores = {k: quality - toxic * 0.5 for k, quality, toxic in labels}
+    want = []
+    for q, found in order.items():
+        top = [k for k, _, _ in found[:5]]
+        done = all(k in scores for k in top)
+        want += [(q, k, done, i + 1) for i, k in enumerate(sorted(top, key=lambda k: -scores[k]) if done else top)]
+    assert rows("rerank_all_or_nothing_whole") == sorted(want)
+    lang = {k: x for k, _, x, _, _ in docs}
+    tags = {q: [k for s in ("en", "de", "fr", "es") for k in [k for k, _, _ in found if lang[k] == s][:5]] for q, found in order.items()}
+    assert rows("deliver_tags_whole") == sorted((q, k, lang[k], f"S{i + 1}") for q, found in tags.items() for i, k in enumerate(found))
+
+
+def test_fusion_with_too_few_candidates_raises(spark):
+    with pytest.raises(ValueError, match="depth"):
+        retrieval.fuse_whole(None, None, None, None, "q", "id", "v", 20, 99)

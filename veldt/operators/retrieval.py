@@ -9,17 +9,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veldt.operators.preparation import written
+
 RRF = 60
 BLOCK = 4096
 
 
-def _blocks(df: DataFrame, key: str, vector: str, name: str, rows: int) -> DataFrame:
-    """Rows (name, dim, ids, data): vectors of one length packed by a hash of their key, about ``rows`` in each."""
+def _blocks(df: DataFrame, key: str, vector: str, name: str, rows: int, more: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (name, dim, ids, data): vectors of one length packed by a hash of their key, about ``rows`` in each, with further columns ``more``."""
     n = max(1, -(-df.count() // rows))
     block = F.pmod(F.xxhash64(key), F.lit(n))
-    picked = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), block.alias("b"))
-    packed = picked.groupBy(F.size("v").alias("dim"), "b").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
-    return packed.select(F.col("b").alias(name), "dim", F.col("rows.id").alias(f"{name}_ids"), F.col("rows.v").alias(f"{name}_data"))
+    picked = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), block.alias("b"), *more)
+    packed = picked.groupBy(F.size("v").alias("dim"), "b").agg(F.collect_list(F.struct("id", "v", *more)).alias("rows"))
+    return packed.select(F.col("b").alias(name), "dim", F.col("rows.id").alias(f"{name}_ids"), F.col("rows.v").alias(f"{name}_data"), *[F.col(f"rows.{x}").alias(x) for x in more])
 
 
 def dense_topk(corpus: DataFrame, queries: DataFrame, key: str, query: str, vector: str, k: int, exclude_self: bool = False) -> DataFrame:
@@ -55,6 +57,50 @@ def dense_topk(corpus: DataFrame, queries: DataFrame, key: str, query: str, vect
     return out.select(F.col("q").alias(query), F.col("c").alias(key), "cosine", "rank")
 
 
+def dense_ranks(corpus: DataFrame, queries: DataFrame, picked: DataFrame, key: str, query: str, vector: str) -> DataFrame:
+    """Rows (query, key, rank): the rank by cosine among all of ``corpus`` that each pair (query, key) of ``picked`` has.
+
+    Order and rounding are those of ``dense_topk``; a pair without two vectors that compare has no row. A query has a page of
+    pairs. Their cosines are taken from the matrix products of all blocks; then each block counts how many of its rows go before each pair.
+    """
+    right = _blocks(corpus, key, vector, "c", BLOCK)
+    pair = picked.select(F.col(query).alias("__q"), F.col(key).alias("c")).where("__q IS NOT NULL AND c IS NOT NULL").distinct()
+
+    def products(wanted: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+        lists = wanted.groupBy("__q").agg(F.collect_list(F.struct(*columns)).alias("w")).select("__q", *[F.col(f"w.{x}").alias(f"w_{x}") for x in columns])
+        more = tuple(f"w_{x}" for x in columns)
+        left = _blocks(queries.join(lists, F.col(query) == F.col("__q")), query, vector, "q", 512, more)
+        return left.join(right, "dim").select("q_ids", "q_data", "c_ids", "c_data", *more)  # blocks, not rows
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                q, c, ci = np.vstack(row.q_data), np.vstack(row.c_data), np.asarray(row.c_ids, np.int64)
+                qn, cn = np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1)
+                c, ci = c[cn > 0] / cn[cn > 0, None], ci[cn > 0]
+                ok = np.flatnonzero(qn > 0)
+                for i, s in zip(ok, np.round((q[ok] / qn[ok, None]) @ c.T, 9)):
+                    yield (int(row.q_ids[i]), s, ci, *[np.asarray(w[i]) for w in row[4:]])
+
+    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for q, s, ci, c in each(batches):
+            at = np.flatnonzero(np.isin(ci, c))
+            yield pd.DataFrame({"__q": np.full(len(at), q), "c": ci[at], "cosine": s[at]})
+
+    def before(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for q, s, ci, c, cosine in each(batches):
+            order = np.lexsort((ci, -s))
+            low, ids = -s[order], ci[order]
+            a, b = np.searchsorted(low, -cosine, "left"), np.searchsorted(low, -cosine, "right")
+            n = [i + int(np.searchsorted(ids[i:j], k)) for i, j, k in zip(a, b, c)]
+            yield pd.DataFrame({"q": np.full(len(c), q), "c": c, "n": np.array(n, np.int64)})
+
+    # counted against cosines of one computation, so that the written table decides and not a second run
+    scored = written(products(pair, ("c",)).mapInPandas(own, "__q long, c long, cosine double"), "scored")
+    counted = products(scored, ("c", "cosine")).mapInPandas(before, "q long, c long, n long").groupBy("q", "c").agg((F.sum("n") + 1).alias("rank"))
+    return counted.select(F.col("q").alias(query), F.col("c").alias(key), "rank")
+
+
 def terms(text: Column) -> Column:
     """Words of a text: runs of letters a-z and digits after lower-casing; everything else separates."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9]+)"))
@@ -94,6 +140,20 @@ def fuse(dense: DataFrame, lexical: DataFrame, query: str, key: str, k: int, con
     return both.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def fuse_whole(dense: DataFrame, hits: DataFrame, corpus: DataFrame, queries: DataFrame, query: str, key: str, vector: str, k: int, depth: int) -> DataFrame:
+    """``fuse`` over the whole ranks of both sides; ``dense`` and ``hits`` are ``dense_topk`` of ``depth`` rows and ``lexical_hits``.
+
+    The best ``depth`` of each side only name the rows to fuse; each enters with its rank among all on both sides. With
+    2 / (RRF + depth + 1) < 1 / (RRF + k) no row beyond them on both sides is among the ``k`` best, as a side that has
+    more than ``depth`` rows has ``k`` of at least 1 / (RRF + k).
+    """
+    if 2 * (RRF + k) >= RRF + depth + 1:
+        raise ValueError("depth too small for k")
+    ranked = written(lexical_ranks(hits, key, query), "lexical")
+    picked = written(dense.select(query, key).unionByName(ranked.where(F.col("rank") <= depth).select(query, key)).distinct(), "picked")
+    return fuse(dense_ranks(corpus, queries, picked, key, query, vector), ranked.join(picked, [query, key], "left_semi"), query, key, k)
+
+
 def missing_fields(required: Column, observed: list[str], order: list[str]) -> Column:
     """Required fields that were not observed, in the order of ``order``; an empty requirement misses nothing."""
     return F.filter(F.array(*[F.lit(f) for f in order]), lambda f: F.array_contains(required, f) & ~f.isin(observed))

@@ -1,6 +1,7 @@
 """Queries of hybrid retrieval. Queries are the rows whose id is divisible by 100; they run against all rows.
 
 The lexical queries with a SQL twin search with the first line of each query document; those named ``_whole`` with every word of it.
+Fusion with a SQL twin knows ranks up to 100 only; that named ``_whole`` has all ranks of both sides.
 """
 
 from __future__ import annotations
@@ -53,6 +54,13 @@ def hybrid(t):
     return retrieval.fuse(dense, lexical, "query_id", "doc_id", K)
 
 
+def hybrid_whole(t):
+    corpus = t("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    dense = retrieval.dense_topk(corpus, asked(t), "doc_id", "query_id", "embedding", 100)
+    hits = retrieval.lexical_hits(t("documents"), asked_whole(t), "doc_id", "query_id", "text", "q")
+    return retrieval.fuse_whole(dense, hits, corpus, asked(t), "query_id", "doc_id", "embedding", K, 100)
+
+
 @R.query("dense_topk", f"WITH {DENSE} SELECT query_id, doc_id, round(cosine, 6) AS cosine, rank FROM dr WHERE rank <= {K}")
 def _(t):
     found = retrieval.dense_topk(t("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), asked(t), "doc_id", "query_id", "embedding", K)
@@ -83,6 +91,11 @@ def _(t):
     return hybrid(t).select("query_id", "doc_id", *[F.col(c).cast("long").alias(c) for c in ("dense_rank", "lexical_rank", "rank")])
 
 
+@R.query("hybrid_fusion_whole")
+def _(t):
+    return hybrid_whole(t).select("query_id", "doc_id", *[F.col(c).cast("long").alias(c) for c in ("dense_rank", "lexical_rank", "rank")])
+
+
 def gated(t):
     long = F.when(F.col("n_chars") > 2000, F.lit("long"))
     labelled = t("labels").select("doc_id", F.when(F.col("quality") == 0, F.lit("quality")).alias("low"))
@@ -146,9 +159,9 @@ def _(t):
     return withheld_matches(t, asked_whole(t))
 
 
-def reranked(t):
+def reranked(t, found):
     scores = t("labels").select("doc_id", (F.col("quality") - F.col("toxic") * 0.5).alias("score"))
-    return retrieval.rerank(hybrid(t).where("rank <= 5").select("query_id", "doc_id", "rank"), scores, "query_id", "doc_id")
+    return retrieval.rerank(found.where("rank <= 5").select("query_id", "doc_id", "rank"), scores, "query_id", "doc_id")
 
 
 @R.query("rerank_all_or_nothing", f"""
@@ -157,7 +170,12 @@ a AS (SELECT *, count(*) FILTER (WHERE sc IS NULL) OVER (PARTITION BY query_id)
 SELECT query_id, doc_id, reranked, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN reranked THEN -sc ELSE 0 END, rank) AS final_rank FROM a
 """)
 def _(t):
-    return reranked(t).select("query_id", "doc_id", "reranked", F.col("final_rank").cast("long").alias("final_rank"))
+    return reranked(t, hybrid(t)).select("query_id", "doc_id", "reranked", F.col("final_rank").cast("long").alias("final_rank"))
+
+
+@R.query("rerank_all_or_nothing_whole")
+def _(t):
+    return reranked(t, hybrid_whole(t)).select("query_id", "doc_id", "reranked", F.col("final_rank").cast("long").alias("final_rank"))
 
 
 @R.query("rerank_stability", f"""
@@ -170,14 +188,23 @@ def _(t):
     return retrieval.unstable_pairs(runs, "query_id", "doc_id", "cosine", "again", 0.06)
 
 
+def delivered(t, found):
+    placed = found.join(t("documents").select("doc_id", "lang"), "doc_id")
+    return retrieval.deliver(placed, ["query_id"], "doc_id", "lang", ["en", "de", "fr", "es"], "rank", 5).select("query_id", "doc_id", "lang", "tag")
+
+
 @R.query("deliver_tags", f"""
 WITH {DENSE}, {LEX}, {FUSED}, s AS (SELECT query_id, d.doc_id, lang, rank, list_position(['en', 'de', 'fr', 'es'], lang) AS place FROM fr JOIN documents d ON d.doc_id = fr.doc_id WHERE rank <= {K}),
 i AS (SELECT *, row_number() OVER (PARTITION BY query_id, lang ORDER BY rank, doc_id) AS rn FROM s)
 SELECT query_id, doc_id, lang, 'S' || row_number() OVER (PARTITION BY query_id ORDER BY place, rn) AS tag FROM i WHERE rn <= 5
 """)
 def _(t):
-    placed = hybrid(t).join(t("documents").select("doc_id", "lang"), "doc_id")
-    return retrieval.deliver(placed, ["query_id"], "doc_id", "lang", ["en", "de", "fr", "es"], "rank", 5).select("query_id", "doc_id", "lang", "tag")
+    return delivered(t, hybrid(t))
+
+
+@R.query("deliver_tags_whole")
+def _(t):
+    return delivered(t, hybrid_whole(t))
 
 
 @R.query("idempotent_replay", """
