@@ -3,10 +3,12 @@
 import random
 import re
 from collections import Counter
+from datetime import datetime
 from fractions import Fraction
 
 import pytest
 
+from tests.test_operators import plain_components
 from veldt.operators import retrieval
 from veldt.plans import catalog
 
@@ -94,3 +96,27 @@ def test_fusion_knows_ranks_beyond_the_candidates(spark, corpus):
 def test_fusion_with_too_few_candidates_raises(spark):
     with pytest.raises(ValueError, match="depth"):
         retrieval.fuse_whole(None, None, None, None, "q", "id", "v", 20, 99)
+
+
+def test_components_take_all_lines(spark, tmp_path):
+    r = random.Random(4)
+    lines = [(r.randrange(1, 90), r.randrange(1, 60), float(r.randrange(1, 51)), r.randrange(11) / 100) for _ in range(70)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_quantity double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = {x["node"]: x["component"] for x in catalog.queries()["connected_components_whole"](spark, str(tmp_path)).collect()}
+    assert found == plain_components([(2 * o, 2 * p + 1) for o, p, _, _ in lines])
+    assert len(found) > catalog.queries()["connected_components"](spark, str(tmp_path)).count()
+
+
+def test_ratios_and_states_take_all_events(spark, tmp_path):
+    r = random.Random(5)
+    states = ["signup", "view", "click", "purchase", "error"]
+    rows = [(k, r.randrange(12), r.choice(states), datetime(2024, 1, r.randrange(1, 28)), r.uniform(0, 80)) for k in range(60)]
+    rows += [(60, 50, "view", datetime(2024, 1, 9), 1.0)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts timestamp_ntz, value double").write.parquet(f"{tmp_path}/events.parquet")
+    kinds = {}
+    for _, user, kind, *_ in rows:
+        kinds.setdefault(user, []).append(kind)
+    shares = {u: round(k.count("error") / n, 6) if (n := k.count("error") + k.count("signup")) else None for u, k in kinds.items()}
+    assert {x["user_id"]: x["failure_share"] for x in catalog.queries()["guarded_ratio_whole"](spark, str(tmp_path)).collect()} == shares
+    moves = {(u, max(k, key=states.index), len(set(k))) for u, k in kinds.items()}
+    assert set(map(tuple, catalog.queries()["state_machine_fold_whole"](spark, str(tmp_path)).collect())) == moves

@@ -70,13 +70,21 @@ def _(t):
     )
 
 
+def failure_shares(rows):
+    kind = F.col("event_type")
+    return rows.groupBy("user_id").agg(F.round(stats.ratio(stats.count_where(kind == "error"), stats.count_where(kind.isin("error", "signup"))), 6).alias("failure_share"))
+
+
 @R.query("guarded_ratio", """
 SELECT user_id, round(count(*) FILTER (WHERE event_type = 'error') / nullif(count(*) FILTER (WHERE event_type IN ('error', 'signup')), 0), 6) AS failure_share FROM events WHERE ts < TIMESTAMP '2024-01-02' GROUP BY user_id
 """)
 def _(t):
-    kind = F.col("event_type")
-    rows = t("events").where(F.col("ts") < F.lit("2024-01-02").cast("timestamp_ntz"))
-    return rows.groupBy("user_id").agg(F.round(stats.ratio(stats.count_where(kind == "error"), stats.count_where(kind.isin("error", "signup"))), 6).alias("failure_share"))
+    return failure_shares(t("events").where(F.col("ts") < F.lit("2024-01-02").cast("timestamp_ntz")))
+
+
+@R.query("guarded_ratio_whole")
+def _(t):
+    return failure_shares(t("events"))
 
 
 @R.query("duplicate_accounting", """

@@ -135,6 +135,11 @@ def _(t):
     return E.furthest_state(t("events").where("value > 40"), "user_id", "event_type", STATES)
 
 
+@R.query("state_machine_fold_whole")
+def _(t):
+    return E.furthest_state(t("events"), "user_id", "event_type", STATES)
+
+
 @R.query("family_lifetimes", """
 SELECT user_id, epoch_us(min(ts)) AS first_us, arg_max_null(CASE WHEN event_type <> 'error' THEN epoch_us(ts) END, ts) AS last_us, count(*) AS n FROM events GROUP BY user_id
 """)
