@@ -1,5 +1,6 @@
 """Queries without a SQL twin against plain Python on small fixtures that hold the cases a cut would lose."""
 
+import hashlib
 import random
 import re
 from collections import Counter
@@ -120,3 +121,25 @@ def test_ratios_and_states_take_all_events(spark, tmp_path):
     assert {x["user_id"]: x["failure_share"] for x in catalog.queries()["guarded_ratio_whole"](spark, str(tmp_path)).collect()} == shares
     moves = {(u, max(k, key=states.index), len(set(k))) for u, k in kinds.items()}
     assert set(map(tuple, catalog.queries()["state_machine_fold_whole"](spark, str(tmp_path)).collect())) == moves
+
+
+def test_documents_are_scrubbed_by_all_rules(spark, tmp_path):
+    texts = [
+        "Seen by Dr. Silva and Ms Anna Perera",
+        "MRN: A-1234, NIC 123456789V",
+        "mail a.b@c.org on 12/03/2024, 2024-3-4, 3 Mar 2024 or Mar 3, 2024",
+        "call +94 77 123 4567 or 4111-1111-1111-1111, not 12.3456789",
+        "nothing here", "", None,
+    ]
+    want = [
+        ("Seen by [name removed] and [name removed]", ["name"]),
+        ("[ID removed], [ID removed]", ["identifier"]),
+        ("mail [email removed] on [date removed], [date removed], [date removed] or [date removed]", ["email", "date"]),
+        ("call [number removed] or [number removed], not 12.3456789", ["number"]),
+        ("nothing here", []), ("", []),
+    ]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {x["doc_id"]: x for x in catalog.queries()["pii_scrub_whole"](spark, str(tmp_path)).collect()}
+    assert len(found) == len(texts) and found[6]["scrubbed"] is None
+    for k, (text, kinds) in enumerate(want):
+        assert found[k]["kinds"] == kinds and found[k]["scrubbed"] == hashlib.sha256(text.encode()).hexdigest()

@@ -28,6 +28,12 @@ def _(t):
     return t("documents").select("doc_id", F.sha2(clean, 256).alias("scrubbed"), (F.size(kinds) > 0).alias("changed"))
 
 
+@R.query("pii_scrub_whole")
+def _(t):
+    clean, kinds = X.scrub(F.col("text"))
+    return t("documents").select("doc_id", F.sha2(clean, 256).alias("scrubbed"), kinds.alias("kinds"))
+
+
 @R.query("pii_scrub_conversations")
 def _(t):
     clean, kinds = X.scrub(F.col("text"))
