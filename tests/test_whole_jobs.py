@@ -143,3 +143,11 @@ def test_documents_are_scrubbed_by_all_rules(spark, tmp_path):
     assert len(found) == len(texts) and found[6]["scrubbed"] is None
     for k, (text, kinds) in enumerate(want):
         assert found[k]["kinds"] == kinds and found[k]["scrubbed"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_line_join_keeps_hyphenated_and_null_texts(spark, tmp_path):
+    texts = {1: ("a hyphen-\nated line\n\nand Non-\nEnglish", "a hyphenated line and Non- English"), 2: ("pre-\nWar", "pre- War"), 3: ("é-\nà x-\n- y", "éà x- - y"), 4: ("plain\nlines", "plain lines"), 5: ("", "")}
+    rows = [(k, text) for k, (text, _) in texts.items()] + [(6, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = dict(map(tuple, catalog.queries()["line_join"](spark, str(tmp_path)).collect()))
+    assert found == {k: hashlib.sha256(want.encode()).hexdigest() for k, (_, want) in texts.items()} | {6: None}
