@@ -35,7 +35,9 @@ HIDDEN_TEXT = "script|style|noscript|template|title|iframe|svg|math|object|texta
 ENDS_P = frozenset("address article aside blockquote details dialog div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<skip>{HIDDEN_TEXT})\b[^>]*+>.*?(?:</(?P=skip)\s*+>|\Z)"
+    # a drawing or formula that closes itself hides nothing; a hidden element's name ends before a blank, a slash or the end of the tag
+    r"""<(?:svg|math)(?=[\s/])(?:[^>"']|"[^"]*+"|'[^']*+')*+(?<=/)>|"""
+    rf"<!--.*?(?:-->|\Z)|<(?P<skip>{HIDDEN_TEXT})(?=[\s/>])[^>]*+>.*?(?:</(?P=skip)\s*+>|\Z)"
     r"""|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*+)(?P<rest>(?:[^>"']|"[^"]*+"|'[^']*+')*+)>|<[a-z/!?][^>]*+(?:>|\Z)""",
     re.IGNORECASE | re.DOTALL,
 )
