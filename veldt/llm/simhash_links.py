@@ -12,10 +12,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veldt.llm.common import components, stored
 
@@ -219,11 +221,32 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the one whose key is the group's smallest.
 
-    Of rows that repeat that key, all whose text belongs to the group stay. Rows with a null key always stay.
+    Of rows that repeat that key, all whose text belongs to the group stay. Rows with a null key always stay. Groups are of
+    fingerprints, so rows that share a key but not a text don't tie their groups together, and each is judged by its own.
     """
-    found = near_duplicates(docs, key, text)
-    lost = found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("__lost")).distinct()
-    return docs.join(lost, F.col(key) == F.col("__lost"), "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    columns = [f"`{c}`" for c in docs.columns]
+    printed = stored(fingerprints(docs, key, text), "fingerprints")
+    distinct = stored(printed.groupBy("fp").agg(F.min("key").alias("rep")), "distinct")
+    found = components(links(distinct.where("rep IS NOT NULL").select("fp", F.col("fp").alias("rep")), MAX_BITS))
+    rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
+    first = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("first")), "root").select("fp", "first")
+    judged = printed.where("key IS NOT NULL").join(first, "fp")
+    lost = stored(judged.where("key <> first").select(F.col("key").alias("__lost")).distinct(), "lost")
+    # keys that stand both on a row to drop and on one that stays: rare, so only their rows are told apart by their text
+    stay = judged.where("key = first").join(lost, F.col("key") == F.col("__lost"), "left_semi").select(F.col("key").alias("__key"), F.col("fp").alias("__fp")).distinct()
+    kept = docs.join(lost, F.col(key) == F.col("__lost"), "left_anti").select(*columns)
+    stay = stored(stay, "stay")
+    if stay.isEmpty():
+        return kept
+    doubtful = docs.join(stay.select("__key").distinct(), F.col(key) == F.col("__key"), "left_semi").withColumn("__print", _print_of(F.col(text).cast("string").cast("binary")))
+    back = doubtful.join(stay, (F.col(key) == F.col("__key")) & (F.col("__print") == F.col("__fp")), "left_semi").select(*columns)
+    return kept.unionByName(back)
+
+
+@F.pandas_udf(T.LongType())
+def _print_of(texts: pd.Series) -> pd.Series:
+    """The fingerprint of each text (its bytes), as ``fingerprints`` has it."""
+    return pd.Series(np.array([fingerprint(t or b"") for t in texts], dtype=np.uint64).view(np.int64))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
