@@ -1,8 +1,8 @@
-"""Substring dedup by level-wise doubling.
+"""Substring dedup by one level of doubling, from half windows to full windows.
 
 A window that is repeated is made of two halves that are repeated. So the search starts with windows of half the length:
 only where a half-length window is met more than once are the windows of twice that length formed and compared.
-``longest_repeats`` doubles on from there until no candidate survives.
+It ends there: each word of a longer repeat lies in a repeated window of full length, so longer windows would remove no more.
 
 At the half length not all windows are counted: of the half-length windows inside each full window, the one with the
 least hash stands for it. Equal full windows hold equal halves and so choose the same one; if the chosen half is met
