@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,10 +17,63 @@ LOCAL_SCRATCH = "/tmp/checkpoints"
 
 def scratch(spark: SparkSession) -> str:
     """The shared folder of the cluster (spark.checkpoint.dir), which driver and executors all see."""
-    folder = spark.conf.get("spark.checkpoint.dir", "") or LOCAL_SCRATCH
+    folder = spark.conf.get("spark.checkpoint.dir", "")
+    if not folder:
+        if not spark.conf.get("spark.master", "local").startswith("local["):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all executors see")
+        folder = LOCAL_SCRATCH
     return folder.rstrip("/")
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared folder that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: Bits of the map of keys in ``without``: 8 MB, in pages of 4 KB.
+MAP_BITS, PAGE_BITS = 1 << 26, 1 << 15
+
+
+def without(docs: DataFrame, lost: DataFrame, key: str) -> DataFrame:
+    """``docs`` without the rows whose ``key`` stands in the one column of ``lost``; rows with a null key stay.
+
+    A bit map of hashed keys, whose size is fixed, is broadcast. Rows whose bit is not set stay where they are; only the others,
+    the lost ones and a few more, are shuffled with their texts to be told apart exactly. However full the map is, the result is the same.
+    """
+    name = lost.columns[0]
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
+    pages = lost.select(spot(F.col(name)).alias("at")).groupBy(F.expr(f"at div {PAGE_BITS}").alias("__page"))
+    pages = stored(pages.agg(F.bitmap_construct_agg(F.col("at") % PAGE_BITS).alias("__bits")), "map")
+    columns = [f"`{c}`" for c in docs.columns]
+    placed = docs.select(*columns, spot(F.col(key)).alias("__at")).join(F.broadcast(pages), F.expr(f"__at div {PAGE_BITS} = __page"), "left")
+    byte = F.conv(F.hex(F.substring("__bits", F.expr(f"cast(__at % {PAGE_BITS} div 8 as int) + 1"), F.lit(1))), 16, 10).cast("long")
+    doubtful = F.coalesce(F.expr("cast(__at % 8 as int)"), F.lit(0))
+    doubtful = F.coalesce(F.call_function("shiftright", byte, doubtful).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    told = placed.where(doubtful).select(*columns).join(lost, F.col(key) == F.col(name), "left_anti")
+    return placed.where(~doubtful).select(*columns).unionByName(told.select(*columns))
+
+
+def text_once(docs: DataFrame, keep: list[str], text: str) -> tuple[DataFrame, int]:
+    """(the columns ``keep`` of ``docs``, position of ``text`` as a string): it is added behind them only if it isn't one of them."""
+    columns = [f"`{c}`" for c in keep]
+    if text in keep and docs.schema[text].dataType.typeName() == "string":
+        return docs.select(*columns), keep.index(text)
+    return docs.select(*columns, F.col(text).cast("string").alias("__text")), len(keep)
+
+
+def slices(batches: Iterator[pa.RecordBatch], at: int, rows: int = 512, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows and about ``size`` bytes of text in column ``at``; a longer text is a slice of its own."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False))
+        first = 0
+        while first < batch.num_rows:
+            most = (ends[first - 1] if first else 0) + size
+            last = min(first + rows, max(first + 1, int(np.searchsorted(ends, most, side="right"))), batch.num_rows)
+            yield batch.slice(first, last - first)
+            first = last
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again.
 
@@ -24,7 +81,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch(spark)}/veldt-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -17,6 +17,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from veldt.llm.common import slices, text_once
 
 #: Training takes about so many labelled documents of each language at most, chosen by a hash of the key.
 TRAIN_DOCS = 2000
@@ -30,10 +33,10 @@ SWITCH = 12.0
 SCRIPT_SHARE = 0.005
 FOLDS = 5
 UNKNOWN = "und"
-KEPT_WORDS = 300_000
-WORDS_AT_ONCE = 20_000
-#: Texts are split and their new words scored together, up to so many letters.
-LETTERS_AT_ONCE = 2_000_000
+#: A worker keeps the scores of words of so many letters together, and scores so many letters of new words at once.
+KEPT_LETTERS = 1_000_000
+COUNTED_WORDS = 100_000
+LETTERS_AT_ONCE = 100_000
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -62,28 +65,38 @@ def scripts_of(points: np.ndarray) -> np.ndarray:
     return _SCRIPT[np.searchsorted(_STARTS, points, side="right") - 1]
 
 
-def ngrams(flat: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each order: (bucket of every n-gram, number of its word). Boundary marks count from order 2 on."""
-    word = np.zeros(len(flat), np.int64)
-    word[np.cumsum(lengths[:-1] + 1) if len(lengths) > 1 else np.zeros(0, np.int64)] = 1
-    word = np.cumsum(word)  # a mark between two words belongs to the later one
-    inner = flat != 0
-    mixed = flat.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for n in ORDERS:
-        if len(flat) < n:
-            continue
-        h = np.full(len(flat) - n + 1, n, np.uint64)
-        for k in range(n):
-            h = (h ^ mixed[k : len(flat) - n + 1 + k]) * np.uint64(0xBF58476D1CE4E5B9)
-            h ^= h >> np.uint64(31)
-        # an n-gram lies in one word if no mark is inside it, whatever its ends
-        ok = np.ones(len(h), bool)
-        for k in range(n) if n == 1 else range(1, n - 1):
-            ok &= inner[k : len(h) + k]
-        if n > 1:
-            ok &= inner[: len(h)] | inner[n - 1 :]
-        first = np.where(inner[: len(h)], word[: len(h)], word[np.minimum(np.arange(len(h)) + 1, len(word) - 1)])
-        yield (h[ok] % np.uint64(BUCKETS)).astype(np.int64), first[ok]
+def ngrams(flat: np.ndarray, lengths: np.ndarray, at_once: int = LETTERS_AT_ONCE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Runs of (bucket of an n-gram, number of its word) for every order. Boundary marks count from order 2 on."""
+    starts = np.cumsum(lengths + 1) - lengths  # where each word's letters begin
+    for begin in range(0, len(flat), at_once):
+        points = flat[begin : begin + at_once + max(ORDERS) - 1]
+        inner, mixed = points != 0, points.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for n in ORDERS:
+            size = min(at_once, len(points) - n + 1)
+            if size < 1:
+                continue
+            h = np.full(size, n, np.uint64)
+            for k in range(n):
+                h = (h ^ mixed[k : size + k]) * np.uint64(0xBF58476D1CE4E5B9)
+                h ^= h >> np.uint64(31)
+            # an n-gram lies in one word if no mark is inside it, whatever its ends
+            ok = np.ones(size, bool)
+            for k in range(n) if n == 1 else range(1, n - 1):
+                ok &= inner[k : size + k]
+            if n > 1:
+                ok &= inner[:size] | inner[n - 1 : size + n - 1]
+            at = np.flatnonzero(ok)
+            # a mark in front of a word belongs to that word
+            yield (h[at] % np.uint64(BUCKETS)).astype(np.int64), np.searchsorted(starts - 1, begin + at + ~inner[at], side="right") - 1
+
+
+def word_scripts(flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The script that most letters of each word are written in; of equal ones the first in SCRIPTS."""
+    if int(flat.max(initial=0)) < SCRIPT_STARTS[1][0]:
+        return np.zeros(len(lengths), np.int64)
+    word = np.repeat(np.arange(len(lengths)), lengths)
+    found = np.bincount(word * len(SCRIPTS) + scripts_of(flat[flat != 0]), minlength=len(lengths) * len(SCRIPTS))
+    return found.reshape(len(lengths), len(SCRIPTS)).argmax(axis=1)
 
 
 class Model:
@@ -105,8 +118,7 @@ class Model:
             for k in range(len(self.langs)):
                 total[:, k] += np.bincount(word, weights=self.log[bucket, k], minlength=len(words))
         out = total / np.maximum(seen, 1)[:, None] * np.sqrt(lengths)[:, None] * 2
-        first = np.concatenate(([1], np.cumsum(lengths + 1)[:-1] + 1))
-        possible = self.written[:, scripts_of(flat[first])].T
+        possible = self.written[:, word_scripts(flat, lengths)].T
         possible |= ~possible.any(axis=1, keepdims=True)
         out -= np.where(possible, out, -np.inf).max(axis=1, keepdims=True)
         return np.where(possible, np.maximum(out, -30.0), -30.0)
@@ -115,8 +127,10 @@ class Model:
 def best_path(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """Labels of the path with the largest sum of scores less ``switch`` for each change of label.
 
-    If no stretch of words gains more than the penalty by leaving the label with the largest sum, that label alone is the
-    best path; sums over prefixes show it without a loop. Otherwise the usual recursion runs.
+    Of one-label paths that are best the first label is taken. No path beats the best one-label path (the base) if no
+    stretch of words gains more than ``switch`` by leaving the base, and no first stretch together with no last stretch
+    does: m stretches away from the base cost m changes at least, or m - 1 if nothing of the base is left, and then one
+    of them is first and one is last. Sums over prefixes show it without a loop. Otherwise the usual recursion runs.
     """
     n, k = scores.shape
     if n == 0 or k == 1:
@@ -124,7 +138,7 @@ def best_path(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     base = int(scores.sum(0).argmax())
     gain = np.cumsum(scores - scores[:, base : base + 1], axis=0)
     before = np.vstack([np.zeros((1, k)), gain[:-1]])
-    if (gain - np.minimum.accumulate(before, axis=0)).max() <= switch:
+    if (gain - np.minimum.accumulate(before, axis=0)).max() <= switch and gain.max() + (gain[-1] - before).max() <= switch:
         return np.full(n, base)
     # a few labels: plain lists are faster than arrays here
     rows = scores.tolist()
@@ -181,14 +195,13 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
                     n = np.fromiter(words[name].values(), np.float64, len(words[name]))
                     for bucket, word in ngrams(flat, lengths):
                         grams[k] += np.bincount(bucket, weights=n[word], minlength=BUCKETS).astype(np.int64)
-                    first = np.concatenate(([1], np.cumsum(lengths + 1)[:-1] + 1))
-                    scripts[k] += np.bincount(scripts_of(flat[first]), weights=n * lengths, minlength=len(SCRIPTS)).astype(np.int64)
+                    scripts[k] += np.bincount(scripts_of(flat[flat != 0]), weights=np.repeat(n, lengths), minlength=len(SCRIPTS)).astype(np.int64)
                     words[name].clear()
 
         for batch in batches:
             for t, name in zip(batch.column(0), batch.column(1).to_pylist()):
                 words[name].update(WORD.findall(t.as_py().lower()))
-                if sum(map(len, words.values())) > KEPT_WORDS:
+                if sum(map(len, words.values())) > COUNTED_WORDS:
                     add()
         add()
         for k in range(len(langs)):
@@ -211,7 +224,7 @@ class Labeller:
     """Labels texts; keeps the scores of words it has met, up to a bound."""
 
     def __init__(self, model: Model):
-        self.model, self.row, self.scores = model, {}, np.zeros((1024, len(model.langs)))
+        self.model, self.row, self.letters, self.scores = model, {}, 0, np.zeros((1024, len(model.langs)), np.float32)
 
     def spans(self, text: str | None) -> list[tuple[int, int, str]]:
         """(start, end, language) in code points: stretches of words with one label, from the first letter to the last."""
@@ -250,33 +263,24 @@ class Labeller:
         new = list(words.difference(self.row))
         if not new:
             return
-        if len(self.row) + len(new) > KEPT_WORDS:
-            self.row, new = {}, list(words)
+        sizes = np.fromiter(map(len, new), np.int64, len(new))
+        if self.letters + sizes.sum() > KEPT_LETTERS:
+            self.row, self.letters, new = {}, 0, list(words)
+            sizes = np.fromiter(map(len, new), np.int64, len(new))
         n = len(self.row)
         if n + len(new) > len(self.scores):
-            grown = np.zeros((2 * (n + len(new)), self.scores.shape[1]))
+            grown = np.zeros((max(n + len(new), 2 * n), self.scores.shape[1]), np.float32)
             grown[:n] = self.scores[:n]
             self.scores = grown
         self.row.update(zip(new, range(n, n + len(new))))
-        for at in range(0, len(new), WORDS_AT_ONCE):
-            part = new[at : at + WORDS_AT_ONCE]
-            self.scores[n + at : n + at + len(part)] = self.model.score(part)
+        self.letters += int(sizes.sum())
+        part = np.cumsum(sizes) // LETTERS_AT_ONCE
+        edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(new)]
+        for a, b in zip(edges, edges[1:]):
+            self.scores[n + a : n + b] = self.model.score(new[a:b])
 
     def _of(self, words: list[str]) -> np.ndarray:
-        return self.scores[np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))]
-
-
-def in_parts(texts: list[str | None], size: int) -> Iterator[list[str | None]]:
-    """``texts`` in order, in parts of about ``size`` letters; a longer text is a part of its own."""
-    part, total = [], 0
-    for t in texts:
-        part.append(t)
-        total += len(t or "")
-        if total >= size:
-            yield part
-            part, total = [], 0
-    if part:
-        yield part
+        return self.scores[np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))].astype(float)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -287,20 +291,18 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # size: languages times BUCKETS
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    rows, at = text_once(docs, keep, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(shared.value)
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            found = [x for part in in_parts(texts, LETTERS_AT_ONCE) for x in labeller.labels(part)]
+        for batch in slices(batches, at):
+            found = labeller.labels(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], [*keep, "lang_pred", "score"]
+                [*batch.columns[: len(keep)], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], [*keep, "lang_pred", "score"]
             )
 
-    from pyspark.sql import types as T
-
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.select(*[f"`{c}`" for c in keep], F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
