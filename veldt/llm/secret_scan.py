@@ -22,12 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veldt.llm.common import slices, text_once
+
 #: The field is fitted on about so many texts at most, chosen by a hash of the text, and on so many tokens of each.
 TRAIN_TEXTS = 250
 TRAIN_TOKENS = 40
 EPOCHS = 100
+RATE, DECAY = 0.1, 0.001
 SEED = 11
-KEPT_WORDS = 300_000
+#: A worker keeps the shapes of words of so many letters together.
+KEPT_LETTERS = 1_000_000
 KINDS = ("assign", "access", "hex", "crf")
 MASK = "[SECRET]"
 
@@ -40,6 +44,10 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KEYWORDS = re.compile(r"passw|pwd|secret|token|api.?key|auth|bearer|credential|private|access.?key", re.IGNORECASE | re.ASCII)
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "sk_", "sk-", "xox", "eyJ", "AIza", "glpat-", "-----BEGIN")
 EDGES = "\"'`.,;()[]{}<>!?*#$%&"
+#: A login in front of a host, as in scheme://name:pass@host.
+LOGIN = re.compile(r"://[^\s/:@]*:[^\s/@]+@")
+CONSONANTS = re.compile(r"[b-df-hj-np-tv-xz]{7,}", re.IGNORECASE | re.ASCII)
+CHANGES = re.compile(r"(?<=[a-z])[A-Z0-9]|(?<=[A-Z])[0-9]|(?<=[0-9])[A-Za-z]|(?<=[A-Z]{2})[a-z]", re.ASCII)
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 
 
@@ -60,27 +68,30 @@ def shape(word: str) -> list[int]:
     core = word.strip(EDGES)
     n = len(core)
     out = [0, 1 + (n >= 6) + (n >= 12) + (n >= 20) + (n >= 32) + (n >= 48)]
-    if core.isalpha() and n < 20:
-        out.append(7)
-        out.append(11 if core.islower() else 12 if core[:1].isupper() and core[1:].islower() else 13 if core.isupper() else 14)
-        out += [15] * bool(KEYWORDS.search(core)) + [16] * (word[-1] in ":=")
-        return out
-    digits = sum(map(str.isdigit, core))
-    out.append(7 + (digits > 0) + (digits > 0.2 * n) + (digits > 0.6 * n))
-    lower, upper = any(map(str.islower, core)), any(map(str.isupper, core))
-    out += [17] * lower + [18] * upper + [19] * (lower and upper and digits > 0)
-    out += [20] * (n >= 8 and not core.strip("0123456789abcdefABCDEF"))
-    out += [21] * (n >= 16 and re.fullmatch(r"[A-Za-z0-9+/_=-]+", core) is not None)
-    out += [22] * ("@" in core) + [23] * ("://" in core or core.startswith("www.")) + [24] * ("." in core) + [25] * (not core.isascii())
-    out += [26] * ("_" in core or "-" in core) + [27] * ("+" in core or "/" in core) + [28] * (":" in core or "=" in core) + [29] * (n == 0)
-    out += [15] * bool(KEYWORDS.search(core)) + [16] * (word[-1] in ":=") + [30] * core.startswith(PREFIXES)
+    out += [15] * bool(KEYWORDS.search(core)) + [16] * (word[-1] in ":=")
+    if core.isalpha():
+        out += [7, 11 if core.islower() else 12 if core[:1].isupper() and core[1:].islower() else 13 if core.isupper() else 14]
+        if n < 12:
+            return out
+    else:
+        digits = sum(map(str.isdigit, core))
+        out.append(7 + (digits > 0) + (digits > 0.2 * n) + (digits > 0.6 * n))
+        lower, upper = any(map(str.islower, core)), any(map(str.isupper, core))
+        out += [17] * lower + [18] * upper + [19] * (lower and upper and digits > 0)
+        out += [20] * (n >= 8 and not core.strip("0123456789abcdefABCDEF"))
+        out += [22] * ("@" in core) + [23] * ("://" in core or core.startswith("www.")) + [24] * ("." in core)
+        out += [26] * ("_" in core or "-" in core) + [27] * ("+" in core or "/" in core) + [28] * (":" in core or "=" in core) + [29] * (n == 0)
+        out += [30] * core.startswith(PREFIXES) + [35] * (LOGIN.search(core) is not None)
+    out += [21] * (n >= 16 and re.fullmatch(r"[A-Za-z0-9+/_=-]+", core) is not None) + [25] * (not core.isascii())
     if n >= 8:
         bits = -sum(c / n * math.log2(c / n) for c in Counter(core).values())
+        changes = len(CHANGES.findall(core))
         out.append(31 + (bits > 2.5) + (bits > 3.3) + (bits > 4))
+        out += [36] * (changes >= 3) + [37] * (changes >= 6) + [38] * (CONSONANTS.search(core) is not None) + [39] * (changes * 5 > n)
     return out
 
 
-FEATURES = 35
+FEATURES = 40
 FILE_FEATURES = 4
 
 
@@ -121,137 +132,187 @@ class Field:
         return np.array(tags[::-1])
 
 
-def fit(sequences: list[tuple[list[str], list[int], np.ndarray]], epochs: int = EPOCHS) -> Field:
-    """Maximum conditional likelihood by full-batch Adam; sequences are (words, tags, file features)."""
-    size, longest = len(sequences), max(len(w) for w, _, _ in sequences)
-    x = np.zeros((size, longest, 3 * FEATURES + FILE_FEATURES), np.float32)
-    y, mask = np.zeros((size, longest), np.int64), np.zeros((size, longest), bool)
-    for s, (words, tags, file) in enumerate(sequences):
-        shapes = [shape(w) for w in words]
-        for t, on in enumerate(shapes):
-            x[s, t, on] = 1
-            if t:
-                x[s, t, [FEATURES + f for f in shapes[t - 1]]] = 1
-            if t + 1 < len(words):
-                x[s, t, [2 * FEATURES + f for f in shapes[t + 1]]] = 1
-        x[s, : len(words), 3 * FEATURES :] = file
-        y[s, : len(words)], mask[s, : len(words)] = tags, True
-    w = np.zeros((x.shape[2], 3))
-    change = np.zeros((3, 3))
-    change[0, 2] = -20.0  # inside never follows outside
-    gold = np.eye(3)[y] * mask[:, :, None]
-    pairs = np.zeros((3, 3))
-    np.add.at(pairs, (y[:, :-1][mask[:, 1:]], y[:, 1:][mask[:, 1:]]), 1)
-    moments = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(change), np.zeros_like(change)]
-    flat = x.reshape(-1, x.shape[2])
-    start = np.array([0.0, 0.0, -20.0])
-    for epoch in range(1, epochs + 1):
-        e = (flat @ w.astype(np.float32)).reshape(size, longest, 3).astype(float)
+class Sample:
+    """Training sequences (words, tags, file features) as arrays with padding."""
+
+    def __init__(self, sequences: list[tuple[list[str], list[int], np.ndarray]]):
+        size, longest = len(sequences), max(len(w) for w, _, _ in sequences)
+        x = np.zeros((size, longest, 3 * FEATURES + FILE_FEATURES), np.float32)
+        self.tags, self.real = np.zeros((size, longest), np.int64), np.zeros((size, longest), bool)
+        for s, (words, tags, file) in enumerate(sequences):
+            shapes = [shape(w) for w in words]
+            for t, on in enumerate(shapes):
+                x[s, t, on] = 1
+                if t:
+                    x[s, t, [FEATURES + f for f in shapes[t - 1]]] = 1
+                if t + 1 < len(words):
+                    x[s, t, [2 * FEATURES + f for f in shapes[t + 1]]] = 1
+            x[s, : len(words), 3 * FEATURES :] = file
+            self.tags[s, : len(words)], self.real[s, : len(words)] = tags, True
+        self.flat = x.reshape(-1, x.shape[2])
+
+    def slopes(self, w: np.ndarray, change: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """(negative mean log likelihood with the decay of ``w``, its gradients for ``w`` and ``change``), by forward and backward sums."""
+        (size, longest), real = self.tags.shape, self.real
+        e = (self.flat @ w.astype(self.flat.dtype)).reshape(size, longest, 3).astype(float)
         alpha, beta = np.zeros_like(e), np.zeros_like(e)
-        alpha[:, 0] = e[:, 0] + start
+        alpha[:, 0] = e[:, 0] + START
         for t in range(1, longest):
             step = np.logaddexp.reduce(alpha[:, t - 1, :, None] + change, axis=1) + e[:, t]
-            alpha[:, t] = np.where(mask[:, t, None], step, alpha[:, t - 1])
+            alpha[:, t] = np.where(real[:, t, None], step, alpha[:, t - 1])
         z = np.logaddexp.reduce(alpha[:, -1], axis=1)
         for t in range(longest - 2, -1, -1):
             step = np.logaddexp.reduce(change + (e[:, t + 1] + beta[:, t + 1])[:, None, :], axis=2)
-            beta[:, t] = np.where(mask[:, t + 1, None], step, 0.0)
-        marginal = np.exp(alpha + beta - z[:, None, None]) * mask[:, :, None]
+            beta[:, t] = np.where(real[:, t + 1, None], step, 0.0)
+        gold = np.eye(3)[self.tags] * real[:, :, None]
+        before, after = self.tags[:, :-1][real[:, 1:]], self.tags[:, 1:][real[:, 1:]]
+        pairs = np.zeros((3, 3))
+        np.add.at(pairs, (before, after), 1)
+        loss = (z.sum() - (e * gold).sum() - START[self.tags[:, 0]].sum() - change[before, after].sum()) / size + DECAY / 2 * (w * w).sum()
+        marginal = np.exp(alpha + beta - z[:, None, None]) * real[:, :, None]
         both = np.exp(alpha[:, :-1, :, None] + change + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None])
-        both = (both * mask[:, 1:, None, None]).sum((0, 1))
-        grads = [flat.T @ (marginal - gold).reshape(-1, 3).astype(np.float32) / size + 0.001 * w, (both - pairs) / size]
-        grads[1][0, 2] = 0
+        both = (both * real[:, 1:, None, None]).sum((0, 1))
+        d = self.flat.T @ (marginal - gold).reshape(-1, 3).astype(self.flat.dtype) / size + DECAY * w
+        return loss, d, (both - pairs) / size
+
+
+#: Inside never follows outside, and a secret starts with its begin.
+NEVER = -20.0
+START = np.array([0.0, 0.0, NEVER])
+
+
+def fit(sequences: list[tuple[list[str], list[int], np.ndarray]], epochs: int = EPOCHS) -> Field:
+    """Maximum conditional likelihood by full-batch Adam; sequences are (words, tags, file features)."""
+    sample = Sample(sequences)
+    w, change = np.zeros((sample.flat.shape[1], 3)), np.zeros((3, 3))
+    change[OUTSIDE, INSIDE] = NEVER
+    moments = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(change), np.zeros_like(change)]
+    for epoch in range(1, epochs + 1):
+        _, *grads = sample.slopes(w, change)
+        grads[1][OUTSIDE, INSIDE] = 0
         for k, (value, grad) in enumerate(zip((w, change), grads)):
             m, v = moments[2 * k], moments[2 * k + 1]
             m += 0.1 * (grad - m)
             v += 0.001 * (grad * grad - v)
-            value -= 0.1 * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.999**epoch)) + 1e-8)
+            value -= RATE * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.999**epoch)) + 1e-8)
     return Field(w[: 3 * FEATURES].reshape(3, FEATURES, 3), w[3 * FEATURES :], change)
 
 
-def made_up(rng: random.Random) -> tuple[list[str], list[int]]:
-    """(words, tags) of a made-up secret as it stands in files."""
+LOWER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+MIXED = LOWER + LOWER.upper() + DIGITS
+
+
+def some(rng: random.Random, n: int, alphabet: str) -> str:
+    return "".join(rng.choice(alphabet) for _ in range(n))
+
+
+def spoken(rng: random.Random, low: int = 1, high: int = 5) -> str:
+    """A made-up word of open and closed syllables."""
+    return "".join(rng.choice("bcdfghjklmnprstvwz") + rng.choice(["a", "e", "i", "o", "u", "ei", "au", "er", "on", "al", "ü", "é"]) for _ in range(rng.randint(low, high)))
 
-    def some(n: int, alphabet: str) -> str:
-        return "".join(rng.choice(alphabet) for _ in range(n))
 
-    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
-    mixed = lower + lower.upper() + digits
+def made_up(rng: random.Random) -> tuple[list[str], list[int]]:
+    """(words, tags) of a made-up secret as it stands in files."""
     name = rng.choice(["password", "pwd", "db_password", "secret", "client_secret", "token", "auth_token", "api-key", "API_KEY", "credential", "private_key"])
-    kind = rng.randrange(8)
+    kind = rng.randrange(9)
     if kind == 0:
-        return ["Authorization:", "Bearer", some(rng.randrange(24, 60), mixed + "-_.")], [0, 0, 1]
+        return ["Authorization:", rng.choice(["Bearer", "Basic"]), some(rng, rng.randrange(24, 60), MIXED + "-_.")], [0, 0, 1]
     if kind == 1:
-        return [rng.choice(["ghp_", "gho_", "sk_live_", "sk-", "xoxb-", "glpat-", "AIza"]) + some(rng.randrange(20, 40), mixed)], [1]
+        return [rng.choice(["ghp_", "gho_", "sk_live_", "sk-", "xoxb-", "glpat-", "AIza"]) + some(rng, rng.randrange(20, 40), MIXED)], [1]
     if kind == 2:
-        return [name, rng.choice(["is", "=", ":", "->"]), some(rng.randrange(10, 24), mixed + "!#%&")], [0, 0, 1]
+        return [name, rng.choice(["is", "=", ":", "->"]), some(rng, rng.randrange(8, 24), MIXED + "!#%&")], [0, 0, 1]
     if kind == 3:
-        return [f"{name}:", some(rng.randrange(10, 40), mixed)], [0, 1]
+        return [f"{name}:", some(rng, rng.randrange(8, 40), MIXED)], [0, 1]
     if kind == 4:
-        return ["eyJ" + some(20, mixed) + "." + some(40, mixed) + "." + some(30, mixed + "-_")], [1]
+        return ["eyJ" + some(rng, 20, MIXED) + "." + some(rng, 40, MIXED) + "." + some(rng, 30, MIXED + "-_")], [1]
     if kind == 5:
-        lines = [some(64, mixed + "+/") for _ in range(rng.randrange(2, 5))]
-        return ["-----BEGIN", "PRIVATE", "KEY-----", *lines, "-----END", "PRIVATE", "KEY-----"], [1] + [2] * (5 + len(lines))
+        lines = [some(rng, 64, MIXED + "+/") for _ in range(rng.randrange(2, 5))]
+        sort = rng.choice([[], ["RSA"], ["EC"], ["OPENSSH"]])
+        return ["-----BEGIN", *sort, "PRIVATE", "KEY-----", *lines, "-----END", *sort, "PRIVATE", "KEY-----"], [1] + [2] * (5 + 2 * len(sort) + len(lines))
     if kind == 6:
-        return [some(rng.randrange(32, 64), mixed + "+/") + "=="], [1]
-    return [name, "=", '"' + some(rng.randrange(16, 40), mixed) + '"'], [0, 0, 1]
+        return [some(rng, rng.randrange(32, 64), MIXED + "+/") + rng.choice(["==", "=", ""])], [1]
+    if kind == 7:
+        scheme, host = rng.choice(["postgres", "mysql", "mongodb", "redis", "https", "amqp"]), spoken(rng, 1, 3)
+        return [f"{scheme}://{spoken(rng, 1, 2)}:{rng.choice([spoken(rng, 2, 4) + some(rng, 2, DIGITS), some(rng, rng.randrange(6, 20), MIXED)])}@{host}.example.org/{spoken(rng, 1, 2)}"], [1]
+    return [name, "=", '"' + some(rng, rng.randrange(12, 40), MIXED) + '"'], [0, 0, 1]
 
 
 def made_clean(rng: random.Random) -> list[str]:
-    """Words that look odd and are no secrets: numbers, addresses, links, dates, marked words."""
-    digits, word = "0123456789", rng.choice(["reat", "onthan", "mail", "info", "lamente", "undver"])
-    number = "".join(rng.choice(digits) for _ in range(rng.choice([4, 8, 10, 12, 16, 16, 16, 19])))
+    """Words that look odd and are no secrets: numbers, addresses, links, dates, names of things, long words, marked words."""
+    word, other = spoken(rng), spoken(rng)
+    number = some(rng, rng.choice([4, 8, 10, 12, 16, 16, 16, 19]), DIGITS)
     return rng.choice(
         [
             [number],
-            [f"{word}.{number[:2]}@mail{number[0]}.example.com"],
-            [f"https://www.{word}.example.org/{word}/{number[:3]}?page={number[0]}"],
+            [f"{word}.{number[:2]}@{other}{number[0]}.example.com"],
+            [f"https://www.{word}.example.org/{other}/{number[:3]}?page={number[0]}"],
+            [f"https://{word}.example.org/{other}-{word}/{other}.html"],
             [f"({number[:3]})", f"555-{number[:4]}"],
             ["-".join(number[i : i + 4] for i in range(0, len(number), 4))],
             [word * 2 + rng.choice([".###", "$$$", "%%%", "&&&", "!!", "***"])],
             [f"20{number[:2]}-0{number[0]}-1{number[1]}"],
             [word.upper() * 2 + rng.choice(["", "!!", "."])],
+            [spoken(rng, 6, 16).capitalize()],
+            [f"{word}_{other}_{spoken(rng)}{rng.choice(['', '()', ' =', '1'])}"],
+            ["".join(spoken(rng, 1, 3).capitalize() for _ in range(rng.randint(2, 4)))],
+            [f"/{word}/{other}/{spoken(rng)}.{rng.choice(['py', 'txt', 'json'])}"],
+            [f"v{number[0]}.{number[1]}.{number[2]}-{word}"],
+            [f"{word}-{other}-{spoken(rng)}-{number[:2]}"],
+            [rng.choice(["password", "secret", "token"]), rng.choice(["is", "was", "of", "for"]), word],
+            [f"{word}={number[0]};", f"{other}={{"],
+            ["-".join(some(rng, n, "0123456789abcdef") for n in (8, 4, 4, 4, 12))],
         ]
     )
 
 
 def train(docs: DataFrame, text: str = "text", texts: int = TRAIN_TEXTS) -> Field:
-    """Fit the field; the driver gets at most 2 * ``texts`` excerpts of TRAIN_TOKENS tokens, half of them around base spans."""
+    """Fit the field; the driver gets at most 2 * ``texts`` excerpts of TRAIN_TOKENS tokens, half of them around base spans.
+
+    The different texts with the least hashes are taken, and as many of those that a base pattern may match, so how rows
+    are dealt to tasks or repeated changes nothing. Null texts are left out; an empty table gives a field of made-up secrets.
+    """
     rows = docs.select(F.col(text).cast("string").alias("text")).where("text IS NOT NULL")
-    every = max(1, rows.count() // texts)
-    mark = F.xxhash64("text", F.lit(SEED))
+    total = max(1, rows.count())
+    rows = rows.withColumn("mark", F.shiftrightunsigned(F.xxhash64("text", F.lit(SEED)), 1))
     likely = F.col("text").rlike("(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]") | F.col("text").rlike("AKIA[A-Z0-9]{16}")
 
+    def up_to(of: DataFrame, share: float) -> int:
+        """The mark up to which ``texts`` different texts lie, looked for among a share of all marks."""
+        few = of.where(F.col("mark") <= int(min(1.0, share) * ((1 << 63) - 1024)))
+        found = few.select("mark").distinct().orderBy("mark").limit(texts).collect()
+        return found[-1][0] if found else -1
+
     def excerpts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # a copied text leaves each task once
         for batch in batches:
-            words, tags, files = [], [], []
-            for t in batch.column(0).to_pylist():
-                tokens = list(re.finditer(r"\S+", t))
-                tagged = tags_of(tokens, base_spans(t))
-                first = max(0, tagged.index(BEGIN) - TRAIN_TOKENS // 2) if BEGIN in tagged else len(tokens) // 3
-                cut = slice(first, first + TRAIN_TOKENS)
+            marks, words, tags, files = [], [], [], []
+            for t, mark in zip(batch.column(0), batch.column(1).to_pylist()):
+                tokens = [] if mark in seen else list(re.finditer(r"\S+", t.as_py()))
+                seen.add(mark)
                 if tokens:
+                    tagged = tags_of(tokens, base_spans(t.as_py()))
+                    first = max(0, tagged.index(BEGIN) - TRAIN_TOKENS // 2) if BEGIN in tagged else len(tokens) // 3
+                    cut = slice(first, first + TRAIN_TOKENS)
+                    marks.append(mark)
                     words.append([m.group() for m in tokens[cut]])
                     tags.append(tagged[cut])
-                    files.append(file_features(words[-1], t).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), pa.array(tags, pa.list_(pa.int32())), pa.array(files, pa.list_(pa.float64()))], ["words", "tags", "files"])
+                    files.append(file_features(words[-1], t.as_py()).tolist())
+            columns = [pa.array(marks, pa.int64()), pa.array(words, pa.list_(pa.string())), pa.array(tags, pa.list_(pa.int32())), pa.array(files, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["mark", "words", "tags", "files"])
 
-    plain = rows.where(F.pmod(mark, F.lit(every)) == 0).limit(texts)
-    marked = rows.where(F.pmod(mark, F.lit(max(1, every // 20))) == 0).where(likely).limit(texts)
-    found = plain.unionByName(marked).mapInArrow(excerpts, "words array<string>, tags array<int>, files array<double>").collect()
+    plain, marked = up_to(rows, 4 * texts / total), up_to(rows.where(likely), 80 * texts / total)
+    chosen = rows.where((F.col("mark") <= plain) | ((F.col("mark") <= marked) & likely))
+    found = chosen.mapInArrow(excerpts, "mark long, words array<string>, tags array<int>, files array<double>").dropDuplicates(["mark"]).collect()
     found = sorted((list(map(str, r["words"])), list(r["tags"]), list(r["files"])) for r in found)
     rng = random.Random(SEED)
     filler = [(["the", "of", "and", "a", "in", "it"] * 4, [0] * 24, [0.0] * FILE_FEATURES)]
     sequences = [(w, t, np.array(f)) for w, t, f in found or filler]
-    plain_ones = [s for s in sequences if not any(s[1])] or sequences
-    for _ in range(max(200, len(plain_ones) // 2)):
-        words, tags, file = rng.choice(plain_ones)
-        new, marks = made_up(rng)
-        at = rng.randrange(len(words) + 1)
-        sequences.append(([*words[:at], *new, *words[at:]], [*tags[:at], *marks, *tags[at:]], file))
-        words, tags, file = rng.choice(plain_ones)
-        new = made_clean(rng)
-        sequences.append(([*words[:at], *new, *words[at:]], [*tags[:at], *[0] * len(new), *tags[at:]], file))
+    plain_ones = [s for s in sequences if not any(s[1])] or [(w, t, np.array(f)) for w, t, f in filler]
+    for _ in range(max(300, len(plain_ones) // 2)):
+        for new, marks in (made_up(rng), (made_clean(rng), None), (made_clean(rng), None)):
+            words, tags, file = rng.choice(plain_ones)
+            at = rng.randrange(len(words) + 1)
+            sequences.append(([*words[:at], *new, *words[at:]], [*tags[:at], *(marks or [0] * len(new)), *tags[at:]], file))
     return fit(sequences)
 
 
@@ -268,13 +329,16 @@ class Scanner:
     """Finds all spans of a text; keeps the shapes of words it has met, up to a bound, and the scores of shapes."""
 
     def __init__(self, field: Field):
-        self.field, self.row, self.shapes = field, {}, {}
+        self.field, self.row, self.letters, self.shapes = field, {}, 0, {}
         self.scores = np.zeros((0, 3, 3), np.float32)
 
     def _rows(self, words: list[str]) -> np.ndarray:
         new = set(words).difference(self.row)
-        if len(self.row) + len(new) > KEPT_WORDS:
-            self.row, new = {}, set(words)
+        letters = sum(map(len, new))
+        if self.letters + letters > KEPT_LETTERS:
+            self.row, self.letters, new = {}, 0, set(words)
+            letters = sum(map(len, new))
+        self.letters += letters
         for w in new:
             found = tuple(shape(w))
             if found not in self.shapes:  # far fewer than words
@@ -321,19 +385,17 @@ def _map(docs: DataFrame, field: Field, text: str, names: list[str], kinds: list
     """``docs`` with columns ``names`` made from each text and its spans; columns of these names are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(field)  # a few hundred weights
     keep = [c for c in docs.columns if c not in names]
+    rows, at = text_once(docs, keep, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(shared.value)
-        for batch in batches:
-            made = []
-            for t in batch.column(batch.num_columns - 1):
-                t = t.as_py()
-                made.append(make(t, scanner.spans(t or "")))
+        for batch in slices(batches, at):
+            made = [make(t, scanner.spans(t or "")) for t in batch.column(at).to_pylist()]
             new = [pa.array([m[k] for m in made], kind) for k, (kind, _) in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], [*keep, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *new], [*keep, *names])
 
     schema = T.StructType([*(docs.schema[c] for c in keep), *(T.StructField(n, kind) for n, (_, kind) in zip(names, kinds))])
-    return docs.select(*[f"`{c}`" for c in keep], F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def find(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
