@@ -1,49 +1,44 @@
 """BPE encoding and decoding by a distinct-word table.
 
-A word here is a run of bytes between ASCII white space. The tokenizer's own splitting never joins characters
-across white space and white space itself yields no token, so the ids of a text are the ids of its words in
-order. Encoding runs in three steps:
-
-1. Spark counts the distinct words of all texts (combined in each task, then by a shuffle).
-2. Words with a share of at least 1/``HOT_WORDS`` of all occurrences are encoded once, in Spark tasks, to the word
-   table. At most ``HOT_WORDS`` words can have such a share, each of at most ``HOT_BYTES`` bytes, so the table has a
-   proven bound and goes to the tasks by broadcast.
-3. Every task joins the ids back by position. A word outside the table is encoded once by each worker process,
-   which keeps at most ``KEPT_WORDS`` of them.
-
-The third step leaves the rare words out of the shuffle on purpose: a shuffle join of every rare occurrence, and of the
-documents it must return to, moves about twice the input (see README).
+A word here is what stands between ASCII white space. The tokenizer never joins characters across white space and white space
+itself yields no token, so the ids of a text are the ids of its words in order.
+
+1. Spark's ``split`` cuts the texts into words. Each task numbers the distinct words of a block of texts (some MB) and keeps the
+   texts as those numbers: words and numbered texts are written once.
+2. The words are dealt and sorted by themselves: the word table, a row for each word and block that holds it. Each distinct
+   word is encoded once, and its ids go back to the blocks under the word's number there. So a word costs a row a block and
+   not a row an occurrence.
+3. The ids of a block's words are joined with the block's texts by position.
+
+Decoding joins ids with the id-to-piece table. That table has the vocabulary's size, which bounds its broadcast; ids find their
+pieces by position in it, batch by batch.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
-import re
-from array import array
-from collections import Counter
-from collections.abc import Iterable, Iterator
-from itertools import chain, filterfalse
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veldt.llm.common import stored
+from veldt.llm.common import slices, stored
 
-HOT_WORDS = 1_000_000
-HOT_BYTES = 64
-KEPT_WORDS = 300_000
-KEPT_PARTS = 400_000
-PARTS_AT_ONCE = 2000
-LONG_WORDS = 150_000
-BYTES_AT_ONCE = 1_000_000
-#: How the tokenizer marks a piece that ends a word.
-WORD_END = "</w>"
-COUNTED_WORDS = 200_000
-RARE = 8
+#: Blocks end at so many bytes of words.
+BLOCK_BYTES = 8 << 20
+#: Words are given to the tokenizer together, up to so many letters.
+LETTERS_AT_ONCE = 20_000
+#: A worker that encodes whole texts keeps words of so many letters together.
+KEPT_LETTERS = 1_500_000
+WORDS_AT_ONCE = 1 << 20
+WHITE = "[ \\t\\n\\x0B\\f\\r]+"
 
 
 def default_tokenizer() -> str:
@@ -52,259 +47,263 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-_loaded: dict[str, object] = {}
-_tables: dict[str, "WordTable"] = {}
-
-
+@functools.lru_cache(maxsize=2)
 def tokenizer(path: str):
     """The tokenizer of this process; truncation and padding are switched off."""
-    if path not in _loaded:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(path)
-        tok.no_truncation()
-        tok.no_padding()
-        _loaded[path] = tok
-    return _loaded[path]
+    tok = Tokenizer.from_file(path)
+    tok.no_truncation()
+    tok.no_padding()
+    return tok
 
 
-#: Latin letters up to U+024F (without U+0130, which lowers to a letter and a mark), then ASCII signs other than digits, apostrophe and less-than: the tokenizer always splits there,
-#: lowers the letters, and knows no special token with these signs alone.
-LETTERS_SIGNS = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:;=-@\[-`{-~]*)")
+@functools.lru_cache(maxsize=2)
+def separator(path: str) -> tuple[str, int] | None:
+    """(a control sign that is one token by itself between blanks, its id), or None if there is none."""
+    tok = tokenizer(path)
+    ids = lambda t: tok.encode(t, add_special_tokens=False).ids
+    for sign in "\x01\x02\x03\x04":
+        if len(ids(sign)) == 1 and ids(f"a {sign} b") == ids("a") + ids(sign) + ids("b"):
+            return sign, ids(sign)[0]
+    return None
 
 
-class WordTable:
-    """Word bytes to id bytes (little-endian unsigned 32-bit); words that lack are encoded and kept up to a bound.
+def encode_words(path: str, words: list[str]) -> list[bytes]:
+    """The ids of each word as little-endian unsigned 32-bit integers.
 
-    A word of letters and then signs is put together from the ids of its lowered letters and of its signs, which
-    many words share; every other word goes to the tokenizer whole.
+    Many words go to the tokenizer as one text with a separator between; words that hold the separator go alone.
+    """
+    tok, found = tokenizer(path), separator(path)
+    out = [b""] * len(words)
+    sign, sign_id = found or ("", -1)
+    together = [i for i, w in enumerate(words) if sign not in w]  # every word holds the empty sign
+    alone = [i for i, w in enumerate(words) if w and sign in w]
+    sizes = np.cumsum([len(words[i]) + 3 for i in together]) // LETTERS_AT_ONCE
+    edges = [0, *(np.flatnonzero(sizes[1:] != sizes[:-1]) + 1).tolist(), len(together)]
+    for a, b in zip(edges, edges[1:]):
+        run = together[a:b]
+        text = f" {sign} ".join([words[i] for i in run])
+        ids = np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+        cut = np.flatnonzero(ids == sign_id)
+        if len(cut) + 1 != len(run):
+            alone += run
+            continue
+        flat = ids.tobytes()
+        for i, x, y in zip(run, [0, *(4 * (cut + 1)).tolist()], [*(4 * cut).tolist(), len(flat)]):
+            out[i] = flat[x:y]
+    for at in range(0, len(alone), 1000):
+        some = alone[at : at + 1000]
+        for i, e in zip(some, tok.encode_batch_fast([words[i] for i in some], add_special_tokens=False)):
+            out[i] = np.array(e.ids, dtype="<u4").tobytes()
+    return out
+
+
+def gather(codes: np.ndarray, ends: np.ndarray, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids joined back by position: (ids of all texts one after another, where each text's ids end).
+
+    ``codes`` are the word numbers of all texts, ``ends`` where each text's words end; word k has the ids
+    flat[starts[k] : starts[k] + sizes[k]].
+    """
+    made, stop = [np.zeros(0, "<u4")], np.zeros(len(codes) + 1, np.int64)
+    np.cumsum(sizes[codes], out=stop[1:])
+    for a in range(0, len(codes), WORDS_AT_ONCE):
+        part = codes[a : a + WORDS_AT_ONCE]
+        size, first, begin = sizes[part], starts[part], stop[a]
+        shift = np.repeat(first - (stop[a : a + len(part)] - begin), size)
+        made.append(flat[np.arange(len(shift)) + shift].astype("<u4"))
+    return np.concatenate(made), stop[ends]
+
+
+class Encoder:
+    """Encodes whole texts in one task; keeps the ids of words it has met, up to a bound."""
+
+    def __init__(self, path: str):
+        self.path, self.ids, self.letters = path, {}, 0
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, where each text's ids end); a null text has none."""
+        words = pc.ascii_split_whitespace(texts.fill_null(""))
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        lacking = [w for w in distinct if w not in self.ids]
+        letters = sum(map(len, lacking))
+        if self.letters + letters > KEPT_LETTERS and self.ids:
+            self.ids, self.letters, lacking, letters = {}, 0, distinct, sum(map(len, distinct))
+        self.ids.update(zip(lacking, encode_words(self.path, lacking)))
+        self.letters += letters
+        bags = [self.ids[w] for w in distinct]
+        sizes = np.fromiter(map(len, bags), np.int64, len(bags)) // 4
+        ends = np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False))
+        return gather(coded.indices.to_numpy(), ends, np.frombuffer(b"".join(bags), "<u4"), np.cumsum(sizes) - sizes, sizes)
+
+
+def _split(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
+    """Written rows of two kinds: numbered texts (block, rows, ends, codes) and the words of each block (block, code, word).
+
+    ``rows`` holds the columns ``keep`` of some texts; codes are the numbers of their words in the block, as compressed
+    32-bit integers.
     """
+    carried = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]) if keep else F.struct(F.lit(0).alias("c"))
+    words = F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), WHITE, -1)
+    cut = docs.select(carried.alias("row"), words.alias("words"))
+    kind = cut.schema["row"].dataType.simpleString()
 
-    def __init__(self, path: str, fixed: dict[bytes, bytes]):
-        # a plain dict: set.difference looks words up in it and would walk through a subclass
-        self.tok, self.fixed, self.ids = tokenizer(path), fixed, dict(fixed)
-        self.parts: dict[str, bytes] = {"": b""}
-        size = self.tok.get_vocab_size(with_added_tokens=True)
-        self.ends = np.array([(self.tok.id_to_token(i) or "").endswith(WORD_END) for i in range(size)])
-
-    def learn(self, words: Iterable[bytes]) -> None:
-        """Add words. The table is emptied to the fixed part before if it would pass its bound."""
-        words = list(words)
-        if len(self.ids) + len(words) > len(self.fixed) + KEPT_WORDS:
-            self.ids = dict(self.fixed)
-        if len(self.parts) + len(words) > KEPT_PARTS:
-            self.parts = {"": b""}
-        whole, pairs = [], []
-        texts = b" ".join(words).decode().split(" ") if words else []
-        for w, t, m in zip(words, texts, map(LETTERS_SIGNS.fullmatch, texts)):
-            if m:
-                pairs.append((w, m[1].lower(), m[2]))
-            else:
-                whole.append((w, t))
-        parts = self.parts
-        self._learn_parts(list({a for _, a, _ in pairs}.difference(parts) | {b for _, _, b in pairs}.difference(parts)))
-        self.ids.update([(w, parts[a] + parts[b]) for w, a, b in pairs])
-        self.ids.update(zip([w for w, _ in whole], self._each([t for _, t in whole])))
-
-    def _each(self, texts: list[str]) -> Iterator[bytes]:
-        done = self.tok.encode_batch_fast(texts, add_special_tokens=False)
-        return (array("I", e.ids).tobytes() for e in done)
-
-    def _learn_parts(self, lacking: list[str]) -> None:
-        """Parts are encoded as one text with blanks between: the last piece of each part has the sign of a word's end."""
-        for at in range(0, len(lacking), PARTS_AT_ONCE):
-            some = lacking[at : at + PARTS_AT_ONCE]
-            ids = np.array(self.tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            if len(ends) != len(some):  # a part that is more than one word to the tokenizer
-                self.parts.update(zip(some, self._each(some)))
-                continue
-            flat = ids.tobytes()
-            self.parts.update(zip(some, [flat[a:b] for a, b in zip([0, *ends], ends)]))
-
-    def encode_all(self, texts: list[bytes]) -> Iterator[bytes]:
-        """The ids of each text; texts are split and their new words encoded together, about BYTES_AT_ONCE at a time."""
-        part, total = [], 0
-        for t in texts:
-            part.append(t)
-            total += len(t)
-            if total >= BYTES_AT_ONCE:
-                yield from self._encode(part)
-                part, total = [], 0
-        yield from self._encode(part)
-
-    def encode(self, text: bytes) -> bytes:
-        return next(self._encode([text]))
-
-    def _encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        split = [t.split() for t in texts]
-        if max(map(len, split), default=0) <= LONG_WORDS:
-            yield from self._joined(split)
-            return
-        for words in split:  # a very long text goes in runs of whole words, to bound the table
-            yield b"".join(x for at in range(0, len(words), LONG_WORDS) for x in self._joined([words[at : at + LONG_WORDS]]))
-
-    def _joined(self, split: list[list[bytes]]) -> Iterator[bytes]:
-        lacking = set(filterfalse(self.ids.__contains__, chain.from_iterable(split)))
-        if lacking:
-            before = self.ids
-            self.learn(lacking)
-            if self.ids is not before:  # emptied: words that it had are to be learned again
-                lacking = set(filterfalse(self.ids.__contains__, chain.from_iterable(split)))
-                self.learn(lacking)
-        get = self.ids.__getitem__
-        for words in split:
-            yield b"".join(map(get, words))
-
-
-def word_table(path: str, key: str, fixed: dict[bytes, bytes]) -> WordTable:
-    """The table of this worker process; it outlives a task, so a reused worker encodes a word once."""
-    if key not in _tables:
-        _tables.clear()
-        _tables[key] = WordTable(path, fixed)
-    return _tables[key]
-
-
-def texts_of(column: pa.Array) -> list[bytes]:
-    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
-
-
-def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Rows (word binary, n long) over all texts."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
-
-        def flushed() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
-            counts.clear()
-            return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, part, size = TaskContext.get().partitionId() << 24, [], 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            numbered = pa.chunked_array([coded for _, _, coded in part]).unify_dictionaries()
+            for (rows, ends, _), coded in zip(part, numbered.chunks):
+                codes = pa.compress(coded.indices.cast(pa.int32()).buffers()[1], codec="zstd", asbytes=True) if len(coded) else b""
+                yield batch_of(
+                    1, rows=pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows), ends=pa.array([ends], pa.list_(pa.int64())), codes=pa.array([codes], pa.binary())
+                )
+            found = numbered.chunk(0).dictionary
+            for at in range(0, len(found), 1 << 16):
+                some = found.slice(at, 1 << 16)
+                yield batch_of(len(some), code=pa.array(np.arange(at, at + len(some)), pa.int32()), word=some)
+
+        def batch_of(n: int, **columns: pa.Array) -> pa.RecordBatch:
+            empty = {"rows": pa.list_(row_type), "ends": pa.list_(pa.int64()), "codes": pa.binary(), "code": pa.int32(), "word": pa.string()}
+            made = [columns[c] if c in columns else pa.nulls(n, t) for c, t in empty.items()]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, block), pa.int64()), *made], ["block", *empty])
 
         for batch in batches:
-            for t in texts_of(batch.column(0)):
-                counts.update(t.split())
-                if len(counts) > COUNTED_WORDS:
-                    yield flushed()
-        yield flushed()
-
-    return (
-        docs.select(F.col(text).cast("string").alias("text"))
-        .mapInArrow(count, "word binary, n long")
-        .groupBy("word")
-        .agg(F.sum("n").alias("n"))
-    )
-
-
-def hot_table(docs: DataFrame, path: str, text: str = "text", hot_words: int = HOT_WORDS) -> dict[bytes, bytes]:
-    """The ids of every frequent word, each encoded once; at most ``hot_words`` words of at most HOT_BYTES bytes."""
-    counted = count_words(docs, text)
-    # words met fewer than RARE times are never hot and only add to the total, so they are not written
-    counted = stored(
-        counted.groupBy(F.when(F.col("n") >= RARE, F.col("word")).alias("word")).agg(F.sum("n").alias("n")), "words"
-    )
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    hot = counted.where(F.col("word").isNotNull() & (F.octet_length("word") <= HOT_BYTES) & (F.col("n") * hot_words >= total)).select("word")
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(path)
-        for batch in batches:
-            words = batch.column(0).to_pylist()
-            done = tok.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-            ids = [np.array(e.ids, dtype="<u4").tobytes() for e in done]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(ids, pa.binary())], ["word", "ids"])
+            row_type = batch.schema.field(0).type
+            for at in range(0, batch.num_rows, 256):
+                rows, words = batch.column(0).slice(at, 256), batch.column(1).slice(at, 256)
+                ends = np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False))
+                flat = words.flatten()
+                part.append((rows, ends, flat.dictionary_encode()))
+                size += flat.nbytes
+                if size >= BLOCK_BYTES:
+                    yield from done()
+                    block, part, size = block + 1, [], 0
+        if part:
+            yield from done()
 
-    return {bytes(r[0]): bytes(r[1]) for r in hot.mapInArrow(encode, "word binary, ids binary").toLocalIterator()}
+    return stored(cut.mapInArrow(run, f"block long, rows array<{kind}>, ends array<long>, codes binary, code int, word string"), "split")
 
 
-def shared_table(docs: DataFrame, path: str, text: str, hot: bool):
-    """(broadcast of the hot words' ids, a name for it)."""
-    fixed = docs.sparkSession.sparkContext.broadcast(hot_table(docs, path, text) if hot else {})
-    return fixed, f"{path}-{fixed._jbroadcast.id()}"
+def _word_ids(split: DataFrame, path: str) -> DataFrame:
+    """Rows (block, code, ids): every distinct word is encoded once, where its rows of all blocks stand together."""
 
-
-def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids", hot: bool = True) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: dict[str, bytes] = {}  # the word that the batch before ended with
+        for batch in batches:
+            coded = batch.column(0).dictionary_encode()
+            distinct = coded.dictionary.to_pylist()
+            lacking = [w for w in distinct if w not in last]
+            ids = dict(zip(lacking, encode_words(path, lacking))) | last
+            last = {w: ids[w] for w in distinct[-1:]}
+            bags = pa.array([ids[w] for w in distinct], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), bags.take(coded.indices)], ["block", "code", "ids"])
+
+    words = split.where("word IS NOT NULL").select("word", "block", "code").repartition("word").sortWithinPartitions("word")
+    return words.mapInArrow(run, "block long, code int, ids binary")
+
+
+def _joined_back(docs: DataFrame, keep: list[str], path: str, text: str, make, schema: T.StructType) -> DataFrame:
+    """The columns ``keep`` of ``docs`` and those that ``make`` gives for (ids of some texts, where each text's ids end)."""
+    split = _split(docs, keep, text)
+    texts = split.where("codes IS NOT NULL").select("block", "rows", "ends", "codes")
+
+    def run(texts: pa.Table, words: pa.Table) -> pa.Table:
+        order = np.argsort(words.column("code").to_numpy())
+        bags = words.column("ids").combine_chunks().take(pa.array(order))
+        sizes = pc.binary_length(bags).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+        flat = np.frombuffer(b"".join(bags.to_pylist()), "<u4")
+        starts, parts = np.cumsum(sizes) - sizes, []
+        for k in range(texts.num_rows):
+            rows, ends = texts.column("rows")[k].values, texts.column("ends")[k].values.to_numpy()
+            n, packed = int(ends[-1]) if len(ends) else 0, texts.column("codes")[k].as_py()
+            codes = np.frombuffer(pa.decompress(packed, 4 * n, codec="zstd"), np.int32) if n else np.zeros(0, np.int32)
+            ids, stop = gather(codes, ends, flat, starts, sizes)
+            parts.append(pa.Table.from_arrays([*(rows.field(i) for i in range(len(keep))), *make(ids, stop)], names=names))
+        return pa.concat_tables(parts)  # no block is without texts
+
+    # inside, columns have numbers: names of docs may clash with each other
+    names = [f"c{i}" for i in range(len(schema))]
+    inner = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, schema)])
+    done = texts.groupBy("block").cogroup(_word_ids(split, path).groupBy("block")).applyInArrow(run, inner)
+    return done.toDF(*schema.names)
+
+
+def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with the token ids (array of int) of ``text`` added as ``ids``.
 
-    Equals the tokenizers library's encode(text, add_special_tokens=False) on every whole text; a null or empty text has
-    no ids. Rows are neither joined nor compared, so repeated rows and null keys keep their rows. A column named as
-    ``ids`` is replaced.
+    Equals the tokenizers library's encode(text, add_special_tokens=False) on every whole text, for a tokenizer that drops
+    white space, as this one. A null or empty text has no ids. Rows are neither compared nor merged, so repeated rows and null
+    keys keep their rows. A column named as ``ids`` is replaced. An empty table gives no rows.
     """
-    path = path or default_tokenizer()
-    fixed, name = shared_table(docs, path, text, hot)
     keep = [c for c in docs.columns if c != ids]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = word_table(path, name, fixed.value)
-        for rows in slices(batches):
-            found = list(table.encode_all(texts_of(rows.column(rows.num_columns - 1))))
-            ends = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
-            flat = pa.array(np.frombuffer(b"".join(found), dtype="<i4"))
-            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), flat)], [*keep, ids])
+    def make(found: np.ndarray, stop: np.ndarray) -> list[pa.Array]:
+        return [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], stop)), pa.int32()), pa.array(found.astype(np.int32)))]
 
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(ids, T.ArrayType(T.IntegerType()))])
-    return docs.select(*[f"`{c}`" for c in keep], F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
-
-
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+    return _joined_back(docs, keep, path or default_tokenizer(), text, make, schema)
 
 
 def pieces(path: str | None = None) -> list[str]:
-    """The piece of every id: a table of the vocabulary's size, 49,408 rows."""
+    """The id-to-piece table: the piece of every id, 49,408 rows."""
     tok = tokenizer(path or default_tokenizer())
     return [tok.id_to_token(i) or "" for i in range(tok.get_vocab_size(with_added_tokens=True))]
 
 
-def join_pieces(table: list[str], ids: np.ndarray) -> str:
-    return " ".join(map(table.__getitem__, ids[(ids >= 0) & (ids < len(table))].tolist()))
+def join_pieces(table: pa.Array, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The decoded text of each list of ids: its pieces with one blank between. Ids outside the table give nothing."""
+    inside = (ids >= 0) & (ids < len(table))
+    if not inside.all():
+        ends, ids = np.concatenate(([0], np.cumsum(inside)))[ends], ids[inside]
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), table.take(pa.array(ids)))
+    return pc.binary_join(lists, " ")
 
 
 def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``encoded`` with the decoded text of ``ids`` added: each id joined with the id-to-piece table by position.
 
-    Equals the library's decode(ids, skip_special_tokens=False) for a tokenizer without a decoder part, as this one:
-    pieces in order with one blank between. The table has the vocabulary's size and is read by each worker. Null or
-    empty ids give an empty text; ids outside the vocabulary give nothing, as in the library.
+    Equals the library's decode(ids, skip_special_tokens=False) for a tokenizer without a decoder part, as this one. The
+    table is broadcast; its size is the vocabulary's. Null or empty ids give an empty text; ids outside the vocabulary give
+    nothing, as in the library.
     """
-    path = path or default_tokenizer()
     keep = [c for c in encoded.columns if c != out]
     at = keep.index(ids)
+    shared = encoded.sparkSession.sparkContext.broadcast(pieces(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pieces(path)
-        for rows in slices(batches):
-            found = [x.values for x in rows.column(at)]
-            texts = [join_pieces(table, np.asarray(x) if x is not None else np.zeros(0, np.int32)) for x in found]
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(texts, pa.string())], [*keep, out])
+        table = pa.array(shared.value, pa.string())
+        for batch in batches:
+            for first in range(0, batch.num_rows, 256):
+                rows = batch.slice(first, 256)
+                sizes = rows.column(at).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                found = rows.column(at).flatten().to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([*rows.columns, join_pieces(table, found, np.cumsum(sizes)).cast(pa.string())], [*keep, out])
 
     schema = T.StructType([*(encoded.schema[c] for c in keep), T.StructField(out, T.StringType())])
     return encoded.select(*[f"`{c}`" for c in keep]).mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (key, n_tokens, ids_sha256, decoded_sha256): each text encoded and its ids decoded again, in one pass.
+    """Rows (key, n_tokens, ids_sha256, decoded_sha256): each text encoded and its ids decoded again.
 
-    The same two steps as ``encode`` and ``decode``; only digests leave the task. ids_sha256 is over the ids as
+    The same steps as ``encode`` and ``decode``; only digests leave the task. ids_sha256 is over the ids as
     little-endian unsigned 32-bit integers, decoded_sha256 over the decoded text in UTF-8.
     """
     path = path or default_tokenizer()
-    fixed, name = shared_table(docs, path, text, True)
+    shared = docs.sparkSession.sparkContext.broadcast(pieces(path))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, by_id = word_table(path, name, fixed.value), pieces(path)
-        for rows in slices(batches):
-            n, shas, decoded = [], [], []
-            for ids in table.encode_all(texts_of(rows.column(1))):
-                n.append(len(ids) // 4)
-                shas.append(hashlib.sha256(ids).hexdigest())
-                decoded.append(hashlib.sha256(join_pieces(by_id, np.frombuffer(ids, dtype="<u4")).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(shas), pa.array(decoded)], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
+    def make(ids: np.ndarray, stop: np.ndarray) -> list[pa.Array]:
+        edges = [0, *stop.tolist()]
+        whole = memoryview(ids.view(np.uint8))
+        shas = [hashlib.sha256(whole[4 * a : 4 * b]).hexdigest() for a, b in zip(edges, edges[1:])]
+        decoded = join_pieces(pa.array(shared.value, pa.string()), ids, stop)
+        return [pa.array(np.diff(edges), pa.int64()), pa.array(shas, pa.string()), pa.array([hashlib.sha256(memoryview(x.as_buffer())).hexdigest() for x in decoded], pa.string())]
 
     schema = T.StructType([docs.schema[key], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    return docs.select(key, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    return _joined_back(docs, [key], path, text, make, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veldt.llm.bpe_codec import default_tokenizer, slices, texts_of, word_table
+from veldt.llm.bpe_codec import Encoder, default_tokenizer
+from veldt.llm.common import slices
 
 CAPACITY = 4096
 END_ID = 2
@@ -74,24 +75,28 @@ def cut(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = word_table(path, path, {})
+        encoder = Encoder(path)
         end = np.array([end_id], dtype="<u4").tobytes()
         step = 4 * capacity
-        for rows in slices(batches):
-            at, found = [], []
-            for i, ids in enumerate(table.encode_all(texts_of(rows.column(2)))):
-                ids += end
-                for start in range(0, len(ids), step):
-                    piece = ids[start : start + step]
+        for rows in slices(batches, 2, 4096):
+            ids, stop = encoder.encode(rows.column(2))
+            at, found, last = [], [], 0
+            for i, after in enumerate(stop.tolist()):
+                whole = ids[last:after].tobytes() + end
+                last = after
+                for start in range(0, len(whole), step):
+                    piece = whole[start : start + step]
                     at.append(i)
-                    found.append((start // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4))
-            whole = rows.take(pa.array(at, pa.int64()))
+                    found.append((start // 4, len(piece) // 4, zlib.crc32(piece), len(whole) // 4))
+            taken = rows.take(pa.array(at, pa.int64()))
             columns = [pa.array(c, pa.int64()) for c in zip(*found)]
-            yield pa.RecordBatch.from_arrays([whole.column(0), *columns, whole.column(1)], ["key", "start", "length", "ids_crc32", "doc_tokens", "row_id"])
+            yield pa.RecordBatch.from_arrays([taken.column(0), *columns, taken.column(1)], ["key", "start", "length", "ids_crc32", "doc_tokens", "row_id"])
 
     schema = f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long, row_id long"
     body = F.col(text).cast("string")
-    return docs.select(F.col(key).alias("key"), F.xxhash64(F.col(key), body).alias("row_id"), body.alias("text")).mapInArrow(run, schema)
+    # rows that repeat key and text need numbers of their own, to be dealt apart
+    number = F.xxhash64(F.col(key), body, F.monotonically_increasing_id())
+    return docs.select(F.col(key).alias("key"), number.alias("row_id"), body.alias("text")).mapInArrow(run, schema)
 
 
 def pack(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, group_docs: int = GROUP_DOCS) -> DataFrame:
