@@ -42,6 +42,48 @@ def test_embeddings_against_all_pairs(spark, seed):
     assert sorted(map(tuple, embedding_links.near_duplicates(df).collect())) == plain_links(rows)
 
 
+def test_small_runs_and_blocks_lose_no_link(spark, monkeypatch):
+    r = np.random.default_rng(7)
+    for run in (1, 3, 64):
+        a, b = r.normal(size=(int(r.integers(1, 200)), 3)), r.normal(size=(int(r.integers(1, 200)), 3))
+        a, b = a[np.lexsort(a.T)], b[np.lexsort(b.T)]
+        i, j = embedding_links.near_runs(a, b, 0.3, run)
+        found = set(zip(i.tolist(), j.tolist()))
+        close = np.argwhere(((a[:, None] - b[None]) ** 2).sum(-1) <= 0.09)
+        assert {(x // run, y // run) for x, y in close.tolist()} <= found and len(found) == len(i)
+    monkeypatch.setattr(embedding_links, "BLOCK", 7)
+    rows = [(k, (np.eye(12)[k % 5] + r.normal(scale=0.08, size=12)).astype(np.float32).tolist(), k % 2) for k in range(60)]
+    assert sorted(map(tuple, embedding_links.near_duplicates(spark.createDataFrame(rows, VEC)).collect())) == plain_links(rows)
+    x = np.array([v for _, v, _ in rows], np.float64)
+    monkeypatch.setattr(embedding_links, "RUN", 4)
+    u = embedding_links.unit(x)
+    found = {(i, j) for a, b in embedding_links.compare(x, x, u[:, :4], u[:, :4], True, 0.93) for i, j in zip(a.tolist(), b.tolist())}
+    assert found == {(i, j) for i, j in np.argwhere(u @ u.T >= 0.93).tolist() if i != j}
+
+
+def test_rows_without_keys(spark, monkeypatch):
+    docs = spark.createDataFrame([(k if k % 50 else None, "t", k) for k in range(2000)], "key long, text string, `a.b` long")
+    lost = spark.createDataFrame([(k,) for k in range(0, 2000, 7)], "__lost long")
+    for bits in (1 << 26, 1 << 10):
+        monkeypatch.setattr(common, "MAP_BITS", bits)
+        monkeypatch.setattr(common, "MOST_MAP_BITS", bits)
+        left = common.without(docs, lost, "key")
+        assert sorted(r["a.b"] for r in left.collect()) == [k for k in range(2000) if k % 50 == 0 or k % 7]
+        assert common.without(docs, lost.limit(0), "key").count() == 2000
+
+
+def test_hot_keys_are_spread_and_joined_whole(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_SHARE", 4)
+    left = spark.createDataFrame([(min(k % 3, 1) * (k % 10), k) for k in range(300)] + [(None, 1000)], "on long, k long")
+    right = left.where("on is not null").groupBy("on").agg(F.count(F.lit(1)).alias("met"))
+    for how in ("inner", "left"):
+        out = common.spread_join(left, right, "on", "met", 300, F.col("k"), how)
+        assert out.count() == (300 if how == "inner" else 301)
+        assert out.where("on is not null").select("k").distinct().count() == 300 and out.where("on = 0").count() == left.where("on = 0").count() > 100
+    parts = common.spread_join(left, right, "on", "met", 300, F.col("k"), "inner")
+    assert set(parts.columns) == {"on", "k", "met"}
+
+
 def test_embeddings_copies_and_empty(spark):
     rows = [(k, [1.0, 0.0], 1) for k in range(50)]
     out = embedding_links.near_duplicates(spark.createDataFrame(rows, VEC)).collect()
@@ -91,6 +133,20 @@ def test_simhash_large_buckets_lose_no_link(spark, monkeypatch):
     assert groups(range(len(codes)), edges) == want
 
 
+def test_gray_index_counts_all_differences(monkeypatch):
+    r = np.random.default_rng(2)
+    codes = np.unique(r.integers(0, 2**63, 40, dtype=np.uint64))
+    near = codes ^ (np.uint64(1) << r.integers(0, 64, len(codes)).astype(np.uint64))
+    codes = np.unique(np.concatenate([codes, near, near ^ np.uint64(6)]))
+    codes = codes[np.argsort(simhash_links.gray_rank(codes))]
+    monkeypatch.setattr(simhash_links, "LEAF", 2)
+    left, right = simhash_links.GrayIndex(codes).block_pairs(4)
+    found = set(zip(left.tolist(), right.tolist()))
+    links = np.argwhere(np.bitwise_count(codes[:, None] ^ codes[None]) <= 4)
+    assert {(a // 2, b // 2) for a, b in links.tolist() if a <= b} <= found
+    assert len(found) < (len(codes) // 2) ** 2 / 4
+
+
 def test_simhash_null_keys_and_empty(spark):
     df = spark.createDataFrame([(None, "a b c d", "en", "s", 1), (4, "a b c d", "en", "s", 1), (4, "a b c d", "en", "s", 1)], DOCS)
     assert sorted(((r["doc_id"], r["component_id"]) for r in simhash_links.near_duplicates(df).collect()), key=str) == [(4, 4), (4, 4), (None, 4)]

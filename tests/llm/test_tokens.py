@@ -3,9 +3,11 @@
 import hashlib
 import html
 import re
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,13 +37,32 @@ def test_round_trip_is_the_library(spark, tok):
     assert bpe_codec.round_trip(df.limit(0)).count() == 0
 
 
-def test_small_word_table_gives_the_same(tok, monkeypatch):
-    for name, value in {"KEPT_WORDS": 30, "KEPT_PARTS": 20, "PARTS_AT_ONCE": 7, "LONG_WORDS": 25, "BYTES_AT_ONCE": 300}.items():
+def test_small_bounds_give_the_same(spark, tok, monkeypatch):
+    for name, value in {"KEPT_LETTERS": 60, "LETTERS_AT_ONCE": 30, "WORDS_AT_ONCE": 7}.items():
         monkeypatch.setattr(bpe_codec, name, value)
-    texts = [x or "" for x in ODD] + [prose(k, 200) for k in range(10)]
-    table = bpe_codec.WordTable(bpe_codec.default_tokenizer(), {})
-    for t, ids in zip(texts, table.encode_all([t.encode() for t in texts]), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+    texts = [x or "" for x in ODD] + [prose(k, 200) for k in range(10)] + ["a\x01b \x01 c", "\x01"]
+    encoder = bpe_codec.Encoder(bpe_codec.default_tokenizer())
+    for part in (texts[:5], texts[5:], texts):
+        ids, stop = encoder.encode(pa.array(part))
+        assert [x.tolist() for x in np.split(ids, stop[:-1])] == [tok.encode(t, add_special_tokens=False).ids for t in part]
+
+
+def test_words_without_a_separator(tok, monkeypatch):
+    monkeypatch.setattr(bpe_codec, "separator", lambda path: None)
+    words = ["it's", "", "ONE", "<|endoftext|>"]
+    found = bpe_codec.encode_words(bpe_codec.default_tokenizer(), words)
+    assert [np.frombuffer(x, "<u4").tolist() for x in found] == [tok.encode(w, add_special_tokens=False).ids for w in words]
+
+
+def test_encoding_many_small_blocks(spark, tok, monkeypatch):
+    monkeypatch.setattr(bpe_codec, "BLOCK_BYTES", 50)
+    rows = [(k % 7 if k % 5 else None, x, k) for k, x in enumerate([*ODD, *(prose(k, 40) for k in range(300)), prose(9, 20000)])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, word long").repartition(3)
+    out = bpe_codec.encode(df)
+    assert out.columns == ["doc_id", "text", "word", "ids"]
+    found = out.collect()
+    assert sorted(r["word"] for r in found) == list(range(len(rows)))
+    assert all(list(r["ids"]) == tok.encode(r["text"] or "", add_special_tokens=False).ids and r["text"] == rows[r["word"]][1] for r in found)
 
 
 def test_first_fit_decreasing_is_the_plain_one():
@@ -115,6 +136,92 @@ def test_other_layouts(spark, net):
     assert html_text.extract(df.limit(0), net).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ('<p>one</p><img alt="5" tall"><p>two words</p><img alt="6" tall"><p>three</p>', ["one", "two words", "three"]),
+        ("<p title=it's>one</p><p>two's</p>", ["one", "two's"]),
+        ("<p a='x>y' b=\"<p>\">one</p><a href=x\"y>two</a>", ["one", "two"]),
+        ('<p>one<p class="open>two</p><p>three</p>', ["one", "two", "three"]),
+    ],
+)
+def test_quotes_in_tags(page, want):
+    assert [b.text for b in html_text.blocks_of(page)] == want
+
+
+def test_deep_pages_take_linear_time(net):
+    for page in ("<div>a" * 50_000, "<b>" * 50_000 + "<p>x</p>" * 20_000 + "</i>" * 50_000, "<a b='><" * 50_000):
+        began = time.perf_counter()
+        blocks = html_text.blocks_of(page)
+        assert time.perf_counter() - began < 4 and blocks
+    assert len(net.scores([html_text.blocks_of("<div>a b" * 30_000)])[0]) == 30_000
+
+
+def test_paths_of_deep_elements_are_those_of_the_nearest():
+    plain, r = [], np.random.default_rng(0)
+    opened = html_text.Open()
+    for _ in range(3000):
+        if plain and r.random() < 0.48:
+            tag = plain[int(r.integers(max(0, len(plain) - 5), len(plain)))][0]
+            while plain and plain.pop()[0] != tag:
+                pass
+            opened.end(tag)
+        else:
+            tag = ["div", "b", "p", "i"][int(r.integers(4))]
+            slots = tuple(int(x) for x in r.integers(0, 300, 3))
+            plain.append((tag, slots))
+            opened.push(tag, slots)
+        want = {s for _, slots in plain[-html_text.DEPTH :] for s in slots} | {s + 1 for s in (plain[-1][1] if plain else ())}
+        assert opened.path() == sorted(want)
+        assert opened.block() == next((t for t, _ in reversed(plain) if t in ("div", "p")), "")
+
+
+def test_gradients_are_slopes():
+    net = html_text.Labeller(3)
+    net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
+    made = html_text.made_pages(3, 1)
+    pages = html_text.Pages([b for b, _ in made])
+    labels = np.concatenate([made[k][1] for k in pages.order])
+
+    def loss():
+        score, _ = net.forward(pages)
+        return float(np.mean(np.logaddexp(0, score) - labels * score))
+
+    grads, r = net.gradients(pages, labels), np.random.default_rng(0)
+    for k, w in net.w.items():
+        for _ in range(5):
+            at = tuple(int(r.integers(0, d)) for d in w.shape)
+            if k in ("path", "word"):
+                at = int(r.choice(pages.path if k == "path" else pages.word)), at[1]
+            now = w[at]
+            w[at] = now + 1e-3
+            up = loss()
+            w[at] = now - 1e-3
+            slope = (up - loss()) / 2e-3
+            w[at] = now
+            assert abs(slope - grads[k][at]) < 1e-4 * max(1, abs(slope) * 100)
+
+
+def test_forward_pass_is_the_plain_recurrence(net, monkeypatch):
+    monkeypatch.setattr(html_text, "BLOCKS_AT_ONCE", 30)
+    made = [b for b, _ in html_text.made_pages(6, 2)]
+    size = html_text.HIDDEN
+    for blocks, got in zip(made, net.scores(made)):
+        x, _ = net.inputs(html_text.Pages([blocks]))
+        states = []
+        for w, b, order in ((net.w["wf"], net.w["bf"], range(len(x))), (net.w["wb"], net.w["bb"], reversed(range(len(x))))):
+            h, c, out = np.zeros(size), np.zeros(size), np.zeros((len(x), size))
+            for t in order:
+                g = np.concatenate([x[t], h]) @ w + b
+                i, f, o = (1 / (1 + np.exp(-g[k * size : (k + 1) * size])) for k in range(3))
+                c = f * c + i * np.tanh(g[3 * size :])
+                h = o * np.tanh(c)
+                out[t] = h
+            states.append(out)
+        want = np.concatenate([x, *states], axis=1) @ net.w["out"][:, 0] + net.w["bias"]
+        assert np.allclose(got, want, atol=1e-3)
+
+
 @pytest.mark.parametrize("page", ["<", "<a", "<p", "a < b", "<!--", "<script>x", "</p></p>", "<p class='x", "<div " * 200, "&#0;&bogus;", "<p>" * 3000])
 def test_broken_pages(net, page):
     net.scores([html_text.blocks_of(page)])

@@ -3,11 +3,11 @@
 A word here is what stands between ASCII white space. The tokenizer never joins characters across white space and white space
 itself yields no token, so the ids of a text are the ids of its words in order.
 
-1. Spark's ``split`` cuts the texts into words. Each task numbers the distinct words of a block of texts (some MB) and keeps the
-   texts as those numbers: words and numbered texts are written once.
+1. Spark's ``split`` cuts the texts into words. Each task numbers the distinct words of a block of texts (some tens of MB) in
+   their order and keeps the texts as those numbers: words and numbered texts are written once, in buckets by block.
 2. The words are dealt and sorted by themselves: the word table, a row for each word and block that holds it. Each distinct
-   word is encoded once, and its ids go back to the blocks under the word's number there. So a word costs a row a block and
-   not a row an occurrence.
+   word is encoded once, and its ids go back to the blocks under the word's number there, many in a row. So a word costs a
+   row a block and not a row an occurrence, and texts are never shuffled.
 3. The ids of a block's words are joined with the block's texts by position.
 
 Decoding joins ids with the id-to-piece table. That table has the vocabulary's size, which bounds its broadcast; ids find their
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import os
 from collections.abc import Iterator
 
@@ -29,14 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veldt.llm.common import slices, stored
+from veldt.llm.common import Tables, stored
 
 #: Blocks end at so many bytes of words.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 48 << 20
+#: Ids go back to the blocks by so many words at a time.
+WORDS_BACK = 1 << 18
 #: Words are given to the tokenizer together, up to so many letters.
-LETTERS_AT_ONCE = 20_000
-#: A worker that encodes whole texts keeps words of so many letters together.
-KEPT_LETTERS = 1_500_000
+LETTERS_AT_ONCE = 200_000
+#: A worker that encodes whole texts keeps words of so many letters together, and as many that it met before.
+KEPT_LETTERS = 800_000
 WORDS_AT_ONCE = 1 << 20
 WHITE = "[ \\t\\n\\x0B\\f\\r]+"
 
@@ -70,36 +73,64 @@ def separator(path: str) -> tuple[str, int] | None:
     return None
 
 
+@functools.lru_cache(maxsize=2)
+def word_ends(path: str) -> np.ndarray:
+    """For each id whether its piece ends a word, by the suffix that the tokenizer's model declares; all false if it has none."""
+    suffix = json.loads(tokenizer(path).to_str())["model"].get("end_of_word_suffix")
+    return np.array([bool(suffix) and p.endswith(suffix) for p in pieces(path)])
+
+
 def encode_words(path: str, words: list[str]) -> list[bytes]:
     """The ids of each word as little-endian unsigned 32-bit integers.
 
-    Many words go to the tokenizer as one text with a separator between; words that hold the separator go alone.
+    Many words go to the tokenizer as one text. Words of letters come back with at least one word end each: if there are as
+    many ends as words, each end closes one. Other words, and these where it isn't so, have a separator between them; words
+    that hold the separator go alone.
     """
-    tok, found = tokenizer(path), separator(path)
     out = [b""] * len(words)
-    sign, sign_id = found or ("", -1)
-    together = [i for i, w in enumerate(words) if sign not in w]  # every word holds the empty sign
-    alone = [i for i, w in enumerate(words) if w and sign in w]
-    sizes = np.cumsum([len(words[i]) + 3 for i in together]) // LETTERS_AT_ONCE
-    edges = [0, *(np.flatnonzero(sizes[1:] != sizes[:-1]) + 1).tolist(), len(together)]
-    for a, b in zip(edges, edges[1:]):
-        run = together[a:b]
-        text = f" {sign} ".join([words[i] for i in run])
-        ids = np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+    letters, others = [], []
+    for i, w in enumerate(words):
+        (letters if w.isalpha() else others).append(i)
+    for run in _runs(words, letters):
+        ids = _ids(path, " ".join([words[i] for i in run]))
+        cut = np.flatnonzero(word_ends(path)[ids]) + 1
+        if len(cut) != len(run):
+            others += run
+            continue
+        _share(out, run, ids, np.concatenate(([0], cut[:-1])), cut)
+    sign, sign_id = separator(path) or ("", -1)  # every word holds the empty sign
+    alone = [i for i in others if words[i] and sign in words[i]]
+    for run in _runs(words, [i for i in others if sign not in words[i]]):
+        ids = _ids(path, f" {sign} ".join([words[i] for i in run]))
         cut = np.flatnonzero(ids == sign_id)
         if len(cut) + 1 != len(run):
             alone += run
             continue
-        flat = ids.tobytes()
-        for i, x, y in zip(run, [0, *(4 * (cut + 1)).tolist()], [*(4 * cut).tolist(), len(flat)]):
-            out[i] = flat[x:y]
+        _share(out, run, ids, np.concatenate(([0], cut + 1)), np.concatenate((cut, [len(ids)])))
     for at in range(0, len(alone), 1000):
         some = alone[at : at + 1000]
-        for i, e in zip(some, tok.encode_batch_fast([words[i] for i in some], add_special_tokens=False)):
+        for i, e in zip(some, tokenizer(path).encode_batch_fast([words[i] for i in some], add_special_tokens=False)):
             out[i] = np.array(e.ids, dtype="<u4").tobytes()
     return out
 
 
+def _ids(path: str, text: str) -> np.ndarray:
+    return np.array(tokenizer(path).encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+
+def _runs(words: list[str], which: list[int]) -> Iterator[list[int]]:
+    if which:
+        sizes = np.cumsum([len(words[i]) + 3 for i in which]) // LETTERS_AT_ONCE
+        edges = [0, *(np.flatnonzero(sizes[1:] != sizes[:-1]) + 1).tolist(), len(which)]
+        yield from (which[a:b] for a, b in zip(edges, edges[1:]))
+
+
+def _share(out: list[bytes], run: list[int], ids: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+    flat = ids.tobytes()
+    for i, a, b in zip(run, (4 * begin).tolist(), (4 * end).tolist()):
+        out[i] = flat[a:b]
+
+
 def gather(codes: np.ndarray, ends: np.ndarray, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids joined back by position: (ids of all texts one after another, where each text's ids end).
 
@@ -120,26 +151,32 @@ class Encoder:
     """Encodes whole texts in one task; keeps the ids of words it has met, up to a bound."""
 
     def __init__(self, path: str):
-        self.path, self.ids, self.letters = path, {}, 0
+        self.path, self.ids, self.old, self.letters = path, {}, {}, 0
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, where each text's ids end); a null text has none."""
         words = pc.ascii_split_whitespace(texts.fill_null(""))
         coded = words.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        lacking = [w for w in distinct if w not in self.ids]
-        letters = sum(map(len, lacking))
-        if self.letters + letters > KEPT_LETTERS and self.ids:
-            self.ids, self.letters, lacking, letters = {}, 0, distinct, sum(map(len, distinct))
-        self.ids.update(zip(lacking, encode_words(self.path, lacking)))
-        self.letters += letters
-        bags = [self.ids[w] for w in distinct]
+        if self.letters > KEPT_LETTERS:  # the words of late become the old ones
+            self.old, self.ids, self.letters = self.ids, {}, 0
+        bags = list(map(self.ids.get, distinct))
+        new = [i for i, bag in enumerate(bags) if bag is None]
+        lacking = []
+        for i in new:
+            bags[i] = self.old.get(distinct[i])
+            if bags[i] is None:
+                lacking.append(i)
+        for i, bag in zip(lacking, encode_words(self.path, [distinct[i] for i in lacking])):
+            bags[i] = bag
+        self.ids.update([(distinct[i], bags[i]) for i in new])
+        self.letters += sum([len(distinct[i]) for i in new])
         sizes = np.fromiter(map(len, bags), np.int64, len(bags)) // 4
         ends = np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False))
         return gather(coded.indices.to_numpy(), ends, np.frombuffer(b"".join(bags), "<u4"), np.cumsum(sizes) - sizes, sizes)
 
 
-def _split(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
+def _split(docs: DataFrame, keep: list[str], text: str, tables: Tables) -> DataFrame:
     """Written rows of two kinds: numbered texts (block, rows, ends, codes) and the words of each block (block, code, word).
 
     ``rows`` holds the columns ``keep`` of some texts; codes are the numbers of their words in the block, as compressed
@@ -155,12 +192,15 @@ def _split(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
 
         def done() -> Iterator[pa.RecordBatch]:
             numbered = pa.chunked_array([coded for _, _, coded in part]).unify_dictionaries()
+            order = pc.sort_indices(numbered.chunk(0).dictionary).to_numpy()
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order), dtype=np.int32)
             for (rows, ends, _), coded in zip(part, numbered.chunks):
-                codes = pa.compress(coded.indices.cast(pa.int32()).buffers()[1], codec="zstd", asbytes=True) if len(coded) else b""
+                codes = packed(rank[coded.indices.to_numpy()])
                 yield batch_of(
                     1, rows=pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows), ends=pa.array([ends], pa.list_(pa.int64())), codes=pa.array([codes], pa.binary())
                 )
-            found = numbered.chunk(0).dictionary
+            found = numbered.chunk(0).dictionary.take(pa.array(order))
             for at in range(0, len(found), 1 << 16):
                 some = found.slice(at, 1 << 16)
                 yield batch_of(len(some), code=pa.array(np.arange(at, at + len(some)), pa.int32()), word=some)
@@ -184,14 +224,42 @@ def _split(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
         if part:
             yield from done()
 
-    return stored(cut.mapInArrow(run, f"block long, rows array<{kind}>, ends array<long>, codes binary, code int, word string"), "split")
+    return tables.write(cut.mapInArrow(run, f"block long, rows array<{kind}>, ends array<long>, codes binary, code int, word string"), "split")
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    return pa.compress(numbers.tobytes(), codec="zstd", asbytes=True) if len(numbers) else b""
+
+
+def unpacked(numbers: bytes, n: int, kind: str) -> np.ndarray:
+    return np.frombuffer(pa.decompress(numbers, n * np.dtype(kind).itemsize, codec="zstd"), kind) if n else np.zeros(0, kind)
 
 
 def _word_ids(split: DataFrame, path: str) -> DataFrame:
-    """Rows (block, code, ids): every distinct word is encoded once, where its rows of all blocks stand together."""
+    """Rows (block, n, total, codes, sizes, ids) of many words of a block each.
+
+    Every distinct word is encoded once, where its rows of all blocks stand together.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: dict[str, bytes] = {}  # the word that the batch before ended with
+        waiting, rows = [], 0
+
+        def back() -> pa.RecordBatch:
+            block, code = (np.concatenate([w[k] for w in waiting]) for k in (0, 1))
+            bags = pa.concat_arrays([w[2] for w in waiting])
+            order = np.lexsort((code, block))
+            block, code = block[order], code[order]
+            edges = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1]))).tolist()
+            made = []
+            for a, b in zip(edges, [*edges[1:], len(block)]):
+                some = bags.take(pa.array(order[a:b]))
+                ids = np.frombuffer(b"".join(some.to_pylist()), "<u4")
+                sizes = pc.binary_length(some).to_numpy(zero_copy_only=False) // 4
+                made.append((int(block[a]), b - a, len(ids), packed(np.diff(code[a:b], prepend=0).astype("<i4")), packed(sizes.astype("<u4")), packed(ids)))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made), kinds)], ["block", "n", "total", "codes", "sizes", "ids"])
+
         for batch in batches:
             coded = batch.column(0).dictionary_encode()
             distinct = coded.dictionary.to_pylist()
@@ -199,36 +267,48 @@ def _word_ids(split: DataFrame, path: str) -> DataFrame:
             ids = dict(zip(lacking, encode_words(path, lacking))) | last
             last = {w: ids[w] for w in distinct[-1:]}
             bags = pa.array([ids[w] for w in distinct], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), bags.take(coded.indices)], ["block", "code", "ids"])
+            waiting.append((batch.column(1).to_numpy(), batch.column(2).to_numpy(), bags.take(coded.indices)))
+            rows += batch.num_rows
+            if rows >= WORDS_BACK:
+                yield back()
+                waiting, rows = [], 0
+        if rows:
+            yield back()
 
     words = split.where("word IS NOT NULL").select("word", "block", "code").repartition("word").sortWithinPartitions("word")
-    return words.mapInArrow(run, "block long, code int, ids binary")
+    return words.mapInArrow(run, "block long, n long, total long, codes binary, sizes binary, ids binary")
 
 
 def _joined_back(docs: DataFrame, keep: list[str], path: str, text: str, make, schema: T.StructType) -> DataFrame:
     """The columns ``keep`` of ``docs`` and those that ``make`` gives for (ids of some texts, where each text's ids end)."""
-    split = _split(docs, keep, text)
+    tables = Tables(docs.sparkSession, "block")
+    split = _split(docs, keep, text, tables)
     texts = split.where("codes IS NOT NULL").select("block", "rows", "ends", "codes")
 
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
-        order = np.argsort(words.column("code").to_numpy())
-        bags = words.column("ids").combine_chunks().take(pa.array(order))
-        sizes = pc.binary_length(bags).to_numpy(zero_copy_only=False).astype(np.int64) // 4
-        flat = np.frombuffer(b"".join(bags.to_pylist()), "<u4")
-        starts, parts = np.cumsum(sizes) - sizes, []
+        found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, "<u4")]
+        for n, total, *parts in zip(*(words.column(c).to_pylist() for c in ("n", "total", "codes", "sizes", "ids"))):
+            numbers = unpacked(parts[0], n, "<i4"), unpacked(parts[1], n, "<u4"), unpacked(parts[2], total, "<u4")
+            for column, more in zip(found, (np.cumsum(numbers[0]), numbers[1].astype(np.int64), numbers[2])):
+                column.append(more)
+        codes_of, size_of, flat = map(np.concatenate, found)
+        starts, sizes = np.empty(len(codes_of), np.int64), np.empty(len(codes_of), np.int64)
+        starts[codes_of], sizes[codes_of] = np.cumsum(size_of) - size_of, size_of
+        made = []
         for k in range(texts.num_rows):
             rows, ends = texts.column("rows")[k].values, texts.column("ends")[k].values.to_numpy()
-            n, packed = int(ends[-1]) if len(ends) else 0, texts.column("codes")[k].as_py()
-            codes = np.frombuffer(pa.decompress(packed, 4 * n, codec="zstd"), np.int32) if n else np.zeros(0, np.int32)
+            codes = unpacked(texts.column("codes")[k].as_py(), int(ends[-1]), "<i4")
             ids, stop = gather(codes, ends, flat, starts, sizes)
-            parts.append(pa.Table.from_arrays([*(rows.field(i) for i in range(len(keep))), *make(ids, stop)], names=names))
-        return pa.concat_tables(parts)  # no block is without texts
+            made.append(pa.Table.from_arrays([*(rows.field(i) for i in range(len(keep))), *make(ids, stop)], names=names))
+        return pa.concat_tables(made)  # no block is without texts
 
     # inside, columns have numbers: names of docs may clash with each other
     names = [f"c{i}" for i in range(len(schema))]
     inner = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, schema)])
     done = texts.groupBy("block").cogroup(_word_ids(split, path).groupBy("block")).applyInArrow(run, inner)
-    return done.toDF(*schema.names)
+    out = stored(done, "joined").toDF(*schema.names)
+    tables.drop()
+    return out
 
 
 def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -247,6 +327,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: st
     return _joined_back(docs, keep, path or default_tokenizer(), text, make, schema)
 
 
+@functools.lru_cache(maxsize=2)
 def pieces(path: str | None = None) -> list[str]:
     """The id-to-piece table: the piece of every id, 49,408 rows."""
     tok = tokenizer(path or default_tokenizer())

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Used only where the cluster names no shared folder, as in tests on one machine.
@@ -25,33 +25,81 @@ def scratch(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+class Tables:
+    """Tables dealt by a column into the same number of buckets, so that joins on it don't shuffle them; dropped at the end."""
+
+    def __init__(self, spark: SparkSession, by: str = "key"):
+        self.spark, self.by, self.names = spark, by, []
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """Each task of ``df`` is best to hold few buckets, as it writes a file for each."""
+        table = f"veldt_{name}_{uuid.uuid4().hex}"
+        self.names.append(table)
+        df.write.option("path", f"{scratch(self.spark)}/{table}").option("compression", "zstd").bucketBy(self.buckets, self.by).saveAsTable(table)
+        return self.spark.table(table)
+
+    def drop(self) -> None:
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            forget(self.spark, f"{scratch(self.spark)}/{name}")
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared folder that nothing reads any more."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-#: Bits of the map of keys in ``without``: 8 MB, in pages of 4 KB.
-MAP_BITS, PAGE_BITS = 1 << 26, 1 << 15
+#: Bits of the map of keys in ``doubtful``: at least 1 MB and at most 32 MB, in pages of 4 KB.
+MAP_BITS, MOST_MAP_BITS, PAGE_BITS = 1 << 23, 1 << 28, 1 << 15
 
 
-def without(docs: DataFrame, lost: DataFrame, key: str) -> DataFrame:
-    """``docs`` without the rows whose ``key`` stands in the one column of ``lost``; rows with a null key stay.
+def doubtful(docs: DataFrame, keys: DataFrame, key: str, name: str = "__doubtful") -> DataFrame:
+    """``docs`` with a boolean added: false where ``key`` surely isn't in the one column of ``keys``, true for all others.
 
-    A bit map of hashed keys, whose size is fixed, is broadcast. Rows whose bit is not set stay where they are; only the others,
-    the lost ones and a few more, are shuffled with their texts to be told apart exactly. However full the map is, the result is the same.
+    A bit map of hashed keys is broadcast, which has about sixteen bits a key within fixed bounds. It takes no shuffle of
+    ``docs``; what is to be told apart exactly is the rows found doubtful only. However full the map is, no key of ``keys`` is
+    missed. ``keys`` is to be a written table, as it is read twice.
     """
-    name = lost.columns[0]
-    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
-    pages = lost.select(spot(F.col(name)).alias("at")).groupBy(F.expr(f"at div {PAGE_BITS}").alias("__page"))
+    bits = min(max(MAP_BITS, 1 << (16 * keys.count()).bit_length()), MOST_MAP_BITS)
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    pages = keys.select(spot(F.col(keys.columns[0])).alias("at")).groupBy(F.expr(f"at div {PAGE_BITS}").alias("__page"))
     pages = stored(pages.agg(F.bitmap_construct_agg(F.col("at") % PAGE_BITS).alias("__bits")), "map")
     columns = [f"`{c}`" for c in docs.columns]
     placed = docs.select(*columns, spot(F.col(key)).alias("__at")).join(F.broadcast(pages), F.expr(f"__at div {PAGE_BITS} = __page"), "left")
     byte = F.conv(F.hex(F.substring("__bits", F.expr(f"cast(__at % {PAGE_BITS} div 8 as int) + 1"), F.lit(1))), 16, 10).cast("long")
-    doubtful = F.coalesce(F.expr("cast(__at % 8 as int)"), F.lit(0))
-    doubtful = F.coalesce(F.call_function("shiftright", byte, doubtful).bitwiseAND(F.lit(1)) == 1, F.lit(False))
-    told = placed.where(doubtful).select(*columns).join(lost, F.col(key) == F.col(name), "left_anti")
-    return placed.where(~doubtful).select(*columns).unionByName(told.select(*columns))
+    set_ = F.call_function("shiftright", byte, F.expr("cast(__at % 8 as int)")).bitwiseAND(F.lit(1)) == 1
+    return placed.select(*columns, F.coalesce(set_, F.lit(False)).alias(name))
+
+
+def without(docs: DataFrame, lost: DataFrame, key: str) -> DataFrame:
+    """``docs`` without the rows whose ``key`` stands in the one column of ``lost``; rows with a null key stay.
+
+    Only rows found doubtful, the lost ones and a few more, are shuffled with their texts to be told apart exactly.
+    """
+    columns = [f"`{c}`" for c in docs.columns]
+    placed = doubtful(docs, lost, key)
+    told = placed.where("__doubtful").join(lost, F.col(key) == F.col(lost.columns[0]), "left_anti")
+    return placed.where("NOT __doubtful").select(*columns).unionByName(told.select(*columns))
+
+
+#: A key is hot if more than one in so many rows have it; so there are fewer hot keys than that. Its rows are dealt to so many parts.
+HOT_SHARE, HOT_PARTS = 4096, 64
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: str, met: str, total: int, by: Column, how: str) -> DataFrame:
+    """``left`` joined with ``right``, which has one row for each ``on`` and in ``met`` how many of ``total`` rows of the left have it.
+
+    The rows of hot keys are dealt by ``by`` to HOT_PARTS parts and meet a copy of the key's row in each. The list of hot keys is
+    broadcast; it is shorter than HOT_SHARE, as their rows add up to ``total``. A written ``right`` is read twice, not computed.
+    """
+    hot = right.where(F.col(met) * HOT_SHARE > total).select(F.col(on).alias("__hot"))
+    parts = lambda is_hot: F.when(is_hot, F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))
+    many = right.withColumn("__part", F.explode(parts(F.col(met) * HOT_SHARE > total)))
+    dealt = left.join(F.broadcast(hot), F.col(on) == F.col("__hot"), "left")
+    part = F.when(F.col("__hot").isNotNull(), F.pmod(F.xxhash64(by), F.lit(HOT_PARTS)).cast("int")).otherwise(F.lit(0))
+    return dealt.withColumn("__part", part).drop("__hot").join(many, [on, "__part"], how).drop("__part")
 
 
 def text_once(docs: DataFrame, keep: list[str], text: str) -> tuple[DataFrame, int]:

@@ -3,7 +3,8 @@
 Unit vectors with cosine c are sqrt(2 - 2c) apart, so a cosine threshold is a distance epsilon. Vectors are projected on
 a few leading principal directions (distances can only shrink there), cut into grid cells of side epsilon and sorted by
 cell. Intervals of that sequence are joined with each other recursively: a pair of intervals whose projected boxes
-are more than epsilon apart is skipped with all it holds. Surviving pairs of blocks are compared in double precision.
+are more than epsilon apart is skipped with all it holds. The recursion runs in Spark joins down to blocks and inside a task
+from a block down to runs of RUN vectors. Surviving pairs of runs are compared in double precision.
 """
 
 from __future__ import annotations
@@ -22,9 +23,10 @@ COSINE = 0.93
 DIRECTIONS = 4
 #: The principal directions come from at most twice so many vectors. Any directions give the same links; these prune best.
 SAMPLE = 4096
-BLOCK = 8192
+#: A block ends at so many vectors or so many bytes of them; a run is the last interval of the recursion.
+BLOCK, BLOCK_BYTES = 8192, 16 << 20
 FAN = 8
-STRIP = 512
+RUN = 64
 #: Products this close to the threshold are computed again one by one.
 MARGIN = 1e-9
 
@@ -49,7 +51,7 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def _blocks(distinct: DataFrame, axes: dict[int, np.ndarray], epsilon: float, directions: int) -> DataFrame:
-    """Rows (block, dim, label, lo, hi, reps, weights, data): runs of the grid order of one label and dimension."""
+    """Rows (block, dim, label, lo, hi, reps, weights, points, data): intervals of the grid order of one label and dimension."""
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,14 +82,14 @@ def _blocks(distinct: DataFrame, axes: dict[int, np.ndarray], epsilon: float, di
             points = np.array([r["point"] for r in rows])
             columns = [
                 [made], [rows[0]["label"]], [rows[0]["dim"]], [points.min(0)], [points.max(0)],
-                [[r["rep"] for r in rows]], [[r["weight"] for r in rows]], [b"".join(r["data"] for r in rows)],
+                [[r["rep"] for r in rows]], [[r["weight"] for r in rows]], [points.tobytes()], [b"".join(r["data"] for r in rows)],
             ]
-            kinds = [pa.int64(), pa.string(), pa.int32(), *[pa.list_(pa.float64())] * 2, *[pa.list_(pa.int64())] * 2, pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["run", "label", "dim", "lo", "hi", "reps", "weights", "data"])
+            kinds = [pa.int64(), pa.string(), pa.int32(), *[pa.list_(pa.float64())] * 2, *[pa.list_(pa.int64())] * 2, pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["run", "label", "dim", "lo", "hi", "reps", "weights", "points", "data"])
 
         for batch in batches:
             for r in batch.to_pylist():
-                if rows and ((r["label"], r["dim"]) != key or len(rows) >= BLOCK):
+                if rows and ((r["label"], r["dim"]) != key or len(rows) >= min(BLOCK, BLOCK_BYTES // (8 * r["dim"]))):
                     yield done()
                     made, rows = made + 1, []
                 key = r["label"], r["dim"]
@@ -103,7 +105,7 @@ def _blocks(distinct: DataFrame, axes: dict[int, np.ndarray], epsilon: float, di
     runs = (
         points.repartitionByRange(parts, *order)
         .sortWithinPartitions(*order)
-        .mapInArrow(cut, "run long, label string, dim int, lo array<double>, hi array<double>, reps array<long>, weights array<long>, data binary")
+        .mapInArrow(cut, "run long, label string, dim int, lo array<double>, hi array<double>, reps array<long>, weights array<long>, points binary, data binary")
     )
     # partitions follow the grid order, and so do these numbers
     return stored(runs.withColumn("block", F.spark_partition_id().cast("long") * (1 << 20) + F.col("run")), "blocks")
@@ -157,17 +159,58 @@ def _block_pairs(blocks: DataFrame, epsilon: float) -> DataFrame:
     )
 
 
-def compare(x: np.ndarray, y: np.ndarray, same: bool, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions (i, j) of linked rows, strip by strip; for ``same`` each row also meets itself, which is left out."""
+def near_runs(a: np.ndarray, b: np.ndarray, epsilon: float, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of runs of the points ``a`` and ``b`` whose boxes are at most ``epsilon`` apart.
+
+    Intervals of both sides are met from the whole down to runs, FAN parts at a time; a pair too far apart goes with all it holds.
+    """
+
+    def boxes(points: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        at = np.arange(0, len(points), run)
+        levels = [(np.minimum.reduceat(points, at), np.maximum.reduceat(points, at))]
+        while len(levels[-1][0]) > 1:
+            low, high = levels[-1]
+            at = np.arange(0, len(low), FAN)
+            levels.append((np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)))
+        return levels
+
+    left, right = boxes(a), boxes(b)
+    depth = max(len(left), len(right))
+    left += [left[-1]] * (depth - len(left))
+    right += [right[-1]] * (depth - len(right))
+    i = j = np.zeros(1, np.int64)
+    for level in range(depth - 1, -1, -1):
+        for side, levels in ((0, left), (1, right)):
+            if level + 1 < depth and levels[level] is not levels[level + 1]:  # one interval of the level above is FAN here
+                mine, other = (i, j) if side == 0 else (j, i)
+                mine = (mine[:, None] * FAN + np.arange(FAN)).ravel()
+                other = np.repeat(other, FAN)
+                real = mine < len(levels[level][0])
+                i, j = (mine[real], other[real]) if side == 0 else (other[real], mine[real])
+        (la, ha), (lb, hb) = left[level], right[level]
+        gap = np.maximum(0.0, np.maximum(la[i] - hb[j], lb[j] - ha[i]))
+        near = (gap * gap).sum(axis=1) <= (epsilon + 1e-9) ** 2
+        i, j = i[near], j[near]
+    return i, j
+
+
+def compare(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, same: bool, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (i, j) of linked rows, run by run; for ``same`` each row also meets itself, which is left out."""
     ux, uy = unit(x), unit(y)
-    for at in range(0, len(x), STRIP):
-        found = ux[at : at + STRIP] @ uy.T
+    left, right = near_runs(px, py, math.sqrt(2 - 2 * cosine))
+    order = np.lexsort((right, left))
+    left, right = left[order], right[order]
+    for k in np.unique(left).tolist():
+        met = right[np.searchsorted(left, k) : np.searchsorted(left, k, side="right")]
+        rows = (met[:, None] * RUN + np.arange(RUN)).ravel()
+        rows = rows[rows < len(y)]
+        found = ux[k * RUN : (k + 1) * RUN] @ (uy if len(rows) == len(uy) else uy[rows]).T
         i, j = np.nonzero(found >= cosine - MARGIN)
         close = np.flatnonzero(np.abs(found[i, j] - cosine) <= MARGIN)
-        i = i + at
+        i, j = i + k * RUN, rows[j]
         drop = [
-            k for k in close.tolist()
-            if float(x[i[k]] @ y[j[k]]) / math.sqrt(float(x[i[k]] @ x[i[k]]) * float(y[j[k]] @ y[j[k]])) < cosine
+            n for n in close.tolist()
+            if float(x[i[n]] @ y[j[n]]) / math.sqrt(float(x[i[n]] @ x[i[n]]) * float(y[j[n]] @ y[j[n]])) < cosine
         ]
         keep = np.ones(len(i), bool)
         keep[drop] = False
@@ -180,11 +223,12 @@ def _compared(pairs: DataFrame, blocks: DataFrame, cosine: float) -> DataFrame:
     """Rows (edge, a, b): links of representative a summed up in b, or with ``edge`` a spanning edge (a, b)."""
     from veldt.llm.simhash_links import join_labels
 
-    side = lambda name: blocks.select(F.col("block").alias(name), F.struct("dim", "reps", "weights", "data").alias(f"{name}_"))
+    side = lambda name: blocks.select(F.col("block").alias(name), F.struct("dim", "reps", "weights", "points", "data").alias(f"{name}_"))
     joined = pairs.join(side("left"), "left").join(side("right"), "right")
 
-    def vectors(b: dict) -> np.ndarray:
-        return np.frombuffer(b["data"], dtype=np.float64).reshape(-1, b["dim"])
+    def vectors(b: dict) -> tuple[np.ndarray, np.ndarray]:
+        rows = len(b["reps"])
+        return np.frombuffer(b["data"], dtype=np.float64).reshape(rows, -1), np.frombuffer(b["points"], dtype=np.float64).reshape(rows, -1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,7 +239,8 @@ def _compared(pairs: DataFrame, blocks: DataFrame, cosine: float) -> DataFrame:
                 weights = np.array(p["weights"] + ([] if same else q["weights"]), np.int64)
                 shift = 0 if same else len(p["reps"])
                 counts, label = (weights - 1 if same else np.zeros(len(reps), np.int64)), np.arange(len(reps))
-                for i, j in compare(vectors(p), vectors(q), same, cosine):
+                (x, px), (y, py) = vectors(p), vectors(q)
+                for i, j in compare(x, y, px, py, same, cosine):
                     j = j + shift
                     np.add.at(counts, i, weights[j])
                     if not same:

@@ -13,7 +13,9 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +23,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veldt.llm.common import slices, text_once
+
 PATHS, WORDS = 2048, 2048
 PATH_SIZE, WORD_SIZE, MEASURES, HIDDEN = 24, 12, 10, 24
 TRAIN_PAGES, EPOCHS, PAGES_A_STEP = 1000, 10, 40
 SEED = 5
-#: Pages that the network reads side by side.
-PAGES_AT_ONCE = 64
+#: Pages that the network reads side by side, and their padded blocks together; a longer page is read alone.
+PAGES_AT_ONCE, BLOCKS_AT_ONCE = 64, 16_384
+#: A path is read from so many of the open elements nearest to the text, a name from so many of its words.
+DEPTH, NAME_WORDS = 64, 32
+#: Longer words and tags are hashed without being remembered.
+KEPT_LETTERS = 200
 
 # fixed values: elements of HTML that don't break a line, that have no end tag, whose content is no text, and that end an open paragraph
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -34,11 +42,13 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HIDDEN_TEXT = "script|style|noscript|template|title|iframe|svg|math|object|textarea"
 ENDS_P = frozenset("address article aside blockquote details dialog div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
+#: The rest of a tag. A quote counts only as the first sign of a value; a quote that never ends counts for nothing.
+REST = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)*+"""
 TOKEN = re.compile(
     # a drawing or formula that closes itself hides nothing; a hidden element's name ends before a blank, a slash or the end of the tag
-    r"""<(?:svg|math)(?=[\s/])(?:[^>"']|"[^"]*+"|'[^']*+')*+(?<=/)>|"""
-    rf"<!--.*?(?:-->|\Z)|<(?P<skip>{HIDDEN_TEXT})(?=[\s/>])[^>]*+>.*?(?:</(?P=skip)\s*+>|\Z)"
-    r"""|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*+)(?P<rest>(?:[^>"']|"[^"]*+"|'[^']*+')*+)>|<[a-z/!?][^>]*+(?:>|\Z)""",
+    rf"""<(?:svg|math)(?=[\s/]){REST}(?<=/)>|"""
+    rf"""<!--.*?(?:-->|\Z)|<(?P<skip>{HIDDEN_TEXT})(?=[\s/>]){REST}>.*?(?:</(?P=skip)\s*+>|\Z)"""
+    rf"""|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*+)(?P<rest>{REST})>|<[a-z/!?][^>]*+(?:>|\Z)""",
     re.IGNORECASE | re.DOTALL,
 )
 NAMES = re.compile(r"""\b(class|id|role|hidden|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
@@ -54,50 +64,119 @@ class Block:
         self.text, self.path, self.linked, self.tag = text, path, linked, tag
 
 
-@functools.lru_cache(maxsize=100_000)
-def _slot(word: str, size: int) -> int:
+def _hashed(word: str, size: int) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) % size
 
 
-@functools.lru_cache(maxsize=20_000)
-def _element(tag: str, rest: str) -> tuple[int, ...]:
+_remembered = functools.lru_cache(maxsize=50_000)(_hashed)
+
+
+def _slot(word: str, size: int) -> int:
+    return (_remembered if len(word) <= KEPT_LETTERS else _hashed)(word, size)
+
+
+def _features(tag: str, rest: str) -> tuple[int, ...]:
     """Hashed features of an element: its tag and the words of its class, id and role."""
     words = {f"<{tag}"}
     for kind, *values in NAMES.findall(rest):
-        for w in NAME_WORD.findall("".join(values).lower()):
+        for w in NAME_WORD.findall("".join(values).lower())[:NAME_WORDS]:
             words |= {w, f"{tag}.{w}"}
         if kind.lower() == "hidden":
             words.add("hidden")
-    return tuple(sorted(_slot(w, PATHS) for w in words))
+    return tuple(sorted({_slot(w, PATHS) for w in words}))
+
+
+_remembered_features = functools.lru_cache(maxsize=20_000)(_features)
+
+
+def _element(tag: str, rest: str) -> tuple[int, ...]:
+    return (_remembered_features if len(rest) <= KEPT_LETTERS else _features)(tag, rest)
+
+
+class Open:
+    """The open elements. What a block, an end tag or a paragraph's end asks takes no walk through all of them."""
+
+    def __init__(self):
+        #: (tag, features, position of the nearest element at or below that breaks a line)
+        self.stack: list[tuple[str, tuple[int, ...], int]] = []
+        self.of: Counter[str] = Counter()
+        self.near: dict[int, int] = {}  # how many of the DEPTH nearest elements have a feature
+        self.known: list[int] | None = None
+
+    def _count(self, slots: tuple[int, ...], by: int) -> None:
+        for s in slots:
+            now = self.near.get(s, 0) + by
+            if now:
+                self.near[s] = now
+            else:
+                del self.near[s]
+
+    def push(self, tag: str, slots: tuple[int, ...]) -> None:
+        base = len(self.stack) if tag not in INLINE else self.stack[-1][2] if self.stack else -1
+        self.stack.append((tag, slots, base))
+        self.of[tag] += 1
+        self._count(slots, 1)
+        if len(self.stack) > DEPTH:
+            self._count(self.stack[-1 - DEPTH][1], -1)
+        self.known = None
+
+    def cut(self, at: int) -> None:
+        """Close all elements from position ``at`` on."""
+        while len(self.stack) > at:
+            if len(self.stack) > DEPTH:
+                self._count(self.stack[-1 - DEPTH][1], 1)
+            tag, slots, _ = self.stack.pop()
+            self.of[tag] -= 1
+            self._count(slots, -1)
+        self.known = None
+
+    def end(self, tag: str) -> None:
+        if self.of[tag]:
+            at = len(self.stack) - 1
+            while self.stack[at][0] != tag:
+                at -= 1
+            self.cut(at)
+
+    def block(self) -> str:
+        """The nearest open element that breaks a line."""
+        base = self.stack[-1][2] if self.stack else -1
+        return self.stack[base][0] if base >= 0 else ""
+
+    def make_way(self, tag: str) -> None:
+        """End an open paragraph, item or cell that the start of ``tag`` ends; inline elements left open end with it."""
+        ends = ("p",) if tag in ENDS_P else {"td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"), "dd": ("dd", "dt"), "dt": ("dd", "dt")}.get(tag, (tag, "p"))
+        if self.block() in ends:
+            self.cut(self.stack[-1][2])
+
+    def path(self) -> list[int]:
+        """Features of the path; those of the innermost element also stand a second time, one slot on."""
+        if self.known is None:
+            own = [(s + 1) % PATHS for s in self.stack[-1][1]] if self.stack else []
+            self.known = sorted(self.near.keys() | own)
+        return self.known
 
 
 def blocks_of(page: str) -> list[Block]:
     """Leaf blocks of a page in order. Scripts, styles, comments and other hidden content are no blocks."""
     found: list[Block] = []
-    stack: list[tuple[str, tuple[int, ...]]] = []
     parts: list[str] = []
-    linked = links = 0
+    open_, linked = Open(), 0
 
     def done() -> None:
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                path: set[int] = set()
-                for depth, (_, slots) in enumerate(reversed(stack)):
-                    path.update(slots if depth else (*slots, *[(s + 1) % PATHS for s in slots]))
-                own = next((t for t, _ in reversed(stack) if t not in INLINE), "")
-                found.append(Block(text, sorted(path), min(1.0, linked / len(text)), own))
+                found.append(Block(text, open_.path(), min(1.0, linked / len(text)), open_.block()))
             parts.clear()
         linked = 0
 
     at = 0
     for m in TOKEN.finditer(page):
         if m.start() > at:
-            piece = page[at : m.start()]
-            parts.append(piece)
-            if links:
-                linked += len(piece)
+            parts.append(page[at : m.start()])
+            if open_.of["a"]:
+                linked += m.start() - at
         at = m.end()
         tag = m["tag"]
         if tag is None:
@@ -109,36 +188,19 @@ def blocks_of(page: str) -> list[Block]:
         if tag not in INLINE:
             done()
         if m["end"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    links = sum(t == "a" for t, _ in stack)
-                    break
+            open_.end(tag)
         elif tag not in VOID and not m["rest"].endswith("/"):
             if tag in ENDS_P or tag in ("li", "option", "td", "th", "tr", "dd", "dt"):
-                _close(stack, tag)
-                links = sum(t == "a" for t, _ in stack)
-            stack.append((tag, _element(tag, m["rest"])))
-            links += tag == "a"
+                open_.make_way(tag)
+            open_.push(tag, _element(tag, m["rest"]))
     if at < len(page):
         parts.append(page[at:])
-        if links:
+        if open_.of["a"]:
             linked += len(page) - at
     done()
     return found
 
 
-def _close(stack: list, tag: str) -> None:
-    """Ends an open paragraph, item or cell that the start of ``tag`` ends; inline elements left open end with it."""
-    ends = ("p",) if tag in ENDS_P else {"td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"), "dd": ("dd", "dt"), "dt": ("dd", "dt")}.get(tag, (tag, "p"))
-    for k in range(len(stack) - 1, -1, -1):
-        if stack[k][0] in ends:
-            del stack[k:]
-            return
-        if stack[k][0] not in INLINE:
-            return
-
-
 def measures(blocks: list[Block]) -> np.ndarray:
     """A few numbers of each block: length, links, marks, and where it stands in the page."""
     n = len(blocks)
@@ -176,15 +238,19 @@ class Pages:
 
 
 def _bags(bags: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    return np.array([x for b in bags for x in b], np.int64), np.repeat(np.arange(len(bags)), [len(b) for b in bags])
+    sizes = np.fromiter(map(len, bags), np.int64, len(bags))
+    return np.fromiter(chain.from_iterable(bags), np.int32, int(sizes.sum())), np.repeat(np.arange(len(bags), dtype=np.int32), sizes)
 
 
 def _mean(table: np.ndarray, slots: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(sum of table rows of each bag over the root of its size, that root)."""
     out = np.zeros((n, table.shape[1]), np.float32)
-    if len(slots):
-        starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        out[at[starts]] = np.add.reduceat(table[slots], starts, axis=0)
+    edges = np.searchsorted(at, np.arange(0, n + 8192, 8192))
+    for lo, hi in zip(edges, edges[1:]):  # some thousand bags at once
+        if hi > lo:
+            own = at[lo:hi]
+            starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            out[own[starts]] = np.add.reduceat(table[slots[lo:hi]], starts, axis=0)
     root = np.sqrt(np.maximum(np.bincount(at, minlength=n), 1)).astype(np.float32)[:, None]
     return out / root, root
 
@@ -219,11 +285,13 @@ class Labeller:
         steps, n, size = x.shape
         h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
         out, kept = np.zeros((steps, n, HIDDEN), np.float32), []
-        seen = x.reshape(-1, size) @ w[:size] + b
-        seen = seen.reshape(steps, n, 4 * HIDDEN)
+        run = max(1, BLOCKS_AT_ONCE // max(n, 1))  # the inputs' share of the gates is made for so many steps at once
         for t in range(steps - 1, -1, -1) if back else range(steps):
-            k = alive[t]
-            g = seen[t, :k] + h[:k] @ w[size:]
+            k, part = alive[t], t // run
+            if t == (min(steps, (part + 1) * run) - 1 if back else part * run):
+                some = x[part * run : (part + 1) * run]
+                seen = (some.reshape(-1, size) @ w[:size] + b).reshape(len(some), n, 4 * HIDDEN)
+            g = seen[t - part * run, :k] + h[:k] @ w[size:]
             i, f, o = _sigmoid(g[:, :HIDDEN]), _sigmoid(g[:, HIDDEN : 2 * HIDDEN]), _sigmoid(g[:, 2 * HIDDEN : 3 * HIDDEN])
             u = np.tanh(g[:, 3 * HIDDEN :])
             before, last = c[:k].copy(), h[:k].copy()
@@ -530,17 +598,32 @@ def extract(pages: DataFrame, net: Labeller | None = None, source: str = "html",
     shared = pages.sparkSession.sparkContext.broadcast(net or train())  # size: fixed by SHAPES
     keep = [c for c in pages.columns if c != out]
 
+    rows, at = text_once(pages, keep, source)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, PAGES_AT_ONCE):
-                rows = batch.slice(at, PAGES_AT_ONCE)
-                cut = [blocks_of(x or "") for x in rows.column(rows.num_columns - 1).to_pylist()]
-                texts = [" ".join(b.text for b, s in zip(blocks, score) if s > 0) for blocks, score in zip(cut, model.scores(cut))]
-                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(texts, pa.string())], [*keep, out])
+        for batch in slices(batches, at, 256):
+            cut = [blocks_of(x or "") for x in batch.column(at).to_pylist()]
+            texts = [""] * len(cut)
+            for group in side_by_side([len(b) for b in cut]):
+                for k, score in zip(group, model.scores([cut[k] for k in group])):
+                    texts[k] = " ".join(b.text for b, s in zip(cut[k], score) if s > 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.string())], [*keep, out])
 
     schema = T.StructType([*(pages.schema[c] for c in keep), T.StructField(out, T.StringType())])
-    return pages.select(*[f"`{c}`" for c in keep], F.col(source).cast("string").alias("__html")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
+
+
+def side_by_side(lengths: list[int]) -> Iterator[list[int]]:
+    """Groups of pages of like length that are read together, within the bounds."""
+    group: list[int] = []
+    for k in sorted(range(len(lengths)), key=lambda k: -lengths[k]):
+        if group and (len(group) >= PAGES_AT_ONCE or (len(group) + 1) * lengths[group[0]] > BLOCKS_AT_ONCE):
+            yield group
+            group = []
+        group.append(k)
+    if group:
+        yield group
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -33,8 +33,8 @@ SWITCH = 12.0
 SCRIPT_SHARE = 0.005
 FOLDS = 5
 UNKNOWN = "und"
-#: A worker keeps the scores of words of so many letters together, and scores so many letters of new words at once.
-KEPT_LETTERS = 1_000_000
+#: A worker keeps the scores of words of so many letters together, and of as many that it met before; it scores new words by so many letters.
+KEPT_LETTERS = 600_000
 COUNTED_WORDS = 100_000
 LETTERS_AT_ONCE = 100_000
 
@@ -225,6 +225,7 @@ class Labeller:
 
     def __init__(self, model: Model):
         self.model, self.row, self.letters, self.scores = model, {}, 0, np.zeros((1024, len(model.langs)), np.float32)
+        self.old = {}, self.scores
 
     def spans(self, text: str | None) -> list[tuple[int, int, str]]:
         """(start, end, language) in code points: stretches of words with one label, from the first letter to the last."""
@@ -260,24 +261,28 @@ class Labeller:
         if not self.model.langs:
             return
         words = set().union(*split)
-        new = list(words.difference(self.row))
+        new = words.difference(self.row)
+        if self.letters + sum(map(len, new)) > KEPT_LETTERS:  # the words of late become the old ones
+            self.old, self.row, self.letters, self.scores, new = (self.row, self.scores), {}, 0, self.scores[:0], words
         if not new:
             return
-        sizes = np.fromiter(map(len, new), np.int64, len(new))
-        if self.letters + sizes.sum() > KEPT_LETTERS:
-            self.row, self.letters, new = {}, 0, list(words)
-            sizes = np.fromiter(map(len, new), np.int64, len(new))
+        self.letters += sum(map(len, new))
         n = len(self.row)
         if n + len(new) > len(self.scores):
             grown = np.zeros((max(n + len(new), 2 * n), self.scores.shape[1]), np.float32)
             grown[:n] = self.scores[:n]
             self.scores = grown
-        self.row.update(zip(new, range(n, n + len(new))))
-        self.letters += int(sizes.sum())
-        part = np.cumsum(sizes) // LETTERS_AT_ONCE
-        edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(new)]
+        row, scores = self.old
+        known = list(new.intersection(row))
+        unknown = list(new.difference(row))
+        self.row.update(zip(known + unknown, range(n, n + len(new))))
+        self.scores[n : n + len(known)] = scores[[row[w] for w in known]]
+        n += len(known)
+        part = np.cumsum([len(w) for w in unknown]) // LETTERS_AT_ONCE
+        edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(unknown)]
         for a, b in zip(edges, edges[1:]):
-            self.scores[n + a : n + b] = self.model.score(new[a:b])
+            if b > a:
+                self.scores[n + a : n + b] = self.model.score(unknown[a:b])
 
     def _of(self, words: list[str]) -> np.ndarray:
         return self.scores[np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))].astype(float)

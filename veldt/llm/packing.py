@@ -78,7 +78,7 @@ def cut(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str
         encoder = Encoder(path)
         end = np.array([end_id], dtype="<u4").tobytes()
         step = 4 * capacity
-        for rows in slices(batches, 2, 4096):
+        for rows in slices(batches, 2, 4096, 6 << 20):
             ids, stop = encoder.encode(rows.column(2))
             at, found, last = [], [], 0
             for i, after in enumerate(stop.tolist()):

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,8 +30,8 @@ TRAIN_TOKENS = 40
 EPOCHS = 100
 RATE, DECAY = 0.1, 0.001
 SEED = 11
-#: A worker keeps the shapes of words of so many letters together.
-KEPT_LETTERS = 1_000_000
+#: A worker keeps the shapes of words of so many letters together, and of as many that it met before.
+KEPT_LETTERS = 600_000
 KINDS = ("assign", "access", "hex", "crf")
 MASK = "[SECRET]"
 
@@ -276,10 +276,10 @@ def train(docs: DataFrame, text: str = "text", texts: int = TRAIN_TEXTS) -> Fiel
     rows = rows.withColumn("mark", F.shiftrightunsigned(F.xxhash64("text", F.lit(SEED)), 1))
     likely = F.col("text").rlike("(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]") | F.col("text").rlike("AKIA[A-Z0-9]{16}")
 
-    def up_to(of: DataFrame, share: float) -> int:
+    def up_to(share: float, which: Column) -> int:
         """The mark up to which ``texts`` different texts lie, looked for among a share of all marks."""
-        few = of.where(F.col("mark") <= int(min(1.0, share) * ((1 << 63) - 1024)))
-        found = few.select("mark").distinct().orderBy("mark").limit(texts).collect()
+        few = rows.where(F.col("mark") <= int(min(1.0, share) * ((1 << 63) - 1024)))
+        found = few.where(which).select("mark").distinct().orderBy("mark").limit(texts).collect()
         return found[-1][0] if found else -1
 
     def excerpts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,7 +300,7 @@ def train(docs: DataFrame, text: str = "text", texts: int = TRAIN_TEXTS) -> Fiel
             columns = [pa.array(marks, pa.int64()), pa.array(words, pa.list_(pa.string())), pa.array(tags, pa.list_(pa.int32())), pa.array(files, pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, ["mark", "words", "tags", "files"])
 
-    plain, marked = up_to(rows, 4 * texts / total), up_to(rows.where(likely), 80 * texts / total)
+    plain, marked = up_to(4 * texts / total, F.lit(True)), up_to(80 * texts / total, likely)
     chosen = rows.where((F.col("mark") <= plain) | ((F.col("mark") <= marked) & likely))
     found = chosen.mapInArrow(excerpts, "mark long, words array<string>, tags array<int>, files array<double>").dropDuplicates(["mark"]).collect()
     found = sorted((list(map(str, r["words"])), list(r["tags"]), list(r["files"])) for r in found)
@@ -329,16 +329,18 @@ class Scanner:
     """Finds all spans of a text; keeps the shapes of words it has met, up to a bound, and the scores of shapes."""
 
     def __init__(self, field: Field):
-        self.field, self.row, self.letters, self.shapes = field, {}, 0, {}
+        self.field, self.row, self.old, self.letters, self.shapes = field, {}, {}, 0, {}
         self.scores = np.zeros((0, 3, 3), np.float32)
 
     def _rows(self, words: list[str]) -> np.ndarray:
         new = set(words).difference(self.row)
-        letters = sum(map(len, new))
-        if self.letters + letters > KEPT_LETTERS:
-            self.row, self.letters, new = {}, 0, set(words)
-            letters = sum(map(len, new))
-        self.letters += letters
+        self.letters += sum(map(len, new))
+        if self.letters > KEPT_LETTERS:  # the words of late become the old ones
+            self.old, self.row, new = self.row, {}, set(words)
+            self.letters = sum(map(len, new))
+        known = new.intersection(self.old)
+        self.row.update({w: self.old[w] for w in known})
+        new -= known
         for w in new:
             found = tuple(shape(w))
             if found not in self.shapes:  # far fewer than words

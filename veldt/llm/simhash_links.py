@@ -4,7 +4,7 @@ Fingerprints are 64 bits. Distinct fingerprints are dealt to buckets by five bit
 differ in at most four bits agree on one band at least, so no link is lost. Inside a bucket they are sorted by Gray
 rank, which puts similar patterns side by side, and indexed: a node keeps the bits that all its members share (mask
 and pattern), upper nodes share what their children share. A pair of nodes whose shared patterns already differ in
-more than four bits is pruned with all its members; the differences add up on the way down.
+more than four bits is pruned with all its members; differences are counted once, where the bit is first shared, and add up on the way down.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veldt.llm.common import components, stored
+from veldt.llm.common import components, stored, without
 
 WORDS = 4
 MAX_BITS = 4
@@ -28,7 +28,7 @@ BANDS = MAX_BITS + 1
 LEAF = 32
 FAN = 8
 SLOT_ROWS = 4096
-#: A bucket above this size (and above a thousandth of all fingerprints) is dealt again by its other bits.
+#: A bucket above this size is dealt again by its other bits.
 BUCKET_ROWS = 20_000
 PAIRS_AT_ONCE = 1000
 
@@ -94,16 +94,22 @@ class GrayIndex:
 
     def block_pairs(self, most: int) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (i <= j) of leaf blocks that may hold codes at most ``most`` bits apart."""
-        left = right = np.zeros(1, np.int64)
+        left = right = sofar = np.zeros(1, np.int64)
+        above = self.levels[-1]
+        # the root's own pattern differs from itself nowhere, so the count starts at zero
         for ones, zeros in reversed(self.levels[:-1]):
             child = np.arange(FAN)
-            a = (left[:, None, None] * FAN + child[None, :, None]) + np.zeros((1, 1, FAN), np.int64)
-            b = (right[:, None, None] * FAN + child[None, None, :]) + np.zeros((1, FAN, 1), np.int64)
-            a, b = a.ravel(), b.ravel()
+            pair = np.repeat(np.arange(len(left)), FAN * FAN)
+            a = (left[:, None, None] * FAN + child[None, :, None] + np.zeros((1, 1, FAN), np.int64)).ravel()
+            b = (right[:, None, None] * FAN + child[None, None, :] + np.zeros((1, FAN, 1), np.int64)).ravel()
             ok = (a < len(ones)) & (b < len(ones)) & (a <= b)
-            a, b = a[ok], b[ok]
-            near = np.bitwise_count((ones[a] & zeros[b]) | (zeros[a] & ones[b])) <= most
-            left, right = a[near], b[near]
+            a, b, pair = a[ok], b[ok], pair[ok]
+            up, across = a // FAN, b // FAN
+            # what the parents share was counted above; a node adds the bits that its own members share beyond that
+            told = (above[0][up] | above[1][up]) & (above[0][across] | above[1][across])
+            count = sofar[pair] + np.bitwise_count(((ones[a] & zeros[b]) | (zeros[a] & ones[b])) & ~told)
+            near = count <= most
+            left, right, sofar, above = a[near], b[near], count[near], (ones, zeros)
         return left, right
 
 
@@ -162,14 +168,12 @@ def links(distinct: DataFrame, most: int = MAX_BITS) -> DataFrame:
 
     Edges span each group of linked fingerprints of a bucket as a star, so a large group makes as many edges as it
     has members and never all pairs. A bucket above the limit is dealt again by finer bands of its other bits, which
-    again lose no link. The limit follows the size of the table so that at most
-    5,000 buckets exceed it; that list is broadcast.
+    again lose no link. There are at most ``most + 1`` times 2 ** 13 buckets, which bounds the broadcast list of the large ones.
     """
     total = distinct.count()
-    limit = max(BUCKET_ROWS, total // 1000)
     slots = max(32, (most + 1) * total // SLOT_ROWS)
     coarse = distinct.select("fp", "rep", F.explode(_band("fp", most + 1)).alias("band"))
-    large = coarse.groupBy("band").count().where(F.col("count") > limit).select("band")
+    large = coarse.groupBy("band").count().where(F.col("count") > BUCKET_ROWS).select("band")
     # each band is two fine bands wide; of the fine bands outside the bucket's own, most + 1 are enough, since
     # most differing bits can't touch all of them
     fine = _band("fp", 2 * (most + 1))
@@ -234,7 +238,7 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     lost = stored(judged.where("key <> first").select(F.col("key").alias("__lost")).distinct(), "lost")
     # keys that stand both on a row to drop and on one that stays: rare, so only their rows are told apart by their text
     stay = judged.where("key = first").join(lost, F.col("key") == F.col("__lost"), "left_semi").select(F.col("key").alias("__key"), F.col("fp").alias("__fp")).distinct()
-    kept = docs.join(lost, F.col(key) == F.col("__lost"), "left_anti").select(*columns)
+    kept = without(docs, lost, key)
     stay = stored(stay, "stay")
     if stay.isEmpty():
         return kept

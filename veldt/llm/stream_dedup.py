@@ -5,9 +5,9 @@ without expiry: the digest, the stable identifier of the row that stays and the
 identifier), and how many rows were met. Copies combine in each task before they reach the state, so a text that makes up a
 third of all rows costs one state row and a few shuffled ones. Each micro-batch emits the state rows it changed.
 
-Equal digests are a hit, not yet a copy: the full bytes of all hits are compared. The text of a group is the same for all its
-rows if the least and the greatest are; both combine in tasks, and only groups with hits take part. Should
-texts differ, their group is divided by text.
+Equal digests are a hit, not yet a copy: the full bytes of all hits are compared, the located content among them. A fixed-size
+map of the digests that were hit tells, without a shuffle, which rows may be hits; of these each task sends a text once, and a digest
+left with two different texts is divided by text. Rows that are no hits never leave their task.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldt.llm.common import scratch, stored
+from veldt.llm.common import doubtful, scratch, spread_join, stored
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: How the state is kept: in RocksDB, which is not to set 4 MB of disk aside for each of many small stores.
@@ -27,8 +27,6 @@ STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 FILES_PER_BATCH = 10_000
-#: Copies of one text are compared in so many parts first.
-SALTS = 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -98,25 +96,28 @@ def deduplicate(
     gives no rows.
     """
     state = stored(groups_of_stream(spark, path, key, text, files_per_batch, digest), "groups")
+    total = state.agg(F.sum("seen")).first()[0] or 0
+    hits = stored(state.where("seen > 1").select("digest", F.col("kept.key").alias("keep_id"), F.col("kept.file").alias("keep_file"), "seen"), "hits")
     docs = spark.read.parquet(path)
-    rows = docs.select(F.col(key).alias("key"), normalised(text).alias("body")).withColumn("digest", digest(F.col("body")))
-    hits = rows.join(state.where("seen > 1").select("digest"), "digest")
-    salted = hits.groupBy("digest", F.pmod(F.xxhash64("key"), F.lit(SALTS)).alias("salt"))
-    spread = salted.agg(F.min("body").alias("low"), F.max("body").alias("high"))
-    collided = stored(spread.groupBy("digest").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("digest"), "collided")
-    out = rows.select("key", "digest", sha256(F.col("body")).alias("text_sha256")) if digest is not sha256 else rows.select("key", "digest", F.col("digest").alias("text_sha256"))
-    plain = state.select("digest", F.col("kept.key").alias("keep_id"), "seen", F.col("kept.file").alias("keep_file"))
+    rows = docs.select(F.col(key).alias("key"), F.col("_metadata.file_path").alias("file"), normalised(text).alias("body")).withColumn("digest", digest(F.col("body")))
+    sha = F.col("digest") if digest is sha256 else sha256(F.col("body"))
+    rows = doubtful(rows, hits.select("digest"), "digest", "hit").withColumn("text_sha256", sha)
+    told = stored(rows.select("key", "file", "digest", "text_sha256", "hit"), "told")
+    # the full bytes: a task's copies become one before the shuffle
+    bodies = rows.where("hit").select("digest", "body").distinct()
+    collided = stored(bodies.groupBy("digest").count().where("count > 1").select("digest"), "collided")
     names = ["key", "keep_id", "seen", "text_sha256", "keep_file"]
+    mine = [F.col("key"), F.coalesce("keep_id", F.when(F.col("seen").isNull(), F.col("key"))).alias("keep_id"), F.coalesce("seen", F.lit(1).cast("long")).alias("seen"), F.col("text_sha256"), F.coalesce("keep_file", "file").alias("keep_file")]
+    alone = told.where("NOT hit").select("key", F.col("key").alias("keep_id"), F.lit(1).cast("long").alias("seen"), "text_sha256", F.col("file").alias("keep_file"))
+    joined = spread_join(told.where("hit"), hits, "digest", "seen", total, F.struct("key", "file"), "left")
     if collided.isEmpty():
-        judged = out.join(plain, "digest").select(names)
+        judged = joined.select(*mine).unionByName(alone)
     else:
-        judged = out.join(collided, "digest", "left_anti").join(plain, "digest").select(names)
-        mixed = docs.select(F.col(key).alias("key"), normalised(text).alias("body"), F.col("_metadata.file_path").alias("file"))
-        mixed = mixed.withColumn("digest", digest(F.col("body"))).join(collided, "digest", "left_semi")
+        mixed = rows.where("hit").join(collided, "digest", "left_semi")
         own = mixed.groupBy("digest", "body").agg(F.max(F.struct("key", "file")).alias("kept"), F.count(F.lit(1)).alias("seen"))
         own = own.select("digest", "body", F.col("kept.key").alias("keep_id"), "seen", F.col("kept.file").alias("keep_file"))
-        more = mixed.select("key", "digest", "body").join(own, ["digest", "body"]).withColumn("text_sha256", sha256(F.col("body")))
-        judged = judged.unionByName(more.select(names))
+        more = mixed.select("key", "digest", "body", "text_sha256").join(own, ["digest", "body"])
+        judged = joined.join(collided, "digest", "left_anti").select(*mine).unionByName(alone).unionByName(more.select(names))
     return judged.select(
         F.col("key").alias(key), "keep_id", F.col("seen").alias("group_size"), F.col("key").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "keep_file"
     )
