@@ -1,6 +1,8 @@
 """Operators against plain Python and against their laws, on small made-up rows with nulls, ties and repeats."""
 
+import itertools
 import random
+import re
 import unicodedata
 from datetime import datetime
 
@@ -10,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from veldt.functions import numbers, text, vectors
-from veldt.operators import evaluation, events, joins, keyed, ordering, paging, preparation, quality, retrieval, sets, stats, timeseries
+from veldt.operators import annotation, evaluation, events, joins, keyed, ordering, paging, preparation, quality, retrieval, sets, stats, timeseries
 from veldt.sources import sinks, tables
 from veldt.streaming import events as streams
 
@@ -266,7 +268,7 @@ def test_tags(spark, said, want):
 
 
 def test_text_helpers(spark):
-    assert text.typos("form", "from", 2) == 1 and text.typos("abc", "xyz", 1) == 2
+    assert text.Term("form").distance("from") == 1 and text.Term("abc").distance("xyz") == 3 and text.Term("ca").distance("abc") == 3
     assert text.common_length(list("abcde"), list("ace")) == 3
     df = frame(spark, [("deactivated user",), ("other",), (None,)], "t string")
     assert [r[0] for r in df.select(text.fuzzy_match("deactvat")("t")).collect()] == [True, False, False]
@@ -276,11 +278,152 @@ def test_text_helpers(spark):
     assert [r[0] for r in j.select(text.canonical_json("t")).collect()] == ['{"a":[1,{"c":true,"d":null}],"b":1.50}', None, None]
 
 
+def plain_distance(a, b):
+    """Missing, extra, wrong and swapped neighbouring letters, no part changed twice."""
+    d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i * j}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("abc", max_size=9), st.text("abc", max_size=9))
+def test_distances(a, b):
+    assert text.Term(a).distance(b) == plain_distance(a, b)
+
+
+def plain_fuzzy(query, said):
+    words = re.findall("[a-z0-9]+", said.lower())
+
+    def hit(term):
+        most = 2 if len(term) >= 8 else 1 if len(term) >= 4 else 0
+        return term in said.lower() or any(most and (plain_distance(term, w) <= most or len(w) > len(term) and plain_distance(term, w[: len(term)]) <= most) for w in words)
+
+    return all(hit(term) for term in re.findall("[a-z0-9]+", query.lower()))
+
+
+def test_fuzzy_search_against_plain_words(spark):
+    r = random.Random(3)
+    texts = [" ".join("".join(r.choice("abcd") for _ in range(r.randint(1, 10))) for _ in range(r.randint(0, 5))) for _ in range(150)]
+    df = frame(spark, [(t,) for t in [*texts, None]], "t string")
+    for query in ("abcd", "abcdabcd bc", "dcba, ab", "", "aabbccdd"):
+        assert [x[0] for x in df.select(text.fuzzy_match(query)("t")).collect()] == [plain_fuzzy(query, t) for t in texts] + [query == "" and False]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), max_size=14), st.lists(st.sampled_from("abcd"), max_size=14))
+def test_subsequences(a, b):
+    want = {(i, j): 0 for i in range(len(a) + 1) for j in range(len(b) + 1)}
+    for i in reversed(range(len(a))):
+        for j in reversed(range(len(b))):
+            want[i, j] = want[i + 1, j + 1] + 1 if a[i] == b[j] else max(want[i + 1, j], want[i, j + 1])
+    table = type("Small", (text.Subsequence,), {"STEP": 4})(a, b)
+    assert all(table.length(i, j) == n for (i, j), n in want.items())
+
+
+def test_word_difference_keeps_a_longest_subsequence(spark):
+    r = random.Random(9)
+    pairs = [(" ".join(r.choices("pqrs", k=r.randint(0, 9))), " ".join(r.choices("pqrs", k=r.randint(0, 9)))) for _ in range(60)] + [(None, "x"), ("X y", "x Z")]
+    rows = frame(spark, pairs, "a string, b string").select("a", "b", text.word_difference("a", "b").alias("d")).collect()
+    for x in rows:
+        a, b = (x["a"] or "").lower().split(), (x["b"] or "").lower().split()
+        n = text.common_length(a, b)
+        assert len(x["d"]["only_a"]) == len(a) - n and len(x["d"]["only_b"]) == len(b) - n
+    assert rows[-1]["d"] == (["y"], ["z"])
+
+
+def test_best_cuts_against_all_cuts():
+    r = random.Random(1)
+
+    def worth(tokens, ends, above):
+        sizes = [sum(tokens[a:b]) + above for a, b in zip([0, *ends], ends)]
+        alone = len(ends) == 1
+        return sum(x > 40 for x in sizes), sum(x < 25 and not alone for x in sizes), len(ends), sum((x - 32) ** 2 for x in sizes)
+
+    for _ in range(300):
+        tokens, above = [r.randint(1, 50) for _ in range(r.randint(1, 8))], r.choice([0, 3])
+        cuts = [[*c, len(tokens)] for k in range(len(tokens)) for c in itertools.combinations(range(1, len(tokens)), k)]
+        allowed = [c for c in cuts if all(sum(tokens[a:b]) + above <= 40 or b == a + 1 for a, b in zip([0, *c], c))]
+        assert worth(tokens, text.best_cuts(tokens, above, 25, 40), above) == min(worth(tokens, c, above) for c in allowed)
+
+
+def test_sentences_and_headed_chunks(spark):
+    said = "One two. Three four!\" Five six.12,13 Seven? eight. Nine \u2022 ten \u2022 x"
+    df = frame(spark, [(said,), (None,), ("",)], "t string")
+    assert df.select(text.sentences(F.col("t"))).first()[0] == ["One two.", "Three four!\"", "Five six.12,13", "Seven? eight.", "Nine", "\u2022 ten", "\u2022 x"]
+    count = text.word_pieces(["\u2581one", "\u2581two", "\u2581th", "ree", "\u2581."])
+    assert frame(spark, [(["One two.", "THR\u00c9E", "zzz!", ""],)], "a array<string>").select(count("a")).first()[0] == [3, 2, 2, 0]
+    rows = text.chunked(df, "t", 3, 6, count, F.lit("one")).collect()
+    assert [len(r["pieces"]) for r in rows] == [5, 0, 0] and all(said[p["offset"] :].startswith(p["text"]) for p in rows[0]["pieces"])
+    assert "".join(said.split()) == "".join("".join(p["text"].split()) for p in rows[0]["pieces"]) and [p["n_words"] for p in rows[0]["pieces"]] == [4, 6, 7, 6, 5]
+
+
+RULES = annotation.Rules(
+    openers=[r"in\b"], start=r"\bpeople with\b", ends=[r"[,:]\s*(?:use|do)\b", r"\sshould\b"], fields={"foot": [r"foot\b"], "infection": [r"infect\w*"], "pulse": ["pulse"]},
+    qualifier=r"\b(?:suspected|possible)\b", prohibit=["do not"], prohibit_anywhere=r"\bnever\b",
+)
+
+
+def test_annotation(spark):
+    said = ["In people with a foot ulcer, use rest for the pulse", "In a possible infected foot, do not wait", "People with infection should never run: people with a pulse should", "Nothing", None, "In one foot"]
+    rows = annotation.annotate(frame(spark, [(t,) for t in said], "t string"), "t", RULES).collect()
+    assert [r["opening"] for r in rows] == ["In people with a foot ulcer", "In a possible infected foot", None, None, None, "In one foot"]
+    assert [r["clauses"] for r in rows] == [["people with a foot ulcer"], [], ["People with infection", "people with a pulse"], [], [], []]
+    assert [r["required"] for r in rows] == [["foot"], [], ["infection", "pulse"], [], [], ["foot"]]
+    assert [r["mentioned"] for r in rows] == [["pulse"], ["foot", "infection"], [], [], [], []]
+    assert [r["polarity"] for r in rows] == ["RECOMMEND", "PROHIBIT", "PROHIBIT", "RECOMMEND", "RECOMMEND", "RECOMMEND"]
+    assert rows[1]["flags"] == ["field behind a qualifier does not count"] and rows[3]["flags"] == ["no clause"] and rows[5]["flags"] == ["opening clause runs to the end"]
+
+
+def test_differences_that_touch_clauses(spark):
+    df = frame(spark, [("people with a foot ulcer should rest", "people with an ulcer should rest"), ("people with pain should rest 2 days", "people with pain should rest"), ("a b", "a b")], "a string, b string")
+    out = annotation.difference_report(df.withColumn("d", text.word_difference("a", "b")), "d", "a", "b", RULES)
+    assert got(out.select("touches_clause", "touches_number")) == sorted([(True, False), (False, True), (False, False)], key=str)
+
+
+def test_thresholds_are_quoted(spark):
+    texts = frame(spark, [("a", "Wait. Press 2.5 kPa or more. Then 3 and 3"), ("b", "none")], "id string, t string")
+    asked = frame(spark, [("a", "2.5 kPa", 2.5), ("a", "3", 3.0), ("b", "4", 4.0), ("c", "4", 4.0), ("a", "2.5 kPa", 9.0)], "id string, token string, value double")
+    found = annotation.locate(asked, texts, "id", "token", "value", "t").collect()
+    assert {(r["id"], r["token"], r["value"]): (r["quoted"], r["problem"]) for r in found} == {
+        ("a", "2.5 kPa", 2.5): ("Press 2.5 kPa or more.", None), ("a", "3", 3.0): (None, "found 2 times"), ("b", "4", 4.0): (None, "found 0 times"), ("c", "4", 4.0): (None, "no text"), ("a", "2.5 kPa", 9.0): (None, "other value"),
+    }
+
+
+def test_phrases_and_mappings(spark, tmp_path):
+    slots = {"grade": {"mild": "infection mild"}, "pulse": {"yes": "pulse present"}}
+    assert frame(spark, [("mild", "yes")], "grade string, pulse string").select(annotation.summary(slots, "Findings")).first()[0] == "Findings: infection mild; pulse present."
+    with pytest.raises(Exception, match="no phrase for grade = severe"):
+        frame(spark, [("severe", "yes")], "grade string, pulse string").select(annotation.summary(slots, "Findings")).collect()
+    (tmp_path / "m.yaml").write_text('"status": "confirmed"\n"pairs":\n- {"label": "1", "target": "R1"}\n- {"label": "2", "target": "R2"}\n- {"label": "2", "target": "R3"}\n- {"label": "9"}\n')
+    mapping = tables.read_config(spark, str(tmp_path / "m.yaml"), "label string, target string, status string", "pairs")
+    assert mapping.count() == 4 and annotation.confirmed(mapping).count() == 4
+    names = frame(spark, [("1",), ("2",), ("3",), ("4",)], "label string")
+    found = annotation.mapping_problems(annotation.confirmed(mapping), names, "label", "target", frame(spark, [("4",)], "label string"))
+    assert {tuple(r) for r in found.collect()} == {("2", 2, "several"), ("3", 0, "missing"), ("9", 0, "unknown")}
+    (tmp_path / "p.yaml").write_text("status: proposed\npairs:\n- {label: '1', target: R1}\n")
+    with pytest.raises(Exception, match="not confirmed"):
+        annotation.confirmed(tables.read_config(spark, str(tmp_path / "p.yaml"), "label string, target string, status string", "pairs")).collect()
+    with pytest.raises(ValueError, match="unknown names"):
+        tables.read_config(spark, str(tmp_path / "p.yaml"), "label string, status string", "pairs")
+
+
+def test_regions(spark):
+    points = [(k, float(x), float(y)) for k, (x, y) in enumerate([(0, 0), (0, 1), (1, 0), (9, 9), (9, 8), (0, 20)])]
+    rows = stats.regions(frame(spark, [*points, (9, None, 1.0)], "k int, x double, y double"), "k", ["x", "y"], 3).collect()
+    assert [(r["region"], r["n"], r["percent"]) for r in rows] == [(1, 3, 50.0), (2, 2, 33.3), (3, 1, 16.7)] and rows[2]["c_y"] == 20.0
+    assert stats.regions(frame(spark, [(1, 2.0), (2, 2.0)], "k int, x double"), "k", ["x"], 3).count() == 1
+    assert stats.regions(frame(spark, [], "k int, x double"), "k", ["x"], 3).count() == 0
+
+
 def test_chunks_restore_the_text(spark):
     r = random.Random(1)
     t = " ".join(f"Word{' w' * r.randrange(5, 60)}." for _ in range(60))
     df = frame(spark, [(1, t), (2, ""), (3, None)], "id int, t string")
-    rows = df.select("id", F.explode(text.chunk(100, 160)("t")).alias("x")).select("id", "x.*").collect()
+    rows = text.chunked(df, "t", 100, 160).select("id", F.explode("pieces").alias("x")).select("id", "x.*").collect()
     assert {r["id"] for r in rows} == {1}
     assert " ".join(r["text"] for r in rows) == t and all(r["n_words"] <= 160 for r in rows)
     assert all(t[r["offset"] :].startswith(r["text"]) for r in rows)

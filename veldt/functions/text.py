@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import bisect
 import json
 import re
 import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -32,6 +33,8 @@ _MONTH = r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec)[a-z]*\.?"
 SCRUB = (
     ("name", "[name removed]", r"\b(?i:mrs|mr|dr|rev)\.?\s+[\p{L}'-]+(?:\s+[A-Z][\p{L}'-]*)?"),
     ("name", "[name removed]", r"\b(?:Ms|Miss|Master)\.?\s+[A-Z][\p{L}'-]*(?:\s+[A-Z][\p{L}'-]*)?"),
+    ("name", "[name removed]", r"[\x{D80}-\x{DFF}]+\s+(?:මහත්මිය|මහතා|මෙනවිය)"),
+    ("name", "[name removed]", r"(?<![\x{B80}-\x{BFF}])(?:திருமதி|திரு|செல்வி)\s+[\x{B80}-\x{BFF}]+"),
     ("identifier", "[ID removed]", r"\b(?:MRN|BHT|NIC|ID|Reg(?:istration)?\s*No|Clinic\s*No)\.?\s*[:#]?\s*(?=[A-Za-z0-9/-]*\d)[A-Za-z0-9/-]{3,}"),
     ("identifier", "[ID removed]", r"\b(?:\d{9}[VvXx]|(?:19|20)\d{10})\b"),
     ("email", "[email removed]", r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+"),
@@ -100,11 +103,22 @@ def tag_problem(statement: Column, issued: Column) -> Column:
     return F.coalesce(first, F.when(~statement.rlike(r"\[S[1-9][0-9]*\]\s*$"), F.lit("no tag at the end")))
 
 
+# fixed values: where a sentence ends: behind a full stop and closing marks, behind a stop with reference numbers, before a bullet
+ENDS = (
+    r"(?<=[.?!][)\]\"'”’]{0,8})(?=\s+\p{Lu})",
+    r"(?<=[\p{L})][.?!]\d[\d,–-]{0,40})(?=\s+\p{Lu})",
+    r"(?<=\S)(?=\s+•)",
+)
+
+
+def sentence_parts(text: Column) -> Column:
+    """The sentences of a text, each with the white space in front of it, so that they join to the text again."""
+    return F.filter(F.split(text, "|".join(ENDS)), lambda s: s != "")
+
+
 def sentences(text: Column) -> Column:
-    """Sentences: cut behind a full stop, question or exclamation mark (and closing quotes) before white space and a capital, and before bullets."""
-    marked = F.regexp_replace(text, r"([.?!][)\]\"'”’]*)\s+(?=\p{Lu})", "$1\u0000")
-    marked = F.regexp_replace(marked, r"\s+(?=•)", "\u0000")
-    return F.filter(F.split(marked, "\u0000"), lambda s: s != "")
+    """Sentences without the white space in front; see ENDS for where they end."""
+    return F.filter(F.transform(sentence_parts(text), lambda s: F.regexp_replace(s, r"^\s+", "")), lambda s: s != "")
 
 
 def word_list(text: Column) -> Column:
@@ -147,14 +161,52 @@ def canonical_json(texts: pd.Series) -> pd.Series:
     return texts.map(one, na_action="ignore")
 
 
+class Subsequence:
+    """Longest common subsequences of two word lists, a row of the table in the bits of one number.
+
+    Row i says for the words of ``a`` from i on: the zero bits among the lowest n bits count the longest common
+    subsequence with the last n words of ``b``. A row comes from the next by one addition. A row in every STEP is kept, the
+    others are made again when they are needed, so that memory grows with the root of the table's rows.
+    """
+
+    STEP = 64
+
+    def __init__(self, a: list[str], b: list[str]):
+        self.a, self.size = a, len(b)
+        self.full = (1 << self.size) - 1
+        self.spots: dict[str, int] = {}
+        for k, word in enumerate(reversed(b)):
+            self.spots[word] = self.spots.get(word, 0) | 1 << k
+        self.kept, row = {len(a): self.full}, self.full
+        for i in range(len(a) - 1, -1, -1):
+            row = self._before(row, i)
+            if i % self.STEP == 0:
+                self.kept[i] = row
+        self.block: dict[int, int] = {}
+
+    def _before(self, row: int, i: int) -> int:
+        hit = row & self.spots.get(self.a[i], 0)
+        return (row + hit | row - hit) & self.full
+
+    def _row(self, i: int) -> int:
+        if i in self.kept:
+            return self.kept[i]
+        if i not in self.block:
+            at = min(len(self.a), i - i % self.STEP + self.STEP)
+            row, self.block = self.kept[at], {}
+            for k in range(at - 1, i - i % self.STEP, -1):
+                self.block[k] = row = self._before(row, k)
+        return self.block[i]
+
+    def length(self, i: int = 0, j: int = 0) -> int:
+        """Length for the words of ``a`` from i on and of ``b`` from j on."""
+        n = self.size - j
+        return n - (self._row(i) & ((1 << n) - 1)).bit_count()
+
+
 def common_length(a: list[str], b: list[str]) -> int:
     """Length of the longest common subsequence."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+    return Subsequence(a, b).length()
 
 
 @pandas_udf(T.DoubleType())
@@ -170,96 +222,175 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-def typos(a: str, b: str, most: int) -> int:
-    """Missing, extra, wrong or swapped letters between two words; ``most`` + 1 once it is more."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    older: list[int] = []
-    old = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            v = min(old[j] + 1, new[-1] + 1, old[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                v = min(v, older[j - 2] + 1)
-            new.append(v)
-        if min(new) > most:
-            return most + 1
-        older, old = old, new
-    return old[-1]
+class Term:
+    """A word to look for with a few missing, extra, wrong or swapped neighbouring letters.
+
+    The distances of its beginnings to a word read so far are kept as rises and falls in the bits of two numbers, so that a
+    letter costs a few operations whatever the term's length.
+    """
+
+    def __init__(self, term: str):
+        self.term, self.top = term, 1 << max(len(term) - 1, 0)
+        self.full = (1 << len(term)) - 1
+        self.spots: dict[str, int] = {}
+        for k, c in enumerate(term):
+            self.spots[c] = self.spots.get(c, 0) | 1 << k
+        #: Words under four letters allow no typo, from four on one, from eight on two.
+        self.most = (len(term) >= 4) + (len(term) >= 8)
+
+    def distance(self, word: str) -> int:
+        if not self.term:
+            return len(word)
+        rise, fall, same, before, total = self.full, 0, 0, 0, len(self.term)
+        for c in word:
+            here = self.spots.get(c, 0)
+            swapped = (~same & here) << 1 & before
+            same = ((here & rise) + rise ^ rise | here | fall | swapped) & self.full
+            up, down = fall | ~(same | rise) & self.full, same & rise
+            total += bool(up & self.top) - bool(down & self.top)
+            up = up << 1 | 1
+            rise, fall = (down << 1 | ~(same | up)) & self.full, up & same & self.full
+            before = here
+        return total
+
+    def near(self, word: str) -> bool:
+        """Whether the word, or its start of the term's length, is within the allowed typos."""
+        n = len(self.term)
+        if not self.most or len(word) < n - self.most:
+            return False
+        return self.distance(word[:n]) <= self.most or (n < len(word) <= n + self.most and self.distance(word) <= self.most)
 
 
 def fuzzy_match(query: str):
-    """A boolean Arrow function of a text: every word of ``query`` is in it, or within a few typos of a word or its start.
+    """A boolean function of a text column: every word of ``query`` is in it, or within a few typos of a word or its start.
 
-    Words under four letters allow none, from four on one, from eight on two.
+    Words under four letters allow none, from four on one, from eight on two. Whether a term stands in the text as it is,
+    Spark tells; only the texts' distinct words are compared with terms, each once in a task.
     """
-    asked = re.findall(r"[a-z0-9]+", query.lower())
+    terms = [Term(w) for w in dict.fromkeys(re.findall(r"[a-z0-9]+", query.lower()))]
 
-    def hit(term: str, low: str, words: list[str]) -> bool:
-        if term in low:
-            return True
-        most = 2 if len(term) >= 8 else 1 if len(term) >= 4 else 0
-        return most > 0 and any(typos(term, w, most) <= most or (len(w) > len(term) and typos(term, w[: len(term)], most) <= most) for w in words)
+    @pandas_udf(T.LongType())
+    def near_terms(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[str, int] = {}
 
-    @pandas_udf(T.BooleanType())
-    def match(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known: dict[str, bool] = {}
-        for part in texts:
-            for t in set(part.dropna()) - known.keys():
-                low = t.lower()
-                if len(known) > 100_000:
+        def near(word: str) -> int:
+            if word not in known:
+                if len(known) >= 50_000:
                     known.clear()
-                known[t] = all(hit(term, low, re.findall(r"[a-z0-9]+", low)) for term in asked)
-            yield part.map(lambda t: known[t] if t in known else all(hit(term, t.lower(), re.findall(r"[a-z0-9]+", t.lower())) for term in asked) if isinstance(t, str) else False).astype(bool)
-
+                known[word] = sum(1 << k for k, term in enumerate(terms) if term.near(word))
+            return known[word]
+
+        def any_of(row) -> int:
+            found = 0
+            for word in row if row is not None else ():
+                found |= near(word)
+            return found
+
+        for part in words:
+            yield part.map(any_of)
+
+    def match(text: Column | str) -> Column:
+        text = F.col(text) if isinstance(text, str) else text
+        low = F.lower(F.coalesce(text, F.lit("")))
+        inside = F.lit(0).cast("long")
+        for k, term in enumerate(terms):
+            inside = inside.bitwiseOR(F.when(F.contains(low, F.lit(term.term)), F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
+        words = F.array_distinct(F.regexp_extract_all(low, F.lit("([a-z0-9]+)")))
+        return text.isNotNull() & (inside.bitwiseOR(near_terms(words)) == (1 << len(terms)) - 1)
+
+    if len(terms) > 62:
+        raise ValueError("a query may have 62 different words")
     return match
 
 
-def chunk(low: int = 250, high: int = 400):
-    """An Arrow function that cuts a text at sentences into pieces of ``low`` to ``high`` words.
+def word_count(part: Column) -> Column:
+    """Words of a text, parted by white space."""
+    return F.size(F.filter(F.split(part, r"\s+"), lambda w: w != ""))
+
+
+def word_pieces(vocabulary: list[str], start: str = "▁", unknown: str = "[UNK]", longest: int = 100):
+    """A function of an array of texts: the word pieces of each, greedily the longest first, accents stripped, punctuation apart.
+
+    Pieces that begin a word carry ``start`` in the vocabulary. A word with a part that isn't in it, or of more than ``longest``
+    letters, is one unknown piece.
+    """
+    begin = {v.removeprefix(start) for v in vocabulary if v.startswith(start)}
+    inner = {f"##{v}" for v in vocabulary if not v.startswith(start)}
+    numbers = {v: k for k, v in enumerate(sorted(begin | inner | {unknown}))}
+
+    @pandas_udf("array<int>")
+    def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
+
+        tok = Tokenizer(models.WordPiece(numbers, unk_token=unknown, max_input_chars_per_word=longest))
+        tok.normalizer = normalizers.Sequence([normalizers.Lowercase(), normalizers.NFD(), normalizers.StripAccents()])
+        tok.pre_tokenizer = pre_tokenizers.BertPreTokenizer()
+        for part in texts:
+            yield part.map(lambda row: None if row is None else [len(e.ids) for e in tok.encode_batch_fast(list(row))])
+
+    return count
 
-    Of all cuts the one with fewest pieces above the limit, then fewest below, then fewest pieces, then sizes closest to the middle. A sentence
-    above the limit is a piece of its own. Joined by their gaps the pieces give the text back. A null or empty text has none.
+
+def chunked(docs: DataFrame, text: str = "text", low: int = 250, high: int = 400, sizes=None, header: Column | None = None, out: str = "pieces") -> DataFrame:
+    """``docs`` with ``out`` added: the text cut at sentences into pieces of ``low`` to ``high`` tokens, as an array of (offset, text, n_words).
+
+    Of all cuts the one with fewest pieces above the limit, then fewest below, then fewest pieces, then sizes closest to the middle. A
+    sentence above the limit is a piece of its own. Joined by their gaps the pieces give the text back. A null or empty text has none.
+    ``sizes`` counts the tokens of an array of texts (see ``word_pieces``); without it words are counted. ``header`` is a text that goes before each
+    piece and counts with it. Spark splits and joins the text; only the sentences' sizes are looked at one by one.
     """
-    end = re.compile(r"[.?!][)\]\"'”’]*(?=\s+[^\W\d_a-z])|\S(?=\s+•)")
-
-    def cut(text: str) -> list[dict]:
-        if not text:
-            return []
-        ends = [m.end() for m in end.finditer(text) if not text[m.end() :].lstrip()[:1].islower()]
-        spans, start = [], 0
-        for e in [*ends, len(text)]:
-            if e > start:
-                spans.append((start, e))
-                start = e + len(text[e:]) - len(text[e:].lstrip()) if e < len(text) else e
-        sizes = [len(text[a:b].split()) for a, b in spans]
-        n, middle = len(spans), (low + high) // 2
-        best: list[tuple] = [(0, 0, 0, 0)] + [None] * n  # type: ignore[list-item]
-        back = [0] * (n + 1)
-        for j in range(1, n + 1):
-            t = 0
-            for i in range(j - 1, -1, -1):
-                t += sizes[i]
-                if t > high and i < j - 1:
-                    break
-                p = best[i]
-                now = (p[0] + (t > high), p[1] + (t < low and not (i == 0 and j == n)), p[2] + 1, p[3] + (t - middle) ** 2)
-                if best[j] is None or now < best[j]:
-                    best[j], back[j] = now, i
-        out, j = [], n
-        while j:
-            i = back[j]
-            a, b = spans[i][0], spans[j - 1][1]
-            out.append({"offset": a, "text": text[a:b], "n_words": sum(sizes[i:j])})
-            j = i
-        return out[::-1]
-
-    @pandas_udf("array<struct<offset:int,text:string,n_words:int>>")
-    def pieces(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: cut(t) if isinstance(t, str) else [])
-
-    return pieces
+    count = sizes or (lambda of: F.transform(of, word_count))
+
+    @pandas_udf("array<struct<first:int,n:int,offset:int,n_words:int>>")
+    def cuts(tokens: pd.Series, lengths: pd.Series, gaps: pd.Series, above: pd.Series) -> pd.Series:
+        return pd.Series([pieces_of(*row, low, high) for row in zip(tokens, lengths, gaps, above)])
+
+    rows = docs.withColumn("__parts", sentence_parts(F.coalesce(F.col(text), F.lit(""))))
+    rows = rows.withColumn("__tokens", count(F.col("__parts"))).withColumn("__above", F.lit(0) if header is None else count(F.array(header))[0])
+    lengths = F.transform("__parts", lambda s: F.length(s))
+    gaps = F.transform("__parts", lambda s: F.length(s) - F.length(F.regexp_replace(s, r"^\s+", "")))
+    rows = rows.withColumn("__cuts", cuts("__tokens", lengths, gaps, "__above"))
+
+    def piece(c: Column) -> Column:
+        whole = F.array_join(F.slice("__parts", c["first"] + 1, c["n"]), "")
+        return F.struct(c["offset"].alias("offset"), F.when(c["first"] > 0, F.regexp_replace(whole, r"^\s+", "")).otherwise(whole).alias("text"), c["n_words"].alias("n_words"))
+
+    return rows.withColumn(out, F.transform("__cuts", piece)).drop("__parts", "__tokens", "__above", "__cuts")
+
+
+def pieces_of(tokens: list[int], lengths: list[int], gaps: list[int], above: int, low: int, high: int) -> list[dict]:
+    """First sentence, number of sentences, offset behind the gap and tokens of each piece."""
+    begin, first, out = 0, 0, []
+    for end in best_cuts(list(tokens), int(above), low, high):
+        out.append({"first": first, "n": end - first, "offset": begin + (int(gaps[first]) if first else 0), "n_words": int(above) + int(sum(tokens[first:end]))})
+        begin, first = begin + int(sum(lengths[first:end])), end
+    return out
+
+
+def best_cuts(tokens: list[int], above: int, low: int, high: int) -> list[int]:
+    """After how many sentences each piece ends. Costs of all beginnings are carried on sentence by sentence, as one number each."""
+    n, middle = len(tokens), (low + high) // 2
+    total = [0]
+    for t in tokens:
+        total.append(total[-1] + int(t))
+    widest = max(middle, total[-1] + above) ** 2 * max(n, 1) + 1  # larger than any sum of squares
+    step = [widest * (n + 1) ** k for k in range(3)]  # a piece, one below, one above the limit
+    cost: list[int | None] = [0] + [None] * n
+    via = [0] * (n + 1)
+    for i in range(n):
+        # as far as the limit allows, one sentence at least
+        last = max(i + 1, bisect.bisect_right(total, total[i] + high - above) - 1)
+        for j in range(i + 1, last + 1):
+            size = total[j] - total[i] + above
+            short = size < low and not (i == 0 and j == n)
+            new = cost[i] + (size - middle) ** 2 + step[0] + short * step[1] + (size > high) * step[2]
+            if cost[j] is None or new < cost[j] or (new == cost[j] and i > via[j]):
+                cost[j], via[j] = new, i
+    out, at = [], n
+    while at:
+        out.append(at)
+        at = via[at]
+    return out[::-1]
 
 
 def html_lines(page: Column) -> Column:
@@ -308,29 +439,26 @@ def answer_problem(answer: Column, headings: list[str]) -> Column:
 
 @pandas_udf(T.StructType([T.StructField("only_a", T.ArrayType(T.StringType())), T.StructField("only_b", T.ArrayType(T.StringType()))]))
 def word_difference(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    """Words of either text that are not in their longest common subsequence; null counts as empty."""
+    """Words of either text that are not in their longest common subsequence; null counts as empty.
+
+    Of several longest ones that is told which, word by word from the start, keeps equal words and gives up the first text's
+    word where that costs nothing.
+    """
 
     def one(x, y) -> tuple[list[str], list[str]]:
-        p, q = (re.findall(r"\w+", t.lower()) if isinstance(t, str) else [] for t in (x, y))
-        while p and q and p[0] == q[0]:  # common ends need no table
-            p, q = p[1:], q[1:]
-        while p and q and p[-1] == q[-1]:
-            p, q = p[:-1], q[:-1]
-        size = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
-        for i in range(len(p) - 1, -1, -1):
-            for j in range(len(q) - 1, -1, -1):
-                size[i][j] = size[i + 1][j + 1] + 1 if p[i] == q[j] else max(size[i + 1][j], size[i][j + 1])
+        left, right = (re.findall(r"\w+", t.lower()) if isinstance(t, str) else [] for t in (x, y))
+        table = Subsequence(left, right)
+        lost: tuple[list[str], list[str]] = ([], [])
         i = j = 0
-        left, right = [], []
-        while i < len(p) or j < len(q):
-            if i < len(p) and j < len(q) and p[i] == q[j]:
+        while i < len(left) and j < len(right):
+            if left[i] == right[j]:
                 i, j = i + 1, j + 1
-            elif j == len(q) or (i < len(p) and size[i + 1][j] >= size[i][j + 1]):
-                left.append(p[i])
+            elif table.length(i + 1, j) == table.length(i, j):
+                lost[0].append(left[i])
                 i += 1
             else:
-                right.append(q[j])
+                lost[1].append(right[j])
                 j += 1
-        return left, right
+        return lost[0] + left[i:], lost[1] + right[j:]
 
     return pd.DataFrame([one(x, y) for x, y in zip(a, b)], columns=["only_a", "only_b"])

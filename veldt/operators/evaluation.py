@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,13 +102,26 @@ POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.9994058
 def bootstrap_mean(df: DataFrame, key: str, value: str, replicates: int) -> DataFrame:
     """One row (mean, low, high): mean of ``value`` and the 2.5 and 97.5 % points of its Poisson bootstrap.
 
-    A row's weight in a replicate is a Poisson number drawn from a hash of its key and the replicate, so the
-    result repeats anywhere and tasks combine sums of ``replicates`` rows only.
+    A row's weight in a replicate is a Poisson number drawn from seven of the 32 digits of a hash of its key and a quarter of the
+    replicate's number, so the result repeats anywhere. Rows aren't multiplied: each task adds up ``replicates`` sums.
     """
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("r").cast("string")).cast("binary")), 1, 7), 16, 10).cast("double") / float(16**7)
-    weight = F.size(F.filter(F.array(*[F.lit(p) for p in POISSON]), lambda p: p <= u))
-    each = df.where(F.col(value).isNotNull()).select(key, value, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("r")).withColumn("w", weight)
-    means = each.groupBy("r").agg(ratio(F.sum(F.col(value) * F.col("w")), F.sum("w")).alias("m"))  # as many rows as replicates
+    steps = np.array(POISSON)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top, low = np.zeros(replicates), np.zeros(replicates)
+        suffixes = [f":{k}".encode() for k in range(-(-replicates // 4))]
+        for batch in batches:
+            values = batch.column(1).to_numpy(zero_copy_only=False)
+            for begin in range(0, len(values), 1024):
+                keys = [str(k).encode() if k is not None else b"" for k in batch.column(0).slice(begin, 1024).to_pylist()]
+                drawn = np.frombuffer(b"".join([hashlib.md5(k + s).digest() for k in keys for s in suffixes]), ">u4").reshape(len(keys), -1)[:, :replicates]
+                weights = np.searchsorted(steps, (drawn >> 4) / 16**7, side="right")
+                top += values[begin : begin + 1024] @ weights
+                low += weights.sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates)), pa.array(top), pa.array(low)], ["r", "top", "low"])
+
+    rows = df.where(F.col(value).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(value).cast("double").alias("value"))
+    means = rows.mapInArrow(sums, "r long, top double, low double").groupBy("r").agg(ratio(F.sum("top"), F.sum("low")).alias("m"))  # as many rows as replicates
     ends = means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
     return df.agg(F.avg(value).alias("mean")).crossJoin(F.broadcast(ends))  # one row each
 

@@ -15,8 +15,11 @@ SLOT_ROWS = 4096
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of this machine only where the session names none."""
-    return (spark.conf.get("spark.checkpoint.dir", "") or "/tmp/checkpoints").rstrip("/")
+    """The folder that driver and executors share; one of this machine only in a local session that names none."""
+    folder = spark.conf.get("spark.checkpoint.dir", "")
+    if not folder and not spark.conf.get("spark.master", "local").startswith("local["):
+        raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all executors see")
+    return (folder or "/tmp/checkpoints").rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -13,6 +13,8 @@ from veldt.operators.preparation import written
 
 RRF = 60
 BLOCK = 4096
+#: So many different words of all queries are broadcast at most.
+SMALL_WORDS = 500_000
 
 
 def _blocks(df: DataFrame, key: str, vector: str, name: str, rows: int, more: tuple[str, ...] = ()) -> DataFrame:
@@ -24,6 +26,12 @@ def _blocks(df: DataFrame, key: str, vector: str, name: str, rows: int, more: tu
     return packed.select(F.col("b").alias(name), "dim", F.col("rows.id").alias(f"{name}_ids"), F.col("rows.v").alias(f"{name}_data"), *[F.col(f"rows.{x}").alias(x) for x in more])
 
 
+def _block_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Each query block beside each corpus block of its length; a block of the corpus is a key of its own, so no task gets them all."""
+    ids = F.sequence(F.lit(0).cast("long"), F.lit(right.agg(F.max("c")).first()[0] or 0).cast("long"))
+    return left.withColumn("c", F.explode(ids)).join(right, ["dim", "c"])
+
+
 def dense_topk(corpus: DataFrame, queries: DataFrame, key: str, query: str, vector: str, k: int, exclude_self: bool = False) -> DataFrame:
     """Rows (query, key, cosine, rank): exactly the ``k`` rows nearest to each query by cosine, ties by key.
 
@@ -32,7 +40,7 @@ def dense_topk(corpus: DataFrame, queries: DataFrame, key: str, query: str, vect
     """
     left = _blocks(queries, query, vector, "q", 512)
     right = _blocks(corpus, key, vector, "c", BLOCK)
-    pairs = left.join(right, "dim")  # blocks, not rows
+    pairs = _block_pairs(left, right)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -70,7 +78,7 @@ def dense_ranks(corpus: DataFrame, queries: DataFrame, picked: DataFrame, key: s
         lists = wanted.groupBy("__q").agg(F.collect_list(F.struct(*columns)).alias("w")).select("__q", *[F.col(f"w.{x}").alias(f"w_{x}") for x in columns])
         more = tuple(f"w_{x}" for x in columns)
         left = _blocks(queries.join(lists, F.col(query) == F.col("__q")), query, vector, "q", 512, more)
-        return left.join(right, "dim").select("q_ids", "q_data", "c_ids", "c_data", *more)  # blocks, not rows
+        return _block_pairs(left, right).select("q_ids", "q_data", "c_ids", "c_data", *more)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for pdf in batches:
@@ -109,11 +117,15 @@ def terms(text: Column) -> Column:
 def lexical_hits(corpus: DataFrame, queries: DataFrame, key: str, query: str, text: str, query_text: str) -> DataFrame:
     """Rows (query, key, hits): for each document that has a word of the query, the positions that match any of its words.
 
-    Documents are counted word by word once; only words that some query has go on, each once a query. Each task adds up its
-    own part before rows meet by query and document.
+    Words that no query has go first: the different words of all queries are few enough to be broadcast, or documents are
+    counted word by word before they meet them. Each task adds up its own part before rows meet by query and document.
     """
-    asked = queries.select(F.col(query).alias("q"), F.explode(F.array_distinct(terms(F.col(query_text)))).alias("term"))
-    words = corpus.select(F.col(key).alias("c"), F.explode(terms(F.col(text))).alias("term")).groupBy("c", "term").agg(F.count(F.lit(1)).alias("n"))
+    asked = written(queries.select(F.col(query).alias("q"), F.explode(F.array_distinct(terms(F.col(query_text)))).alias("term")), "asked")
+    different = written(asked.select("term").distinct(), "terms")
+    words = corpus.select(F.col(key).alias("c"), F.explode(terms(F.col(text))).alias("term"))
+    if different.count() <= SMALL_WORDS:
+        words = words.join(F.broadcast(different), "term", "left_semi")
+    words = words.groupBy("c", "term").agg(F.count(F.lit(1)).alias("n"))
     return words.join(asked, "term").groupBy(F.col("q").alias(query), F.col("c").alias(key)).agg(F.sum("n").alias("hits"))
 
 

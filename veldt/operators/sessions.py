@@ -44,7 +44,8 @@ def in_grace(sessions: DataFrame, key: str, successor: str, replaced_at: str, us
 def match_rounds(pairs: DataFrame, left: str, right: str, score: str, least: float) -> DataFrame:
     """Rows (left, right, score, round): mutual best pairs are taken out and the rest is matched again until none is left.
 
-    The first round's share is large: every round takes at least the best pair of what is left in each connected part.
+    The first round's share is large: every round takes at least the best pair of what is left in each connected part. A chain in
+    which each row prefers the next takes as many rounds as it has pairs; each round reads and writes what is left.
     """
     rest = written(pairs.select(left, right, score).where(F.col(score) >= least), "pairs")
     found: DataFrame | None = None

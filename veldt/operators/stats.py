@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,3 +113,49 @@ def least_squares(df: DataFrame, inputs: list[str], output: str) -> DataFrame:
     table = np.array([[found[f"{i}_{j}"] or 0.0 for j in range(k + 1)] for i in range(k)])
     solved = np.linalg.lstsq(table[:, :k], table[:, k], rcond=None)[0]
     return df.sparkSession.createDataFrame([tuple(float(x) for x in solved)], ", ".join(f"c_{c} double" for c in inputs))
+
+
+def nearest(values: list[Column], centres: list[list[float]]) -> Column:
+    """Number of the centre with the least square distance, the first of equal ones."""
+    away = [sum(((v - c) * (v - c) for v, c in zip(values, centre)), F.lit(0.0)) for centre in centres]
+    least = F.least(*away) if len(away) > 1 else away[0]
+    return F.coalesce(*[F.when(d == least, F.lit(k)) for k, d in enumerate(away)])
+
+
+def regions(df: DataFrame, key: str, values: list[str], k: int, rounds: int = 30) -> DataFrame:
+    """Rows (region, n, percent, c_<value>): up to ``k`` groups of rows by nearest centre, largest first.
+
+    The first centre is the row nearest to the mean, each next one the row farthest from all so far (ties by key); then centres
+    move to the mean of their rows until none moves, ``rounds`` times at most. Percents are rounded half up to one place, what is
+    left over goes to the largest. Every round is one aggregation over all rows; the driver holds ``k`` centres. Rows with
+    a null value are left out; fewer different rows than ``k`` make fewer regions; an empty table gives none.
+    """
+    rows = df.select(F.col(key).alias("__key"), *[F.col(v).cast("double").alias(v) for v in values]).dropna(subset=values)
+    columns = [F.col(v) for v in values]
+    means = rows.agg(*[F.avg(v).alias(v) for v in values]).first()
+    away = lambda centre: sum(((v - c) * (v - c) for v, c in zip(columns, centre)), F.lit(0.0))
+    centres: list[list[float]] = []
+    while means[0] is not None and len(centres) < k:
+        far = F.least(*[away(c) for c in centres]) if len(centres) > 1 else away(centres[0]) if centres else -away(list(means))
+        best = rows.agg(F.max_by(F.struct(far.alias("far"), *columns), F.struct(far, -F.col("__key"))).alias("b")).first()["b"]
+        if centres and best["far"] == 0:
+            break
+        centres.append([best[v] for v in values])
+    if not centres:
+        return df.sparkSession.createDataFrame([], "region long, n long, percent double, " + ", ".join(f"c_{v} double" for v in values))
+    found: list = []
+    for _ in range(rounds):
+        found = rows.groupBy(nearest(columns, centres).alias("r")).agg(F.count(F.lit(1)).alias("n"), *[F.avg(v).alias(v) for v in values]).collect()
+        moved = [list(c) for c in centres]
+        for row in found:
+            moved[row["r"]] = [row[v] for v in values]
+        if moved == centres:
+            break
+        centres = moved
+    sizes = {row["r"]: row["n"] for row in rows.groupBy(nearest(columns, centres).alias("r")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    order = sorted(sizes, key=lambda r: (-sizes[r], r))
+    total = sum(sizes.values())
+    percents = [math.floor(sizes[r] / total * 1000 + 0.5) / 10 for r in order]
+    percents[0] = math.floor((percents[0] + 100 - sum(percents)) * 10 + 0.5) / 10
+    out = [(place + 1, sizes[r], p, *centres[r]) for place, (r, p) in enumerate(zip(order, percents))]
+    return df.sparkSession.createDataFrame(out, "region long, n long, percent double, " + ", ".join(f"c_{v} double" for v in values))

@@ -129,10 +129,10 @@ def _(t):
 
 
 @R.query("state_machine_fold", """
-SELECT user_id, arg_max(event_type, k) AS state, count(DISTINCT k) AS n_moves FROM (SELECT *, list_position(['signup', 'view', 'click', 'purchase', 'error'], event_type) AS k FROM events WHERE value > 40) GROUP BY user_id
+SELECT user_id, arg_max(event_type, k) AS state, count(DISTINCT k) AS n_moves FROM (SELECT *, list_position(['signup', 'view', 'click', 'purchase', 'error'], event_type) AS k FROM events) GROUP BY user_id
 """)
 def _(t):
-    return E.furthest_state(t("events").where("value > 40"), "user_id", "event_type", STATES)
+    return E.furthest_state(t("events"), "user_id", "event_type", STATES)
 
 
 @R.query("state_machine_fold_whole")

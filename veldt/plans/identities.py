@@ -91,10 +91,14 @@ def _(t):
     return t("events").groupBy("user_id").agg(F.greatest(last("click"), last("view")).alias("last"))
 
 
-@R.query("line_join", "SELECT doc_id, sha256(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: x), lambda x: x <> ''), ' ')) AS h FROM documents WHERE NOT regexp_matches(text, '[a-zà-ÿ]-\\n')".replace("\\\\n", "\\n"))
+#: Comma and blank become a hyphen and a line's end here, so that both rules of the join meet real words.
+BROKEN = "array_to_string(list_filter(string_split(replace(text, ', ', '-' || chr(10)), chr(10)), lambda x: x <> ''), chr(10))"
+HYPHEN = "regexp_replace({}, '(\\p{{Ll}})-\\n(\\p{{Ll}})', '\\1\\2', 'g')"
+
+
+@R.query("line_join", f"SELECT doc_id, sha256(replace({HYPHEN.format(HYPHEN.format(BROKEN))}, chr(10), ' ')) AS h FROM documents")
 def _(t):
-    lines = F.filter(F.split("text", "\n"), lambda x: x != "")
-    # the SQL has no hyphen rule and leaves out the documents that need one, and null texts; here they are joined like all others
+    lines = F.filter(F.split(F.replace("text", F.lit(", "), F.lit("-\n")), "\n"), lambda x: x != "")
     return t("documents").select("doc_id", F.sha2(X.joined_lines(lines), 256).alias("h"))
 
 
@@ -127,10 +131,16 @@ def _(t):
 
 
 @R.query("word_difference", r"""
-WITH w AS (SELECT p_partkey, regexp_extract_all(lower(p_type), '[a-z0-9_]+') AS b FROM part) SELECT p_partkey, '' AS only_a, array_to_string(b, ' ') AS only_b FROM w
+WITH w AS (SELECT p_partkey AS k, regexp_extract_all(lower(p_name), '[a-z0-9_]+') AS w FROM part),
+x AS (SELECT a.k, a.w[1] AS p, a.w[2] AS q, b.w[1] AS r, b.w[2] AS s FROM w a JOIN w b ON b.k = a.k + 1 WHERE len(a.w) = 2 AND len(b.w) = 2),
+c AS (SELECT *, CASE WHEN p = r AND q = s THEN 'same' WHEN p = r THEN 'first' WHEN q = r THEN 'left' WHEN q = s THEN 'last' WHEN p = s THEN 'right' ELSE 'none' END AS c FROM x)
+SELECT k AS p_partkey, CASE c WHEN 'same' THEN '' WHEN 'first' THEN q WHEN 'left' THEN p WHEN 'last' THEN p WHEN 'right' THEN q ELSE p || ' ' || q END AS only_a,
+  CASE c WHEN 'same' THEN '' WHEN 'first' THEN s WHEN 'left' THEN s WHEN 'last' THEN r WHEN 'right' THEN r ELSE r || ' ' || s END AS only_b FROM c
 """)
 def _(t):
-    rows = t("part").select("p_partkey", X.word_difference(F.col("p_name"), F.concat_ws(" ", "p_type", "p_name")).alias("d"))
+    part = t("part").select("p_partkey", "p_name")
+    rows = part.join(part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("next")), "p_partkey")
+    rows = rows.select("p_partkey", X.word_difference(F.col("p_name"), F.col("next")).alias("d"))
     return rows.select("p_partkey", F.array_join("d.only_a", " ").alias("only_a"), F.array_join("d.only_b", " ").alias("only_b"))
 
 

@@ -61,12 +61,9 @@ def order_part_components(lines):
     return P.components(lines.select((F.col("l_orderkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b")), "a", "b")
 
 
-@R.query("connected_components", """
-WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey * 2 AS a, l_partkey * 2 + 1 AS b FROM lineitem WHERE l_quantity >= 49 AND l_discount >= 0.09), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-t(n, c) AS (SELECT a, a FROM u UNION SELECT u.b, t.c FROM t JOIN u ON u.a = t.n) SELECT n AS node, min(c) AS component FROM t GROUP BY n
-""")
+@R.query("connected_components")
 def _(t):
-    return order_part_components(t("lineitem").where("l_quantity >= 49 AND l_discount >= 0.09"))
+    return order_part_components(t("lineitem"))
 
 
 @R.query("connected_components_whole")
@@ -81,7 +78,15 @@ def _(t):
     return P.suppress(rows, "user_id", "a", "b", "value", "event_id").select("user_id", "event_id")
 
 
-@R.query("near_duplicates")
+@R.query("near_duplicates", r"""
+WITH RECURSIVE w AS (SELECT doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM w),
+f AS (SELECT min(doc_id) AS doc_id, s, len(s) AS n FROM (SELECT doc_id, list_sort(s) AS s FROM s) GROUP BY s), x AS (SELECT doc_id, n, unnest(s) AS token FROM f),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.token = b.token AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING count(*) >= (a.n + b.n - count(*)) * 0.8),
+u AS (SELECT a, b FROM l UNION SELECT b, a FROM l UNION SELECT doc_id, doc_id FROM f), t(a, c) AS (SELECT a, b FROM u UNION SELECT t.a, u.b FROM t JOIN u ON u.a = t.c),
+c AS (SELECT a, min(c) AS c FROM t GROUP BY a)
+SELECT s.doc_id, c.c AS cluster FROM s JOIN f ON f.s = list_sort(s.s) JOIN c ON c.a = f.doc_id
+""")
 def _(t):
     return P.near_duplicates(t("documents"), "doc_id", "text")
 

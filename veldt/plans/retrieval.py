@@ -1,7 +1,7 @@
 """Queries of hybrid retrieval. Queries are the rows whose id is divisible by 100; they run against all rows.
 
-The lexical queries with a SQL twin search with the first line of each query document; those named ``_whole`` with every word of it.
-Fusion with a SQL twin knows ranks up to 100 only; that named ``_whole`` has all ranks of both sides.
+Lexical queries search with every word of a query document, fusion knows all ranks of both sides. The names that end in ``_whole``
+are kept from a time when the others did less; they give the same rows.
 """
 
 from __future__ import annotations
@@ -23,10 +23,6 @@ def asked(t):
 
 
 def asked_text(t):
-    return t("documents").where(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("query_id"), F.substring_index("text", "\n", 1).alias("q"))
-
-
-def asked_whole(t):
     return t("documents").where(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("query_id"), F.col("text").alias("q"))
 
 
@@ -35,14 +31,14 @@ d AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, round(list_cosine_similar
 dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, doc_id) AS rank FROM d)
 """
 LEX = f"""
-qt AS (SELECT DISTINCT doc_id AS query_id, unnest(regexp_extract_all(lower(split_part(text, chr(10), 1)), '[a-z0-9]+')) AS term FROM documents WHERE doc_id % {EVERY} = 0),
+qt AS (SELECT DISTINCT doc_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents WHERE doc_id % {EVERY} = 0),
 dt AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents),
 x AS (SELECT query_id, doc_id, count(*) AS hits FROM dt JOIN qt USING (term) GROUP BY 1, 2),
 xr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, doc_id) AS rank FROM x)
 """
 FUSED = f"""
 f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS doc_id, a.rank AS dense_rank, b.rank AS lexical_rank,
-  round(coalesce(1 / (60 + a.rank), 0) + coalesce(1 / (60 + b.rank), 0), 15) AS score FROM (SELECT * FROM dr WHERE rank <= 100) a FULL JOIN (SELECT * FROM xr WHERE rank <= 100) b ON a.query_id = b.query_id AND a.doc_id = b.doc_id),
+  round(coalesce(1 / (60 + a.rank), 0) + coalesce(1 / (60 + b.rank), 0), 15) AS score FROM dr a FULL JOIN xr b ON a.query_id = b.query_id AND a.doc_id = b.doc_id),
 fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f)
 """
 
@@ -50,14 +46,7 @@ fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, d
 def hybrid(t):
     corpus = t("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     dense = retrieval.dense_topk(corpus, asked(t), "doc_id", "query_id", "embedding", 100)
-    lexical = retrieval.lexical_topk(t("documents"), asked_text(t), "doc_id", "query_id", "text", "q", 100)
-    return retrieval.fuse(dense, lexical, "query_id", "doc_id", K)
-
-
-def hybrid_whole(t):
-    corpus = t("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    dense = retrieval.dense_topk(corpus, asked(t), "doc_id", "query_id", "embedding", 100)
-    hits = retrieval.lexical_hits(t("documents"), asked_whole(t), "doc_id", "query_id", "text", "q")
+    hits = retrieval.lexical_hits(t("documents"), asked_text(t), "doc_id", "query_id", "text", "q")
     return retrieval.fuse_whole(dense, hits, corpus, asked(t), "query_id", "doc_id", "embedding", K, 100)
 
 
@@ -83,7 +72,7 @@ def _(t):
 
 @R.query("lexical_topk_whole")
 def _(t):
-    return retrieval.lexical_topk(t("documents"), asked_whole(t), "doc_id", "query_id", "text", "q", K).withColumn("rank", F.col("rank").cast("long"))
+    return retrieval.lexical_topk(t("documents"), asked_text(t), "doc_id", "query_id", "text", "q", K).withColumn("rank", F.col("rank").cast("long"))
 
 
 @R.query("hybrid_fusion", f"WITH {DENSE}, {LEX}, {FUSED} SELECT query_id, doc_id, dense_rank, lexical_rank, rank FROM fr WHERE rank <= {K}")
@@ -93,7 +82,7 @@ def _(t):
 
 @R.query("hybrid_fusion_whole")
 def _(t):
-    return hybrid_whole(t).select("query_id", "doc_id", *[F.col(c).cast("long").alias(c) for c in ("dense_rank", "lexical_rank", "rank")])
+    return hybrid(t).select("query_id", "doc_id", *[F.col(c).cast("long").alias(c) for c in ("dense_rank", "lexical_rank", "rank")])
 
 
 def gated(t):
@@ -146,7 +135,7 @@ def _(t):
 
 @R.query("gated_search_whole")
 def _(t):
-    return gated_search(t, asked_whole(t))
+    return gated_search(t, asked_text(t))
 
 
 @R.query("withheld_matches", f"WITH {LEX}, {GATED} SELECT query_id, xr.doc_id, array_to_string(list_sort(missing), ',') AS missing FROM xr JOIN g ON g.doc_id = xr.doc_id WHERE rank <= 5 AND len(missing) > 0")
@@ -156,7 +145,7 @@ def _(t):
 
 @R.query("withheld_matches_whole")
 def _(t):
-    return withheld_matches(t, asked_whole(t))
+    return withheld_matches(t, asked_text(t))
 
 
 def reranked(t, found):
@@ -175,7 +164,7 @@ def _(t):
 
 @R.query("rerank_all_or_nothing_whole")
 def _(t):
-    return reranked(t, hybrid_whole(t)).select("query_id", "doc_id", "reranked", F.col("final_rank").cast("long").alias("final_rank"))
+    return reranked(t, hybrid(t)).select("query_id", "doc_id", "reranked", F.col("final_rank").cast("long").alias("final_rank"))
 
 
 @R.query("rerank_stability", f"""
@@ -204,7 +193,7 @@ def _(t):
 
 @R.query("deliver_tags_whole")
 def _(t):
-    return delivered(t, hybrid_whole(t))
+    return delivered(t, hybrid(t))
 
 
 @R.query("idempotent_replay", """

@@ -22,12 +22,13 @@ def _nest(rules) -> str:
     return out
 
 
-@R.query("pii_scrub", f"SELECT doc_id, sha256({_nest(PLAIN)}) AS scrubbed, {_nest(PLAIN)} <> text AS changed FROM documents")
+@R.query("pii_scrub_plain", f"SELECT doc_id, sha256({_nest(PLAIN)}) AS scrubbed, {_nest(PLAIN)} <> text AS changed FROM documents")
 def _(t):
     clean, kinds = X.scrub(F.col("text"), PLAIN)
     return t("documents").select("doc_id", F.sha2(clean, 256).alias("scrubbed"), (F.size(kinds) > 0).alias("changed"))
 
 
+@R.query("pii_scrub")
 @R.query("pii_scrub_whole")
 def _(t):
     clean, kinds = X.scrub(F.col("text"))
@@ -155,19 +156,26 @@ def _(t):
     return t("pages").select("page_id", F.size(parts).cast("long").alias("n_parts"), F.regexp_extract("html", r"(?is)<h1\b[^>]*>([^<]*)", 1).alias("title"))
 
 
-@R.query("page_lines")
+@R.query("page_lines", r"""
+WITH p AS (SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '(?is)<(?:h[1-6]|p)\b[^>]*>[^<]*'), lambda x: {'level': coalesce(try_cast(regexp_extract(x, '(?i)^<h([1-6])', 1) AS INT), 0),
+  'text': trim(regexp_replace(regexp_replace(x, '^<[^>]*>', ''), '[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'))}), lambda s: s.text <> '') AS l FROM pages)
+SELECT page_id, (i - 1)::INT AS line, l[i].level AS level, l[i].text AS text FROM p, unnest(range(1, len(l) + 1)) AS u(i)
+""")
 def _(t):
     return t("pages").select("page_id", F.posexplode(X.html_lines(F.col("html"))).alias("line", "x")).select("page_id", "line", "x.level", "x.text")
 
 
-@R.query("sentence_counts")
+@R.query("sentence_counts", r"""
+WITH m AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '([.?!][)\]"\x27”’]*)(\s+\p{Lu})', '\1' || chr(1) || '\2', 'g'), '([\p{L})][.?!]\d[\d,–-]*)(\s+\p{Lu})', '\1' || chr(1) || '\2', 'g'), '(\S)(\s+•)', '\1' || chr(1) || '\2', 'g') AS m FROM documents)
+SELECT doc_id, coalesce(len(list_filter(string_split(m, chr(1)), lambda x: regexp_replace(x, '^\s+', '') <> '')), 0) AS n_sentences FROM m WHERE m IS NOT NULL
+""")
 def _(t):
-    return t("documents").select("doc_id", F.size(X.sentences(F.col("text"))).alias("n_sentences"))
+    return t("documents").where("text IS NOT NULL").select("doc_id", F.size(X.sentences(F.col("text"))).alias("n_sentences"))
 
 
 @R.query("chunk_documents")
 def _(t):
-    return t("documents").select("doc_id", F.posexplode(X.chunk(250, 400)("text")).alias("chunk", "x")).select("doc_id", "chunk", "x.offset", "x.n_words", "x.text")
+    return X.chunked(t("documents").select("doc_id", "text")).select("doc_id", F.posexplode("pieces").alias("chunk", "x")).select("doc_id", "chunk", "x.offset", "x.n_words", "x.text")
 
 
 @R.query("fuzzy_search", """

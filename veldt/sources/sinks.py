@@ -58,10 +58,18 @@ def load_version(df: DataFrame, home: str, version: str, checks: dict[str, Calla
         fs.delete(staged_path, True)
         raise ValueError(f"{version}: {', '.join(failed)}")
     _, path = _fs(spark, target)
+    # an old version goes aside and is deleted once the new one stands, so that a failure between leaves one of them
+    aside = None
     if fs.exists(path):
-        fs.delete(path, True)
+        _, aside = _fs(spark, f"{home}/_old-{version}-{uuid.uuid4().hex}")
+        if not fs.rename(path, aside):
+            raise OSError(f"{target} can't be replaced")
     if not fs.rename(staged_path, path):
+        if aside is not None:
+            fs.rename(aside, path)
         raise OSError(f"{target} can't be made")
+    if aside is not None:
+        fs.delete(aside, True)
     return target
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,6 +38,29 @@ def read_jsonl_latest(spark: SparkSession, path: str, schema: str, key: str, ord
     return latest_per_key(spark.read.json(path, schema=schema, mode="FAILFAST"), key, [order])
 
 
+def read_config(spark: SparkSession, path: str, schema: str, section: str | None = None) -> DataFrame:
+    """Rows of a small YAML or JSON file: its list, or the list under ``section``, each entry beside the file's other simple values.
+
+    Missing values are null; an entry with a name that the schema lacks raises. YAML needs the yaml package; JSON doesn't.
+    The file is configuration, read whole by the driver through Spark's file systems.
+    """
+    text = spark.read.text(path, wholetext=True).first()[0]
+    try:
+        import yaml
+
+        content = yaml.safe_load(text)
+    except ImportError:
+        content = json.loads(text)
+    names = spark.createDataFrame([], schema).columns
+    shared = {k: v for k, v in content.items() if not isinstance(v, list | dict)} if isinstance(content, dict) else {}
+    entries = content if section is None else content[section]
+    rows = [{**{k: v for k, v in shared.items() if k in names}, **entry} for entry in entries]
+    unknown = sorted({k for row in rows for k in row} - set(names))
+    if unknown:
+        raise ValueError(f"{path}: unknown names {unknown}")
+    return spark.createDataFrame([tuple(row.get(n) for n in names) for row in rows], schema)
+
+
 def parse_json(df: DataFrame, column: str, schema: str) -> DataFrame:
     """``df`` with ``parsed`` (a struct of ``schema``) and ``problem``: null, ``empty`` or ``malformed``. No row is dropped."""
     kind = f"struct<{', '.join(x.strip().replace(' ', ':', 1) for x in schema.split(','))},_bad:string>"
