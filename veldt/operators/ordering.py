@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veldt.operators.shared import written
+
 SLICES = 64
 
 
@@ -35,5 +37,6 @@ def running_totals(df: DataFrame, groups: list[str], order: str, amount: Column,
 
 def value_counts(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     """Rows (groups, value, n, upto): how often each non-null value occurs, and how many values are at most as large."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"))
+    # written, as the cuts into slices and the totals both read them
+    counts = written(df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n")), "counts")
     return running_totals(counts, groups, value, F.col("n"), "upto")

@@ -2,33 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veldt.operators.ordering import running_totals
+from veldt.operators.shared import written
 
 
 #: Rows of small groups that one call of Python gets together.
 SLOT_ROWS = 4096
 
 
-def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of this machine only in a local session that names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", "")
-    if not folder and not spark.conf.get("spark.master", "local").startswith("local["):
-        raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all executors see")
-    return (folder or "/tmp/checkpoints").rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as files of the shared folder: lineage ends there, and a lost executor costs a re-read."""
-    path = f"{scratch(df.sparkSession)}/veldt-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Rows (node, component): the smallest node that each node of an edge list reaches. Keys are longs.
 

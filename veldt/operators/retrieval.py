@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veldt.operators.preparation import written
+from veldt.operators.shared import written
 
 RRF = 60
 BLOCK = 4096

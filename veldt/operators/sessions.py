@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veldt.operators.joins import mutual_best
-from veldt.operators.preparation import written
+from veldt.operators.shared import written
 from veldt.operators.stats import count_where, ratio
 
 
@@ -85,8 +85,9 @@ def control_pairs(df: DataFrame, key: str, known: DataFrame, a: str, b: str, per
     names, so the number of pairs is linear. Keys are longs.
     """
     n = max(1, df.count())
-    spot = lambda k: F.pmod(F.xxhash64(F.col(key), F.lit(seed), k), F.lit(n))
-    places = df.select(F.col(key).alias("__b"), F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(n)).alias("__spot"))
+    mark = lambda *of: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *of).cast("binary")), 1, 13), 16, 10).cast("long")
+    spot = lambda k: F.pmod(mark(F.col(key).cast("string"), k.cast("string")), F.lit(n))
+    places = df.select(F.col(key).alias("__b"), F.pmod(mark(F.col(key).cast("string")), F.lit(n)).alias("__spot"))
     asks = df.select(F.col(key).alias("__a"), F.explode(F.sequence(F.lit(1), F.lit(per_row))).alias("__k"), F.col(key)).withColumn("__spot", spot(F.col("__k")))
     drawn = asks.join(places, "__spot").groupBy("__a", "__k").agg(F.min("__b").alias("__b")).where("__a <> __b")
     pairs = drawn.select(F.least("__a", "__b").alias(a), F.greatest("__a", "__b").alias(b)).distinct()

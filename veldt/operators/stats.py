@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veldt.operators.ordering import value_counts
+from veldt.operators.shared import written
 
 
 def count_where(cond: Column) -> Column:
@@ -26,7 +27,7 @@ def percentiles(df: DataFrame, groups: list[str], value: str, points: dict[str,
     neighbours of (n - 1) q. Null values don't count; a group without values has no row. Values are counted and ranked
     in slices, so a group of any size is spread over tasks.
     """
-    counted = value_counts(df, groups, value)
+    counted = written(value_counts(df, groups, value), "ranks")  # read for the totals and for the points
     totals = counted.groupBy(*groups).agg(F.sum("n").alias("__total"))
     if groups:
         right = totals.select(*[F.col(g).alias(f"__{g}") for g in groups], "__total")

@@ -40,7 +40,18 @@ def _(t):
     return sessions.in_grace(rows, "event_id", "nxt", "at", F.col("value") > 10, now, 864000).select("event_id", "usable")
 
 
-@R.query("match_in_rounds")
+def _rounds(most: int) -> str:
+    """Rounds of mutual best pairs written out; each takes one pair at least, so as many as there are names are enough."""
+    steps = ["""p0 AS MATERIALIZED (SELECT s_nationkey AS a, c_nationkey AS b, round(sum(l_quantity), 2) AS s FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey
+  JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2 HAVING round(sum(l_quantity), 2) >= 1)"""]
+    for i in range(most):
+        best = f"SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS ra, row_number() OVER (PARTITION BY b ORDER BY s DESC, a) AS rb FROM p{i}"
+        steps.append(f"m{i} AS MATERIALIZED (SELECT a, b, s, {i + 1} AS round FROM ({best}) WHERE ra = 1 AND rb = 1)")
+        steps.append(f"p{i + 1} AS MATERIALIZED (SELECT * FROM p{i} WHERE a NOT IN (SELECT a FROM m{i}) AND b NOT IN (SELECT b FROM m{i}))")
+    return f"WITH {', '.join(steps)} {' UNION ALL '.join(f'SELECT * FROM m{i}' for i in range(most))}"
+
+
+@R.query("match_in_rounds", _rounds(25))
 def _(t):
     lines = t("lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
     pairs = (
@@ -77,7 +88,13 @@ def _(t):
     return found.withColumns({c: F.round(c, 6) for c in ("coverage", "accuracy", "recall")})
 
 
-@R.query("control_pairs")
+@R.query("control_pairs", """
+WITH n AS (SELECT count(*) AS n FROM documents), k AS (SELECT least(doc_id, doc_id + 1) AS a, greatest(doc_id, doc_id + 1) AS b FROM labels),
+p AS (SELECT doc_id AS b, ('0x' || substr(md5('3:' || doc_id), 1, 13))::BIGINT % n AS spot FROM documents, n),
+q AS (SELECT doc_id AS a, i, ('0x' || substr(md5('3:' || doc_id || ':' || i), 1, 13))::BIGINT % n AS spot FROM documents, n, range(1, 3) r(i)),
+d AS (SELECT a, i, min(b) AS b FROM q JOIN p USING (spot) GROUP BY a, i)
+SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM d WHERE a <> b AND NOT EXISTS (SELECT 1 FROM k WHERE k.a = least(d.a, d.b) AND k.b = greatest(d.a, d.b))
+""")
 def _(t):
     known = t("labels").select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b"))
     return sessions.control_pairs(t("documents").select("doc_id"), "doc_id", known, "a", "b", 2, 3)

@@ -71,7 +71,13 @@ def _(t):
     return order_part_components(t("lineitem"))
 
 
-@R.query("greedy_suppression")
+@R.query("greedy_suppression", """
+WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS a, epoch_us(ts) + (value * 60000000)::BIGINT AS b, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rn FROM events),
+k(user_id, rn, kept) AS (SELECT user_id, 1, [{'id': event_id, 'a': a, 'b': b}] FROM e WHERE rn = 1
+  UNION ALL SELECT k.user_id, k.rn + 1, CASE WHEN len(list_filter(kept, lambda x: e.a < x.b AND e.b > x.a)) = 0 THEN list_append(kept, {'id': event_id, 'a': e.a, 'b': e.b}) ELSE kept END
+  FROM k JOIN e ON e.user_id = k.user_id AND e.rn = k.rn + 1)
+SELECT user_id, unnest(list_transform(kept, lambda x: x.id)) AS event_id FROM (SELECT user_id, arg_max(kept, rn) AS kept FROM k GROUP BY user_id)
+""")
 def _(t):
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     rows = t("events").select("user_id", "event_id", at.alias("a"), (at + (F.col("value") * 60_000_000).cast("long")).alias("b"), "value")

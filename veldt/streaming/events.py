@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from veldt.operators.preparation import scratch
+from veldt.operators.shared import scratch
 
 #: State lives in RocksDB, which is not to set disk aside for each of many small stores.
 STATE_SETTINGS = {
