@@ -418,6 +418,27 @@ def labelled_row(headers: Column, cells: Column) -> Column:
     return F.array_join(F.array_compact(parts), " | ")
 
 
+def with_header(header: Column, body: Column) -> Column:
+    """A body under its context header; without a header the body alone."""
+    return F.when(F.coalesce(header, F.lit("")) == "", body).otherwise(F.concat(header, F.lit("\n"), body))
+
+
+def without_header(text: Column, header: Column) -> Column:
+    """The body again; a text that doesn't start with the header and a line's end stays as it is."""
+    head = F.concat(header, F.lit("\n"))
+    return F.when(F.startswith(text, head), F.substr(text, F.length(head) + 1)).otherwise(text)
+
+
+def sub_items(text: Column, marker: str) -> Column:
+    """A block cut at its markers as (label, text); what stands before the first marker has a null label.
+
+    ``marker`` is a pattern whose first group is the label; each item goes up to the next marker. Empty leads are left out.
+    """
+    parts = F.filter(F.split(text, f"(?={marker})"), lambda p: p != "")
+    label = lambda p: F.regexp_extract(p, f"^(?:{marker})", 1)
+    return F.transform(parts, lambda p: F.struct(F.when(label(p) != "", label(p)).alias("label"), F.trim(F.regexp_replace(p, f"^(?:{marker})", "")).alias("text")))
+
+
 def references(text: Column, label: str) -> Column:
     """Numbers of references such as ``Figure 3`` in a text, in order of their first place, each once."""
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(rf"(?i)\b{label}\s+(\d+)"), F.lit(1)), lambda x: x.cast("int")))

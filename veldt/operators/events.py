@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veldt.operators.keyed import latest_per_key
@@ -128,3 +128,10 @@ def drain_time(df: DataFrame, at: str, lag: str) -> DataFrame:
 def running_prefix(df: DataFrame, order: str, amount: str, budget: float) -> DataFrame:
     """Rows of the longest prefix by ``order`` whose sum of ``amount`` stays within ``budget``, over a table of any size."""
     return running_totals(df, [], order, F.col(amount), "running").where(F.col("running") <= budget)
+
+
+def within_budget(df: DataFrame, key: str, at: str, width: str, budget: int, order: str) -> DataFrame:
+    """``df`` with ``admitted``: the first ``budget`` rows of a key in each window of ``width``, by time and ``order``."""
+    window = F.window(F.col(at), width)["start"]
+    place = F.row_number().over(Window.partitionBy(key, "__window").orderBy(at, order))
+    return df.withColumn("__window", window).withColumn("admitted", place <= budget).drop("__window")

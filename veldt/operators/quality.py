@@ -65,3 +65,15 @@ def reject_frozen(changes: DataFrame, versions: DataFrame, key: str, frozen_at:
     joined = changes.join(frozen, changes[key] == frozen["__key"], "left")
     guard = F.when(F.col("__frozen"), F.raise_error(F.concat(F.lit("frozen: "), F.col(key).cast("string"))).cast(changes.schema[key].dataType)).otherwise(F.col(key))
     return joined.select(*[guard.alias(c) if c == key else F.col(c) for c in changes.columns])
+
+
+def run_steps(df: DataFrame, steps: list[tuple[str, Column, str]], done: str) -> DataFrame:
+    """``df`` with ``outcome`` and ``step``: steps (name, condition, outcome) are tried in order, the first that holds decides.
+
+    A row that no step stops has the outcome ``done`` and the last step's name. A null condition doesn't hold.
+    """
+    outcome, step = F.lit(done), F.lit(steps[-1][0] if steps else None)
+    for name, condition, result in reversed(steps):
+        holds = F.coalesce(condition, F.lit(False))
+        outcome, step = F.when(holds, F.lit(result)).otherwise(outcome), F.when(holds, F.lit(name)).otherwise(step)
+    return df.withColumn("outcome", outcome).withColumn("step", step)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from veldt.plans import aggregates, annotations, events, identities, preparation, relational, retrieval, texts
+from veldt.plans import aggregates, annotations, events, identities, preparation, relational, retrieval, round_trips, texts
 
-REGISTRIES = (relational.R, aggregates.R, retrieval.R, texts.R, events.R, preparation.R, identities.R, annotations.R)
+REGISTRIES = (relational.R, aggregates.R, retrieval.R, texts.R, events.R, preparation.R, identities.R, annotations.R, round_trips.R)
 
 
 def queries() -> dict:
