@@ -223,16 +223,23 @@ def _split(docs: DataFrame, keep: list[str], text: str, tables: Tables) -> DataF
                     block, part, size = block + 1, [], 0
         if part:
             yield from done()
+        part.clear()
+        pa.default_memory_pool().release_unused()
 
     return tables.write(cut.mapInArrow(run, f"block long, rows array<{kind}>, ends array<long>, codes binary, code int, word string"), "split")
 
 
 def packed(numbers: np.ndarray) -> bytes:
-    return pa.compress(numbers.tobytes(), codec="zstd", asbytes=True) if len(numbers) else b""
+    """32-bit numbers, the lowest bytes of all first and the highest last, which compresses better than number by number."""
+    planes = np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T)
+    return pa.Codec("zstd", compression_level=3).compress(planes, asbytes=True) if len(numbers) else b""
 
 
-def unpacked(numbers: bytes, n: int, kind: str) -> np.ndarray:
-    return np.frombuffer(pa.decompress(numbers, n * np.dtype(kind).itemsize, codec="zstd"), kind) if n else np.zeros(0, kind)
+def unpacked(numbers: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, "<i4")
+    planes = np.frombuffer(pa.decompress(numbers, 4 * n, codec="zstd"), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<i4").reshape(n)
 
 
 def _word_ids(split: DataFrame, path: str) -> DataFrame:
@@ -256,7 +263,7 @@ def _word_ids(split: DataFrame, path: str) -> DataFrame:
                 some = bags.take(pa.array(order[a:b]))
                 ids = np.frombuffer(b"".join(some.to_pylist()), "<u4")
                 sizes = pc.binary_length(some).to_numpy(zero_copy_only=False) // 4
-                made.append((int(block[a]), b - a, len(ids), packed(np.diff(code[a:b], prepend=0).astype("<i4")), packed(sizes.astype("<u4")), packed(ids)))
+                made.append((int(block[a]), b - a, len(ids), packed(np.diff(code[a:b], prepend=0)), packed(sizes), packed(ids)))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made), kinds)], ["block", "n", "total", "codes", "sizes", "ids"])
 
@@ -275,7 +282,9 @@ def _word_ids(split: DataFrame, path: str) -> DataFrame:
         if rows:
             yield back()
 
-    words = split.where("word IS NOT NULL").select("word", "block", "code").repartition("word").sortWithinPartitions("word")
+    words = split.where("word IS NOT NULL").select("word", "block", "code")
+    # neighbours share their beginnings, which the shuffle's compression finds; a word has a row a block at most
+    words = words.repartitionByRange("word").sortWithinPartitions("word")
     return words.mapInArrow(run, "block long, n long, total long, codes binary, sizes binary, ids binary")
 
 
@@ -288,7 +297,7 @@ def _joined_back(docs: DataFrame, keep: list[str], path: str, text: str, make, s
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
         found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, "<u4")]
         for n, total, *parts in zip(*(words.column(c).to_pylist() for c in ("n", "total", "codes", "sizes", "ids"))):
-            numbers = unpacked(parts[0], n, "<i4"), unpacked(parts[1], n, "<u4"), unpacked(parts[2], total, "<u4")
+            numbers = unpacked(parts[0], n), unpacked(parts[1], n), unpacked(parts[2], total).view("<u4")
             for column, more in zip(found, (np.cumsum(numbers[0]), numbers[1].astype(np.int64), numbers[2])):
                 column.append(more)
         codes_of, size_of, flat = map(np.concatenate, found)
@@ -297,7 +306,7 @@ def _joined_back(docs: DataFrame, keep: list[str], path: str, text: str, make, s
         made = []
         for k in range(texts.num_rows):
             rows, ends = texts.column("rows")[k].values, texts.column("ends")[k].values.to_numpy()
-            codes = unpacked(texts.column("codes")[k].as_py(), int(ends[-1]), "<i4")
+            codes = unpacked(texts.column("codes")[k].as_py(), int(ends[-1]))
             ids, stop = gather(codes, ends, flat, starts, sizes)
             made.append(pa.Table.from_arrays([*(rows.field(i) for i in range(len(keep))), *make(ids, stop)], names=names))
         return pa.concat_tables(made)  # no block is without texts
