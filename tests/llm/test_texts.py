@@ -118,7 +118,9 @@ def test_lines_against_counts(spark):
         rows.append((k, r.choice(["\n", "\n\n"]).join(lines) if r.random() < 0.97 else None, h))
     rows += [(900, "", "a"), (900, "", "a"), (901, prose(3, 20000), "b")]
     df = spark.createDataFrame([(i, t, "en", h, 0) for i, t, h in rows], DOCS).withColumn("n_lines", F.lit("clash"))
+    df = df.withColumn("__key", F.lit("clash")).withColumn("__body", F.lit("clash")).withColumn("a.b", F.lit("clash"))
     out = line_dedup.drop_boilerplate(df, counts=True)
+    assert out.columns == df.columns + ["n_dropped"] and out.where("__key = 'clash' AND __body = 'clash' AND `a.b` = 'clash'").count() == len(rows)
     assert sorted(((r["doc_id"], r["text"], r["n_dropped"]) for r in out.collect()), key=str) == plain_lines(rows)
     assert line_dedup.drop_boilerplate(df.limit(0)).count() == 0
 
