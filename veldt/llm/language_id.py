@@ -273,7 +273,7 @@ class Labeller:
             grown[:n] = self.scores[:n]
             self.scores = grown
         row, scores = self.old
-        known = list(new.intersection(row))
+        known = [w for w in new if w in row]
         unknown = list(new.difference(row))
         self.row.update(zip(known + unknown, range(n, n + len(new))))
         self.scores[n : n + len(known)] = scores[[row[w] for w in known]]

@@ -338,9 +338,9 @@ class Scanner:
         if self.letters > KEPT_LETTERS:  # the words of late become the old ones
             self.old, self.row, new = self.row, {}, set(words)
             self.letters = sum(map(len, new))
-        known = new.intersection(self.old)
-        self.row.update({w: self.old[w] for w in known})
-        new -= known
+        known = {w: self.old[w] for w in new if w in self.old}
+        self.row.update(known)
+        new = new.difference(known)
         for w in new:
             found = tuple(shape(w))
             if found not in self.shapes:  # far fewer than words

@@ -19,12 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veldt.llm.common import components, stored, without
+from veldt.llm.common import components, doubtful, slices, spread_join, stored, without
 
 WORDS = 4
 MAX_BITS = 4
 HASH_SEED = 42
 BANDS = MAX_BITS + 1
+#: What the pipeline's stage takes: runs of so many words, their similarity, and how far fingerprints of candidates may differ.
+SHINGLE, SIMILARITY, NEAR_BITS = 5, 0.8, 6
 LEAF = 32
 FAN = 8
 SLOT_ROWS = 4096
@@ -113,10 +115,14 @@ class GrayIndex:
         return left, right
 
 
-def linked(codes: np.ndarray, most: int = MAX_BITS) -> np.ndarray:
-    """For codes in Gray order: the position of the first member of each code's connected group."""
+def linked(codes: np.ndarray, most: int = MAX_BITS, finer: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For codes in Gray order: (position of the first member of each code's connected group, of its best partner).
+
+    The best partner is the linked code that is least bits apart in ``finer``, the first of equal ones; a code without links,
+    or all without ``finer``, have themselves.
+    """
     n = len(codes)
-    label = np.arange(n)
+    label, best = np.arange(n), np.full(n, np.iinfo(np.int64).max)
     left, right = GrayIndex(codes).block_pairs(most)
     blocks = -(-n // LEAF)
     padded = np.zeros(blocks * LEAF, np.uint64)
@@ -127,8 +133,13 @@ def linked(codes: np.ndarray, most: int = MAX_BITS) -> np.ndarray:
         k, i, j = np.nonzero(np.bitwise_count(padded[a][:, :, None] ^ padded[b][:, None, :]) <= most)
         i, j = a[k] * LEAF + i, b[k] * LEAF + j
         real = (i < n) & (j < n) & (i != j)
-        join_labels(label, i[real], j[real])
-    return label
+        i, j = i[real], j[real]
+        join_labels(label, i, j)
+        if finer is not None:
+            apart = np.bitwise_count(finer[i] ^ finer[j]).astype(np.int64) * n
+            np.minimum.at(best, i, apart + j)
+            np.minimum.at(best, j, apart + i)
+    return label, np.where(best == np.iinfo(np.int64).max, np.arange(n), best % max(n, 1))
 
 
 def join_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
@@ -163,8 +174,11 @@ def _band(code: str, bands: int):
     )
 
 
-def links(distinct: DataFrame, most: int = MAX_BITS) -> DataFrame:
-    """Edges (a, b) of longs between representatives; ``distinct`` has one row (fp, rep) for each fingerprint.
+def links(distinct: DataFrame, most: int = MAX_BITS, finer: str | None = None) -> DataFrame:
+    """Edges (a, b) of longs between representatives; ``distinct`` has rows (fp, rep).
+
+    With ``finer``, a second fingerprint, there is also an edge from each to the linked one of its bucket that is least bits
+    apart in it.
 
     Edges span each group of linked fingerprints of a bucket as a star, so a large group makes as many edges as it
     has members and never all pairs. A bucket above the limit is dealt again by finer bands of its other bits, which
@@ -172,7 +186,8 @@ def links(distinct: DataFrame, most: int = MAX_BITS) -> DataFrame:
     """
     total = distinct.count()
     slots = max(32, (most + 1) * total // SLOT_ROWS)
-    coarse = distinct.select("fp", "rep", F.explode(_band("fp", most + 1)).alias("band"))
+    second = F.col(finer) if finer else F.lit(0).cast("long")
+    coarse = distinct.select("fp", "rep", second.alias("finer"), F.explode(_band("fp", most + 1)).alias("band"))
     large = coarse.groupBy("band").count().where(F.col("count") > BUCKET_ROWS).select("band")
     # each band is two fine bands wide; of the fine bands outside the bucket's own, most + 1 are enough, since
     # most differing bits can't touch all of them
@@ -181,24 +196,25 @@ def links(distinct: DataFrame, most: int = MAX_BITS) -> DataFrame:
     outside = F.slice(F.concat(fine, fine), own * 2 + 3, most + 1)
     keyed = (
         coarse.join(F.broadcast(large.withColumn("large", F.lit(True))), "band", "left")
-        .select("fp", "rep", "band", F.explode(F.when(F.col("large"), outside).otherwise(F.array(F.lit(-1).cast("long")))).alias("sub"))
+        .select("fp", "rep", "finer", "band", F.explode(F.when(F.col("large"), outside).otherwise(F.array(F.lit(-1).cast("long")))).alias("sub"))
         .withColumn("slot", F.pmod(F.xxhash64("band", "sub"), F.lit(slots)))
     )
 
     def run(table: pa.Table) -> pa.Table:
         band, sub = (table.column(c).to_numpy() for c in ("band", "sub"))
-        codes, reps = table.column("fp").to_numpy().view(np.uint64), table.column("rep").to_numpy()
-        order = np.lexsort((gray_rank(codes), sub, band))
-        band, sub, codes, reps = band[order], sub[order], codes[order], reps[order]
+        codes, more = (table.column(c).to_numpy().view(np.uint64) for c in ("fp", "finer"))
+        reps = table.column("rep").to_numpy()
+        order = np.lexsort((reps, gray_rank(codes), sub, band))
+        band, sub, codes, reps, more = band[order], sub[order], codes[order], reps[order], more[order]
         edge = np.flatnonzero((band[1:] != band[:-1]) | (sub[1:] != sub[:-1])) + 1
         ends = np.concatenate((edge, [len(codes)]))
         left, right = [], []
         for a, b in zip(np.concatenate(([0], edge)).tolist(), ends.tolist()):
             if b - a > 1:
-                label = linked(codes[a:b], most)
-                own = np.flatnonzero(label != np.arange(b - a))
-                left.append(reps[a:b][label[own]])
-                right.append(reps[a:b][own])
+                for other in linked(codes[a:b], most, more[a:b] if finer else None):
+                    own = np.flatnonzero(other != np.arange(b - a))
+                    left.append(reps[a:b][other[own]])
+                    right.append(reps[a:b][own])
         empty = np.zeros(0, np.int64)
         return pa.table({"a": np.concatenate([empty, *left]), "b": np.concatenate([empty, *right])})
 
@@ -222,35 +238,105 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     return printed.join(named, "fp").select(F.col("key").alias(key), "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def word_print(words: list[bytes]) -> int:
+    """SimHash of the different words of a text, each once; zero without words."""
+    return _majority(np.fromiter((xxhash.xxh64_intdigest(w, HASH_SEED) for w in set(words)), "<u8")) if words else 0
+
+
+def shape(words: list[bytes]) -> int:
+    """A signed 64-bit number of a sequence of words; equal sequences have the same."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(words))).astype(np.int64))
+
+
+def shingle_hashes(words: list[bytes], n: int = SHINGLE) -> np.ndarray:
+    """Sorted hashes of the different runs of ``n`` words; of a shorter text the whole is one."""
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    if len(words) <= n:
+        return np.array([xxhash.xxh3_64_intdigest(joined)], np.uint64).view(np.int64)
+    starts = np.concatenate(([0], ends[:-n] + 1)).tolist()
+    found = np.fromiter((xxhash.xxh3_64_intdigest(joined[a:b]) for a, b in zip(starts, ends[n - 1 :].tolist())), np.uint64, len(starts))
+    return np.unique(found).view(np.int64)
+
+
+def _words(column: pa.Array) -> Iterator[list[bytes]]:
+    for t in column.cast(pa.binary()):
+        yield (t.as_py() or b"").lower().split()
+
+
+def _shapes(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows (key, node, fp, finer): the shape of each text, the fingerprints of its words and of its runs of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            found = [(shape(w), word_print(w), int(_majority(shingle_hashes(w).view(np.uint64)))) for w in _words(batch.column(1))]
+            prints = [np.array([x[k] for x in found], np.uint64).view(np.int64) for k in (1, 2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.int64()), *map(pa.array, prints)], ["key", "node", "fp", "finer"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, node long, fp long, finer long")
+
+
+def _similar(edges: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, words: int, least: float) -> DataFrame:
+    """Those edges (a, b) whose texts' runs of ``words`` words have a Jaccard similarity of ``least`` or more.
+
+    Runs are made only of texts that stand at an edge, one for each node.
+    """
+    ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node")))
+    met = stored(ends.groupBy("node").agg(F.count(F.lit(1)).alias("met")), "met")
+    wanted = stored(met.join(nodes, "node").select("node", F.col("rep").alias("__rep")), "wanted")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 0):
+            found = [(shape(w), shingle_hashes(w, words)) for w in _words(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([x for _, x in found], pa.list_(pa.int64()))], ["node", "runs"])
+
+    few = doubtful(docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")), wanted.select("__rep"), "key", "hit").where("hit").select("text")
+    runs = few.mapInArrow(run, "node long, runs array<long>").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    runs = stored(runs.join(met, "node"), "runs")
+    total = 2 * edges.count()
+    side = lambda name: runs.select(F.col("node").alias(name), F.col("runs").alias(f"{name}_runs"), "met")
+    pairs = spread_join(edges, side("a"), "a", "met", total, F.col("b"), "inner").drop("met")
+    pairs = spread_join(pairs, side("b"), "b", "met", total, F.col("a"), "inner")
+    common = F.size(F.array_intersect("a_runs", "b_runs"))
+    return pairs.where(common >= (F.size("a_runs") + F.size("b_runs") - common) * least).select("a", "b")
+
+
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE, least: float = SIMILARITY, most: int = NEAR_BITS) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the one whose key is the group's smallest.
 
-    Of rows that repeat that key, all whose text belongs to the group stay. Rows with a null key always stay. Groups are of
-    fingerprints, so rows that share a key but not a text don't tie their groups together, and each is judged by its own.
+    Texts are linked if their runs of ``words`` words have a Jaccard similarity of ``least`` or more; links chain. The Gray-order
+    index names the pairs to compare: of the texts of a bucket whose fingerprints of different words are ``most`` or fewer bits apart, each
+    beside the first and beside the one most like it by the fingerprint of its runs, in every band. Words are lower-cased (A-Z) and parted by ASCII white space. Texts of the same words,
+    null and empty ones among each other, are one text there. Of rows that repeat the smallest key, all whose text belongs to the group stay. Rows with
+    a null key always stay. Groups are of texts, so rows that share a key but not a text don't tie their groups together, and
+    each is judged by its own.
     """
     columns = [f"`{c}`" for c in docs.columns]
-    printed = stored(fingerprints(docs, key, text), "fingerprints")
-    distinct = stored(printed.groupBy("fp").agg(F.min("key").alias("rep")), "distinct")
-    found = components(links(distinct.where("rep IS NOT NULL").select("fp", F.col("fp").alias("rep")), MAX_BITS))
-    rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
-    first = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("first")), "root").select("fp", "first")
-    judged = printed.where("key IS NOT NULL").join(first, "fp")
+    shapes = stored(_shapes(docs, key, text), "shapes")
+    nodes = stored(shapes.groupBy("node").agg(F.min("key").alias("rep"), F.first("fp").alias("fp"), F.first("finer").alias("finer")), "nodes")
+    pairs = links(nodes.where("rep IS NOT NULL").select("fp", "finer", F.col("node").alias("rep")), most, "finer")
+    edges = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    found = components(_similar(edges, nodes, docs, key, text, words, least))
+    rooted = nodes.join(found, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("root"))
+    first = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("first")), "root").select("node", "first")
+    judged = shapes.where("key IS NOT NULL").join(first, "node")
     lost = stored(judged.where("key <> first").select(F.col("key").alias("__lost")).distinct(), "lost")
     # keys that stand both on a row to drop and on one that stays: rare, so only their rows are told apart by their text
-    stay = judged.where("key = first").join(lost, F.col("key") == F.col("__lost"), "left_semi").select(F.col("key").alias("__key"), F.col("fp").alias("__fp")).distinct()
+    stay = judged.where("key = first").join(lost, F.col("key") == F.col("__lost"), "left_semi").select(F.col("key").alias("__key"), F.col("node").alias("__node")).distinct()
     kept = without(docs, lost, key)
     stay = stored(stay, "stay")
     if stay.isEmpty():
         return kept
-    doubtful = docs.join(stay.select("__key").distinct(), F.col(key) == F.col("__key"), "left_semi").withColumn("__print", _print_of(F.col(text).cast("string").cast("binary")))
-    back = doubtful.join(stay, (F.col(key) == F.col("__key")) & (F.col("__print") == F.col("__fp")), "left_semi").select(*columns)
+    told = docs.join(stay.select("__key").distinct(), F.col(key) == F.col("__key"), "left_semi").withColumn("__shape", _shape_of(F.col(text).cast("string").cast("binary")))
+    back = told.join(stay, (F.col(key) == F.col("__key")) & (F.col("__shape") == F.col("__node")), "left_semi").select(*columns)
     return kept.unionByName(back)
 
 
 @F.pandas_udf(T.LongType())
-def _print_of(texts: pd.Series) -> pd.Series:
-    """The fingerprint of each text (its bytes), as ``fingerprints`` has it."""
-    return pd.Series(np.array([fingerprint(t or b"") for t in texts], dtype=np.uint64).view(np.int64))
+def _shape_of(texts: pd.Series) -> pd.Series:
+    """The shape of each text (its bytes)."""
+    return pd.Series([shape((t or b"").lower().split()) for t in texts], dtype="int64")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
