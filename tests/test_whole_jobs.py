@@ -10,6 +10,7 @@ from fractions import Fraction
 import pytest
 
 from tests.test_operators import plain_components
+from veldt.functions import stems
 from veldt.operators import retrieval
 from veldt.plans import catalog
 
@@ -59,6 +60,26 @@ def test_lexical_search_uses_the_whole_query_text(spark, corpus):
     assert rows("withheld_matches_whole") == sorted((q, k, ",".join(missing[k])) for q, found in order.items() for k, _ in found[:5] if missing[k])
 
 
+STEMS = {
+    "consigned": "consign", "consistency": "consist", "consistently": "consist", "knightly": "knight", "generously": "generous", "nationally": "nation", "running": "run", "happiness": "happi",
+    "relational": "relat", "hopping": "hop", "hoping": "hope", "skies": "sky", "dying": "die", "ties": "tie", "cries": "cri", "gas": "gas", "gaps": "gap", "kiwis": "kiwi", "agreed": "agre",
+    "feed": "feed", "luxuriated": "luxuri", "luxuriate": "luxuri", "cry": "cri", "by": "by", "say": "say", "inning": "inning", "communism": "communism", "adjustable": "adjust",
+    "replacement": "replac", "adoption": "adopt", "probate": "probat", "rate": "rate", "controlling": "control", "roll": "roll", "bed": "bed", "shred": "shred", "it's": "it", "youth": "youth",
+    "hopefulness": "hope", "analogously": "analog", "sensibilities": "sensibl", "formative": "format", "triplicate": "triplic",
+}
+
+
+def test_stems_of_published_samples():
+    assert {w: stems.stem(w) for w in STEMS} == STEMS
+
+
+def test_stemmed_search(spark, tmp_path):
+    docs = [(0, "the runner was running and hoping"), (1, "He runs. Runs!"), (2, "the and was"), (3, "hope"), (4, None), (5, "hopeful run")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = sorted(map(tuple, catalog.queries()["lexical_topk_stemmed"](spark, str(tmp_path)).select("query_id", "doc_id", "hits", "rank").collect()))
+    assert found == [(0, 0, 3, 1), (0, 1, 2, 2), (0, 5, 2, 3), (0, 3, 1, 4)][:1] + [(0, 1, 2, 2), (0, 3, 1, 4), (0, 5, 2, 3)]
+
+
 def fused_order(docs, vectors):
     """{query: [(doc, dense rank, lexical rank), ...]}: the 20 best of the whole pool, both sides ranked without a cut."""
     import numpy as np

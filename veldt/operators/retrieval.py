@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -114,15 +114,17 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9]+)"))
 
 
-def lexical_hits(corpus: DataFrame, queries: DataFrame, key: str, query: str, text: str, query_text: str) -> DataFrame:
+def lexical_hits(corpus: DataFrame, queries: DataFrame, key: str, query: str, text: str, query_text: str, analyse: Callable[[Column], Column] = terms) -> DataFrame:
     """Rows (query, key, hits): for each document that has a word of the query, the positions that match any of its words.
 
+    ``analyse`` makes the words of a text; ``functions.stems.analysed`` brings English words to their stems without stop words.
+
     Words that no query has go first: the different words of all queries are few enough to be broadcast, or documents are
     counted word by word before they meet them. Each task adds up its own part before rows meet by query and document.
     """
-    asked = written(queries.select(F.col(query).alias("q"), F.explode(F.array_distinct(terms(F.col(query_text)))).alias("term")), "asked")
+    asked = written(queries.select(F.col(query).alias("q"), F.explode(F.array_distinct(analyse(F.col(query_text)))).alias("term")), "asked")
     different = written(asked.select("term").distinct(), "terms")
-    words = corpus.select(F.col(key).alias("c"), F.explode(terms(F.col(text))).alias("term"))
+    words = corpus.select(F.col(key).alias("c"), F.explode(analyse(F.col(text))).alias("term"))
     if different.count() <= SMALL_WORDS:
         words = words.join(F.broadcast(different), "term", "left_semi")
     words = words.groupBy("c", "term").agg(F.count(F.lit(1)).alias("n"))
@@ -134,9 +136,9 @@ def lexical_ranks(hits: DataFrame, key: str, query: str) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.col("hits").desc(), F.col(key))))
 
 
-def lexical_topk(corpus: DataFrame, queries: DataFrame, key: str, query: str, text: str, query_text: str, k: int) -> DataFrame:
+def lexical_topk(corpus: DataFrame, queries: DataFrame, key: str, query: str, text: str, query_text: str, k: int, analyse: Callable[[Column], Column] = terms) -> DataFrame:
     """Rows (query, key, hits, rank): the ``k`` documents with most positions that match any word of the query, ties by key."""
-    return lexical_ranks(lexical_hits(corpus, queries, key, query, text, query_text), key, query).where(F.col("rank") <= k)
+    return lexical_ranks(lexical_hits(corpus, queries, key, query, text, query_text, analyse), key, query).where(F.col("rank") <= k)
 
 
 def fuse(dense: DataFrame, lexical: DataFrame, query: str, key: str, k: int, constant: int = RRF) -> DataFrame:

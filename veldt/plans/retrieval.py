@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veldt.functions import vectors
+from veldt.functions import stems, vectors
 from veldt.operators import joins, retrieval
 from veldt.plans.registry import Registry
 
@@ -75,6 +75,12 @@ def _(t):
     return retrieval.lexical_topk(t("documents"), asked_text(t), "doc_id", "query_id", "text", "q", K).withColumn("rank", F.col("rank").cast("long"))
 
 
+@R.query("lexical_topk_stemmed")
+def _(t):
+    found = retrieval.lexical_topk(t("documents"), asked_text(t), "doc_id", "query_id", "text", "q", K, stems.analysed)
+    return found.withColumn("rank", F.col("rank").cast("long"))
+
+
 @R.query("hybrid_fusion", f"WITH {DENSE}, {LEX}, {FUSED} SELECT query_id, doc_id, dense_rank, lexical_rank, rank FROM fr WHERE rank <= {K}")
 def _(t):
     return hybrid(t).select("query_id", "doc_id", *[F.col(c).cast("long").alias(c) for c in ("dense_rank", "lexical_rank", "rank")])
