@@ -129,7 +129,11 @@ def test_first_of_similar_texts_stays(spark):
     runs = [plain_runs(t) for t in texts]
     near = [(a, b) for a in range(len(runs)) for b in range(a) if len(runs[a] & runs[b]) >= 0.8 * len(runs[a] | runs[b])]
     top = groups(range(len(texts)), near)
-    kept = simhash_links.keep_first(documents(spark, texts).withColumn("node", F.lit("clash")))
+    df = documents(spark, texts)
+    for name in ("__lost", "__at", "__key", "row", "key", "a.b", "node"):
+        df = df.withColumn(name, F.lit("clash"))
+    kept = simhash_links.keep_first(df)
+    assert kept.columns == df.columns
     stay, want = {x["doc_id"] for x in kept.collect()}, {k for k in range(len(texts)) if top[k] == k}
     # nothing goes without a similar text; a few similar ones stay, whose words' fingerprints are too far apart
     assert want <= stay and len(stay - want) <= 4 and len(texts) - len(stay) > 60 and kept.columns[-1] == "node"

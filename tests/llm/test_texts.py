@@ -142,6 +142,13 @@ def test_exact_dedup_with_and_without_collisions(spark, tmp_path, digest):
     assert sorted(tuple(r)[:5] for r in out) == want and all(r["keep_file"].endswith(".parquet") for r in out)
 
 
+def test_exact_dedup_with_null_keys_and_other_columns(spark, tmp_path):
+    rows = [(None, "a", "x"), (None, "A", "y"), (3, "a", "z"), (None, "b", "x"), (5, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, digest string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = stream_dedup.deduplicate(spark, f"{tmp_path}/documents.parquet").select("doc_id", "keep_id", "group_size", "kept").collect()
+    assert sorted(map(tuple, out), key=str) == sorted([(None, 3, 3, False), (None, 3, 3, False), (3, 3, 3, True), (None, None, 1, True), (5, 5, 1, True)], key=str)
+
+
 def plain_repeats(docs, n=20):
     split = [(i, [w for w in re.split("[\x20\x09-\x0d]+", t or "") if w]) for i, t in docs]
     first = {}
@@ -317,6 +324,8 @@ def test_query_columns(spark, tmp_path):
 
 
 def test_redaction(spark, field):
+    long = documents(spark, ["a" * 2_000_000 + " password=abc123x"])
+    assert secret_scan.redact(long, field).first()["text"].endswith(" [SECRET]")
     df = documents(spark, [None, "", "my password=abc123x ok", "plain words"]).withColumn("secrets", F.lit("clash"))
     assert [r["text"] for r in secret_scan.redact(df, field).orderBy("doc_id").collect()] == [None, "", "my [SECRET] ok", "plain words"]
     assert secret_scan.find(df.limit(0), field).count() == 0

@@ -312,25 +312,26 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     a null key always stay. Groups are of texts, so rows that share a key but not a text don't tie their groups together, and
     each is judged by its own.
     """
-    columns = [f"`{c}`" for c in docs.columns]
-    shapes = stored(_shapes(docs, key, text), "shapes")
+    # all columns travel in one struct, so that their names may be any
+    rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    shapes = stored(_shapes(rows, "key", "text"), "shapes")
     nodes = stored(shapes.groupBy("node").agg(F.min("key").alias("rep"), F.first("fp").alias("fp"), F.first("finer").alias("finer")), "nodes")
     pairs = links(nodes.where("rep IS NOT NULL").select("fp", "finer", F.col("node").alias("rep")), most, "finer")
     edges = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    found = components(_similar(edges, nodes, docs, key, text, words, least))
+    found = components(_similar(edges, nodes, rows, "key", "text", words, least))
     rooted = nodes.join(found, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("root"))
     first = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("first")), "root").select("node", "first")
     judged = shapes.where("key IS NOT NULL").join(first, "node")
     lost = stored(judged.where("key <> first").select(F.col("key").alias("__lost")).distinct(), "lost")
     # keys that stand both on a row to drop and on one that stays: rare, so only their rows are told apart by their text
     stay = judged.where("key = first").join(lost, F.col("key") == F.col("__lost"), "left_semi").select(F.col("key").alias("__key"), F.col("node").alias("__node")).distinct()
-    kept = without(docs, lost, key)
+    kept = without(rows.select("row", "key"), lost, "key").select("row.*")
     stay = stored(stay, "stay")
     if stay.isEmpty():
         return kept
-    told = docs.join(stay.select("__key").distinct(), F.col(key) == F.col("__key"), "left_semi").withColumn("__shape", _shape_of(F.col(text).cast("string").cast("binary")))
-    back = told.join(stay, (F.col(key) == F.col("__key")) & (F.col("__shape") == F.col("__node")), "left_semi").select(*columns)
-    return kept.unionByName(back)
+    told = rows.join(stay.select("__key").distinct(), F.col("key") == F.col("__key"), "left_semi").withColumn("shape", _shape_of(F.col("text").cast("binary")))
+    back = told.join(stay, (F.col("key") == F.col("__key")) & (F.col("shape") == F.col("__node")), "left_semi").select("row.*")
+    return kept.union(back)
 
 
 @F.pandas_udf(T.LongType())
