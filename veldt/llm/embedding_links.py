@@ -159,7 +159,7 @@ def _block_pairs(blocks: DataFrame, epsilon: float) -> DataFrame:
     )
 
 
-def near_runs(a: np.ndarray, b: np.ndarray, epsilon: float, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+def near_runs(a: np.ndarray, b: np.ndarray, epsilon: float, run: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i, j) of runs of the points ``a`` and ``b`` whose boxes are at most ``epsilon`` apart.
 
     Intervals of both sides are met from the whole down to runs, FAN parts at a time; a pair too far apart goes with all it holds.
@@ -197,7 +197,7 @@ def near_runs(a: np.ndarray, b: np.ndarray, epsilon: float, run: int = RUN) -> t
 def compare(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, same: bool, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions (i, j) of linked rows, run by run; for ``same`` each row also meets itself, which is left out."""
     ux, uy = unit(x), unit(y)
-    left, right = near_runs(px, py, math.sqrt(2 - 2 * cosine))
+    left, right = near_runs(px, py, math.sqrt(2 - 2 * cosine), RUN)
     order = np.lexsort((right, left))
     left, right = left[order], right[order]
     for k in np.unique(left).tolist():

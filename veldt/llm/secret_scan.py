@@ -245,6 +245,10 @@ def made_clean(rng: random.Random) -> list[str]:
         [
             [number],
             [f"{word}.{number[:2]}@{other}{number[0]}.example.com"],
+            [f"{word}.{other}@{spoken(rng, 1, 3)}.example.com"],
+            [f"20{number[:2]}-0{number[0]}-1{number[1]}T1{number[2]}:2{number[3]}:30Z", f"{word}@{other}.example.org"],
+            [rng.choice(["to", "from", "mail"]), f"<{other}.{word}@{spoken(rng, 1, 3)}.example.net>"],
+            [rng.choice(["id", "run", "see"]), "-".join(some(rng, n, "0123456789abcdef") for n in (8, 4, 4, 4, 12))],
             [f"https://www.{word}.example.org/{other}/{number[:3]}?page={number[0]}"],
             [f"https://{word}.example.org/{other}-{word}/{other}.html"],
             [f"({number[:3]})", f"555-{number[:4]}"],
@@ -253,6 +257,7 @@ def made_clean(rng: random.Random) -> list[str]:
             [f"20{number[:2]}-0{number[0]}-1{number[1]}"],
             [word.upper() * 2 + rng.choice(["", "!!", "."])],
             [spoken(rng, 6, 16).capitalize()],
+            [spoken(rng, 6, 16)],
             [f"{word}_{other}_{spoken(rng)}{rng.choice(['', '()', ' =', '1'])}"],
             ["".join(spoken(rng, 1, 3).capitalize() for _ in range(rng.randint(2, 4)))],
             [f"/{word}/{other}/{spoken(rng)}.{rng.choice(['py', 'txt', 'json'])}"],
@@ -309,7 +314,7 @@ def train(docs: DataFrame, text: str = "text", texts: int = TRAIN_TEXTS) -> Fiel
     sequences = [(w, t, np.array(f)) for w, t, f in found or filler]
     plain_ones = [s for s in sequences if not any(s[1])] or [(w, t, np.array(f)) for w, t, f in filler]
     for _ in range(max(300, len(plain_ones) // 2)):
-        for new, marks in (made_up(rng), (made_clean(rng), None), (made_clean(rng), None)):
+        for new, marks in (made_up(rng), *((made_clean(rng), None) for _ in range(3))):
             words, tags, file = rng.choice(plain_ones)
             at = rng.randrange(len(words) + 1)
             sequences.append(([*words[:at], *new, *words[at:]], [*tags[:at], *(marks or [0] * len(new)), *tags[at:]], file))
