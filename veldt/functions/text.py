@@ -103,17 +103,17 @@ def tag_problem(statement: Column, issued: Column) -> Column:
     return F.coalesce(first, F.when(~statement.rlike(r"\[S[1-9][0-9]*\]\s*$"), F.lit("no tag at the end")))
 
 
-# fixed values: where a sentence ends: behind a full stop and closing marks, behind a stop with reference numbers, before a bullet
-ENDS = (
-    r"(?<=[.?!][)\]\"'”’]{0,8})(?=\s+\p{Lu})",
-    r"(?<=[\p{L})][.?!]\d[\d,–-]{0,40})(?=\s+\p{Lu})",
-    r"(?<=\S)(?=\s+•)",
-)
+# fixed values: where a sentence ends: before a bullet, behind a full stop and closing marks, behind a stop with reference numbers
+BULLET = r"(?<=\S)(?=\s+•)"
+STOP = r"(?<=[.?!][)\]\"'”’]{0,8})"
+STOP_WITH_NUMBERS = r"(?<=[\p{L})][.?!]\d[\d,–-]{0,40})"
+#: What follows is looked at first, as it is there at few places: white space and then a capital or a bullet.
+ENDS = rf"(?=\s+[\p{{Lu}}•])(?:{BULLET}|(?=\s+\p{{Lu}})(?:{STOP}|{STOP_WITH_NUMBERS}))"
 
 
 def sentence_parts(text: Column) -> Column:
     """The sentences of a text, each with the white space in front of it, so that they join to the text again."""
-    return F.filter(F.split(text, "|".join(ENDS)), lambda s: s != "")
+    return F.filter(F.split(text, ENDS), lambda s: s != "")
 
 
 def sentences(text: Column) -> Column:
@@ -305,7 +305,7 @@ def fuzzy_match(query: str):
 
 def word_count(part: Column) -> Column:
     """Words of a text, parted by white space."""
-    return F.size(F.filter(F.split(part, r"\s+"), lambda w: w != ""))
+    return F.regexp_count(part, F.lit(r"\S+"))
 
 
 def word_pieces(vocabulary: list[str], start: str = "▁", unknown: str = "[UNK]", longest: int = 100):
