@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veldt.llm import bpe_codec, embedding_links, html_text, language_id, line_dedup, packing, repeat_spans, secret_scan, simhash_links, stream_dedup
+from veldt.llm import bpe_codec, conversation_repair, embedding_links, html_text, language_id, line_dedup, packing, repeat_spans, secret_scan, simhash_links, stream_dedup
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_secret_scan": secret_scan.query,
         "op9_bpe_codec": bpe_codec.query,
         "op10_repeat_spans": repeat_spans.query,
+        "op11_conversation_repair": conversation_repair.query,
     }
 
 
