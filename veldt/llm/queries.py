@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veldt.llm import bpe_codec, conversation_repair, embedding_links, html_text, language_id, line_dedup, packing, repeat_spans, secret_scan, simhash_links, stream_dedup
+from veldt.llm import bpe_codec, conversation_repair, embedding_links, hard_negatives, html_text, language_id, line_dedup, packing, repeat_spans, secret_scan, simhash_links, stream_dedup
 
 
 def queries() -> dict:
@@ -18,8 +18,9 @@ def queries() -> dict:
         "op9_bpe_codec": bpe_codec.query,
         "op10_repeat_spans": repeat_spans.query,
         "op11_conversation_repair": conversation_repair.query,
+        "op12_hard_negatives": hard_negatives.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_links": embedding_links.ORACLE, "op4_stream_dedup": stream_dedup.ORACLE, "op5_line_dedup": line_dedup.ORACLE}
+    return {"op1_embedding_links": embedding_links.ORACLE, "op4_stream_dedup": stream_dedup.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op12_hard_negatives": hard_negatives.ORACLE}
