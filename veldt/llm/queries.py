@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veldt.llm import bpe_codec, conversation_repair, embedding_links, hard_negatives, html_text, language_id, line_dedup, packing, repeat_spans, secret_scan, simhash_links, stream_dedup
+from veldt.llm import bpe_codec, conversation_repair, embedding_links, hard_negatives, html_text, language_id, line_dedup, packing, repeat_spans, secret_scan, simhash_links, stream_dedup, toxicity
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_repeat_spans": repeat_spans.query,
         "op11_conversation_repair": conversation_repair.query,
         "op12_hard_negatives": hard_negatives.query,
+        "op13_toxicity": toxicity.query,
     }
 
 
