@@ -94,7 +94,7 @@ def test_words_of_any_size_and_few_letters_kept(spark, model, monkeypatch):
     assert [language_id.SCRIPTS[x] for x in language_id.word_scripts(flat, lengths)] == ["latin", "latin", "han"]
 
 
-def plain_lines(rows, ratio=0.1, least=10):
+def plain_lines(rows, ratio=0.1, least=1):
     pages, total = Counter(), Counter(h for _, _, h in rows)
     for _, t, h in rows:
         pages.update((h, x) for x in {x.strip(" ") for x in (t or "").split("\n")} - {""})
@@ -125,6 +125,16 @@ def test_lines_against_counts(spark):
     assert line_dedup.drop_boilerplate(df.limit(0)).count() == 0
 
 
+def test_lines_of_small_hosts(spark):
+    r = random.Random(4)
+    rows = [(1000 * n + k, "\n".join([f"own {k}", *(f"common {j}" for j in range(6) if r.random() < 0.06 * j)]), f"h{n}") for n in (1, 3, 9, 10, 11, 20, 50, 100) for k in range(n)]
+    df = spark.createDataFrame([(i, t, "en", h, 0) for i, t, h in rows], DOCS)
+    for least in (1, 10):
+        out = line_dedup.drop_boilerplate(df, min_pages=least, counts=True)
+        assert sorted(((x["doc_id"], x["text"], x["n_dropped"]) for x in out.collect()), key=str) == plain_lines(rows, least=least)
+    assert any("common" in t for _, t, _ in plain_lines(rows)) and {t for i, t, _ in plain_lines(rows) if i < 10000} == {""}
+
+
 def low(t):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
 
