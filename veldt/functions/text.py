@@ -45,6 +45,15 @@ SCRUB = (
     ("number", "[number removed]", r"(?<![\w.])\+?\d(?:[\s-]?\d){6,}(?![\w.])"),
 )
 
+#: The same matches in time linear in the text: an address starts only where a run of its letters does or the last one ended, and
+#: a run of blanks is read once.
+LINEAR = {
+    r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+": r"(?:(?<![\w.+-])|\G)[\w.+-]++@[\w-]+(?:\.[\w-]+)+",
+    r"\b(?:MRN|BHT|NIC|ID|Reg(?:istration)?\s*No|Clinic\s*No)\.?\s*[:#]?\s*(?=[A-Za-z0-9/-]*\d)[A-Za-z0-9/-]{3,}": (
+        r"\b(?:MRN|BHT|NIC|ID|Reg(?:istration)?\s*+No|Clinic\s*+No)\.?\s*+(?:[:#]\s*+)?(?=[A-Za-z/-]*+\d)[A-Za-z0-9/-]{3,}"
+    ),
+}
+
 
 def scrub(text: Column, rules=SCRUB) -> tuple[Column, Column]:
     """(text without personal details, kinds removed in the order of the rules, each once).
@@ -52,7 +61,7 @@ def scrub(text: Column, rules=SCRUB) -> tuple[Column, Column]:
     The text goes from rule to rule as the variable of a lambda, so that no replacement is computed twice.
     """
     def replaced(pattern: str, note: str):
-        return lambda s: F.struct(F.regexp_replace(s["t"], pattern, note).alias("a"), s["t"].alias("t"), s["k"].alias("k"))
+        return lambda s: F.struct(F.regexp_replace(s["t"], LINEAR.get(pattern, pattern), note).alias("a"), s["t"].alias("t"), s["k"].alias("k"))
 
     def noted(kind: str):
         return lambda s: F.struct(s["a"].alias("t"), F.when(s["a"] != s["t"], F.array_append(s["k"], F.lit(kind))).otherwise(s["k"]).alias("k"))
@@ -107,8 +116,9 @@ def tag_problem(statement: Column, issued: Column) -> Column:
 BULLET = r"(?<=\S)(?=\s+•)"
 STOP = r"(?<=[.?!][)\]\"'”’]{0,8})"
 STOP_WITH_NUMBERS = r"(?<=[\p{L})][.?!]\d[\d,–-]{0,40})"
-#: What follows is looked at first, as it is there at few places: white space and then a capital or a bullet.
-ENDS = rf"(?=\s+[\p{{Lu}}•])(?:{BULLET}|(?=\s+\p{{Lu}})(?:{STOP}|{STOP_WITH_NUMBERS}))"
+#: What follows is looked at first, as it is there at few places: white space and then a capital or a bullet. No end lies inside white
+#: space, so a run of it is read once.
+ENDS = rf"(?<=\S)(?=\s++[\p{{Lu}}•])(?:{BULLET}|(?=\s+\p{{Lu}})(?:{STOP}|{STOP_WITH_NUMBERS}))"
 
 
 def sentence_parts(text: Column) -> Column:
@@ -345,7 +355,8 @@ def chunked(docs: DataFrame, text: str = "text", low: int = 250, high: int = 400
     def cuts(tokens: pd.Series, lengths: pd.Series, gaps: pd.Series, above: pd.Series) -> pd.Series:
         return pd.Series([pieces_of(*row, low, high) for row in zip(tokens, lengths, gaps, above)])
 
-    rows = docs.withColumn("__parts", sentence_parts(F.coalesce(F.col(text), F.lit(""))))
+    # a generator of one row keeps the cut text from being computed again for every use
+    rows = docs.withColumn("__parts", F.explode(F.array(sentence_parts(F.coalesce(F.col(text), F.lit(""))))))
     rows = rows.withColumn("__tokens", count(F.col("__parts"))).withColumn("__above", F.lit(0) if header is None else count(F.array(header))[0])
     lengths = F.transform("__parts", lambda s: F.length(s))
     gaps = F.transform("__parts", lambda s: F.length(s) - F.length(F.regexp_replace(s, r"^\s+", "")))
@@ -402,14 +413,20 @@ def html_lines(page: Column) -> Column:
 
 
 def joined_lines(lines: Column) -> Column:
-    """One paragraph of an array of lines: a hyphen at a line's end joins two lower-case parts, otherwise a blank does."""
-    return F.aggregate(
-        lines,
-        F.lit(""),
-        lambda s, x: F.when(s == "", x)
-        .when(s.rlike(r"\p{Ll}-$") & x.rlike(r"^\p{Ll}"), F.concat(F.regexp_replace(s, "-$", ""), x))
-        .otherwise(F.concat(s, F.lit(" "), x)),
+    """One paragraph of an array of lines: a hyphen at a line's end joins two lower-case parts, otherwise a blank does.
+
+    Empty lines before the first one with text are left out. A null line makes the paragraph null.
+    """
+    first = F.array_position(F.transform(lines, lambda x: x != ""), F.lit(True))
+    rest = F.slice(lines, F.greatest(first, F.lit(1)).cast("int"), F.size(lines))
+    # each border is told from its two lines alone
+    after = F.slice(rest, 2, F.greatest(F.size(rest), F.lit(1)))
+    parted = F.zip_with(
+        rest,
+        after,
+        lambda x, y: F.when(y.isNull(), x).when(x.rlike(r"\p{Ll}-$") & y.rlike(r"^\p{Ll}"), F.regexp_replace(x, "-$", "")).otherwise(F.concat(x, F.lit(" "))),
     )
+    return F.when(F.exists(lines, lambda x: x.isNull()), None).when(first == 0, "").otherwise(F.array_join(parted, ""))
 
 
 def labelled_row(headers: Column, cells: Column) -> Column:
