@@ -52,6 +52,26 @@ def insert_absent(old: DataFrame, new: DataFrame, key: str, order: str) -> DataF
     return best.select(key, *[F.col(f"b.{c}").alias(c) for c in rest]).select(new.columns)
 
 
+def save_outcomes(df: DataFrame, known: DataFrame, key: str, stable: str, body: str, order: str) -> DataFrame:
+    """``df`` with ``outcome``: what a store says to answers that race for a key; ``known`` has what it holds already (key, stable, body).
+
+    The first answer of a key, there or here by the unique ``order``, claims the key for its ``stable`` part. Others of that part are saved
+    if their body is new to the key and otherwise ``already_answered``; those of another part are a ``conflict``. Nulls equal nulls.
+    Firsts are found by partial aggregation, so a key that comes a million times combines in its tasks.
+    """
+    there = known.select(F.col(key).alias("__k"), F.col(stable).alias("__s"), F.col(body).alias("__b"), F.lit(None).cast(df.schema[order].dataType).alias("__o"))
+    here = df.select(F.col(key).alias("__k"), F.col(stable).alias("__s"), F.col(body).alias("__b"), F.col(order).alias("__o"))
+    # what is there already has no place in the order and comes first
+    each = here.unionByName(there).groupBy("__k", "__s", "__b").agg(F.min(F.struct(F.col("__o").isNotNull().alias("later"), "__o")).alias("__first"))
+    claims = each.groupBy("__k").agg(F.min_by(F.struct("__s"), "__first").alias("claim"))
+    met = each.alias("e").join(claims.alias("c"), F.expr("e.__k <=> c.__k"))
+    told = met.select("e.__k", "e.__s", "e.__b", "e.__first", F.expr("c.claim.__s <=> e.__s").alias("__own"))
+    same = [F.col(f"d.{a}").eqNullSafe(F.col(f"t.{b}")) for a, b in ((key, "__k"), (stable, "__s"), (body, "__b"))]
+    joined = df.alias("d").join(told.alias("t"), same[0] & same[1] & same[2])
+    first = F.col("t.__first.later") & F.col("t.__first.__o").eqNullSafe(F.col(f"d.{order}"))
+    return joined.select("d.*", F.when(~F.col("t.__own"), "conflict").when(first, "saved").otherwise("already_answered").alias("outcome"))
+
+
 def low_watermarks(readers: DataFrame, cursors: DataFrame, group: str, reader: str, cursor: str, active: Column) -> DataFrame:
     """Rows (group, floor, n_readers): the lowest cursor of each group's active readers.
 
