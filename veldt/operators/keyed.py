@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veldt.operators import scan
+
 #: What can keep a change from being computed, in the order in which it is told.
 REASONS = ("captured after receipt", "no earlier measurement", "baseline not before current", "baseline is not positive")
 
@@ -38,14 +40,14 @@ def as_of(df: DataFrame, key: str | list[str], at: str, limit: Column, order: li
     return latest_per_key(df.where(F.col(at) < limit), key, order)
 
 
-def history_before(df: DataFrame, key: str, at: str, measures: dict[str, Column]) -> DataFrame:
+def history_before(df: DataFrame, key: str, at: str, measures: dict[str, tuple[str, Column]], hot_rows: int | None = None) -> DataFrame:
     """``df`` with ``measures`` over the rows of the same key that are strictly before its own ``at``, by day.
 
-    A range frame over days keeps rows of the same day out; the frame only grows, so a long history costs one pass.
+    A measure is (count, sum, min or max) and a column. A range frame over days keeps rows of the same day out; the frame only grows, so a long
+    history costs one pass, and that of a key of many rows is spread, see ``scan``.
     """
     days = F.datediff(F.col(at), F.lit("1970-01-01").cast("date")).cast("long")
-    frame = Window.partitionBy(key).orderBy(days).rangeBetween(Window.unboundedPreceding, -1)
-    return df.select("*", *[m.over(frame).alias(name) for name, m in measures.items()])
+    return scan.totals(df.withColumn("__day", days), [key], "__day", measures, True, hot_rows).drop("__day")
 
 
 def baseline_change(df: DataFrame, key: str, at: str, tie: str, value: str, after_weeks: float = 4.0, below_percent: float = 50.0) -> DataFrame:

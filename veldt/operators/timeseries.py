@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veldt.operators import scan
+
 
 def windowed_counts(df: DataFrame, at: str, width: str, slide: str | None, keys: list[str], measures: dict[str, Column]) -> DataFrame:
     """Rows (keys, window_start, measures) of tumbling windows, or sliding ones if ``slide`` is given."""
@@ -12,11 +14,23 @@ def windowed_counts(df: DataFrame, at: str, width: str, slide: str | None, keys:
     return df.groupBy(*keys, w.alias("w")).agg(*[m.alias(k) for k, m in measures.items()]).select(*keys, F.col("w.start").alias("window_start"), *measures)
 
 
-def increases(df: DataFrame, series: list[str], at: str, value: str) -> DataFrame:
-    """``df`` with ``increase``: by how much a counter grew since the sample before; after a reset its whole value, at first 0."""
-    before = F.lag(value).over(Window.partitionBy(*series).orderBy(at))
-    grown = F.when(before.isNull(), F.lit(0.0)).when(F.col(value) < before, F.col(value)).otherwise(F.col(value) - before)
-    return df.withColumn("increase", grown)
+def _micros(df: DataFrame, at: str) -> Column:
+    """A time column as whole microseconds; numbers stay."""
+    return F.unix_micros(F.col(at).cast("timestamp")) if _is_time(df, at) else F.col(at).cast("long")
+
+
+def _is_time(df: DataFrame, at: str) -> bool:
+    return df.schema[at].dataType.typeName() in ("timestamp", "timestamp_ntz", "date")
+
+
+def increases(df: DataFrame, series: list[str], at: str, value: str, hot_rows: int | None = None) -> DataFrame:
+    """``df`` with ``increase``: by how much a counter grew since the sample before; after a reset its whole value, at first 0.
+
+    Samples of a series have times of their own and values that aren't null. A series of any length is spread, see ``scan``.
+    """
+    told = scan.last_known(df.withColumn("__at", _micros(df, at)), series, "__at", value, F.col(value), "__before", True, hot_rows)
+    grown = F.when(F.col("__before").isNull(), F.lit(0.0)).when(F.col(value) < F.col("__before"), F.col(value)).otherwise(F.col(value) - F.col("__before"))
+    return told.withColumn("increase", grown).drop("__at", "__before")
 
 
 def rate(df: DataFrame, series: list[str], at: str, value: str, seconds: int) -> DataFrame:
@@ -25,6 +39,21 @@ def rate(df: DataFrame, series: list[str], at: str, value: str, seconds: int) ->
     return windowed_counts(grown, at, f"{seconds} seconds", None, series, {"rate": F.sum("increase") / seconds})
 
 
+def range_increases(df: DataFrame, series: list[str], at: str, value: str, seconds: int, hot_rows: int | None = None) -> DataFrame:
+    """``df`` with ``increase``: by how much a counter grew from the first sample of the last ``seconds`` (ends included) to this one, over resets.
+
+    Growth is summed up from the first sample of a series on. Each sample asks for the sum at the first sample that isn't before its
+    range: samples and questions are merged by time, backwards, and the last sample seen answers. So a row costs the same
+    however many samples its range holds. Samples as in ``increases``.
+    """
+    grown = increases(df, series, at, value, hot_rows).withColumn("__at", _micros(df, at))
+    summed = scan.totals(grown, series, "__at", {"__sum": ("sum", F.col("increase"))}, hot_rows=hot_rows)
+    sample = summed.withColumn("__back", -F.col("__at")).withColumn("__asks", F.lit(False))
+    question = summed.withColumn("__back", -(F.col("__at") - F.lit(seconds * 1_000_000 if _is_time(df, at) else seconds))).withColumn("__asks", F.lit(True))
+    met = scan.last_known(sample.unionByName(question), series, "__back", "__asks", F.when(~F.col("__asks"), F.col("__sum")), "__first", hot_rows=hot_rows)
+    return met.where("__asks").select(*df.columns, (F.col("__sum") - F.col("__first")).alias("increase"))
+
+
 def sessions(df: DataFrame, key: str, at: str, gap_seconds: int) -> DataFrame:
     """Rows (key, start, end, n): runs of events of a key with no gap of ``gap_seconds`` or more between neighbours."""
     w = F.session_window(F.col(at).cast("timestamp"), f"{gap_seconds} seconds")

@@ -181,6 +181,17 @@ def _(t):
     return found.select("user_id", F.unix_micros("window_start").alias("start_us"), F.round("rate", 9).alias("rate"))
 
 
+@R.query("range_increases", """
+WITH s AS (SELECT user_id, ts, event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events),
+g AS (SELECT *, CASE WHEN b IS NULL THEN 0 WHEN value < b THEN value ELSE value - b END AS up FROM s),
+c AS (SELECT *, sum(up) OVER (PARTITION BY user_id ORDER BY ts) AS upto FROM g)
+SELECT event_id, round(upto - first_value(upto) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 2 DAY PRECEDING AND CURRENT ROW), 6) AS increase FROM c
+""")
+def _(t):
+    found = timeseries.range_increases(t("events").select("event_id", "user_id", "ts", "value"), ["user_id"], "ts", "value", 2 * 86400)
+    return found.select("event_id", F.round("increase", 6).alias("increase"))
+
+
 @R.query("session_gaps", """
 WITH b AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 6 HOUR THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM b)

@@ -46,7 +46,7 @@ SELECT o_orderkey, count(*) OVER w AS n_before, max(o_totalprice) OVER w AS max_
 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY date_diff('day', DATE '1970-01-01', o_orderdate::DATE) RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 """)
 def _(t):
-    found = keyed.history_before(t("orders"), "o_custkey", "o_orderdate", {"n_before": F.count(F.lit(1)), "max_before": F.max("o_totalprice"), "sum_before": F.sum("o_totalprice")})
+    found = keyed.history_before(t("orders"), "o_custkey", "o_orderdate", {"n_before": ("count", F.lit(1)), "max_before": ("max", F.col("o_totalprice")), "sum_before": ("sum", F.col("o_totalprice"))})
     return found.select("o_orderkey", "n_before", "max_before", F.round("sum_before", 2).alias("sum_before"))
 
 
