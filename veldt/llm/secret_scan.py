@@ -26,8 +26,10 @@ from veldt.llm.common import slices, text_once
 
 #: The field is fitted on about so many texts at most, chosen by a hash of the text, and on so many tokens of each.
 TRAIN_TEXTS = 250
-TRAIN_TOKENS = 40
-EPOCHS = 100
+TRAIN_TOKENS = 24
+#: Words of a text around a made-up example.
+AROUND = 10
+EPOCHS = 350
 RATE, DECAY = 0.1, 0.001
 SEED = 11
 #: A worker keeps the shapes of words of so many letters together, and of as many that it met before.
@@ -41,13 +43,20 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: Every match of ASSIGN holds one of these in lower case.
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-KEYWORDS = re.compile(r"passw|pwd|secret|token|api.?key|auth|bearer|credential|private|access.?key", re.IGNORECASE | re.ASCII)
+KEYWORDS = re.compile(r"passw|pwd|secret|token|api.?key|auth|bearer|credential|private|access.?key|^basic$", re.IGNORECASE | re.ASCII)
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "sk_", "sk-", "xox", "eyJ", "AIza", "glpat-", "-----BEGIN")
 EDGES = "\"'`.,;()[]{}<>!?*#$%&"
 #: A login in front of a host, as in scheme://name:pass@host.
 LOGIN = re.compile(r"://[^\s/:@]*:[^\s/@]+@")
 CONSONANTS = re.compile(r"[b-df-hj-np-tv-xz]{7,}", re.IGNORECASE | re.ASCII)
 CHANGES = re.compile(r"(?<=[a-z])[A-Z0-9]|(?<=[A-Z])[0-9]|(?<=[0-9])[A-Za-z]|(?<=[A-Z]{2})[a-z]", re.ASCII)
+#: Stretches of a word of one kind of letter, a capital taken with the small letters behind it.
+STRETCH = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+", re.ASCII)
+#: How addresses of repositories and of data inside a page begin, and a query of a link.
+ADDRESS = re.compile(r"^(?:git@|data:|mailto:|urn:|doi:|sha\d+[:-])|://[^\s?]*\?", re.IGNORECASE | re.ASCII)
+#: Numbered names: an identifier in groups, and a name in capitals and numbers with short parts.
+GROUPED = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+LOGIN_FLAG = re.compile(r"-u|--user(?:name)?|--login|-p|--password")
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 
 
@@ -82,6 +91,15 @@ def shape(word: str) -> list[int]:
         out += [22] * ("@" in core) + [23] * ("://" in core or core.startswith("www.")) + [24] * ("." in core)
         out += [26] * ("_" in core or "-" in core) + [27] * ("+" in core or "/" in core) + [28] * (":" in core or "=" in core) + [29] * (n == 0)
         out += [30] * core.startswith(PREFIXES) + [35] * (LOGIN.search(core) is not None)
+        out += [42] * (ADDRESS.search(core) is not None) + [43] * (GROUPED.fullmatch(core) is not None)
+        out += [44] * (core.count(":") == 1 and "://" not in core and 0 < core.index(":") < n - 1) + [45] * (LOGIN_FLAG.fullmatch(word) is not None)
+        # words and numbers in a row have longer stretches than what was drawn at random
+        parts = STRETCH.findall(core)
+        letters = [len(p) for p in parts if p[0].isalnum()]
+        mean = sum(letters) / max(1, len(letters))
+        out += [40] * (mean >= 2.5) + [41] * (mean >= 3.5)
+        shortest = [p for p in re.split(r"[^A-Za-z0-9]+", core) if p]
+        out += [46] * (len(shortest) > 1 and max(map(len, shortest)) <= 8) + [47] * (max(map(len, shortest), default=0) >= 20)
     out += [21] * (n >= 16 and re.fullmatch(r"[A-Za-z0-9+/_=-]+", core) is not None) + [25] * (not core.isascii())
     if n >= 8:
         bits = -sum(c / n * math.log2(c / n) for c in Counter(core).values())
@@ -91,19 +109,21 @@ def shape(word: str) -> list[int]:
     return out
 
 
-FEATURES = 40
+FEATURES = 48
 FILE_FEATURES = 4
+#: Where the shapes that score a token stand: its own, the one before, behind and two before.
+PLACES = (0, -1, 1, -2)
 
 
 def file_features(words: list[str], text: str) -> np.ndarray:
     """Features of the whole file: code-like signs, a keyword anywhere, many digits, shortness."""
     n = max(len(text), 1)
     signs = text.count("=") + text.count("{") + text.count(";")
-    return np.array([signs * 200 > n, any(w in text.lower() for w in ASSIGN_WORDS), text.count("0") * 100 > n, len(words) < 50], float)
+    return np.array([signs * 200 > n, any(w in text.lower() for w in ASSIGN_WORDS), sum(map(text.count, DIGITS)) * 10 > n, len(words) < 50], float)
 
 
 class Field:
-    """Weights: (self, previous, next) shapes, file features and tag changes; tag scores are relative to OUTSIDE."""
+    """Weights: shapes at PLACES, file features and tag changes; tag scores are relative to OUTSIDE."""
 
     def __init__(self, emit: np.ndarray, file: np.ndarray, change: np.ndarray):
         self.emit, self.file, self.change = emit, file, change
@@ -137,24 +157,24 @@ class Sample:
 
     def __init__(self, sequences: list[tuple[list[str], list[int], np.ndarray]]):
         size, longest = len(sequences), max(len(w) for w, _, _ in sequences)
-        x = np.zeros((size, longest, 3 * FEATURES + FILE_FEATURES), np.float32)
+        x = np.zeros((size, longest, len(PLACES) * FEATURES + FILE_FEATURES), np.float32)
         self.tags, self.real = np.zeros((size, longest), np.int64), np.zeros((size, longest), bool)
         for s, (words, tags, file) in enumerate(sequences):
             shapes = [shape(w) for w in words]
-            for t, on in enumerate(shapes):
-                x[s, t, on] = 1
-                if t:
-                    x[s, t, [FEATURES + f for f in shapes[t - 1]]] = 1
-                if t + 1 < len(words):
-                    x[s, t, [2 * FEATURES + f for f in shapes[t + 1]]] = 1
-            x[s, : len(words), 3 * FEATURES :] = file
+            for t in range(len(words)):
+                for k, place in enumerate(PLACES):
+                    if 0 <= t + place < len(words):
+                        x[s, t, [k * FEATURES + f for f in shapes[t + place]]] = 1
+            x[s, : len(words), len(PLACES) * FEATURES :] = file
             self.tags[s, : len(words)], self.real[s, : len(words)] = tags, True
-        self.flat = x.reshape(-1, x.shape[2])
+        #: Features of the tokens, without padding.
+        self.flat = x[self.real]
 
     def slopes(self, w: np.ndarray, change: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         """(negative mean log likelihood with the decay of ``w``, its gradients for ``w`` and ``change``), by forward and backward sums."""
         (size, longest), real = self.tags.shape, self.real
-        e = (self.flat @ w.astype(self.flat.dtype)).reshape(size, longest, 3).astype(float)
+        e = np.zeros((size, longest, 3))
+        e[real] = self.flat @ w.astype(self.flat.dtype)
         alpha, beta = np.zeros_like(e), np.zeros_like(e)
         alpha[:, 0] = e[:, 0] + START
         for t in range(1, longest):
@@ -172,7 +192,7 @@ class Sample:
         marginal = np.exp(alpha + beta - z[:, None, None]) * real[:, :, None]
         both = np.exp(alpha[:, :-1, :, None] + change + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None])
         both = (both * real[:, 1:, None, None]).sum((0, 1))
-        d = self.flat.T @ (marginal - gold).reshape(-1, 3).astype(self.flat.dtype) / size + DECAY * w
+        d = self.flat.T @ (marginal - gold)[real].astype(self.flat.dtype) / size + DECAY * w
         return loss, d, (both - pairs) / size
 
 
@@ -183,19 +203,23 @@ START = np.array([0.0, 0.0, NEVER])
 
 def fit(sequences: list[tuple[list[str], list[int], np.ndarray]], epochs: int = EPOCHS) -> Field:
     """Maximum conditional likelihood by full-batch Adam; sequences are (words, tags, file features)."""
-    sample = Sample(sequences)
-    w, change = np.zeros((sample.flat.shape[1], 3)), np.zeros((3, 3))
+    ordered = sorted(sequences, key=lambda s: len(s[0]))
+    cuts = [0, len(ordered) // 2, len(ordered) * 7 // 8, len(ordered)]  # sequences of like length are padded together
+    samples = [(Sample(ordered[a:b]), (b - a) / len(ordered)) for a, b in zip(cuts, cuts[1:]) if b > a]
+    w, change = np.zeros((samples[0][0].flat.shape[1], 3)), np.zeros((3, 3))
     change[OUTSIDE, INSIDE] = NEVER
     moments = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(change), np.zeros_like(change)]
     for epoch in range(1, epochs + 1):
-        _, *grads = sample.slopes(w, change)
+        parts = [(share, sample.slopes(w, change)) for sample, share in samples]
+        grads = [sum(share * found[k] for share, found in parts) for k in (1, 2)]
         grads[1][OUTSIDE, INSIDE] = 0
         for k, (value, grad) in enumerate(zip((w, change), grads)):
             m, v = moments[2 * k], moments[2 * k + 1]
             m += 0.1 * (grad - m)
             v += 0.001 * (grad * grad - v)
             value -= RATE * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.999**epoch)) + 1e-8)
-    return Field(w[: 3 * FEATURES].reshape(3, FEATURES, 3), w[3 * FEATURES :], change)
+    n = len(PLACES) * FEATURES
+    return Field(w[:n].reshape(len(PLACES), FEATURES, 3), w[n:], change)
 
 
 LOWER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
@@ -214,7 +238,7 @@ def spoken(rng: random.Random, low: int = 1, high: int = 5) -> str:
 def made_up(rng: random.Random) -> tuple[list[str], list[int]]:
     """(words, tags) of a made-up secret as it stands in files."""
     name = rng.choice(["password", "pwd", "db_password", "secret", "client_secret", "token", "auth_token", "api-key", "API_KEY", "credential", "private_key"])
-    kind = rng.randrange(9)
+    kind = rng.choice([*range(12), 8, 9, 9])
     if kind == 0:
         return ["Authorization:", rng.choice(["Bearer", "Basic"]), some(rng, rng.randrange(24, 60), MIXED + "-_.")], [0, 0, 1]
     if kind == 1:
@@ -234,9 +258,25 @@ def made_up(rng: random.Random) -> tuple[list[str], list[int]]:
     if kind == 7:
         scheme, host = rng.choice(["postgres", "mysql", "mongodb", "redis", "https", "amqp"]), spoken(rng, 1, 3)
         return [f"{scheme}://{spoken(rng, 1, 2)}:{rng.choice([spoken(rng, 2, 4) + some(rng, 2, DIGITS), some(rng, rng.randrange(6, 20), MIXED)])}@{host}.example.org/{spoken(rng, 1, 2)}"], [1]
+    if kind == 8:
+        login = f"{spoken(rng, 1, 2)}:{rng.choice([spoken(rng, 2, 3) + some(rng, rng.randrange(1, 4), DIGITS), some(rng, rng.randrange(6, 20), MIXED + '!#%')])}"
+        return [*rng.choice([["curl"], ["curl", "-s"], ["wget"], ["http"]]), rng.choice(["-u", "--user"]), login, f"https://{spoken(rng, 1, 3)}.example.org/{spoken(rng, 1, 2)}"], [0] * 10
+    if kind == 9:
+        short = rng.choice([spoken(rng, 2, 4) + some(rng, rng.randrange(1, 5), DIGITS), spoken(rng, 1, 3).capitalize() + rng.choice("!#%") + some(rng, 3, DIGITS), some(rng, rng.randrange(8, 14), MIXED)])
+        return [rng.choice(["the", "my", "our", "new"]), rng.choice(["pwd", "password", "passphrase", "secret", "token"]), rng.choice(["is", "was", "now:", "="]), short], [0, 0, 0, 1]
+    if kind == 10:
+        return [rng.choice(["key", "apikey", "x-api-key:", "bearer", "signature="]), some(rng, rng.randrange(20, 48), MIXED + "-_")], [0, 1]
     return [name, "=", '"' + some(rng, rng.randrange(12, 40), MIXED) + '"'], [0, 0, 1]
 
 
+def secret_of(rng: random.Random) -> tuple[list[str], list[int]]:
+    """A made-up secret with a tag for each word; a login behind a flag is tagged as a whole."""
+    words, tags = made_up(rng)
+    if len(tags) != len(words):
+        tags = [1 if before in ("-u", "--user") else 0 for before in ["", *words[:-1]]]
+    return words, tags
+
+
 def made_clean(rng: random.Random) -> list[str]:
     """Words that look odd and are no secrets: numbers, addresses, links, dates, names of things, long words, marked words."""
     word, other = spoken(rng), spoken(rng)
@@ -266,10 +306,44 @@ def made_clean(rng: random.Random) -> list[str]:
             [rng.choice(["password", "secret", "token"]), rng.choice(["is", "was", "of", "for"]), word],
             [f"{word}={number[0]};", f"{other}={{"],
             ["-".join(some(rng, n, "0123456789abcdef") for n in (8, 4, 4, 4, 12))],
+            *odd_names(rng),
         ]
     )
 
 
+def odd_names(rng: random.Random) -> list[list[str]]:
+    """Names in letters and numbers that people and machines give to things, one of each kind."""
+    word, other, number = spoken(rng, 1, 3), spoken(rng, 1, 3), some(rng, 8, DIGITS)
+    letters = lambda low, high: some(rng, rng.randint(low, high), LOWER).upper()
+    code = f"{letters(2, 5)}{rng.choice(['-', '', '_'])}{number[: rng.randint(1, 4)]}{rng.choice(['', '', 'a', 'b2', 'X'])}"
+    parts = [rng.choice([spoken(rng, 1, 3), spoken(rng, 1, 2).capitalize(), number[: rng.randint(1, 4)], letters(2, 4)]) for _ in range(rng.randint(3, 6))]
+    return [
+        ["".join(p.capitalize() if p.islower() else p for p in parts)],
+        [rng.choice(["i", "e", "x", ""]) + word.capitalize() + number[:2] + "".join(rng.choice(["Pro", "Max", "Plus", "Mini", "Ultra"]) for _ in range(2)) + f"20{number[2:4]}" + rng.choice(["", other.capitalize()])],
+        [code],
+        [code, f"{letters(2, 4)}{number[:3]}{rng.choice(LOWER)}{number[3]}", f"{letters(3, 5)}-{letters(1, 1)}{spoken(rng, 1, 1)}-{number[4]}"],
+        [f"{rng.choice(['m', 'si', 'mi', 't', 'r'])}RNA-{number[:4]}", code],
+        [f"git@{word}.example.org:{other}/{spoken(rng, 1, 2).capitalize()}{number[0]}.git"],
+        [f"data:{rng.choice(['image/png', 'image/gif', 'font/woff2', 'text/plain'])};base64,{some(rng, rng.randrange(8, 60), MIXED + '+/')}{rng.choice(['', '=', '=='])}"],
+        [f"https://{word}.example.org/{other}/{some(rng, rng.randrange(4, 12), MIXED)}?{rng.choice(['utm_source', 'v', 'id', 'ref', 'sid'])}={some(rng, rng.randrange(6, 24), MIXED)}"],
+        [rng.choice(["commit", "rev", "at"]), some(rng, rng.choice([7, 8, 10, 12]), "0123456789abcdef")],
+        [some(rng, rng.choice([7, 8, 10, 12]), "0123456789abcdef")],
+        ["/".join(parts)],
+        ["/" + "/".join(p.lower() for p in parts) + rng.choice([".py", ".so.1", ".tar.gz", "", "/"])],
+        ["_".join(parts)],
+        ["-".join(parts)],
+        [".".join(p.lower() for p in parts)],
+        ["::".join(p.capitalize() for p in parts[:3]) + rng.choice(["", "()"])],
+        [f"{word.capitalize()}/{other.capitalize()}_{spoken(rng, 1, 2).capitalize()}"],
+        [f"application/vnd.{word}.{other}+{rng.choice(['xml', 'json'])};charset=utf-{rng.choice('8')}"],
+        [f"C{number[0]}H{number[1:3]}N{number[3]}O{number[4]}"],
+        [f"{number[:2]}:{number[2:4]}:{number[4:6]}.{number}"],
+        [f"{letters(2, 2)}{number}{some(rng, 10, DIGITS)}"],
+        [f"978-{number[0]}-{number[1:3]}-{some(rng, 6, DIGITS)}-{number[3]}"],
+        [f"user:{word}", f"{word}:{other}", f"{word}:{number[:4]}"],
+    ]
+
+
 def train(docs: DataFrame, text: str = "text", texts: int = TRAIN_TEXTS) -> Field:
     """Fit the field; the driver gets at most 2 * ``texts`` excerpts of TRAIN_TOKENS tokens, half of them around base spans.
 
@@ -309,16 +383,27 @@ def train(docs: DataFrame, text: str = "text", texts: int = TRAIN_TEXTS) -> Fiel
     chosen = rows.where((F.col("mark") <= plain) | ((F.col("mark") <= marked) & likely))
     found = chosen.mapInArrow(excerpts, "mark long, words array<string>, tags array<int>, files array<double>").dropDuplicates(["mark"]).collect()
     found = sorted((list(map(str, r["words"])), list(r["tags"]), list(r["files"])) for r in found)
+    return fit(with_examples(found))
+
+
+def with_examples(found: list[tuple[list[str], list[int], list[float]]]) -> list[tuple[list[str], list[int], np.ndarray]]:
+    """Excerpts (words, tags, file features), and copies of those without a secret with made-up secrets and odd clean words in them."""
     rng = random.Random(SEED)
     filler = [(["the", "of", "and", "a", "in", "it"] * 4, [0] * 24, [0.0] * FILE_FEATURES)]
     sequences = [(w, t, np.array(f)) for w, t, f in found or filler]
     plain_ones = [s for s in sequences if not any(s[1])] or [(w, t, np.array(f)) for w, t, f in filler]
-    for _ in range(max(300, len(plain_ones) // 2)):
-        for new, marks in (made_up(rng), *((made_clean(rng), None) for _ in range(3))):
+    for _ in range(max(500, len(plain_ones) // 2)):
+        for new, marks in (secret_of(rng), *((made_clean(rng), None) for _ in range(5))):
             words, tags, file = rng.choice(plain_ones)
+            first = rng.randrange(max(1, len(words) - AROUND))  # scores look two words far
+            words, tags = words[first : first + AROUND], tags[first : first + AROUND]
+            if rng.random() < 0.3:  # alone or among few words
+                few = rng.randrange(4)
+                words, tags = words[:few], tags[:few]
+                file = file_features(words + new, " ".join(words + new))
             at = rng.randrange(len(words) + 1)
             sequences.append(([*words[:at], *new, *words[at:]], [*tags[:at], *(marks or [0] * len(new)), *tags[at:]], file))
-    return fit(sequences)
+    return sequences
 
 
 def tags_of(tokens: list[re.Match], spans: list[tuple[int, int, str]]) -> list[int]:
@@ -335,7 +420,7 @@ class Scanner:
 
     def __init__(self, field: Field):
         self.field, self.row, self.old, self.letters, self.shapes = field, {}, {}, 0, {}
-        self.scores = np.zeros((0, 3, 3), np.float32)
+        self.scores = np.zeros((0, len(PLACES), 3), np.float32)
 
     def _rows(self, words: list[str]) -> np.ndarray:
         new = set(words).difference(self.row)
@@ -385,6 +470,7 @@ class Scanner:
         e = self.scores[rows, 0].astype(float)
         e[1:] += self.scores[rows[:-1], 1]
         e[:-1] += self.scores[rows[1:], 2]
+        e[2:] += self.scores[rows[:-2], 3]
         return e + file_features(words, text) @ self.field.file
 
 
