@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veldt.functions import text as X
+from veldt.operators import fuzzy
 from veldt.operators import sets
 from veldt.plans.registry import Registry
 from veldt.sources import tables
@@ -185,6 +186,18 @@ def _(t):
     return t("part").where(X.fuzzy_match("small")("p_name")).select("p_partkey")
 
 
+@R.query("fuzzy_join", """
+WITH q AS (SELECT p_partkey AS query_id, regexp_extract_all(lower(substr(p_name, 1, 2) || substr(p_name, 4)), '[a-z0-9]+') AS ts FROM part WHERE p_partkey % 100 = 0), d AS (SELECT DISTINCT p_name, regexp_extract_all(lower(p_name), '[a-z0-9]+') AS ws FROM part),
+n AS (SELECT query_id, p_name FROM q, d WHERE len(ts) > 0 AND list_bool_and(list_transform(ts, lambda t: list_bool_or(list_transform(ws, lambda w: contains(w, t) OR (length(t) >= 4 AND length(w) >= length(t) - 1
+  AND (damerau_levenshtein(t, substr(w, 1, length(t))) <= 1 OR (length(w) = length(t) + 1 AND damerau_levenshtein(t, w) <= 1))))))))
+SELECT query_id, p_partkey FROM n JOIN part USING (p_name)
+""")
+def _(t):
+    """Parts that are meant by the names of every hundredth part with its third letter lost; no word there has eight letters."""
+    asked = t("part").where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), F.expr("concat(substr(p_name, 1, 2), substr(p_name, 4))").alias("q"))
+    return fuzzy.fuzzy_join(t("part").select("p_partkey", "p_name"), asked, "p_partkey", "p_name", "query_id", "q")
+
+
 @R.query("word_similarity", """
 WITH w AS (SELECT p_partkey, regexp_extract_all(lower(p_name), '[a-z0-9_]+') AS a, regexp_extract_all(lower(p_type || ' ' || p_name), '[a-z0-9_]+') AS b FROM part)
 SELECT p_partkey, round(2.0 * len(a) / (len(a) + len(b)), 6)::DOUBLE AS s FROM w
