@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veldt.operators import grids, outline
+from veldt.operators import boxes, grids, outline
 from veldt.plans.registry import Registry
 
 R = Registry()
@@ -63,3 +63,24 @@ def _(t):
     events = t("events").select("user_id", "event_id", F.col("event_type").alias("title"))
     confirmed = events.sparkSession.createDataFrame([(name, k + 1) for k, name in enumerate(("signup", "view", "click", "purchase", "error"))], "title string, place long")
     return outline.against(events, confirmed, "user_id", "event_id", "title", "place")
+
+
+BOX = """SELECT l_suppkey * 10 + l_linenumber AS grp, l_orderkey * 10 + l_linenumber AS id, l_quantity AS l, l_discount * 400 AS t, l_quantity + 10 + l_tax * 100 AS r, l_discount * 400 + 10 + l_linenumber AS b, l_extendedprice AS score"""
+
+
+@R.query("box_suppression", f"""
+WITH RECURSIVE x AS ({BOX} FROM lineitem), o AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, id) AS k FROM x),
+f AS (
+  SELECT DISTINCT grp, 0::BIGINT AS k, NULL::BIGINT AS id, [] ::STRUCT(l DOUBLE, t DOUBLE, r DOUBLE, b DOUBLE)[] AS kept FROM x
+  UNION ALL
+  SELECT grp, k, CASE WHEN stays THEN id END, CASE WHEN stays THEN list_append(kept, me) ELSE kept END FROM (
+    SELECT o.grp, o.k, o.id, f.kept, {{'l': o.l::DOUBLE, 't': o.t::DOUBLE, 'r': o.r::DOUBLE, 'b': o.b::DOUBLE}} AS me,
+      NOT coalesce(list_bool_or(list_transform(f.kept, lambda p: greatest(least(p.r, o.r) - greatest(p.l, o.l), 0) * greatest(least(p.b, o.b) - greatest(p.t, o.t), 0)
+        > 0.5 * ((p.r - p.l) * (p.b - p.t) + (o.r - o.l) * (o.b - o.t) - greatest(least(p.r, o.r) - greatest(p.l, o.l), 0) * greatest(least(p.b, o.b) - greatest(p.t, o.t), 0)))), false) AS stays
+    FROM f JOIN o ON o.grp = f.grp AND o.k = f.k + 1)
+)
+SELECT grp, id FROM f WHERE id IS NOT NULL
+""")
+def _(t):
+    lines = t("lineitem").selectExpr(*[f"{x} AS {n}" for x, n in (("l_suppkey * 10 + l_linenumber", "grp"), ("l_orderkey * 10 + l_linenumber", "id"), ("l_quantity", "l"), ("l_discount * 400", "t"), ("l_quantity + 10 + l_tax * 100", "r"), ("l_discount * 400 + 10 + l_linenumber", "b"), ("l_extendedprice", "score"))])
+    return boxes.suppress_boxes(lines, "grp", ("l", "t", "r", "b"), "score", "id").select("grp", "id")
