@@ -37,6 +37,21 @@ def test_round_trip_is_the_library(spark, tok):
     assert bpe_codec.round_trip(df.limit(0)).count() == 0
 
 
+def test_decoding_joins_ids_with_the_pieces(spark, tok, monkeypatch):
+    monkeypatch.setattr(bpe_codec, "BLOCK_BYTES", 400)
+    lists = [[5, 900, 5], None, [], [49_407, 10**6, -3, 70], [8, None, 9], *([k % 49_000, 3 * k % 49_000] * (k % 40) for k in range(700))]
+    rows = [(k if k % 3 else None, x, "clash") for k, x in enumerate(lists)] + [(2, [7, 7], "clash")] * 2
+    df = spark.createDataFrame(rows, "id long, ids array<int>, piece string").repartition(3)
+    out = bpe_codec.decode(df)
+    assert out.columns == ["id", "ids", "piece", "decoded"] and out.count() == len(rows)
+    known = lambda x: [i for i in x or [] if i is not None and 0 <= i < 49_408]
+    plain = lambda key, ids: (key, ids, tok.decode(known(ids), skip_special_tokens=False))
+    assert sorted(map(repr, ((r["id"], r["ids"], r["decoded"]) for r in out.collect()))) == sorted(repr(plain(key, ids)) for key, ids, _ in rows)
+    longs = df.select(F.col("ids").cast("array<bigint>").alias("ids"), F.lit(1).alias("decoded"))
+    assert bpe_codec.decode(longs).schema["decoded"].dataType.typeName() == "string" and bpe_codec.decode(longs).count() == len(rows)
+    assert bpe_codec.decode(df.limit(0)).count() == 0
+
+
 def test_small_bounds_give_the_same(spark, tok, monkeypatch):
     for name, value in {"KEPT_LETTERS": 60, "LETTERS_AT_ONCE": 30, "WORDS_AT_ONCE": 7}.items():
         monkeypatch.setattr(bpe_codec, name, value)

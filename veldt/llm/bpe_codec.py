@@ -10,8 +10,9 @@ itself yields no token, so the ids of a text are the ids of its words in order.
    row a block and not a row an occurrence, and texts are never shuffled.
 3. The ids of a block's words are joined with the block's texts by position.
 
-Decoding joins ids with the id-to-piece table. That table has the vocabulary's size, which bounds its broadcast; ids find their
-pieces by position in it, batch by batch.
+Decoding is a join too: the distinct ids of each block are rows, which Spark joins with the id-to-piece table on the id. The pieces
+go to their block with the ids of its words, or meet its bucket of id lists, and texts are put together from them there. The
+table has the vocabulary's size, which bounds its broadcast; no id of a text is moved for it.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,7 +78,7 @@ def separator(path: str) -> tuple[str, int] | None:
 def word_ends(path: str) -> np.ndarray:
     """For each id whether its piece ends a word, by the suffix that the tokenizer's model declares; all false if it has none."""
     suffix = json.loads(tokenizer(path).to_str())["model"].get("end_of_word_suffix")
-    return np.array([bool(suffix) and p.endswith(suffix) for p in pieces(path)])
+    return np.array([bool(suffix) and (p or "").endswith(suffix) for p in vocabulary(path)])
 
 
 def encode_words(path: str, words: list[str]) -> list[bytes]:
@@ -242,30 +243,37 @@ def unpacked(numbers: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<i4").reshape(n)
 
 
-def _word_ids(split: DataFrame, path: str) -> DataFrame:
-    """Rows (block, n, total, codes, sizes, ids) of many words of a block each.
+def _word_ids(split: DataFrame, path: str, distinct_ids: bool) -> DataFrame:
+    """Rows (block, n, total, codes, sizes, ids, null) of many words of a block each.
 
-    Every distinct word is encoded once, where its rows of all blocks stand together.
+    Every distinct word is encoded once, where its rows of all blocks stand together. With ``distinct_ids`` there are rows
+    (block, nulls, id) besides: the ids of those words, each once.
     """
+    columns = ["block", "n", "total", "codes", "sizes", "ids", "id"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: dict[str, bytes] = {}  # the word that the batch before ended with
         waiting, rows = [], 0
 
-        def back() -> pa.RecordBatch:
+        def back() -> Iterator[pa.RecordBatch]:
             block, code = (np.concatenate([w[k] for w in waiting]) for k in (0, 1))
             bags = pa.concat_arrays([w[2] for w in waiting])
             order = np.lexsort((code, block))
             block, code = block[order], code[order]
             edges = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1]))).tolist()
-            made = []
+            made, seen = [], []
             for a, b in zip(edges, [*edges[1:], len(block)]):
                 some = bags.take(pa.array(order[a:b]))
                 ids = np.frombuffer(b"".join(some.to_pylist()), "<u4")
                 sizes = pc.binary_length(some).to_numpy(zero_copy_only=False) // 4
-                made.append((int(block[a]), b - a, len(ids), packed(np.diff(code[a:b], prepend=0)), packed(sizes), packed(ids)))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made), kinds)], ["block", "n", "total", "codes", "sizes", "ids"])
+                made.append((int(block[a]), b - a, len(ids), packed(np.diff(code[a:b], prepend=0)), packed(sizes), packed(ids), None))
+                seen.append(np.unique(ids))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made), kinds)], columns)
+            if distinct_ids:
+                blocks = np.repeat(block[edges], [len(x) for x in seen])
+                lacking = [pa.nulls(len(blocks), k) for k in kinds[1:-1]]
+                yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), *lacking, pa.array(np.concatenate(seen), pa.int64())], columns)
 
         for batch in batches:
             coded = batch.column(0).dictionary_encode()
@@ -277,24 +285,29 @@ def _word_ids(split: DataFrame, path: str) -> DataFrame:
             waiting.append((batch.column(1).to_numpy(), batch.column(2).to_numpy(), bags.take(coded.indices)))
             rows += batch.num_rows
             if rows >= WORDS_BACK:
-                yield back()
+                yield from back()
                 waiting, rows = [], 0
         if rows:
-            yield back()
+            yield from back()
 
     words = split.where("word IS NOT NULL").select("word", "block", "code")
     # neighbours share their beginnings, which the shuffle's compression finds; a word has a row a block at most
     words = words.repartitionByRange("word").sortWithinPartitions("word")
-    return words.mapInArrow(run, "block long, n long, total long, codes binary, sizes binary, ids binary")
+    return words.mapInArrow(run, "block long, n long, total long, codes binary, sizes binary, ids binary, id long")
 
 
-def _joined_back(docs: DataFrame, keep: list[str], path: str, text: str, make, schema: T.StructType) -> DataFrame:
-    """The columns ``keep`` of ``docs`` and those that ``make`` gives for (ids of some texts, where each text's ids end)."""
+def _joined_back(docs: DataFrame, keep: list[str], path: str, text: str, make, schema: T.StructType, decoding: bool) -> DataFrame:
+    """The columns ``keep`` of ``docs`` and those that ``make`` gives for (ids of some texts, where each text's ids end, pieces).
+
+    The pieces are those of the block's ids, as ``by_place`` gives them, or none if not ``decoding``.
+    """
     tables = Tables(docs.sparkSession, "block")
     split = _split(docs, keep, text, tables)
     texts = split.where("codes IS NOT NULL").select("block", "rows", "ends", "codes")
 
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
+        known = by_place(words) if decoding else None
+        words = words.filter(pc.is_valid(words.column("codes")))
         found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, "<u4")]
         for n, total, *parts in zip(*(words.column(c).to_pylist() for c in ("n", "total", "codes", "sizes", "ids"))):
             numbers = unpacked(parts[0], n), unpacked(parts[1], n), unpacked(parts[2], total).view("<u4")
@@ -308,13 +321,16 @@ def _joined_back(docs: DataFrame, keep: list[str], path: str, text: str, make, s
             rows, ends = texts.column("rows")[k].values, texts.column("ends")[k].values.to_numpy()
             codes = unpacked(texts.column("codes")[k].as_py(), int(ends[-1]))
             ids, stop = gather(codes, ends, flat, starts, sizes)
-            made.append(pa.Table.from_arrays([*(rows.field(i) for i in range(len(keep))), *make(ids, stop)], names=names))
+            made.append(pa.Table.from_arrays([*(rows.field(i) for i in range(len(keep))), *make(ids, stop, known)], names=names))
         return pa.concat_tables(made)  # no block is without texts
 
     # inside, columns have numbers: names of docs may clash with each other
     names = [f"c{i}" for i in range(len(schema))]
     inner = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, schema)])
-    done = texts.groupBy("block").cogroup(_word_ids(split, path).groupBy("block")).applyInArrow(run, inner)
+    words = _word_ids(split, path, decoding)
+    if decoding:
+        words = words.join(F.broadcast(pieces(docs.sparkSession, path)), "id", "left")
+    done = texts.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(run, inner)
     out = stored(done, "joined").toDF(*schema.names)
     tables.drop()
     return out
@@ -329,51 +345,101 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: st
     """
     keep = [c for c in docs.columns if c != ids]
 
-    def make(found: np.ndarray, stop: np.ndarray) -> list[pa.Array]:
+    def make(found: np.ndarray, stop: np.ndarray, _) -> list[pa.Array]:
         return [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], stop)), pa.int32()), pa.array(found.astype(np.int32)))]
 
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(ids, T.ArrayType(T.IntegerType()))])
-    return _joined_back(docs, keep, path or default_tokenizer(), text, make, schema)
+    return _joined_back(docs, keep, path or default_tokenizer(), text, make, schema, False)
 
 
 @functools.lru_cache(maxsize=2)
-def pieces(path: str | None = None) -> list[str]:
-    """The id-to-piece table: the piece of every id, 49,408 rows."""
-    tok = tokenizer(path or default_tokenizer())
-    return [tok.id_to_token(i) or "" for i in range(tok.get_vocab_size(with_added_tokens=True))]
+def vocabulary(path: str) -> list[str | None]:
+    """The piece of every id, 49,408 of them; null where an id has none."""
+    tok = tokenizer(path)
+    return [tok.id_to_token(i) for i in range(tok.get_vocab_size(with_added_tokens=True))]
+
 
+def pieces(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """The id-to-piece table: rows (id, piece), one for each id of the vocabulary."""
+    found = [x for x in enumerate(vocabulary(path or default_tokenizer())) if x[1] is not None]
+    return spark.createDataFrame(found, "id long, piece string")
 
-def join_pieces(table: pa.Array, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """The decoded text of each list of ids: its pieces with one blank between. Ids outside the table give nothing."""
-    inside = (ids >= 0) & (ids < len(table))
+
+def by_place(joined: pa.Table) -> tuple[np.ndarray, pa.Array]:
+    """(place of each id among the pieces, or -1; pieces) of the rows that hold an id and its piece; ids may repeat."""
+    joined = joined.filter(pc.is_valid(joined.column("piece"))).select(["id", "piece"]).combine_chunks()
+    ids = joined.column("id").to_numpy()
+    place = np.full(ids.max(initial=-1) + 1, -1, np.int64)
+    place[ids] = np.arange(len(ids))
+    return place, pa.concat_arrays([pa.array([], pa.string()), *joined.column("piece").chunks])
+
+
+def join_pieces(known: tuple[np.ndarray, pa.Array], ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The decoded text of each list of ids: its pieces with one blank between. Ids without a piece give nothing."""
+    place, found = known
+    at = np.append(place, -1)[np.where((ids >= 0) & (ids < len(place)), ids, len(place))]
+    inside = at >= 0
     if not inside.all():
-        ends, ids = np.concatenate(([0], np.cumsum(inside)))[ends], ids[inside]
-    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), table.take(pa.array(ids)))
+        ends, at = np.concatenate(([0], np.cumsum(inside)))[ends], at[inside]
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), found.take(pa.array(at)))
     return pc.binary_join(lists, " ")
 
 
 def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """``encoded`` with the decoded text of ``ids`` added: each id joined with the id-to-piece table by position.
+    """``encoded`` with the decoded text of ``ids`` added: distinct ids a block joined with the id-to-piece table.
 
-    Equals the library's decode(ids, skip_special_tokens=False) for a tokenizer without a decoder part, as this one. The
-    table is broadcast; its size is the vocabulary's. Null or empty ids give an empty text; ids outside the vocabulary give
-    nothing, as in the library.
+    Equals the library's decode(ids, skip_special_tokens=False) for a tokenizer without a decoder part, as this one. Rows are
+    written once in buckets by block, and the pieces of a block's ids meet its rows there, so no row is shuffled. The table is
+    broadcast; its size is the vocabulary's. Null or empty ids give an empty text; null ids in a list and ids outside the
+    vocabulary give nothing, as in the library. Repeated rows and null keys keep their rows; a column named as ``out`` is replaced.
     """
+    spark = encoded.sparkSession
     keep = [c for c in encoded.columns if c != out]
     at = keep.index(ids)
-    shared = encoded.sparkSession.sparkContext.broadcast(pieces(path))
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)])
+    dealt = encoded.select(row.alias("row"))
+    kind = dealt.schema["row"].dataType.simpleString()
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, size, seen = TaskContext.get().partitionId() << 24, 0, np.zeros(0, np.int64)
+
+        def batch_of(n: int, rows: pa.Array, found: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, block), pa.int64()), rows, found], ["block", "rows", "id"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.array(shared.value, pa.string())
         for batch in batches:
+            kind = batch.schema.field(0).type
             for first in range(0, batch.num_rows, 256):
-                rows = batch.slice(first, 256)
-                sizes = rows.column(at).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                found = rows.column(at).flatten().to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([*rows.columns, join_pieces(table, found, np.cumsum(sizes)).cast(pa.string())], [*keep, out])
+                rows = batch.column(0).slice(first, 256)
+                found = rows.field(at).flatten().drop_null().to_numpy(zero_copy_only=False)
+                seen, size = np.union1d(seen, found), size + found.nbytes
+                yield batch_of(1, pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows), pa.nulls(1, pa.int64()))
+                if size >= BLOCK_BYTES:
+                    yield batch_of(len(seen), pa.nulls(len(seen), pa.list_(kind)), pa.array(seen, pa.int64()))
+                    block, size, seen = block + 1, 0, np.zeros(0, np.int64)
+        if len(seen):
+            yield batch_of(len(seen), pa.nulls(len(seen), pa.list_(kind)), pa.array(seen, pa.int64()))
+
+    names = [f"c{i}" for i in range(len(keep) + 1)]
 
+    def put_together(texts: pa.Table, found: pa.Table) -> pa.Table:
+        known, made = by_place(found), []
+        for k in range(texts.num_rows):
+            rows = texts.column("rows")[k].values
+            lists = rows.field(at)
+            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            decoded = join_pieces(known, lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False), np.cumsum(sizes))
+            made.append(pa.Table.from_arrays([*(rows.field(i) for i in range(len(keep))), decoded.cast(pa.string())], names=names))
+        return pa.concat_tables(made)  # no block is without rows
+
+    tables = Tables(spark, "block")
+    blocks = tables.write(dealt.mapInArrow(deal, f"block long, rows array<{kind}>, id long"), "dealt")
+    found = blocks.where("id IS NOT NULL").select(F.col("block").alias("asking"), "id").join(F.broadcast(pieces(spark, path)), "id")
     schema = T.StructType([*(encoded.schema[c] for c in keep), T.StructField(out, T.StringType())])
-    return encoded.select(*[f"`{c}`" for c in keep]).mapInArrow(run, schema)
+    inner = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, schema)])
+    texts = blocks.where("rows IS NOT NULL").select("block", "rows")
+    done = stored(texts.groupBy("block").cogroup(found.groupBy("asking")).applyInArrow(put_together, inner), "decoded").toDF(*schema.names)
+    tables.drop()
+    return done
 
 
 def round_trip(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -383,17 +449,16 @@ def round_trip(docs: DataFrame, path: str | None = None, key: str = "doc_id", te
     little-endian unsigned 32-bit integers, decoded_sha256 over the decoded text in UTF-8.
     """
     path = path or default_tokenizer()
-    shared = docs.sparkSession.sparkContext.broadcast(pieces(path))
 
-    def make(ids: np.ndarray, stop: np.ndarray) -> list[pa.Array]:
+    def make(ids: np.ndarray, stop: np.ndarray, known: tuple[np.ndarray, pa.Array]) -> list[pa.Array]:
         edges = [0, *stop.tolist()]
         whole = memoryview(ids.view(np.uint8))
         shas = [hashlib.sha256(whole[4 * a : 4 * b]).hexdigest() for a, b in zip(edges, edges[1:])]
-        decoded = join_pieces(pa.array(shared.value, pa.string()), ids, stop)
+        decoded = join_pieces(known, ids, stop)
         return [pa.array(np.diff(edges), pa.int64()), pa.array(shas, pa.string()), pa.array([hashlib.sha256(memoryview(x.as_buffer())).hexdigest() for x in decoded], pa.string())]
 
     schema = T.StructType([docs.schema[key], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    return _joined_back(docs, [key], path, text, make, schema)
+    return _joined_back(docs, [key], path, text, make, schema, True)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
