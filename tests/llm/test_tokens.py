@@ -73,6 +73,9 @@ def test_encoding_many_small_blocks(spark, tok, monkeypatch):
     monkeypatch.setattr(bpe_codec, "BLOCK_BYTES", 50)
     rows = [(k % 7 if k % 5 else None, x, k) for k, x in enumerate([*ODD, *(prose(k, 40) for k in range(300)), prose(9, 20000)])]
     df = spark.createDataFrame(rows, "doc_id long, text string, word long").repartition(3)
+    monkeypatch.setattr(bpe_codec, "BLOCKS_ASKING", 3)
+    for r in bpe_codec.round_trip(df, key="word").collect():
+        assert r["decoded_sha256"] == hashlib.sha256(tok.decode(tok.encode(rows[r["word"]][1] or "", add_special_tokens=False).ids, skip_special_tokens=False).encode()).hexdigest()
     out = bpe_codec.encode(df)
     assert out.columns == ["doc_id", "text", "word", "ids"]
     found = out.collect()

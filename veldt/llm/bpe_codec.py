@@ -10,8 +10,8 @@ itself yields no token, so the ids of a text are the ids of its words in order.
    row a block and not a row an occurrence, and texts are never shuffled.
 3. The ids of a block's words are joined with the block's texts by position.
 
-Decoding is a join too: the distinct ids of each block are rows, which Spark joins with the id-to-piece table on the id. The pieces
-go to their block with the ids of its words, or meet its bucket of id lists, and texts are put together from them there. The
+Decoding is a join too: distinct ids, with the blocks that hold them, are rows that Spark joins with the id-to-piece table. The
+pieces go to the blocks with the ids of their words, or meet a bucket of id lists, and texts are put together from them there. The
 table has the vocabulary's size, which bounds its broadcast; no id of a text is moved for it.
 """
 
@@ -37,6 +37,8 @@ from veldt.llm.common import Tables, stored
 BLOCK_BYTES = 48 << 20
 #: Ids go back to the blocks by so many words at a time.
 WORDS_BACK = 1 << 18
+#: An id asks for its piece on behalf of up to so many blocks at once.
+BLOCKS_ASKING = 1000
 #: Words are given to the tokenizer together, up to so many letters.
 LETTERS_AT_ONCE = 200_000
 #: A worker that encodes whole texts keeps words of so many letters together, and as many that it met before.
@@ -244,13 +246,13 @@ def unpacked(numbers: bytes, n: int) -> np.ndarray:
 
 
 def _word_ids(split: DataFrame, path: str, distinct_ids: bool) -> DataFrame:
-    """Rows (block, n, total, codes, sizes, ids, null) of many words of a block each.
+    """Rows (block, n, total, codes, sizes, ids, nulls) of many words of a block each.
 
     Every distinct word is encoded once, where its rows of all blocks stand together. With ``distinct_ids`` there are rows
-    (block, nulls, id) besides: the ids of those words, each once.
+    (nulls, id, asking) besides: each id of those words, with the blocks that they stand in.
     """
-    columns = ["block", "n", "total", "codes", "sizes", "ids", "id"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+    columns = ["block", "n", "total", "codes", "sizes", "ids", "id", "asking"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: dict[str, bytes] = {}  # the word that the batch before ended with
@@ -267,13 +269,18 @@ def _word_ids(split: DataFrame, path: str, distinct_ids: bool) -> DataFrame:
                 some = bags.take(pa.array(order[a:b]))
                 ids = np.frombuffer(b"".join(some.to_pylist()), "<u4")
                 sizes = pc.binary_length(some).to_numpy(zero_copy_only=False) // 4
-                made.append((int(block[a]), b - a, len(ids), packed(np.diff(code[a:b], prepend=0)), packed(sizes), packed(ids), None))
+                made.append((int(block[a]), b - a, len(ids), packed(np.diff(code[a:b], prepend=0)), packed(sizes), packed(ids), None, None))
                 seen.append(np.unique(ids))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made), kinds)], columns)
             if distinct_ids:
-                blocks = np.repeat(block[edges], [len(x) for x in seen])
-                lacking = [pa.nulls(len(blocks), k) for k in kinds[1:-1]]
-                yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), *lacking, pa.array(np.concatenate(seen), pa.int64())], columns)
+                asked, asking = np.concatenate(seen), np.repeat(block[edges], [len(x) for x in seen])
+                order = np.argsort(asked, kind="stable")
+                asked, asking = asked[order], asking[order]
+                inside = np.arange(len(asked)) - np.searchsorted(asked, asked)
+                starts = np.flatnonzero(inside % BLOCKS_ASKING == 0)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(asked)), pa.int32()), pa.array(asking, pa.int64()))
+                lacking = [pa.nulls(len(starts), k) for k in kinds[:-2]]
+                yield pa.RecordBatch.from_arrays([*lacking, pa.array(asked[starts], pa.int64()), lists], columns)
 
         for batch in batches:
             coded = batch.column(0).dictionary_encode()
@@ -293,7 +300,31 @@ def _word_ids(split: DataFrame, path: str, distinct_ids: bool) -> DataFrame:
     words = split.where("word IS NOT NULL").select("word", "block", "code")
     # neighbours share their beginnings, which the shuffle's compression finds; a word has a row a block at most
     words = words.repartitionByRange("word").sortWithinPartitions("word")
-    return words.mapInArrow(run, "block long, n long, total long, codes binary, sizes binary, ids binary, id long")
+    return words.mapInArrow(run, "block long, n long, total long, codes binary, sizes binary, ids binary, id long, asking array<long>")
+
+
+def _with_pieces(words: DataFrame, path: str) -> DataFrame:
+    """``_word_ids`` joined with the id-to-piece table: rows (block, nulls, known, pieces) of many ids of a block each replace those of ids."""
+    columns = ["block", "n", "total", "codes", "sizes", "ids"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = batch.filter(pc.is_valid(batch.column("codes")))
+            lists = pa.nulls(len(some), pa.list_(pa.int64())), pa.nulls(len(some), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*(some.column(c) for c in columns), *lists], [*columns, "known", "pieces"])
+            found = batch.filter(pc.is_valid(batch.column("piece")))
+            asking = found.column("asking")
+            blocks = asking.flatten().to_numpy()
+            order = np.argsort(blocks, kind="stable")
+            row = pa.array(np.repeat(np.arange(len(found)), asking.value_lengths().to_numpy(zero_copy_only=False))[order], pa.int64())
+            each, starts = np.unique(blocks[order], return_index=True)
+            ends = pa.array(np.append(starts, len(blocks)), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, found.column(c).take(row)) for c in ("id", "piece")]
+            lacking = [pa.nulls(len(each), batch.column(c).type) for c in columns[1:]]
+            yield pa.RecordBatch.from_arrays([pa.array(each, pa.int64()), *lacking, *lists], [*columns, "known", "pieces"])
+
+    joined = words.join(F.broadcast(pieces(words.sparkSession, path)), "id", "left").select(*columns, "id", "asking", "piece")
+    return joined.mapInArrow(run, "block long, n long, total long, codes binary, sizes binary, ids binary, known array<long>, pieces array<string>")
 
 
 def _joined_back(docs: DataFrame, keep: list[str], path: str, text: str, make, schema: T.StructType, decoding: bool) -> DataFrame:
@@ -306,7 +337,7 @@ def _joined_back(docs: DataFrame, keep: list[str], path: str, text: str, make, s
     texts = split.where("codes IS NOT NULL").select("block", "rows", "ends", "codes")
 
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
-        known = by_place(words) if decoding else None
+        known = by_place(words.column("known").combine_chunks().flatten(), words.column("pieces").combine_chunks().flatten()) if decoding else None
         words = words.filter(pc.is_valid(words.column("codes")))
         found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, "<u4")]
         for n, total, *parts in zip(*(words.column(c).to_pylist() for c in ("n", "total", "codes", "sizes", "ids"))):
@@ -329,7 +360,7 @@ def _joined_back(docs: DataFrame, keep: list[str], path: str, text: str, make, s
     inner = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, schema)])
     words = _word_ids(split, path, decoding)
     if decoding:
-        words = words.join(F.broadcast(pieces(docs.sparkSession, path)), "id", "left")
+        words = _with_pieces(words, path)
     done = texts.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(run, inner)
     out = stored(done, "joined").toDF(*schema.names)
     tables.drop()
@@ -365,13 +396,12 @@ def pieces(spark: SparkSession, path: str | None = None) -> DataFrame:
     return spark.createDataFrame(found, "id long, piece string")
 
 
-def by_place(joined: pa.Table) -> tuple[np.ndarray, pa.Array]:
-    """(place of each id among the pieces, or -1; pieces) of the rows that hold an id and its piece; ids may repeat."""
-    joined = joined.filter(pc.is_valid(joined.column("piece"))).select(["id", "piece"]).combine_chunks()
-    ids = joined.column("id").to_numpy()
+def by_place(ids: pa.Array, found: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(place of each id among the pieces, or -1; pieces) of ids and their pieces; ids may repeat."""
+    ids = ids.to_numpy(zero_copy_only=False)
     place = np.full(ids.max(initial=-1) + 1, -1, np.int64)
     place[ids] = np.arange(len(ids))
-    return place, pa.concat_arrays([pa.array([], pa.string()), *joined.column("piece").chunks])
+    return place, found
 
 
 def join_pieces(known: tuple[np.ndarray, pa.Array], ids: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -422,7 +452,7 @@ def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids", out: s
     names = [f"c{i}" for i in range(len(keep) + 1)]
 
     def put_together(texts: pa.Table, found: pa.Table) -> pa.Table:
-        known, made = by_place(found), []
+        known, made = by_place(*(found.column(c).combine_chunks() for c in ("id", "piece"))), []
         for k in range(texts.num_rows):
             rows = texts.column("rows")[k].values
             lists = rows.field(at)
