@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from veldt.plans import aggregates, annotations, durable, events, identities, layout, preparation, relational, retrieval, round_trips, texts
+from veldt.plans import aggregates, annotations, durable, events, identities, layout, positions, preparation, relational, retrieval, round_trips, texts
 
-REGISTRIES = (relational.R, aggregates.R, retrieval.R, texts.R, events.R, preparation.R, identities.R, annotations.R, round_trips.R, durable.R, layout.R)
+REGISTRIES = (relational.R, aggregates.R, retrieval.R, texts.R, events.R, preparation.R, identities.R, annotations.R, round_trips.R, durable.R, layout.R, positions.R)
 
 
 def queries() -> dict:
