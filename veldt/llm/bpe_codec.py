@@ -296,6 +296,8 @@ def _word_ids(split: DataFrame, path: str, distinct_ids: bool) -> DataFrame:
                 waiting, rows = [], 0
         if rows:
             yield from back()
+        waiting.clear()
+        pa.default_memory_pool().release_unused()
 
     words = split.where("word IS NOT NULL").select("word", "block", "code")
     # neighbours share their beginnings, which the shuffle's compression finds; a word has a row a block at most
@@ -322,6 +324,7 @@ def _with_pieces(words: DataFrame, path: str) -> DataFrame:
             lists = [pa.ListArray.from_arrays(ends, found.column(c).take(row)) for c in ("id", "piece")]
             lacking = [pa.nulls(len(each), batch.column(c).type) for c in columns[1:]]
             yield pa.RecordBatch.from_arrays([pa.array(each, pa.int64()), *lacking, *lists], [*columns, "known", "pieces"])
+        pa.default_memory_pool().release_unused()
 
     joined = words.join(F.broadcast(pieces(words.sparkSession, path)), "id", "left").select(*columns, "id", "asking", "piece")
     return joined.mapInArrow(run, "block long, n long, total long, codes binary, sizes binary, ids binary, known array<long>, pieces array<string>")
