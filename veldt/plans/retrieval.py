@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veldt.functions import stems, vectors
-from veldt.operators import joins, retrieval
+from veldt.operators import joins, lexical, retrieval
 from veldt.plans.registry import Registry
 
 R = Registry()
@@ -46,8 +46,8 @@ fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, d
 def hybrid(t):
     corpus = t("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     dense = retrieval.dense_topk(corpus, asked(t), "doc_id", "query_id", "embedding", 100)
-    hits = retrieval.lexical_hits(t("documents"), asked_text(t), "doc_id", "query_id", "text", "q")
-    return retrieval.fuse_whole(dense, hits, corpus, asked(t), "query_id", "doc_id", "embedding", K, 100)
+    search = lexical.LexicalSearch(t("documents"), asked_text(t), "doc_id", "query_id", "text", "q")
+    return retrieval.fuse_whole(dense, search, corpus, asked(t), "query_id", "doc_id", "embedding", K, 100)
 
 
 @R.query("dense_topk", f"WITH {DENSE} SELECT query_id, doc_id, round(cosine, 6) AS cosine, rank FROM dr WHERE rank <= {K}")
@@ -67,17 +67,17 @@ def _(t):
 
 @R.query("lexical_topk", f"WITH {LEX} SELECT query_id, doc_id, hits, rank FROM xr WHERE rank <= {K}")
 def _(t):
-    return retrieval.lexical_topk(t("documents"), asked_text(t), "doc_id", "query_id", "text", "q", K).withColumn("rank", F.col("rank").cast("long"))
+    return lexical.lexical_topk(t("documents"), asked_text(t), "doc_id", "query_id", "text", "q", K).withColumn("rank", F.col("rank").cast("long"))
 
 
 @R.query("lexical_topk_whole")
 def _(t):
-    return retrieval.lexical_topk(t("documents"), asked_text(t), "doc_id", "query_id", "text", "q", K).withColumn("rank", F.col("rank").cast("long"))
+    return lexical.lexical_topk(t("documents"), asked_text(t), "doc_id", "query_id", "text", "q", K).withColumn("rank", F.col("rank").cast("long"))
 
 
 @R.query("lexical_topk_stemmed")
 def _(t):
-    found = retrieval.lexical_topk(t("documents"), asked_text(t), "doc_id", "query_id", "text", "q", K, stems.analysed)
+    found = lexical.lexical_topk(t("documents"), asked_text(t), "doc_id", "query_id", "text", "q", K, stems.analysed)
     return found.withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -125,12 +125,12 @@ def _(t):
 def gated_search(t, queries):
     # the pool is gated first, then ranked
     pool = t("documents").join(gated(t).where("admissible").select("doc_id"), "doc_id", "left_semi")
-    return retrieval.lexical_topk(pool, queries, "doc_id", "query_id", "text", "q", 5).withColumn("rank", F.col("rank").cast("long"))
+    return lexical.lexical_topk(pool, queries, "doc_id", "query_id", "text", "q", 5).withColumn("rank", F.col("rank").cast("long"))
 
 
 def withheld_matches(t, queries):
     # ranked over the whole pool first; what the gate then withholds is told
-    best = retrieval.lexical_topk(t("documents"), queries, "doc_id", "query_id", "text", "q", 5)
+    best = lexical.lexical_topk(t("documents"), queries, "doc_id", "query_id", "text", "q", 5)
     return best.join(gated(t).where("NOT admissible"), "doc_id").select("query_id", "doc_id", F.array_join(F.array_sort("missing"), ",").alias("missing"))
 
 
