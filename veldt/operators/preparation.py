@@ -13,20 +13,40 @@ from veldt.operators.shared import written
 SLOT_ROWS = 4096
 
 
+#: A key of so many rows is hot. Its rows are met by a broadcast list, which so has fewer keys than the rows divided by this.
+HOT_ROWS = 100_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: str, met: str) -> DataFrame:
+    """``left`` joined with ``right``, a written table with one row for each ``on`` and in ``met`` how many rows of the left have it.
+
+    Rows of hot keys stay where they are, so that no task gets all rows of a key.
+    """
+    hot = right.where(F.col(met) >= HOT_ROWS).drop(met)
+    cold = right.where(F.col(met) < HOT_ROWS).drop(met)
+    if hot.isEmpty():
+        return left.join(cold, on)
+    hot = F.broadcast(hot)  # few keys of many rows
+    return left.join(hot, on).unionByName(left.join(hot.select(on), on, "left_anti").join(cold, on))
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Rows (node, component): the smallest node that each node of an edge list reaches. Keys are longs.
 
     Alternates two steps until nothing changes: every node's larger neighbours are linked to its smallest neighbour,
-    then its smaller ones. Rounds grow with the logarithm of the size, and a round is a window-free aggregation and a join.
+    then its smaller ones. Rounds grow with the logarithm of the size, and a round is a window-free aggregation and a join. The rows of a hub, as
+    the smallest node of a large component becomes one, are combined before they are shuffled and are never gathered in a task.
     """
     both = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
     now = written(both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "star")
     while True:
         sides = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = sides.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = sides.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        lows = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lows, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        up = sides.where("v > u")
+        least = sides.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("met")).where("met > 0").withColumn("m", F.least("u", "m"))
+        large = spread_join(up, written(least, "least"), "u", "met").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = written(large, "large")
+        lows = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("met"))
+        small = spread_join(large, written(lows, "lows"), "u", "met").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         after = written(small, "star")
         change = after.join(now, ["u", "v"], "left_anti").isEmpty() and now.join(after, ["u", "v"], "left_anti").isEmpty()
         now = after
