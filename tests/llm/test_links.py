@@ -185,3 +185,24 @@ def test_components_of_chains_stars_and_rings(spark):
     found = {r["node"]: r["component"] for r in common.components(df).collect()}
     assert found == groups(sorted({x for e in edges for x in e}), edges)
     assert common.components(df.limit(0)).count() == 0
+
+
+def test_first_of_similar_texts_compares_all_in_reach(spark):
+    """Texts of the same words lie on one spot; similar ones may be neither first there nor most alike by their fingerprints."""
+    r = random.Random(8)
+    words = prose(3, 90).split()
+    texts = []
+    for _ in range(12):
+        r.shuffle(words)
+        base = list(words)
+        for _ in range(12):
+            w = list(base)
+            # swaps of neighbours change runs and no word
+            for k in r.sample(range(0, 85), r.randint(0, 3)):
+                w[k], w[k + 1] = w[k + 1], w[k]
+            texts.append(" ".join(w))
+    texts = list(dict.fromkeys(texts))
+    runs = [plain_runs(t) for t in texts]
+    near = [(a, b) for a in range(len(runs)) for b in range(a) if len(runs[a] & runs[b]) >= 0.8 * len(runs[a] | runs[b])]
+    top = groups(range(len(texts)), near)
+    assert {x["doc_id"] for x in simhash_links.keep_first(documents(spark, texts)).collect()} == {k for k in top if top[k] == k}

@@ -33,6 +33,8 @@ SLOT_ROWS = 4096
 #: A bucket above this size is dealt again by its other bits.
 BUCKET_ROWS = 20_000
 PAIRS_AT_ONCE = 1000
+#: Runs of words are counted in so many bins, each up to FULL, before texts are compared by their runs.
+BINS, FULL = 64, 65_535
 
 
 def fingerprint(text: bytes, words: int = WORDS) -> int:
@@ -184,41 +186,91 @@ def links(distinct: DataFrame, most: int = MAX_BITS, finer: str | None = None) -
     has members and never all pairs. A bucket above the limit is dealt again by finer bands of its other bits, which
     again lose no link. There are at most ``most + 1`` times 2 ** 13 buckets, which bounds the broadcast list of the large ones.
     """
-    total = distinct.count()
-    slots = max(32, (most + 1) * total // SLOT_ROWS)
     second = F.col(finer) if finer else F.lit(0).cast("long")
-    coarse = distinct.select("fp", "rep", second.alias("finer"), F.explode(_band("fp", most + 1)).alias("band"))
+    keyed = _dealt(distinct.select("fp", "rep", second.alias("finer")), most)
+
+    def run(table: pa.Table) -> pa.Table:
+        codes, reps, more, _, buckets = _buckets(table, "finer")
+        left, right = [], []
+        for a, b in buckets:
+            for other in linked(codes[a:b], most, more[a:b].view(np.uint64) if finer else None):
+                own = np.flatnonzero(other != np.arange(b - a))
+                left.append(reps[a:b][other[own]])
+                right.append(reps[a:b][own])
+        empty = np.zeros(0, np.int64)
+        return pa.table({"a": np.concatenate([empty, *left]), "b": np.concatenate([empty, *right])})
+
+    return keyed.groupBy("slot").applyInArrow(run, "a long, b long")
+
+
+def _dealt(rows: DataFrame, most: int) -> DataFrame:
+    """``rows`` with a fingerprint ``fp`` once for each of their buckets (band, sub), and the slot that the bucket lies in."""
+    columns = rows.columns
+    slots = max(32, (most + 1) * rows.count() // SLOT_ROWS)
+    coarse = rows.select(*columns, F.explode(_band("fp", most + 1)).alias("band"))
     large = coarse.groupBy("band").count().where(F.col("count") > BUCKET_ROWS).select("band")
     # each band is two fine bands wide; of the fine bands outside the bucket's own, most + 1 are enough, since
     # most differing bits can't touch all of them
     fine = _band("fp", 2 * (most + 1))
     own = F.shiftright("band", 32).cast("int")
     outside = F.slice(F.concat(fine, fine), own * 2 + 3, most + 1)
-    keyed = (
+    return (
         coarse.join(F.broadcast(large.withColumn("large", F.lit(True))), "band", "left")
-        .select("fp", "rep", "finer", "band", F.explode(F.when(F.col("large"), outside).otherwise(F.array(F.lit(-1).cast("long")))).alias("sub"))
+        .select(*columns, "band", F.explode(F.when(F.col("large"), outside).otherwise(F.array(F.lit(-1).cast("long")))).alias("sub"))
         .withColumn("slot", F.pmod(F.xxhash64("band", "sub"), F.lit(slots)))
     )
 
-    def run(table: pa.Table) -> pa.Table:
-        band, sub = (table.column(c).to_numpy() for c in ("band", "sub"))
-        codes, more = (table.column(c).to_numpy().view(np.uint64) for c in ("fp", "finer"))
-        reps = table.column("rep").to_numpy()
-        order = np.lexsort((reps, gray_rank(codes), sub, band))
-        band, sub, codes, reps, more = band[order], sub[order], codes[order], reps[order], more[order]
-        edge = np.flatnonzero((band[1:] != band[:-1]) | (sub[1:] != sub[:-1])) + 1
-        ends = np.concatenate((edge, [len(codes)]))
-        left, right = [], []
-        for a, b in zip(np.concatenate(([0], edge)).tolist(), ends.tolist()):
-            if b - a > 1:
-                for other in linked(codes[a:b], most, more[a:b] if finer else None):
-                    own = np.flatnonzero(other != np.arange(b - a))
-                    left.append(reps[a:b][other[own]])
-                    right.append(reps[a:b][own])
-        empty = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate([empty, *left]), "b": np.concatenate([empty, *right])})
 
-    return keyed.groupBy("slot").applyInArrow(run, "a long, b long")
+def _buckets(table: pa.Table, more: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """(fingerprints, rep, the column ``more``, order of the rows, ends of each bucket of more than one row) of a slot's rows, in Gray order in each bucket."""
+    band, sub = (table.column(c).to_numpy() for c in ("band", "sub"))
+    codes, reps = table.column("fp").to_numpy().view(np.uint64), table.column("rep").to_numpy()
+    order = np.lexsort((reps, gray_rank(codes), sub, band))
+    band, sub = band[order], sub[order]
+    edge = np.flatnonzero((band[1:] != band[:-1]) | (sub[1:] != sub[:-1])) + 1
+    buckets = [(a, b) for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(order)]) if b - a > 1]
+    return codes[order], reps[order], table.column(more).to_numpy()[order], order, buckets
+
+
+def pairs_across(rows: DataFrame, most: int, least: float) -> DataFrame:
+    """All pairs (a, b), a below b, of ``rows`` (fp, rep, component, bins) at most ``most`` bits apart and of different components, that may have a similarity of ``least``.
+
+    ``bins`` are ``binned`` runs of words: two sets have in common at most the sum of the lesser counts of each bin. Pairs leave a
+    bucket in batches, so a task holds its bucket and not its pairs; a pair that meets in several bands is told in the first.
+    """
+    bits = _band_bits(most + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        codes, reps, part, order, buckets = _buckets(table, "component")
+        band = table.column("band").to_numpy()[order] >> 32
+        bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), np.uint16).reshape(-1, BINS)[order]
+        sizes = bins.sum(1, dtype=np.int64)
+        full = (bins == FULL).any(1)  # such a count is a lower bound only
+        for start, end in buckets:
+            code, n = codes[start:end], end - start
+            if (part[start:end] == part[start]).all():
+                continue
+            left, right = GrayIndex(code).block_pairs(most)
+            inside = np.arange(LEAF)
+            for at in range(0, len(left), PAIRS_AT_ONCE):
+                i = (left[at : at + PAIRS_AT_ONCE, None, None] * LEAF + inside[:, None] + 0 * inside).ravel()
+                j = (right[at : at + PAIRS_AT_ONCE, None, None] * LEAF + inside + 0 * inside[:, None]).ravel()
+                ok = (i < j) & (j < n)
+                i, j = i[ok], j[ok]
+                apart = code[i] ^ code[j]
+                ok = (np.bitwise_count(apart) <= most) & (part[start:end][i] != part[start:end][j])
+                for shift, width in bits[: band[start]]:
+                    ok &= (apart >> np.uint64(shift)) & np.uint64((1 << width) - 1) != 0
+                i, j = i[ok] + start, j[ok] + start
+                for first in range(0, len(i), PAIRS_AT_ONCE):
+                    x, y = i[first : first + PAIRS_AT_ONCE], j[first : first + PAIRS_AT_ONCE]
+                    common = np.minimum(bins[x], bins[y]).sum(1, dtype=np.int64)
+                    ok = full[x] | full[y] | (common >= (sizes[x] + sizes[y] - common) * least)
+                    a, b = reps[x[ok]], reps[y[ok]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return _dealt(rows, most).groupBy("slot").applyInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, most: int = MAX_BITS) -> DataFrame:
@@ -259,6 +311,12 @@ def shingle_hashes(words: list[bytes], n: int = SHINGLE) -> np.ndarray:
     return np.unique(found).view(np.int64)
 
 
+def binned(runs: np.ndarray) -> bytes:
+    """How many hashes lie in each of BINS bins, as unsigned 16-bit numbers; FULL stands for as many and more."""
+    counts = np.bincount((runs.view(np.uint64) % np.uint64(BINS)).astype(np.int64), minlength=BINS)
+    return np.minimum(counts, FULL).astype(np.uint16).tobytes()
+
+
 def _words(column: pa.Array) -> Iterator[list[bytes]]:
     for t in column.cast(pa.binary()):
         yield (t.as_py() or b"").lower().split()
@@ -277,23 +335,28 @@ def _shapes(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, node long, fp long, finer long")
 
 
-def _similar(edges: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, words: int, least: float) -> DataFrame:
-    """Those edges (a, b) whose texts' runs of ``words`` words have a Jaccard similarity of ``least`` or more.
-
-    Runs are made only of texts that stand at an edge, one for each node.
-    """
-    ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node")))
-    met = stored(ends.groupBy("node").agg(F.count(F.lit(1)).alias("met")), "met")
-    wanted = stored(met.join(nodes, "node").select("node", F.col("rep").alias("__rep")), "wanted")
+def _runs(edges: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
+    """Rows (node, runs, bins): the runs of ``words`` words of the texts that stand at an edge, one for each node."""
+    ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+    wanted = stored(ends.join(nodes, "node").select("node", F.col("rep").alias("__rep")), "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 0):
             found = [(shape(w), shingle_hashes(w, words)) for w in _words(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([x for _, x in found], pa.list_(pa.int64()))], ["node", "runs"])
+            kinds = pa.int64(), pa.list_(pa.int64()), pa.binary()
+            columns = [n for n, _ in found], [x for _, x in found], [binned(x) for _, x in found]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], ["node", "runs", "bins"])
 
     few = doubtful(docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")), wanted.select("__rep"), "key", "hit").where("hit").select("text")
-    runs = few.mapInArrow(run, "node long, runs array<long>").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    runs = stored(runs.join(met, "node"), "runs")
+    runs = few.mapInArrow(run, "node long, runs array<long>, bins binary").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    return stored(runs, "runs")
+
+
+def _similar(edges: DataFrame, runs: DataFrame, least: float) -> DataFrame:
+    """Those edges (a, b) whose texts' ``runs`` (node, runs) have a Jaccard similarity of ``least`` or more."""
+    ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node")))
+    met = ends.groupBy("node").agg(F.count(F.lit(1)).alias("met"))
+    runs = stored(runs.select("node", "runs").join(met, "node"), "runs")
     total = 2 * edges.count()
     side = lambda name: runs.select(F.col("node").alias(name), F.col("runs").alias(f"{name}_runs"), "met")
     pairs = spread_join(edges, side("a"), "a", "met", total, F.col("b"), "inner").drop("met")
@@ -306,8 +369,9 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     """``docs`` with one row of each near-duplicate group: the one whose key is the group's smallest.
 
     Texts are linked if their runs of ``words`` words have a Jaccard similarity of ``least`` or more; links chain. The Gray-order
-    index names the pairs to compare: of the texts of a bucket whose fingerprints of different words are ``most`` or fewer bits apart, each
-    beside the first and beside the one most like it by the fingerprint of its runs, in every band. Words are lower-cased (A-Z) and parted by ASCII white space. Texts of the same words,
+    index names the pairs to compare, those whose fingerprints of different words are ``most`` or fewer bits apart: at first each text beside the
+    first of its group in a bucket and the one most like it by the fingerprint of its runs, in every band, and then all pairs that these links leave in
+    different groups. Words are lower-cased (A-Z) and parted by ASCII white space. Texts of the same words,
     null and empty ones among each other, are one text there. Of rows that repeat the smallest key, all whose text belongs to the group stay. Rows with
     a null key always stay. Groups are of texts, so rows that share a key but not a text don't tie their groups together, and
     each is judged by its own.
@@ -318,7 +382,15 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     nodes = stored(shapes.groupBy("node").agg(F.min("key").alias("rep"), F.first("fp").alias("fp"), F.first("finer").alias("finer")), "nodes")
     pairs = links(nodes.where("rep IS NOT NULL").select("fp", "finer", F.col("node").alias("rep")), most, "finer")
     edges = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    found = components(_similar(edges, nodes, rows, "key", "text", words, least))
+    runs = _runs(edges, nodes, rows, "key", "text", words)
+    alike = stored(_similar(edges, runs, least), "alike")
+    found = components(alike)
+    # a text with another within reach stands at an edge; of those in reach all that no link has joined so far are compared
+    parts = runs.select("node", "bins").join(nodes.select("node", "fp"), "node").join(found, "node", "left")
+    across = pairs_across(parts.select("fp", F.col("node").alias("rep"), F.coalesce("component", "node").alias("component"), "bins"), most, least)
+    more = stored(across.join(edges, ["a", "b"], "left_anti"), "across")
+    if not more.isEmpty():
+        found = components(alike.unionByName(_similar(more, runs, least)))
     rooted = nodes.join(found, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("root"))
     first = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("first")), "root").select("node", "first")
     judged = shapes.where("key IS NOT NULL").join(first, "node")
