@@ -48,3 +48,20 @@ def test_one_spot_and_empty(spark):
     df = spark.createDataFrame(rows, BOX)
     assert [x["id"] for x in boxes.suppress_boxes(df, "g", ("l", "t", "r", "b"), "score", "id").collect()] == plain(rows, 0.5) == [2999]
     assert boxes.suppress_boxes(df.limit(0), "g", ("l", "t", "r", "b"), "score", "id").count() == 0
+
+
+def test_groups_of_few_boxes_take_no_rounds(spark, monkeypatch):
+    """A table of small groups is decided in one pass; a group above the limit beside them, by rounds, has the same rows."""
+    r = random.Random(4)
+    rows = []
+    for k in range(3000):
+        l, t = r.uniform(0, 30), r.uniform(0, 30)
+        rows.append((k, r.choice(["a", "b", "c", None, str(k % 60)]), l, t, l + r.choice([5, 8, 20]), t + r.choice([5, 8, 20]), r.choice([None, round(r.random(), 1)])))
+    df = spark.createDataFrame(rows, BOX).repartition(4)
+    tables, own = [], boxes.written
+    monkeypatch.setattr(boxes, "written", lambda frame, name: tables.append(name) or own(frame, name))
+    ids = lambda: sorted(x["id"] for x in boxes.suppress_boxes(df, "g", ("l", "t", "r", "b"), "score", "id").collect())
+    found = ids()
+    assert "cells" not in tables and found == plain(rows, 0.5)
+    monkeypatch.setattr(boxes, "LOCAL_ROWS", 100)
+    assert ids() == found and "cells" in tables
