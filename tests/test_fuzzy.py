@@ -58,3 +58,14 @@ def test_forms_meet_wherever_words_are_near():
 def test_empty(spark):
     none = spark.createDataFrame([], "id long, t string")
     assert fuzzy.fuzzy_join(none, none, "id", "t", "id", "t").count() == 0
+
+
+def test_copies_of_texts_are_one(spark, monkeypatch):
+    """Many copies of a text and of a query make no more rows between than there are rows to find."""
+    texts = spark.createDataFrame([(k, "alpha beta gamma delta") for k in range(2000)] + [(5000, None)], "id long, t string")
+    queries = spark.createDataFrame([(k, "alpa gama") for k in range(30)] + [(None, "beta")], "q long, qt string")
+    sizes, own = [], fuzzy.written
+    monkeypatch.setattr(fuzzy, "written", lambda frame, name: sizes.append(own(frame, name)) or sizes[-1])
+    found = fuzzy.fuzzy_join(texts, queries, "id", "t", "q", "qt")
+    assert found.count() == found.distinct().count() == 60_000
+    assert max(x.count() for x in sizes) == 2000
