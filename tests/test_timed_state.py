@@ -3,6 +3,7 @@
 import random
 import uuid
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,3 +70,50 @@ def test_retries(spark, parts):
         if due <= end:
             want.append((grp, k, "done" if fails < 3 else "dead", tried + 1, due))
     assert sorted(tuple(x)[:5] for x in found.collect()) == sorted(want) and any(w[2] == "dead" for w in want) and len(want) < len(rows)
+
+
+def test_a_key_has_one_timer():
+    """Messages that wait for many times have one timer, and all that are due by the watermark are tried when it fires."""
+
+    class Value:
+        row = None
+        exists = lambda self: self.row is not None
+        get = lambda self: self.row
+
+        def update(self, row):
+            self.row = row
+
+        def clear(self):
+            self.row = None
+
+    class Handle:
+        def __init__(self):
+            self.timers, self.set = set(), 0
+
+        def getValueState(self, *_):
+            return Value()
+
+        def registerTimer(self, at):
+            self.timers.add(at)
+            self.set += 1
+
+        def deleteTimer(self, at):
+            self.timers.remove(at)
+
+    class Now:
+        def __init__(self, at):
+            self.getCurrentWatermarkInMs = lambda: at
+            self.getExpiryTimeInMs = lambda: 31_000
+
+    work, handle = timed.Retries("k", "id", "at", "fails", lambda fails, attempts: attempts >= fails, (30, 300)), Handle()
+    work.init(handle)
+    rows = pd.DataFrame({"id": range(50), "at": [1000 * (k + 1) for k in range(50)], "fails": [k % 4 for k in range(50)]})
+    found = list(work.handleInputRows((7,), iter([rows]), Now(0)))
+    assert handle.timers == {32_000} and handle.set == 1
+    found += list(work.handleExpiredTimer((7,), Now(70_000), Now(0)))
+    # the first that the watermark has not reached
+    assert handle.timers == {32_000, 72_000}
+    handle.timers.discard(32_000)
+    found += list(work.handleExpiredTimer((7,), Now(1_000_000), Now(0)))
+    done = {x.id: (x.outcome, x.attempts, x.at_ms) for part in found for x in part.itertuples()}
+    assert done == {k: ("done" if k % 4 < 3 else "dead", min(k % 4, 2) + 1, 1000 * (k + 1) + (0, 30_000, 330_000, 330_000)[k % 4]) for k in range(50)}

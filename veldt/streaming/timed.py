@@ -110,8 +110,9 @@ class Retries(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        #: time due -> messages as (id, payload, attempts so far): what waits for one key, one entry for each time
-        self.waiting = handle.getMapState("waiting", "due long", "messages string")
+        #: time due -> messages as (id, payload, attempts so far): what waits for one key. It has one timer, for the earliest time, so that a
+        #: watermark that moves far calls a key once and not once for each time
+        self.waiting = handle.getValueState("waiting", "messages string")
 
     def _try(self, at: int, messages: list[list], later: dict[int, list[list]]) -> Iterator[list]:
         """Attempt messages at a time; those that fail wait in ``later`` or are dead."""
@@ -123,35 +124,39 @@ class Retries(StatefulProcessor):
             else:
                 yield [name, "dead", attempts + 1, at]
 
-    def _keep(self, later: dict[int, list[list]], watermark: int) -> Iterator[list]:
-        """What the watermark has passed already is tried at once, as a timer for it would wait for another batch; the rest gets timers."""
+    def _load(self) -> dict[int, list[list]]:
+        return {int(due): messages for due, messages in json.loads(self.waiting.get()[0]).items()} if self.waiting.exists() else {}
+
+    def _keep(self, later: dict[int, list[list]], watermark: int, timer: int | None) -> Iterator[list]:
+        """What the watermark has passed already is tried at once, as a timer for it would wait for another batch; the rest waits for the ``timer`` of the earliest."""
         while later and min(later) <= watermark:
             due = min(later)
             yield from self._try(due, later.pop(due), later)
-        for due, messages in later.items():
-            if self.waiting.containsKey((due,)):
-                messages = json.loads(self.waiting.getValue((due,))[0]) + messages
-            else:
-                self.handle.registerTimer(due)
-            self.waiting.updateValue((due,), (json.dumps(messages),))
+        first = min(later, default=None)
+        if timer is not None and timer != first:
+            self.handle.deleteTimer(timer)
+        if first is None:
+            self.waiting.clear()
+            return
+        if timer != first:
+            self.handle.registerTimer(first)
+        self.waiting.update((json.dumps(later),))
 
     def _rows(self, key: tuple, found: list[list]) -> pd.DataFrame:
         return pd.DataFrame([[key[0], *row] for row in found], columns=[self.key, self.message, "outcome", "attempts", "at_ms"])
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        found, later = [], {}
+        found, later = [], self._load()
+        timer = min(later, default=None)
         for part in rows:
             for name, at, payload in part[[self.message, self.at, self.payload]].itertuples(index=False):
                 found += self._try(int(at), [[int(name), None if pd.isna(payload) else payload.item() if hasattr(payload, "item") else payload, 0]], later)
-        found += self._keep(later, timerValues.getCurrentWatermarkInMs())
+        found += self._keep(later, timerValues.getCurrentWatermarkInMs(), timer)
         yield self._rows(key, found)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due, later = expiredTimerInfo.getExpiryTimeInMs(), {}
-        messages = json.loads(self.waiting.getValue((due,))[0])
-        self.waiting.removeKey((due,))
-        found = list(self._try(due, messages, later))
-        found += self._keep(later, timerValues.getCurrentWatermarkInMs())
+        # a timer that has fired is gone
+        found = list(self._keep(self._load(), max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()), None))
         yield self._rows(key, found)
 
     def close(self) -> None:
@@ -162,7 +167,7 @@ def retries(stream: DataFrame, key: str, message: str, at: str, payload: str, ha
     """Outcomes of messages that ``handle(payload, attempts so far)`` may refuse: tried again after each of ``waits`` seconds, then dead.
 
     ``key`` and ``message`` are longs, ``at`` is in milliseconds, ``payload`` a number or string. A message whose next attempt lies behind the
-    watermark's reach still waits in the state and has no row. Timers of one key and time are one.
+    watermark's reach still waits in the state and has no row. A key has one timer at a time.
     """
     out = f"{key} long, {message} long, outcome string, attempts long, at_ms long"
     return _marked(stream, at, delay).groupBy(key).transformWithStateInPandas(Retries(key, message, at, payload, handle, waits), out, "Append", "EventTime")
