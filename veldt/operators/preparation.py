@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +17,10 @@ from veldt.operators.shared import written
 SLOT_ROWS = 4096
 
 
+#: Shingles are counted in so many bins, a power of two.
+BINS = 1 << 16
+
+
 #: A key of so many rows is hot. Its rows are met by a broadcast list, which so has fewer keys than the rows divided by this.
 HOT_ROWS = 100_000
 
@@ -126,26 +134,55 @@ def shingles(df: DataFrame, key: str, text: str, words: int = 5) -> DataFrame:
 def near_duplicates(df: DataFrame, key: str, text: str, least: float = 0.8, words: int = 5) -> DataFrame:
     """Rows (key, cluster): texts whose word shingles have a Jaccard similarity of ``least`` or more are linked, links chain.
 
-    Exact search by prefixes: with shingles ordered from rare to frequent, two sets this similar share one of the first
-    few, so only those are joined; sizes must fit too. Equal sets collapse to one row before, and a set meets another once.
+    Exact search by prefixes: with shingles in one order for all sets, two sets this similar share one of the first few, so only those meet; sizes must
+    fit too. The order goes by how many shingles share a shingle's bin, so that frequent ones come late; shingles are shuffled only as heads of sets.
+    Equal sets collapse to one row before. At first each set of a shingle meets the first one there; then all meet that these links leave in different
+    clusters, so a family of similar sets makes no pairs of all its members.
     """
     sets = written(shingles(df, key, text, words).withColumn("shape", F.xxhash64(F.array_sort("tokens"))), "shingles")
     distinct = written(sets.groupBy("shape").agg(F.min("key").alias("rep"), F.first("tokens").alias("tokens")), "sets")
-    counts = distinct.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    # a token of one set links nothing, but stands first in the order
-    ranked = distinct.select("rep", F.explode("tokens").alias("token")).join(counts, "token")
-    ordered = ranked.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o"))
-    size = F.size("o")
-    prefix = F.slice("o", 1, (size - F.ceil(size * least) + 1).cast("int"))
-    heads = written(ordered.select("rep", size.alias("n"), F.explode(F.filter(prefix, lambda x: x["df"] > 1)).alias("h")).select("rep", "n", "h.token"), "heads")
-    a = heads.select("token", F.col("rep").alias("a"), F.col("n").alias("na"))
-    b = heads.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"))
-    near = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least)
-    pairs = a.join(b, "token").where(near).select("a", "b").distinct()
-    left = distinct.select(F.col("rep").alias("a"), F.col("tokens").alias("ta"))
-    right = distinct.select(F.col("rep").alias("b"), F.col("tokens").alias("tb"))
-    common = F.size(F.array_intersect("ta", "tb"))
-    links = pairs.join(left, "a").join(right, "b").where(common >= (F.size("ta") + F.size("tb") - common) * least).select("a", "b")
+    heads = written(_heads(distinct, least), "heads")
+    near = F.least("na", "nb") >= F.greatest("na", "nb") * least
+    first = heads.groupBy("token").agg(F.min(F.struct("rep", "n")).alias("f"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    met = heads.join(first, "token").select(F.col("f.rep").alias("a"), F.col("f.n").alias("na"), F.col("rep").alias("b"), F.col("n").alias("nb"))
+    pairs = written(met.where(F.col("a") < F.col("b")).where(near).select("a", "b").distinct(), "pairs")
+    links = written(_similar(pairs, distinct, least), "links")
     found = components(links, "a", "b").withColumnRenamed("node", "rep")
+    parts = heads.join(found, "rep", "left").select("token", "rep", "n", F.coalesce("component", "rep").alias("part"))
+    open_ = parts.groupBy("token").agg((F.min("part") < F.max("part")).alias("open")).where("open").select("token")
+    parts = written(parts.join(open_, "token", "left_semi"), "parts")
+    side = lambda x: parts.select("token", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("part").alias(f"p{x}"))
+    across = side("a").join(side("b"), "token").where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & near).select("a", "b").distinct()
+    more = written(_similar(across.join(pairs, ["a", "b"], "left_anti"), distinct, least), "links")
+    if not more.isEmpty():
+        found = components(links.unionByName(more), "a", "b").withColumnRenamed("node", "rep")
     named = distinct.join(found, "rep", "left").select("shape", F.coalesce("component", "rep").alias("cluster"))
     return sets.join(named, "shape").select(F.col("key").alias(key), "cluster")
+
+
+def _heads(distinct: DataFrame, least: float) -> DataFrame:
+    """Rows (token, rep, n): the first shingles of each set of n by which it meets all sets that are similar enough."""
+    bins = distinct.select(F.explode("tokens").alias("token")).groupBy(F.col("token").bitwiseAND(BINS - 1).alias("bin")).count()
+    counts = np.zeros(BINS, np.int64)
+    for row in bins.collect():  # BINS numbers
+        counts[row["bin"]] = row["count"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            token, row = batch.column(1).flatten().to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((token, counts[token & (BINS - 1)], row))
+            place = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            some = place < np.repeat(sizes - np.ceil(sizes * least).astype(np.int64) + 1, sizes)
+            row = row[some]
+            yield pa.RecordBatch.from_arrays([pa.array(token[order][some]), batch.column(0).take(pa.array(row)), pa.array(sizes[row], pa.int32())], ["token", "rep", "n"])
+
+    return distinct.select("rep", "tokens").mapInArrow(run, f"token long, rep {distinct.schema['rep'].dataType.simpleString()}, n int")
+
+
+def _similar(pairs: DataFrame, distinct: DataFrame, least: float) -> DataFrame:
+    """Those pairs (a, b) of sets whose Jaccard similarity is ``least`` or more."""
+    left = distinct.select(F.col("rep").alias("a"), F.col("tokens").alias("ta"))
+    right = distinct.select(F.col("rep").alias("b"), F.col("tokens").alias("tb"))
+    common = F.size(F.array_intersect("ta", "tb"))
+    return pairs.join(left, "a").join(right, "b").where(common >= (F.size("ta") + F.size("tb") - common) * least).select("a", "b")
