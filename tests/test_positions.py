@@ -86,3 +86,31 @@ def test_query_is_its_twin(spark):
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{DIR}/documents.parquet'")
     got = catalog.queries()["position_ranks"](spark, DIR)
     assert sorted(map(tuple, got.select("kind", "query_id", "doc_id", "score", "rank").collect())) == sorted(con.sql(catalog.oracle_sql()["position_ranks"]).fetchall())
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_ranks_of_parts_are_the_plain_ones_and_pairs_stay_in_their_task(spark, index, monkeypatch, kind):
+    monkeypatch.setattr(positions, "QUERIES", 3)
+    r = random.Random(8)
+    key = (lambda k: f"d{k}") if kind == "string" else lambda k: k
+    rows = [(key(k), " ".join(r.choice("abcdef") for _ in range(r.randrange(6)))) for k in [*range(400), 7, 7]]
+    found = index(spark.createDataFrame(rows, f"k {kind}, t string").repartition(3), parts=9)
+    assert found.select("part").distinct().count() == 9
+    asked = [(q, " ".join(r.sample("abcdefz", 3))) for q in range(10)]
+    ranked = positions.ranked_by_hits(found, spark.createDataFrame(asked, "q long, t string"), "q", "t", "k", 9)
+    totals = {}
+    for k, t in rows:
+        for q, ws in asked:
+            n = sum(w in ws.split() for w in t.split())
+            totals[q, k] = totals.get((q, k), 0) + n
+    want = []
+    for q, _ in asked:
+        own = sorted(((k, n) for (x, k), n in totals.items() if x == q and n), key=lambda x: (-x[1], x[0]))
+        want += [(q, k, n, round(0.1 * n, 9), i + 1) for i, (k, n) in enumerate(own)]
+    assert sorted(map(tuple, ranked.collect())) == sorted(want)
+    # nothing is exchanged behind the ranks: a row for each pair goes straight to who asked
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+    # ranges of keys follow one another
+    ends = found.groupBy("part").agg({"key": "max"}).join(found.groupBy("part").agg({"key": "min"}), "part").orderBy("part").collect()
+    assert all(a["max(key)"] < b["min(key)"] for a, b in zip(ends, ends[1:]))
