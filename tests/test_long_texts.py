@@ -3,7 +3,9 @@
 import random
 import re
 import time
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,3 +68,17 @@ def test_fast_rules_match_the_plain_ones(spark):
         assert plain in {p for _, _, p in text.SCRUB}
         assert df.where(F.regexp_replace("t", plain, "<>") != F.regexp_replace("t", fast, "<>")).count() == 0
         assert df.where(F.col("t").rlike(plain)).count() > 50
+
+
+def test_differences_of_a_batch_are_not_held_as_python_objects():
+    texts = [" ".join(f"w{k * j % 97}" for j in range(40)) for k in range(4000)]
+    a, b = pa.array([*texts, None, "x", ""]), pa.array([*texts[1:], "a b", "b", None, ""])
+    tracemalloc.start()
+    found, alike = text.word_difference.func(a, b), text.similarity.func(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == len(alike) == len(a)
+    assert peak < 8_000_000
+    assert found.slice(4000).to_pylist() == [{"only_a": [], "only_b": ["b"]}, {"only_a": ["x"], "only_b": []}, {"only_a": [], "only_b": []}]
+    assert alike.slice(4000).to_pylist() == [None, None, 1.0]
+    assert len(text.word_difference.func(a[:0], b[:0])) == 0 == len(text.similarity.func(a[:0], b[:0]))
