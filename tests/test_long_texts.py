@@ -82,3 +82,40 @@ def test_differences_of_a_batch_are_not_held_as_python_objects():
     assert found.slice(4000).to_pylist() == [{"only_a": [], "only_b": ["b"]}, {"only_a": ["x"], "only_b": []}, {"only_a": [], "only_b": []}]
     assert alike.slice(4000).to_pylist() == [None, None, 1.0]
     assert len(text.word_difference.func(a[:0], b[:0])) == 0 == len(text.similarity.func(a[:0], b[:0]))
+
+
+def plain_cuts(tokens, above, low, high):
+    """The cost of each cut as (above the limit, below, pieces, squares); of equal costs the last way counts."""
+    n, middle = len(tokens), (low + high) // 2
+    best = [((0, 0, 0, 0), 0)] + [None] * n
+    for i in range(n):
+        size = above
+        for j in range(i + 1, n + 1):
+            size += tokens[j - 1]
+            if j > i + 1 and size > high:
+                break
+            new = tuple(map(sum, zip(best[i][0], (size > high, size < low and not (i == 0 and j == n), 1, (size - middle) ** 2))))
+            if best[j] is None or new <= best[j][0]:
+                best[j] = new, i
+    out, at = [], n
+    while at:
+        out.append(at)
+        at = best[at][1]
+    return out[::-1]
+
+
+def test_cuts_are_the_plain_ones_at_a_few_operations_each():
+    r = random.Random(4)
+    for _ in range(500):
+        low = r.choice([0, 1, 5, 40])
+        high = low + r.choice([0, 1, 7, 60])
+        tokens, above = [r.randrange(r.choice([2, 9, 70])) for _ in range(r.randrange(40))], r.choice([0, 0, 3, high, high + 2])
+        assert text.best_cuts(tokens, above, low, high) == plain_cuts(tokens, above, low, high)
+    tokens = [r.randrange(1, 6) for _ in range(4000)]
+    took = []
+    for run in (text.best_cuts, plain_cuts):
+        began = time.process_time()
+        found = run(tokens, 0, 250, 400)
+        took.append((time.process_time() - began, found))
+    assert took[0][1] == took[1][1]
+    assert took[0][0] < took[1][0] / 4
