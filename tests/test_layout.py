@@ -29,6 +29,24 @@ def test_grids(spark):
     assert grids.grid(df.limit(0), "tab", ("l", "t", "r", "b"), "text")[0].count() == 0
 
 
+def test_small_tables_are_looked_up_and_large_ones_swept(spark, tmp_path, monkeypatch):
+    r = random.Random(2)
+    edge = lambda: r.choice([0, 1, 2, 5, 9, 30])
+    rows = [(t, edge(), edge(), edge(), edge(), f"x{k}", k) for t, n in (("a", 1), ("b", 12), ("c", 40), (None, 9)) for k in range(n)]
+    cells = spark.createDataFrame(rows, "table string, l long, t long, r long, b long, text string, __id long").withColumn("__id", F.xxhash64("table", "__id")).repartition(3)
+    cells.write.parquet(f"{tmp_path}/cells")
+    cells = spark.read.parquet(f"{tmp_path}/cells")
+    found = []
+    for few in (0, 10, 1000):
+        monkeypatch.setattr(grids, "FEW", few)
+        got = grids._spread(cells).select("table", "__id", "c_first", "c_end", "r_first", "r_end")
+        found.append(sorted(map(tuple, got.collect()), key=str))
+    assert len(found[0]) == len(rows) and found[0] == found[1] == found[2]
+    # few cells a table: one shuffle and no join
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
 @pytest.mark.parametrize("hot_rows", [None, 20])
 def test_paths(spark, monkeypatch, hot_rows):
     if hot_rows:

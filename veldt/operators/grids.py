@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from veldt.operators import scan
 from veldt.operators.shared import written
 
+#: Cells of a table that are brought together at most.
+FEW = 512
+
 
 def _covered(cells: DataFrame, table: str, start: str, end: str, name: str) -> DataFrame:
     """``cells`` with (name)_first and (name)_end: which of the table's distinct ``start`` edges lie from a cell's start up to before its end.
@@ -22,6 +25,25 @@ def _covered(cells: DataFrame, table: str, start: str, end: str, name: str) -> D
     return cells.join(both, "__id")
 
 
+def _looked_up(cells: DataFrame) -> DataFrame:
+    """``cells`` with what ``_covered`` gives of both axes, for tables of few cells: a table's cells and edges are one row for a moment."""
+    own = [c for c in cells.columns if c != "table"]
+    edges = {name: F.array_sort(F.collect_set(start)).alias(f"__{name}") for start, name in (("l", "c"), ("t", "r"))}
+    each = cells.groupBy("table").agg(F.collect_list(F.struct(*own)).alias("__cells"), *edges.values()).select("table", "__c", "__r", F.explode("__cells").alias("x")).select("table", "__c", "__r", "x.*")
+    before = lambda name, at: F.size(F.filter(f"__{name}", lambda e: e < at))
+    spans = {"c_first": before("c", F.col("l")), "c_end": before("c", F.greatest("r", F.col("l") + 1)), "r_first": before("r", F.col("t")), "r_end": before("r", F.greatest("b", F.col("t") + 1))}
+    return each.select(*cells.columns, *[c.cast("int").alias(name) for name, c in spans.items()])
+
+
+def _spread(cells: DataFrame) -> DataFrame:
+    """``cells`` with the columns and rows of their table that they cover: tables of up to FEW cells are looked at one by one, larger ones are swept."""
+    sweep = lambda some: _covered(_covered(some, "table", "l", "r", "c"), "table", "t", "b", "r")
+    large = written(cells.groupBy("table").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FEW).select("table"), "large")
+    if large.isEmpty():
+        return _looked_up(cells)
+    return _looked_up(scan.meet(cells, large, ["table"], "left_anti")).unionByName(sweep(scan.meet(cells, large, ["table"], "left_semi")))
+
+
 def clean(text: Column) -> Column:
     """A cell's text without soft hyphens, with single blanks, trimmed. See ``functions.text.nfc`` for normal form C."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "­", ""), r"(?U)\s+", " "))
@@ -45,7 +67,7 @@ def grid(cells: DataFrame, table: str, box: tuple[str, str, str, str], text: str
     nowhere = named.where(~fine).select("table", F.lit("a cell without a place").alias("problem"), F.lit(None).cast("int").alias("row"), F.lit(None).cast("int").alias("column")).distinct()
     # numbered in files, so that every later step sees the same numbers
     placed = written(named.where(fine).distinct().withColumn("__id", F.monotonically_increasing_id()), "cells")
-    spread = written(_covered(_covered(placed, "table", "l", "r", "c"), "table", "t", "b", "r"), "covered")
+    spread = written(_spread(placed), "covered")
     sizes = spread.groupBy("table").agg(F.max("r_first").alias("last"), F.max("headers").alias("headers"))
     short = sizes.where((F.col("headers") < 0) | (F.col("headers") > F.col("last"))).select("table", F.lit("no body row is left").alias("problem"), F.lit(None).cast("int").alias("row"), F.lit(None).cast("int").alias("column"))
     fields = spread.withColumn("row", F.explode(F.sequence("r_first", F.col("r_end") - 1))).withColumn("column", F.explode(F.sequence("c_first", F.col("c_end") - 1)))
