@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow.parquet as pq
 import pytest
 
 from veldt.operators import lexical
@@ -49,3 +50,31 @@ def test_empty_sides(spark):
     for left, right in ((docs, none), (none, docs), (none, none)):
         search = lexical.LexicalSearch(left, right.withColumnRenamed("k", "q"), "k", "q", "t", "t")
         assert search.topk(3).collect() == [] == search.ranks(docs.withColumnRenamed("t", "x").withColumn("q", docs.k).select("q", "k")).collect()
+
+
+def test_tasks_bring_packs_together_and_read_few_at_once(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "PACK_WORDS", 100_000)
+    monkeypatch.setitem(lexical.LARGE_ROWS, "parquet.block.size", str(1 << 20))
+    r = random.Random(5)
+    docs = [(k, " ".join(f"w{r.randrange(60_000)}" for _ in range(500))) for k in range(3000)]
+    queries = [(k, " ".join(f"w{r.randrange(60_000)}" for _ in range(40))) for k in range(40)]
+    search = lexical.LexicalSearch(spark.createDataFrame(docs, "k long, t string").coalesce(1), spark.createDataFrame(queries, "q long, t string").repartition(8), "k", "q", "t", "t")
+    packs, files = search.docs.count(), search.docs.inputFiles()
+    assert packs > 10 and len(files) == 1
+    # a reader decodes a row group at once
+    groups = pq.ParquetFile(files[0].removeprefix("file:")).metadata
+    assert groups.num_row_groups > 3
+    # a query's best rows leave a task once, not once a pack, and small query files don't make packs of their own
+    out = search._met(lambda block, _: lexical._best(block, 4), "hits", fewer=lambda found: lexical._first(found, 4))
+    assert out.count() <= 4 * len(queries) * min(search.docs.rdd.getNumPartitions(), lexical.TASKS) < 4 * len(queries) * packs
+    want = plain(docs, queries)
+    top = sorted((q, k, n, i + 1) for q, found in want.items() for i, (k, n) in enumerate(found[:4]))
+    assert sorted(map(tuple, search.topk(4).collect())) == top
+    picked = [(q, k) for q in (3, 5) for k in range(0, 3000, 7)]
+    ranks = {(q, k): (n, i + 1) for q, pairs in want.items() for i, (k, n) in enumerate(pairs)}
+    asked = spark.createDataFrame(picked, "q long, k long")
+    assert {(x["q"], x["k"]): (x["hits"], x["rank"]) for x in search.ranks(asked).collect()} == {p: ranks[p] for p in picked if p in ranks}
+    # more than a task may hold goes out early
+    monkeypatch.setattr(lexical, "HELD_ROWS", 50)
+    assert sorted(map(tuple, search.topk(4).collect())) == top
+    assert {(x["q"], x["k"]): (x["hits"], x["rank"]) for x in search.ranks(asked).collect()} == {p: ranks[p] for p in picked if p in ranks}

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veldt.operators.retrieval import terms
-from veldt.operators.shared import written
+from veldt.operators.shared import LARGE_ROWS, written
 
 #: A pack has so many rows or different words of them, whichever comes first; packs of queries are larger, as each meets all packs of documents.
 PACK_ROWS, PACK_WORDS, QUERY_WORDS = 16_384, 2_000_000, 4_000_000
@@ -19,6 +19,8 @@ PACK_ROWS, PACK_WORDS, QUERY_WORDS = 16_384, 2_000_000, 4_000_000
 DENSE_SHARE, DENSE_WORDS = 300, 2048
 #: Queries of one dense product.
 AT_ONCE = 256
+#: Documents are dealt to so many tasks at most, and a task brings together what its pairs of packs found, up to so many rows: what it lets out doesn't grow with the documents.
+TASKS, HELD_ROWS, OUT_ROWS = 32, 6_000_000, 65_536
 
 
 def _packs(rows: DataFrame, name: str, most_rows: int, most_words: int) -> DataFrame:
@@ -180,6 +182,21 @@ def _before(block: _Block, picked: pa.ListArray, scores: pa.ListArray) -> pa.Tab
     return _rows(block, [query], keys, {"n": [n]})
 
 
+def _first(found: pa.Table, k: int) -> pa.Table:
+    """Of each query the ``k`` best rows (q, c, hits)."""
+    code = pc.fill_null(found["q"].combine_chunks().dictionary_encode().indices, -1)
+    order = pc.sort_indices(pa.table({"q": code, "hits": found["hits"], "c": found["c"]}), [("q", "ascending"), ("hits", "descending"), ("c", "ascending")], null_placement="at_start")
+    code = code.to_numpy(zero_copy_only=False)[order.to_numpy()]
+    starts = np.flatnonzero(np.diff(code, prepend=-2))
+    place = np.arange(len(code)) - np.repeat(starts, np.diff(np.append(starts, len(code))))
+    return found.take(order.filter(pa.array(place < k)))
+
+
+def _sums(found: pa.Table) -> pa.Table:
+    """Rows (q, c, n), added up for each pair."""
+    return found.group_by(["q", "c"], use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select(["q", "c", "n"])
+
+
 class LexicalSearch:
     """A search of ``corpus`` with ``queries`` by hits, the positions of a document that match any word of the query; ties by key.
 
@@ -196,35 +213,50 @@ class LexicalSearch:
         if not again.isEmpty():
             same = F.col("c").eqNullSafe(F.col("__c"))
             rows = rows.join(again, same, "left_anti").unionByName(rows.join(again, same, "left_semi").groupBy("c").agg(F.flatten(F.collect_list("words")).alias("words")))
-        self.docs = written(_packs(rows, "c", PACK_ROWS, PACK_WORDS), "packs")
+        self.docs = written(_packs(rows, "c", PACK_ROWS, PACK_WORDS), "packs", LARGE_ROWS)
         words = queries.select(F.col(query).alias("q"), F.array_distinct(analyse(F.col(query_text))).alias("words")).where(F.size("words") > 0)
         self.asked = written(words.groupBy("q").agg(F.array_distinct(F.flatten(F.collect_list("words"))).alias("words")), "asked")
 
-    def _met(self, run: Callable[[_Block, dict], pa.Table], result: str, picked: DataFrame | None = None) -> DataFrame:
-        """``run`` of each pair of packs; rows (q, c, result). Lists of ``picked``, rows (q, lists), stand beside their queries."""
-        packed = written(_packs(self.asked, "q", PACK_ROWS, QUERY_WORDS), "packs")
-        names = [*packed.columns[1:]]
+    def _met(self, run: Callable[[_Block, dict], pa.Table], result: str, picked: DataFrame | None = None, fewer: Callable[[pa.Table], pa.Table] | None = None) -> DataFrame:
+        """``run`` of each pair of packs; rows (q, c, result). Lists of ``picked``, rows (q, lists), stand beside their queries. ``fewer`` brings together what a task found."""
+        # full packs: each query pack beyond need sends the documents to Python once more
+        n = self.asked.agg(F.greatest(F.count(F.lit(1)) / PACK_ROWS, F.sum(F.size("words")) / QUERY_WORDS)).first()[0]
+        packed = written(_packs(self.asked.coalesce(int(n or 0) + 1), "q", PACK_ROWS, QUERY_WORDS), "packs", LARGE_ROWS)
+        names = ["words", "df", "row"]
         beside = packed.select("q", *[F.col(x).alias(f"q_{x}") for x in names])
         kinds = self.docs.schema["c"].dataType.elementType.simpleString(), packed.schema["q"].dataType.elementType.simpleString()
         if picked is not None:
             # a list of each query of a pack in their order, empty without picks
             at = beside.withColumn("__pack", F.monotonically_increasing_id())
-            at = written(at, "packs")
+            at = written(at, "packs", LARGE_ROWS)
             each = at.select("__pack", F.posexplode("q").alias("__at", "__q")).join(picked, F.col("__q").eqNullSafe(F.col("q")), "left")
             lists = each.groupBy("__pack").agg(F.array_sort(F.collect_list(F.struct("__at", *[F.coalesce(x, F.array().cast(picked.schema[x].dataType)).alias(x) for x in picked.columns[1:]]))).alias("w"))
-            beside = written(at.join(lists, "__pack").select("q", *[f"q_{x}" for x in names], *[F.col(f"w.{x}").alias(x) for x in picked.columns[1:]]), "packs")
+            beside = written(at.join(lists, "__pack").select("q", *[f"q_{x}" for x in names], *[F.col(f"w.{x}").alias(x) for x in picked.columns[1:]]), "packs", LARGE_ROWS)
 
         def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, rows = [], 0
             for batch in batches:
                 for i in range(batch.num_rows):
                     pair = {name: batch.column(k)[i].values for k, name in enumerate(batch.schema.names)}
-                    yield from run(_Block(pair), pair).to_batches()
-
-        return self.docs.crossJoin(beside).mapInArrow(met, f"q {kinds[1]}, c {kinds[0]}, {result} long")
+                    found = run(_Block(pair), pair)
+                    if fewer is None:
+                        yield from found.to_batches()
+                        continue
+                    held, rows = [*held, found], rows + len(found)
+                    if rows > HELD_ROWS:
+                        held = [fewer(pa.concat_tables(held))]
+                        rows = len(held[0])
+                        if rows > HELD_ROWS * 3 // 4:
+                            yield from held[0].to_batches(OUT_ROWS)
+                            held, rows = [], 0
+            if held:
+                yield from fewer(pa.concat_tables(held)).to_batches(OUT_ROWS)
+
+        return self.docs.coalesce(TASKS).crossJoin(beside).mapInArrow(met, f"q {kinds[1]}, c {kinds[0]}, {result} long")
 
     def topk(self, k: int) -> DataFrame:
         """Rows (query, key, hits, rank): the ``k`` documents with most hits of each query, ties by key."""
-        best = self._met(lambda block, _: _best(block, k), "hits")
+        best = self._met(lambda block, _: _best(block, k), "hits", fewer=lambda found: _first(found, k))
         ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.col("hits").desc(), "c"))).where(F.col("rank") <= k)
         return ranked.select(F.col("q").alias(self.query), F.col("c").alias(self.key), "hits", "rank")
 
@@ -233,7 +265,7 @@ class LexicalSearch:
         pairs = picked.select(F.col(self.query).alias("q"), F.col(self.key).alias("c")).where("q IS NOT NULL AND c IS NOT NULL").distinct()
         lists = lambda df, *names: df.groupBy("q").agg(F.collect_list(F.struct(*names)).alias("w")).select("q", *[F.col(f"w.{x}").alias(f"w_{x}") for x in names])
         scored = written(self._met(lambda block, pair: _own(block, pair["w_c"]), "hits", lists(pairs, "c")), "scored")
-        counted = self._met(lambda block, pair: _before(block, pair["w_c"], pair["w_hits"]), "n", lists(scored, "c", "hits"))
+        counted = self._met(lambda block, pair: _before(block, pair["w_c"], pair["w_hits"]), "n", lists(scored, "c", "hits"), _sums)
         ranked = counted.groupBy("q", "c").agg((F.sum("n") + 1).alias("rank")).join(scored, ["q", "c"])
         return ranked.select(F.col("q").alias(self.query), F.col("c").alias(self.key), "hits", "rank")
 
