@@ -148,18 +148,18 @@ def _own(block: _Block, picked: pa.ListArray) -> pa.Table:
     here = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
     query, doc = query[here], at.take(pa.array(here)).to_numpy()
     order = np.argsort(block.doc, kind="stable")
-    word = np.repeat(np.arange(block.words), block.df)
+    word, n = np.repeat(np.arange(block.words), block.df)[order], block.n[order]
     starts = np.searchsorted(block.doc[order], np.arange(block.docs + 1))
-    asked = np.unique(block.query * block.words + block.query_word)
-    hits = np.zeros(len(doc), np.int64)
-    for first in range(0, len(doc), 1024):
-        d = doc[first : first + 1024]
-        sizes = starts[d + 1] - starts[d]
-        entries = order[np.repeat(starts[d] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
-        pair = np.repeat(np.arange(len(d)), sizes)
-        code = query[first : first + 1024][pair] * block.words + word[entries]
-        met = np.isin(code, asked)
-        hits[first : first + len(d)] = np.bincount(pair[met], block.n[entries][met], len(d))
+    hits, wanted = np.zeros(len(doc), np.int64), np.zeros(block.words, bool)
+    firsts = np.searchsorted(query, np.arange(block.queries + 1))
+    for i in np.unique(query):
+        words = block.query_word[block.ends[i] : block.ends[i + 1]]
+        wanted[words] = True
+        own = slice(firsts[i], firsts[i + 1])
+        sizes = starts[doc[own] + 1] - starts[doc[own]]
+        entries = np.repeat(starts[doc[own]] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        hits[own] = np.bincount(np.repeat(np.arange(len(sizes)), sizes), n[entries] * wanted[word[entries]], len(sizes))
+        wanted[words] = False
     some = np.flatnonzero(hits)
     return _rows(block, [query[some]], block.keys.take(pa.array(doc[some])), {"hits": [hits[some]]})
 
