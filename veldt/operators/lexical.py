@@ -252,7 +252,8 @@ class LexicalSearch:
             if held:
                 yield from fewer(pa.concat_tables(held)).to_batches(OUT_ROWS)
 
-        return self.docs.coalesce(TASKS).crossJoin(beside).mapInArrow(met, f"q {kinds[1]}, c {kinds[0]}, {result} long")
+        # packs of queries are read where documents are: a broadcast would grow with their lists up to many times what their files take
+        return self.docs.coalesce(TASKS).crossJoin(beside.hint("shuffle_replicate_nl")).mapInArrow(met, f"q {kinds[1]}, c {kinds[0]}, {result} long")
 
     def topk(self, k: int) -> DataFrame:
         """Rows (query, key, hits, rank): the ``k`` documents with most hits of each query, ties by key."""
@@ -266,7 +267,7 @@ class LexicalSearch:
         lists = lambda df, *names: df.groupBy("q").agg(F.collect_list(F.struct(*names)).alias("w")).select("q", *[F.col(f"w.{x}").alias(f"w_{x}") for x in names])
         scored = written(self._met(lambda block, pair: _own(block, pair["w_c"]), "hits", lists(pairs, "c")), "scored")
         counted = self._met(lambda block, pair: _before(block, pair["w_c"], pair["w_hits"]), "n", lists(scored, "c", "hits"), _sums)
-        ranked = counted.groupBy("q", "c").agg((F.sum("n") + 1).alias("rank")).join(scored, ["q", "c"])
+        ranked = counted.groupBy("q", "c").agg((F.sum("n") + 1).alias("rank")).join(scored.hint("merge"), ["q", "c"])
         return ranked.select(F.col("q").alias(self.query), F.col("c").alias(self.key), "hits", "rank")
 
 

@@ -9,10 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veldt.operators.shared import written
+from veldt.operators.shared import LARGE_ROWS, written
 
 RRF = 60
 BLOCK = 4096
+#: Pairs whose counts a task holds before it lets them out.
+HELD_ROWS = 4_000_000
 
 
 def _blocks(df: DataFrame, key: str, vector: str, name: str, rows: int, more: tuple[str, ...] = ()) -> DataFrame:
@@ -25,9 +27,11 @@ def _blocks(df: DataFrame, key: str, vector: str, name: str, rows: int, more: tu
 
 
 def _block_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Each query block beside each corpus block of its length; a block of the corpus is a key of its own, so no task gets them all."""
-    ids = F.sequence(F.lit(0).cast("long"), F.lit(right.agg(F.max("c")).first()[0] or 0).cast("long"))
-    return left.withColumn("c", F.explode(ids)).join(right, ["dim", "c"])
+    """Each query block beside each corpus block, both written tables; their vectors may differ in length.
+
+    Blocks meet where they are read. Neither side is broadcast or repeated for the other, which would grow with the product of both.
+    """
+    return right.drop("c", "dim").crossJoin(left.drop("q", "dim").hint("shuffle_replicate_nl"))
 
 
 def dense_topk(corpus: DataFrame, queries: DataFrame, key: str, query: str, vector: str, k: int, exclude_self: bool = False) -> DataFrame:
@@ -36,8 +40,8 @@ def dense_topk(corpus: DataFrame, queries: DataFrame, key: str, query: str, vect
     Vectors are packed into blocks; each pair of a query block and a corpus block is one matrix product, of which the best
     ``k`` a query leave the task. Zero vectors are skipped. Keys are longs.
     """
-    left = _blocks(queries, query, vector, "q", 512)
-    right = _blocks(corpus, key, vector, "c", BLOCK)
+    left = written(_blocks(queries, query, vector, "q", 512), "blocks", LARGE_ROWS)
+    right = written(_blocks(corpus, key, vector, "c", BLOCK), "blocks", LARGE_ROWS)
     pairs = _block_pairs(left, right)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -47,7 +51,7 @@ def dense_topk(corpus: DataFrame, queries: DataFrame, key: str, query: str, vect
                 qi, ci = np.asarray(row.q_ids, np.int64), np.asarray(row.c_ids, np.int64)
                 qn, cn = np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1)
                 q, qi, c, ci = q[qn > 0] / qn[qn > 0, None], qi[qn > 0], c[cn > 0] / cn[cn > 0, None], ci[cn > 0]
-                if not len(q) or not len(c):
+                if not len(q) or not len(c) or q.shape[1] != c.shape[1]:
                     continue
                 s = np.round(q @ c.T, 9)
                 if exclude_self:
@@ -67,16 +71,17 @@ def dense_ranks(corpus: DataFrame, queries: DataFrame, picked: DataFrame, key: s
     """Rows (query, key, rank): the rank by cosine among all of ``corpus`` that each pair (query, key) of ``picked`` has.
 
     Order and rounding are those of ``dense_topk``; a pair without two vectors that compare has no row. A query has a page of
-    pairs. Their cosines are taken from the matrix products of all blocks; then each block counts how many of its rows go before each pair.
+    pairs. Their cosines are taken from the matrix products of all blocks; then each block counts how many of its rows go before each pair,
+    and a task lets out the counts of all its blocks together.
     """
-    right = _blocks(corpus, key, vector, "c", BLOCK)
+    right = written(_blocks(corpus, key, vector, "c", BLOCK), "blocks", LARGE_ROWS)
     pair = picked.select(F.col(query).alias("__q"), F.col(key).alias("c")).where("__q IS NOT NULL AND c IS NOT NULL").distinct()
 
     def products(wanted: DataFrame, columns: tuple[str, ...]) -> DataFrame:
         lists = wanted.groupBy("__q").agg(F.collect_list(F.struct(*columns)).alias("w")).select("__q", *[F.col(f"w.{x}").alias(f"w_{x}") for x in columns])
         more = tuple(f"w_{x}" for x in columns)
         left = _blocks(queries.join(lists, F.col(query) == F.col("__q")), query, vector, "q", 512, more)
-        return _block_pairs(left, right).select("q_ids", "q_data", "c_ids", "c_data", *more)
+        return _block_pairs(written(left, "blocks", LARGE_ROWS), right).select("q_ids", "q_data", "c_ids", "c_data", *more)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for pdf in batches:
@@ -84,7 +89,9 @@ def dense_ranks(corpus: DataFrame, queries: DataFrame, picked: DataFrame, key: s
                 q, c, ci = np.vstack(row.q_data), np.vstack(row.c_data), np.asarray(row.c_ids, np.int64)
                 qn, cn = np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1)
                 c, ci = c[cn > 0] / cn[cn > 0, None], ci[cn > 0]
-                ok = np.flatnonzero(qn > 0)
+                ok = np.flatnonzero(qn > 0) if q.shape[1] == c.shape[1] else ()
+                if not len(ok):
+                    continue
                 for i, s in zip(ok, np.round((q[ok] / qn[ok, None]) @ c.T, 9)):
                     yield (int(row.q_ids[i]), s, ci, *[np.asarray(w[i]) for w in row[4:]])
 
@@ -94,12 +101,27 @@ def dense_ranks(corpus: DataFrame, queries: DataFrame, picked: DataFrame, key: s
             yield pd.DataFrame({"__q": np.full(len(at), q), "c": ci[at], "cosine": s[at]})
 
     def before(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, rows = {}, 0
+
+        def out() -> Iterator[pd.DataFrame]:
+            for first in range(0, len(held), 1024):
+                some = list(held.items())[first : first + 1024]
+                sizes = [len(c) for _, (c, _) in some]
+                yield pd.DataFrame({"q": np.repeat([q for q, _ in some], sizes), "c": np.concatenate([c for _, (c, _) in some]), "n": np.concatenate([n for _, (_, n) in some])})
+
         for q, s, ci, c, cosine in each(batches):
-            order = np.lexsort((ci, -s))
-            low, ids = -s[order], ci[order]
-            a, b = np.searchsorted(low, -cosine, "left"), np.searchsorted(low, -cosine, "right")
-            n = [i + int(np.searchsorted(ids[i:j], k)) for i, j, k in zip(a, b, c)]
-            yield pd.DataFrame({"q": np.full(len(c), q), "c": c, "n": np.array(n, np.int64)})
+            low = np.sort(-s)
+            n, upto = np.searchsorted(low, -cosine, "left"), np.searchsorted(low, -cosine, "right")
+            for i in np.flatnonzero(upto > n):  # of equal cosines the smaller keys
+                n[i] += np.count_nonzero(ci[s == cosine[i]] < c[i])
+            if q in held:
+                held[q][1][:] += n
+                continue
+            held[q], rows = (c, n.astype(np.int64)), rows + len(c)
+            if rows > HELD_ROWS:
+                yield from out()
+                held, rows = {}, 0
+        yield from out()
 
     # counted against cosines of one computation, so that the written table decides and not a second run
     scored = written(products(pair, ("c",)).mapInPandas(own, "__q long, c long, cosine double"), "scored")
