@@ -49,3 +49,13 @@ def test_ranks_of_small_blocks_without_broadcast(spark, monkeypatch):
     assert len(made) == 2
     for x in made:
         assert "Broadcast" not in plans(x) and "explode" not in plans(x).lower()
+
+
+def test_no_rows_and_vectors_without_components(spark):
+    corpus = spark.createDataFrame([(1, [0.6, 0.8]), (2, []), (3, []), (4, [float("nan"), 1.0])], VECTORS)
+    queries = corpus.selectExpr("id AS q", "v")
+    assert [tuple(x) for x in retrieval.dense_topk(corpus, queries, "id", "q", "v", 3).collect()] == [(1, 1, 1.0, 1)]
+    picked = spark.createDataFrame([(q, c) for q in range(5) for c in range(5)], "q long, id long")
+    assert [tuple(x) for x in retrieval.dense_ranks(corpus, queries, picked, "id", "q", "v").collect()] == [(1, 1, 1)]
+    assert retrieval.dense_ranks(corpus.limit(0), queries, picked, "id", "q", "v").count() == 0
+    assert retrieval.dense_topk(corpus, queries.limit(0), "id", "q", "v", 3).count() == 0

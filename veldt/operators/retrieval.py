@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +34,23 @@ def _block_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     return right.drop("c", "dim").crossJoin(left.drop("q", "dim").hint("shuffle_replicate_nl"))
 
 
+def _each_pair(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Array]]:
+    """The lists of each row by name."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {name: batch.column(k)[i].values for k, name in enumerate(batch.schema.names)}
+
+
+def _units(pair: dict[str, pa.Array], side: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which vectors of a block have a direction, their ids, their unit vectors)."""
+    ids, data = pair[f"{side}_ids"], pair[f"{side}_data"]
+    v = data.flatten().to_numpy(zero_copy_only=False)
+    v = v.reshape(len(data), len(v) // max(len(data), 1))
+    norms = np.linalg.norm(v, axis=1)
+    ok = norms > 0
+    return ok, ids.to_numpy(zero_copy_only=False).astype(np.int64)[ok], v[ok] / norms[ok, None]
+
+
 def dense_topk(corpus: DataFrame, queries: DataFrame, key: str, query: str, vector: str, k: int, exclude_self: bool = False) -> DataFrame:
     """Rows (query, key, cosine, rank): exactly the ``k`` rows nearest to each query by cosine, ties by key.
 
@@ -44,24 +61,20 @@ def dense_topk(corpus: DataFrame, queries: DataFrame, key: str, query: str, vect
     right = written(_blocks(corpus, key, vector, "c", BLOCK), "blocks", LARGE_ROWS)
     pairs = _block_pairs(left, right)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                q, c = np.vstack(row.q_data), np.vstack(row.c_data)
-                qi, ci = np.asarray(row.q_ids, np.int64), np.asarray(row.c_ids, np.int64)
-                qn, cn = np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1)
-                q, qi, c, ci = q[qn > 0] / qn[qn > 0, None], qi[qn > 0], c[cn > 0] / cn[cn > 0, None], ci[cn > 0]
-                if not len(q) or not len(c) or q.shape[1] != c.shape[1]:
-                    continue
-                s = np.round(q @ c.T, 9)
-                if exclude_self:
-                    s[qi[:, None] == ci[None, :]] = -2
-                # all that tie with the k-th are kept here; the rank decides
-                kth = np.partition(s, -min(k, s.shape[1]), axis=1)[:, -min(k, s.shape[1])]
-                i, j = np.nonzero((s >= kth[:, None]) & (s > -2))
-                yield pd.DataFrame({"q": qi[i], "c": ci[j], "cosine": s[i, j]})
-
-    best = pairs.select("q_ids", "q_data", "c_ids", "c_data").mapInPandas(run, "q long, c long, cosine double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pair in _each_pair(batches):
+            (_, qi, q), (_, ci, c) = _units(pair, "q"), _units(pair, "c")
+            if not len(q) or not len(c) or q.shape[1] != c.shape[1]:
+                continue
+            s = np.round(q @ c.T, 9)
+            if exclude_self:
+                s[qi[:, None] == ci[None, :]] = -2
+            # all that tie with the k-th are kept here; the rank decides
+            kth = np.partition(s, -min(k, s.shape[1]), axis=1)[:, -min(k, s.shape[1])]
+            i, j = np.nonzero((s >= kth[:, None]) & (s > -2))
+            yield pa.RecordBatch.from_arrays([pa.array(qi[i]), pa.array(ci[j]), pa.array(s[i, j])], ["q", "c", "cosine"])
+
+    best = pairs.select("q_ids", "q_data", "c_ids", "c_data").mapInArrow(run, "q long, c long, cosine double")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.col("cosine").desc(), F.col("c")))
     out = best.withColumn("rank", rank).where(F.col("rank") <= k)
     return out.select(F.col("q").alias(query), F.col("c").alias(key), "cosine", "rank")
@@ -83,49 +96,52 @@ def dense_ranks(corpus: DataFrame, queries: DataFrame, picked: DataFrame, key: s
         left = _blocks(queries.join(lists, F.col(query) == F.col("__q")), query, vector, "q", 512, more)
         return _block_pairs(written(left, "blocks", LARGE_ROWS), right).select("q_ids", "q_data", "c_ids", "c_data", *more)
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                q, c, ci = np.vstack(row.q_data), np.vstack(row.c_data), np.asarray(row.c_ids, np.int64)
-                qn, cn = np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1)
-                c, ci = c[cn > 0] / cn[cn > 0, None], ci[cn > 0]
-                ok = np.flatnonzero(qn > 0) if q.shape[1] == c.shape[1] else ()
-                if not len(ok):
-                    continue
-                for i, s in zip(ok, np.round((q[ok] / qn[ok, None]) @ c.T, 9)):
-                    yield (int(row.q_ids[i]), s, ci, *[np.asarray(w[i]) for w in row[4:]])
-
-    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for q, s, ci, c in each(batches):
-            at = np.flatnonzero(np.isin(ci, c))
-            yield pd.DataFrame({"__q": np.full(len(at), q), "c": ci[at], "cosine": s[at]})
-
-    def before(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for pair in _each_pair(batches):
+            (ok, qi, q), (_, ci, c) = _units(pair, "q"), _units(pair, "c")
+            if not len(q) or not len(c) or q.shape[1] != c.shape[1]:
+                continue
+            lists = [pair[x].take(pa.array(np.flatnonzero(ok))) for x in pair if x.startswith("w_")]
+            ends = np.append(0, np.cumsum(lists[0].value_lengths().to_numpy(zero_copy_only=False)))
+            yield qi, ci, np.round(q @ c.T, 9), ends, *[x.flatten().to_numpy(zero_copy_only=False) for x in lists]
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for qi, ci, s, ends, keys in each(batches):
+            order = np.argsort(ci, kind="stable")
+            first, last = (np.searchsorted(ci[order], keys, side) for side in ("left", "right"))
+            some, n = np.flatnonzero(last > first), (last - first)[last > first]
+            at = order[np.repeat(first[some] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            row = np.repeat(np.repeat(np.arange(len(qi)), np.diff(ends))[some], n)
+            yield pa.RecordBatch.from_arrays([pa.array(qi[row]), pa.array(ci[at]), pa.array(s[row, at])], ["__q", "c", "cosine"])
+
+    def before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = {}, 0
 
-        def out() -> Iterator[pd.DataFrame]:
+        def out() -> Iterator[pa.RecordBatch]:
             for first in range(0, len(held), 1024):
                 some = list(held.items())[first : first + 1024]
-                sizes = [len(c) for _, (c, _) in some]
-                yield pd.DataFrame({"q": np.repeat([q for q, _ in some], sizes), "c": np.concatenate([c for _, (c, _) in some]), "n": np.concatenate([n for _, (_, n) in some])})
-
-        for q, s, ci, c, cosine in each(batches):
-            low = np.sort(-s)
-            n, upto = np.searchsorted(low, -cosine, "left"), np.searchsorted(low, -cosine, "right")
-            for i in np.flatnonzero(upto > n):  # of equal cosines the smaller keys
-                n[i] += np.count_nonzero(ci[s == cosine[i]] < c[i])
-            if q in held:
-                held[q][1][:] += n
-                continue
-            held[q], rows = (c, n.astype(np.int64)), rows + len(c)
-            if rows > HELD_ROWS:
-                yield from out()
-                held, rows = {}, 0
+                q = np.repeat([q for q, _ in some], [len(c) for _, (c, _) in some])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (q, *[np.concatenate([pair[i] for _, pair in some]) for i in (0, 1)])], ["q", "c", "n"])
+
+        for qi, ci, s, ends, keys, cosines in each(batches):
+            for q, row, a, b in zip(qi.tolist(), s, ends, ends[1:]):
+                key, cosine = keys[a:b], cosines[a:b]
+                low = np.sort(-row)
+                n, upto = (np.searchsorted(low, -cosine, side).astype(np.int64) for side in ("left", "right"))
+                for i in np.flatnonzero(upto > n):  # of equal cosines the smaller keys
+                    n[i] += np.count_nonzero(ci[row == cosine[i]] < key[i])
+                if q in held:
+                    held[q][1][:] += n
+                    continue
+                held[q], rows = (key.copy(), n), rows + len(key)
+                if rows > HELD_ROWS:
+                    yield from out()
+                    held, rows = {}, 0
         yield from out()
 
     # counted against cosines of one computation, so that the written table decides and not a second run
-    scored = written(products(pair, ("c",)).mapInPandas(own, "__q long, c long, cosine double"), "scored")
-    counted = products(scored, ("c", "cosine")).mapInPandas(before, "q long, c long, n long").groupBy("q", "c").agg((F.sum("n") + 1).alias("rank"))
+    scored = written(products(pair, ("c",)).mapInArrow(own, "__q long, c long, cosine double"), "scored")
+    counted = products(scored, ("c", "cosine")).mapInArrow(before, "q long, c long, n long").groupBy("q", "c").agg((F.sum("n") + 1).alias("rank"))
     return counted.select(F.col("q").alias(query), F.col("c").alias(key), "rank")
 
 
@@ -190,9 +206,9 @@ def next_best(refused: DataFrame) -> DataFrame:
 def rerank(ranked: DataFrame, scores: DataFrame, query: str, key: str, rank: str = "rank") -> DataFrame:
     """``ranked`` with ``score`` and ``final_rank``: by score if every row of the query has one, else as it was.
 
-    Equal scores keep their order. ``scores`` has (key, score).
+    Equal scores keep their order. ``scores`` has (key, score) and isn't broadcast, as a small file may hold very many.
     """
-    joined = ranked.join(scores.select(F.col(key).alias("__key"), F.col("score").alias("rerank_score")), F.col(key) == F.col("__key"), "left").drop("__key")
+    joined = ranked.join(scores.select(F.col(key).alias("__key"), F.col("score").alias("rerank_score")).hint("merge"), F.col(key) == F.col("__key"), "left").drop("__key")
     whole = Window.partitionBy(query)
     joined = joined.withColumn("reranked", F.count_if(F.col("rerank_score").isNull()).over(whole) == 0)
     by = F.when(F.col("reranked"), -F.col("rerank_score")).otherwise(F.lit(0.0))
