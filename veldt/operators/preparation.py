@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veldt.operators.ordering import running_totals
@@ -21,6 +21,10 @@ SLOT_ROWS = 4096
 BINS = 1 << 16
 
 
+#: A list of fewer sets is broadcast to where the sets are.
+ASKED = 1_000_000
+
+
 #: A key of so many rows is hot. Its rows are met by a broadcast list, which so has fewer keys than the rows divided by this.
 HOT_ROWS = 100_000
 
@@ -134,55 +138,75 @@ def shingles(df: DataFrame, key: str, text: str, words: int = 5) -> DataFrame:
 def near_duplicates(df: DataFrame, key: str, text: str, least: float = 0.8, words: int = 5) -> DataFrame:
     """Rows (key, cluster): texts whose word shingles have a Jaccard similarity of ``least`` or more are linked, links chain.
 
-    Exact search by prefixes: with shingles in one order for all sets, two sets this similar share one of the first few, so only those meet; sizes must
-    fit too. The order goes by how many shingles share a shingle's bin, so that frequent ones come late; shingles are shuffled only as heads of sets.
+    Exact search by prefixes: with shingles in one order for all sets, two sets this similar share some of the first few, their heads, so only those meet
+    that share enough; sizes must fit too. The order goes by how many shingles share a shingle's bin, so that frequent ones come late. Heads are
+    shuffled; whole sets stay in their file and only those of pairs that share enough heads leave it.
     Equal sets collapse to one row before. At first each set of a shingle meets the first one there; then all meet that these links leave in different
     clusters, so a family of similar sets makes no pairs of all its members.
     """
     sets = written(shingles(df, key, text, words).withColumn("shape", F.xxhash64(F.array_sort("tokens"))), "shingles")
-    distinct = written(sets.groupBy("shape").agg(F.min("key").alias("rep"), F.first("tokens").alias("tokens")), "sets")
-    heads = written(_heads(distinct, least), "heads")
+    distinct = written(_heads(sets, least).groupBy("shape").agg(F.min("key").alias("rep"), F.first("heads").alias("heads"), F.first("n").alias("n")), "heads")
+    heads = distinct.select(F.explode("heads").alias("token"), "rep", "n")
     near = F.least("na", "nb") >= F.greatest("na", "nb") * least
-    first = heads.groupBy("token").agg(F.min(F.struct("rep", "n")).alias("f"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    met = heads.join(first, "token").select(F.col("f.rep").alias("a"), F.col("f.n").alias("na"), F.col("rep").alias("b"), F.col("n").alias("nb"))
-    pairs = written(met.where(F.col("a") < F.col("b")).where(near).select("a", "b").distinct(), "pairs")
-    links = written(_similar(pairs, distinct, least), "links")
+    enough = F.col("heads") >= _shared_heads(F.col("na"), F.col("nb"), least)
+    first = heads.groupBy("token").agg(F.min(F.struct("rep", "n")).alias("f"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    shared = written(heads.join(first, "token"), "shared")
+    met = shared.select(F.col("f.rep").alias("a"), F.col("f.n").alias("na"), F.col("rep").alias("b"), F.col("n").alias("nb")).where(F.col("a") < F.col("b")).where(near)
+    # pairs that share more heads, but under other first sets, meet below
+    pairs = written(met.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("heads")).where(enough).select("a", "b").distinct(), "pairs")
+    links = written(_similar(pairs, sets, distinct, least), "links")
     found = components(links, "a", "b").withColumnRenamed("node", "rep")
-    parts = heads.join(found, "rep", "left").select("token", "rep", "n", F.coalesce("component", "rep").alias("part"))
+    parts = shared.select("token", "rep", "n").join(found, "rep", "left").select("token", "rep", "n", F.coalesce("component", "rep").alias("part"))
     open_ = parts.groupBy("token").agg((F.min("part") < F.max("part")).alias("open")).where("open").select("token")
     parts = written(parts.join(open_, "token", "left_semi"), "parts")
     side = lambda x: parts.select("token", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("part").alias(f"p{x}"))
-    across = side("a").join(side("b"), "token").where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & near).select("a", "b").distinct()
-    more = written(_similar(across.join(pairs, ["a", "b"], "left_anti"), distinct, least), "links")
+    across = side("a").join(side("b"), "token").where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & near)
+    across = across.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("heads")).where(enough).select("a", "b").distinct()
+    more = written(_similar(written(across.join(pairs, ["a", "b"], "left_anti"), "pairs"), sets, distinct, least), "links")
     if not more.isEmpty():
         found = components(links.unionByName(more), "a", "b").withColumnRenamed("node", "rep")
-    named = distinct.join(found, "rep", "left").select("shape", F.coalesce("component", "rep").alias("cluster"))
-    return sets.join(named, "shape").select(F.col("key").alias(key), "cluster")
+    named = distinct.select("shape", "rep").join(found, "rep", "left").select("shape", F.coalesce("component", "rep").alias("cluster"))
+    return sets.select("key", "shape").join(named, "shape").select(F.col("key").alias(key), "cluster")
+
 
+def _shared_heads(na: Column, nb: Column, least: float) -> Column:
+    """So many heads at least two sets of ``na`` and ``nb`` shingles share that are similar enough.
+
+    Of the set whose last head comes first, all heads that the other has are heads of the other too, and the shingles that both have and that are no heads of it
+    are at most those beyond its heads.
+    """
+    both = F.ceil((na + nb) * least / (1 + least) - 1e-6)
+    return F.greatest(F.lit(1), both + F.lit(1) - F.greatest(F.ceil(na * least), F.ceil(nb * least)))
 
-def _heads(distinct: DataFrame, least: float) -> DataFrame:
-    """Rows (token, rep, n): the first shingles of each set of n by which it meets all sets that are similar enough."""
-    bins = distinct.select(F.explode("tokens").alias("token")).groupBy(F.col("token").bitwiseAND(BINS - 1).alias("bin")).count()
+
+def _heads(sets: DataFrame, least: float) -> DataFrame:
+    """Rows (shape, key, heads, n): the first shingles of each set of n by which it meets all sets that are similar enough."""
+    bins = sets.select(F.explode("tokens").alias("token")).groupBy(F.col("token").bitwiseAND(BINS - 1).alias("bin")).count()
     counts = np.zeros(BINS, np.int64)
     for row in bins.collect():  # BINS numbers
         counts[row["bin"]] = row["count"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = batch.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            token, row = batch.column(1).flatten().to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
+            sizes = batch.column(2).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            token, row = batch.column(2).flatten().to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
             order = np.lexsort((token, counts[token & (BINS - 1)], row))
             place = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            some = place < np.repeat(sizes - np.ceil(sizes * least).astype(np.int64) + 1, sizes)
-            row = row[some]
-            yield pa.RecordBatch.from_arrays([pa.array(token[order][some]), batch.column(0).take(pa.array(row)), pa.array(sizes[row], pa.int32())], ["token", "rep", "n"])
-
-    return distinct.select("rep", "tokens").mapInArrow(run, f"token long, rep {distinct.schema['rep'].dataType.simpleString()}, n int")
-
-
-def _similar(pairs: DataFrame, distinct: DataFrame, least: float) -> DataFrame:
-    """Those pairs (a, b) of sets whose Jaccard similarity is ``least`` or more."""
-    left = distinct.select(F.col("rep").alias("a"), F.col("tokens").alias("ta"))
-    right = distinct.select(F.col("rep").alias("b"), F.col("tokens").alias("tb"))
+            most = sizes - np.ceil(sizes * least).astype(np.int64) + 1
+            some = place < np.repeat(most, sizes)
+            heads = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.minimum(most, sizes))), pa.int32()), pa.array(token[order][some]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), heads, pa.array(sizes, pa.int32())], ["shape", "key", "heads", "n"])
+
+    return sets.select("shape", "key", "tokens").mapInArrow(run, f"shape long, key {sets.schema['key'].dataType.simpleString()}, heads array<long>, n int")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, distinct: DataFrame, least: float) -> DataFrame:
+    """Those pairs (a, b), a written table, of sets whose Jaccard similarity is ``least`` or more. Only the sets of pairs are shuffled."""
+    asked = written(pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct().join(distinct.select("rep", F.col("shape").alias("__shape")), "rep"), "asked")
+    if asked.count() < ASKED:
+        asked = F.broadcast(asked)
+    needed = sets.join(asked, (F.col("key") == F.col("rep")) & (F.col("shape") == F.col("__shape"))).select("rep", "tokens")
+    left = needed.select(F.col("rep").alias("a"), F.col("tokens").alias("ta"))
+    right = needed.select(F.col("rep").alias("b"), F.col("tokens").alias("tb"))
     common = F.size(F.array_intersect("ta", "tb"))
-    return pairs.join(left, "a").join(right, "b").where(common >= (F.size("ta") + F.size("tb") - common) * least).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(common >= (F.size("ta") + F.size("tb") - common) * least).select("a", "b").distinct()
