@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,6 +20,8 @@ PACK_ROWS, PACK_WORDS, QUERY_WORDS = 16_384, 2_000_000, 4_000_000
 DENSE_SHARE, DENSE_WORDS = 300, 2048
 #: Queries of one dense product.
 AT_ONCE = 256
+#: Packs of more documents have a quarter of so many, the longest ones, looked at first; the best hits of so many queries are remembered.
+LONGEST, STATES = 2048, 65_536
 #: Documents are dealt to so many tasks at most, and a task brings together what its pairs of packs found, up to so many rows: what it lets out doesn't grow with the documents.
 TASKS, HELD_ROWS, OUT_ROWS = 32, 6_000_000, 65_536
 
@@ -79,9 +82,10 @@ def _flat(column: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
 
 
 class _Block:
-    """A pack of documents beside one of queries; documents are numbered in the order of their keys."""
+    """A pack of documents beside one of queries; documents are numbered in the order of their keys. ``state`` is what a task keeps from pair to pair."""
 
-    def __init__(self, pair: dict[str, pa.Array]):
+    def __init__(self, pair: dict[str, pa.Array], state: dict | None = None):
+        self.state = {} if state is None else state
         number = lambda name: pair[name].to_numpy(zero_copy_only=False).astype(np.int64)
         self.keys, self.q = pair["c"], pair["q"]
         self.docs, self.queries, self.words = len(self.keys), len(self.q), len(pair["words"])
@@ -93,46 +97,89 @@ class _Block:
         met = met[np.argsort(query[met], kind="stable")]
         self.query, self.query_word = query[met], word[met].astype(np.int64)
         self.ends = np.searchsorted(self.query, np.arange(self.queries + 1))
-
-    def hits(self) -> Iterator[tuple[int, np.ndarray]]:
+        self.origin, self.frequent = np.arange(self.docs), None
+
+    def part(self, some: np.ndarray) -> _Block:
+        """The block with only those documents that ``some`` is true for; ``origin`` has their numbers here."""
+        out = copy.copy(self)
+        here = some[self.doc]
+        out.doc, out.n = (np.cumsum(some) - 1)[self.doc[here]], self.n[here]
+        out.df = np.bincount(np.repeat(np.arange(self.words), self.df)[here], minlength=self.words)
+        out.starts, out.docs = np.append(0, np.cumsum(out.df)), int(some.sum())
+        out.origin, out.frequent = self.origin[some], None
+        return out
+
+    def lengths(self) -> np.ndarray:
+        """Positions of each document: it can't have more hits."""
+        return np.bincount(self.doc, self.n, minlength=self.docs)
+
+    def _frequent(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of each word in the dense product or -1, the product's right side, counts of all postings)."""
+        if self.frequent is None:
+            many = self.df * np.bincount(self.query_word, minlength=self.words)
+            frequent = np.flatnonzero(many * DENSE_SHARE > self.docs * self.queries)
+            frequent = frequent[np.argsort(-many[frequent], kind="stable")[:DENSE_WORDS]]
+            column = np.full(self.words, -1)
+            column[frequent] = np.arange(len(frequent))
+            # sums below 2 ** 24 are exact in single precision
+            right = np.zeros((len(frequent), self.docs), np.float32 if self.lengths().max(initial=0) < 1 << 24 else np.float64)
+            for i, w in enumerate(frequent.tolist()):
+                own = slice(self.starts[w], self.starts[w + 1])
+                right[i, self.doc[own]] = self.n[own]
+            self.frequent = column, right, self.n.astype(np.float64)
+        return self.frequent
+
+    def hits(self, queries: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
         """(number of a query, positions of each document that match any of its words): frequent words by a dense product, the others one by one."""
-        many = self.df * np.bincount(self.query_word, minlength=self.words)
-        frequent = np.flatnonzero(many * DENSE_SHARE > self.docs * self.queries)
-        frequent = frequent[np.argsort(-many[frequent], kind="stable")[:DENSE_WORDS]]
-        column = np.full(self.words, -1)
-        column[frequent] = np.arange(len(frequent))
-        # sums below 2 ** 24 are exact in single precision
-        exact = np.float32 if np.bincount(self.doc, self.n, minlength=1).max() < 1 << 24 else np.float64
-        right = np.zeros((len(frequent), self.docs), exact)
-        for i, w in enumerate(frequent.tolist()):
-            own = slice(self.starts[w], self.starts[w + 1])
-            right[i, self.doc[own]] = self.n[own]
-        for first in range(0, self.queries, AT_ONCE):
-            last = min(first + AT_ONCE, self.queries)
-            own = slice(self.ends[first], self.ends[last])
-            left = np.zeros((last - first, len(frequent)), exact)
-            at = column[self.query_word[own]]
-            left[self.query[own][at >= 0] - first, at[at >= 0]] = 1
+        queries = np.arange(self.queries) if queries is None else queries
+        column, right, n = self._frequent()
+        for first in range(0, len(queries), AT_ONCE):
+            some = queries[first : first + AT_ONCE]
+            words = [self.query_word[self.ends[i] : self.ends[i + 1]] for i in some]
+            left = np.zeros((len(some), len(right)), right.dtype)
+            for i, own in enumerate(words):
+                at = column[own]
+                left[i, at[at >= 0]] = 1
             product = left @ right
-            for i in range(first, last):
-                words = self.query_word[self.ends[i] : self.ends[i + 1]]
-                words = words[column[words] < 0]
-                sizes = self.df[words]
-                entries = np.repeat(self.starts[words] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-                yield i, product[i - first] + np.bincount(self.doc[entries], self.n[entries], self.docs)
+            for k, i in enumerate(some.tolist()):
+                own = words[k][column[words[k]] < 0]
+                sizes = self.df[own]
+                entries = np.repeat(self.starts[own] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+                yield i, product[k] + np.bincount(self.doc[entries], n[entries], self.docs)
+
+
+def _kth(row: np.ndarray, k: int) -> float:
+    return np.partition(row, -k)[-k] if k <= len(row) else 0
 
 
 def _best(block: _Block, k: int) -> pa.Table:
+    """The rows of a pack that may be among the ``k`` best of a query. The state has the most hits that the task has met: a document with fewer positions than the k-th of them can't be."""
+    names, lengths, state = block.q.to_pylist(), block.lengths(), block.state
+    least = np.array([state[q].min() if q in state and len(state[q]) >= k else 0 for q in names], np.float64)
+    if not least.any() and block.docs > max(4 * k, LONGEST):  # the longest documents tell how many hits are needed
+        for i, row in block.part(lengths >= _kth(lengths, max(2 * k, LONGEST // 4))).hits():
+            least[i] = _kth(row, k)
     which, docs, hits = [], [], []
-    for i, row in block.hits():
-        kth = max(np.partition(row, -k)[-k] if k < len(row) else 0, 1)
-        found = np.flatnonzero(row >= kth)
-        if len(found) > k:  # of those that tie with the k-th the first keys
-            above = row[found] > kth
-            found = np.sort(np.append(found[above], found[~above][: k - above.sum()]))
-        which.append(np.full(len(found), i))
-        docs.append(found)
-        hits.append(row[found])
+    order, now = np.argsort(least, kind="stable"), block
+    for first in range(0, block.queries, AT_ONCE):
+        some = order[first : first + AT_ONCE]
+        long = lengths[now.origin] >= least[some[0]]
+        if long.sum() < 0.6 * now.docs:
+            now = now.part(long)
+        for i, row in now.hits(some):
+            kth = max(_kth(row, k), least[i], 1)
+            found = np.flatnonzero(row >= kth)
+            if len(found) > k:  # of those that tie with the k-th the first keys
+                above = row[found] > kth
+                found = np.sort(np.append(found[above], found[~above][: k - above.sum()]))
+            which.append(np.full(len(found), i))
+            docs.append(now.origin[found])
+            hits.append(row[found])
+    if len(state) > STATES:
+        state.clear()
+    for i, row in zip(np.concatenate([x[:1] for x in which]).tolist() if which else [], [x for x in hits if len(x)]):
+        met = np.append(state.get(names[i], ()), row)
+        state[names[i]] = np.partition(met, -k)[-k:] if len(met) > k else met
     return _rows(block, which, block.keys.take(pa.array(np.concatenate([np.zeros(0, np.int64), *docs]))), {"hits": hits})
 
 
@@ -234,11 +281,11 @@ class LexicalSearch:
             beside = written(at.join(lists, "__pack").select("q", *[f"q_{x}" for x in names], *[F.col(f"w.{x}").alias(x) for x in picked.columns[1:]]), "packs", LARGE_ROWS)
 
         def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held, rows = [], 0
+            held, rows, state = [], 0, {}
             for batch in batches:
                 for i in range(batch.num_rows):
                     pair = {name: batch.column(k)[i].values for k, name in enumerate(batch.schema.names)}
-                    found = run(_Block(pair), pair)
+                    found = run(_Block(pair, state), pair)
                     if fewer is None:
                         yield from found.to_batches()
                         continue
