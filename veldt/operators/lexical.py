@@ -212,7 +212,7 @@ def _own(block: _Block, picked: pa.ListArray) -> pa.Table:
 
 
 def _before(block: _Block, picked: pa.ListArray, scores: pa.ListArray) -> pa.Table:
-    """For each picked pair with its hits, how many documents here go before it."""
+    """For each picked pair with its hits, how many documents here go before it, added to what the state has of the query pack; rows only if it holds too many."""
     query, keys = _flat(picked)
     score = _flat(scores)[1].to_numpy()
     rank = pc.rank(pa.concat_arrays([block.keys, keys]), "ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)
@@ -220,13 +220,25 @@ def _before(block: _Block, picked: pa.ListArray, scores: pa.ListArray) -> pa.Tab
     later = most - 1 - rank
     mine = score * most + later[block.docs :]
     ends = np.searchsorted(query, np.arange(block.queries + 1))
-    n = np.zeros(len(query), np.int64)
+    pack = block.q[0].as_py()
+    if pack not in block.state:  # copies, as the lists belong to a batch of many megabytes
+        block.state[pack] = block.q.take(pa.array(query)), keys.take(pa.array(np.arange(len(keys)))), np.zeros(len(query), np.int64)
+    n = block.state[pack][2]
     for i, row in block.hits():
         own = np.arange(ends[i], ends[i + 1])
         own = own[np.argsort(mine[own])]
         counts = np.bincount(np.searchsorted(mine[own], row.astype(np.int64) * most + later[: block.docs]), minlength=len(own) + 1)
-        n[own] = block.docs - np.cumsum(counts)[: len(own)]
-    return _rows(block, [query], keys, {"n": [n]})
+        n[own] += block.docs - np.cumsum(counts)[: len(own)]
+    if sum(len(x) for *_, x in block.state.values()) > HELD_ROWS:
+        return _counted(block.state)
+    return _rows(block, [], block.keys[:0], {"n": []})
+
+
+def _counted(state: dict) -> pa.Table:
+    """The counts of a state, which is empty then."""
+    parts = [pa.table({"q": q, "c": c, "n": n}) for q, c, n in state.values()]
+    state.clear()
+    return pa.concat_tables(parts)
 
 
 def _first(found: pa.Table, k: int) -> pa.Table:
@@ -239,11 +251,6 @@ def _first(found: pa.Table, k: int) -> pa.Table:
     return found.take(order.filter(pa.array(place < k)))
 
 
-def _sums(found: pa.Table) -> pa.Table:
-    """Rows (q, c, n), added up for each pair."""
-    return found.group_by(["q", "c"], use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select(["q", "c", "n"])
-
-
 class LexicalSearch:
     """A search of ``corpus`` with ``queries`` by hits, the positions of a document that match any word of the query; ties by key.
 
@@ -264,8 +271,8 @@ class LexicalSearch:
         words = queries.select(F.col(query).alias("q"), F.array_distinct(analyse(F.col(query_text))).alias("words")).where(F.size("words") > 0)
         self.asked = written(words.groupBy("q").agg(F.array_distinct(F.flatten(F.collect_list("words"))).alias("words")), "asked")
 
-    def _met(self, run: Callable[[_Block, dict], pa.Table], result: str, picked: DataFrame | None = None, fewer: Callable[[pa.Table], pa.Table] | None = None) -> DataFrame:
-        """``run`` of each pair of packs; rows (q, c, result). Lists of ``picked``, rows (q, lists), stand beside their queries. ``fewer`` brings together what a task found."""
+    def _met(self, run: Callable[[_Block, dict], pa.Table], result: str, picked: DataFrame | None = None, fewer: Callable[[pa.Table], pa.Table] | None = None, rest: Callable[[dict], pa.Table] | None = None) -> DataFrame:
+        """``run`` of each pair of packs; rows (q, c, result). Lists of ``picked``, rows (q, lists), stand beside their queries. ``fewer`` brings together what a task found, ``rest`` is what its state holds at the end."""
         # full packs: each query pack beyond need sends the documents to Python once more
         n = self.asked.agg(F.greatest(F.count(F.lit(1)) / PACK_ROWS, F.sum(F.size("words")) / QUERY_WORDS)).first()[0]
         packed = written(_packs(self.asked.coalesce(int(n or 0) + 1), "q", PACK_ROWS, QUERY_WORDS), "packs", LARGE_ROWS)
@@ -298,6 +305,8 @@ class LexicalSearch:
                             held, rows = [], 0
             if held:
                 yield from fewer(pa.concat_tables(held)).to_batches(OUT_ROWS)
+            if rest is not None and state:
+                yield from rest(state).to_batches(OUT_ROWS)
 
         # packs of queries are read where documents are: a broadcast would grow with their lists up to many times what their files take
         return self.docs.coalesce(TASKS).crossJoin(beside.hint("shuffle_replicate_nl")).mapInArrow(met, f"q {kinds[1]}, c {kinds[0]}, {result} long")
@@ -313,7 +322,7 @@ class LexicalSearch:
         pairs = picked.select(F.col(self.query).alias("q"), F.col(self.key).alias("c")).where("q IS NOT NULL AND c IS NOT NULL").distinct()
         lists = lambda df, *names: df.groupBy("q").agg(F.collect_list(F.struct(*names)).alias("w")).select("q", *[F.col(f"w.{x}").alias(f"w_{x}") for x in names])
         scored = written(self._met(lambda block, pair: _own(block, pair["w_c"]), "hits", lists(pairs, "c")), "scored")
-        counted = self._met(lambda block, pair: _before(block, pair["w_c"], pair["w_hits"]), "n", lists(scored, "c", "hits"), _sums)
+        counted = self._met(lambda block, pair: _before(block, pair["w_c"], pair["w_hits"]), "n", lists(scored, "c", "hits"), rest=_counted)
         ranked = counted.groupBy("q", "c").agg((F.sum("n") + 1).alias("rank")).join(scored.hint("merge"), ["q", "c"])
         return ranked.select(F.col("q").alias(self.query), F.col("c").alias(self.key), "hits", "rank")
 
